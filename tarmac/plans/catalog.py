@@ -62,10 +62,14 @@ ANALYSES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(ANALYSES)
+    from tarmac.plans.inventory import OPERATOR_QUERIES
+
+    return {**ANALYSES, **OPERATOR_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
     from tarmac.plans.oracle import SQL
+    from tarmac.plans.oracle_ops import SQL as OPS
 
-    return {k: v for k, v in SQL.items() if k in queries()}
+    keys = queries()
+    return {k: v for k, v in {**SQL, **OPS}.items() if k in keys}
