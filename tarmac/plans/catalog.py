@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarmac.plans import analyses as Q
 from tarmac.plans import eda as E
+from tarmac.plans import marts as M
 from tarmac.plans import scope as D
 from tarmac.sources.flights import flights
 
@@ -58,6 +59,16 @@ ANALYSES: dict[str, Query] = {
     "eda_cause_share": on_flights(E.eda_cause_share),
     "eda_corr": on_flights(E.eda_corr),
     "eda_extremes": on_flights(E.eda_extremes),
+    "mart_kpi": on_flights(M.mart_kpi),
+    "mart_controllable_pct": on_flights(M.mart_controllable_pct),
+    "mart_monthly_trend": on_flights(M.mart_monthly_trend),
+    "mart_cause_contribution": on_flights(M.mart_cause_contribution),
+    "mart_airline_performance": on_flights(M.mart_airline_performance),
+    "mart_routes": on_flights(M.mart_routes),
+    "mart_airport_profiles": on_flights(M.mart_airport_profiles),
+    "mart_rag_tier": on_flights(M.mart_rag_tier),
+    "mart_dep_hour_risk": on_flights(M.mart_dep_hour_risk),
+    "mart_pivot_airline_month": on_flights(M.mart_pivot_airline_month),
 }
 
 

@@ -37,28 +37,31 @@ def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
 
     ``avg_arrival_delay`` is the unweighted mean of the rounded monthly means
     (the README figure); ``avg_arrival_delay_rows`` is the row-level mean.
+    Ties: "best"/"least" take the smallest key, "worst"/"most" the largest.
     """
     s = spec
     monthly = Q.q10_monthly_rolling(df, spec)
     carriers = df.groupBy(s.carrier).agg(r2(F.avg(s.arr)).alias("avg_delay"))
     windows = df.groupBy(time_of_day(s.hour).alias("window")).agg(r2(F.avg(s.arr)).alias("avg_delay"))
-    tiebreak_hi = F.struct(F.col("avg_delay"), F.lit(0))
+
+    def lowest(frame: DataFrame, key: str, order_key: str, metric: str) -> DataFrame:
+        return _kv(frame.agg(F.min_by(key, F.struct("avg_delay", order_key)).alias("v")), metric, F.col("v"))
+
+    def highest(frame: DataFrame, key: str, order_key: str, metric: str) -> DataFrame:
+        return _kv(frame.agg(F.max_by(key, F.struct("avg_delay", order_key)).alias("v")), metric, F.col("v"))
+
+    months = monthly.withColumnRenamed("avg_arr_delay", "avg_delay")
     rows = [
         _kv(df.agg(F.count(F.lit(1)).alias("n")), "total_flights", F.col("n")),
         _kv(monthly.agg(r2(F.avg("avg_arr_delay")).alias("v")), "avg_arrival_delay", F.col("v")),
         _kv(df.agg(r2(F.avg(s.arr)).alias("v")), "avg_arrival_delay_rows", F.col("v")),
         _kv(mart_controllable_pct(df, spec), "controllable_pct", F.col("controllable_pct")),
-        _kv(monthly.agg(F.min_by("month_name", F.struct("avg_arr_delay", s.month)).alias("v")), "best_month", F.col("v")),
-        _kv(monthly.agg(F.max_by("month_name", F.struct("avg_arr_delay", F.negative(F.col(s.month)))).alias("v")),
-            "worst_month", F.col("v")),
-        _kv(carriers.agg(F.max_by(s.carrier, F.struct(F.col("avg_delay"), F.col(s.carrier))).alias("v")),
-            "most_delayed_airline", F.col("v")),
-        _kv(carriers.agg(F.min_by(s.carrier, F.struct(F.col("avg_delay"), F.col(s.carrier))).alias("v")),
-            "least_delayed_airline", F.col("v")),
-        _kv(windows.agg(F.min_by("window", F.struct(F.col("avg_delay"), F.col("window"))).alias("v")),
-            "best_time_window", F.col("v")),
+        lowest(months, "month_name", s.month, "best_month"),
+        highest(months, "month_name", s.month, "worst_month"),
+        highest(carriers, s.carrier, s.carrier, "most_delayed_airline"),
+        lowest(carriers, s.carrier, s.carrier, "least_delayed_airline"),
+        lowest(windows, "window", "window", "best_time_window"),
     ]
-    del tiebreak_hi
     return union_all(rows)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tarmac.plans.oracle import CAUSES, Q2_CTES, Q6_CTES, PCT, R, R2, ROUTE, q5_ctes, q8_ctes, with_flights
 from tarmac.plans.oracle import _Q7_CTES as Q7_CTES
+from tarmac.plans.oracle import _Q10_CTES as Q10_CTES
+from tarmac.plans.oracle import _Q11_CTES as Q11_CTES
 
 COLS = [
     ("Month", "bigint"), ("DepHour", "bigint"), ("UniqueCarrier", "string"), ("Origin", "string"),
@@ -356,3 +358,65 @@ SQL["lbl_network"] = q("""SELECT k AS airport, delay_cause, CASE WHEN delay_caus
 SQL["lbl_concentration"] = q("""SELECT k AS airport, delay_cause, pct_of_total AS pct_of_airline_total,
   CASE WHEN pct_of_total >= 50 THEN 'Highly Concentrated' WHEN pct_of_total >= 40 THEN 'Moderately Concentrated'
        ELSE 'Distributed' END AS concentration_label FROM cr WHERE cause_rank = 1""", _cause_rank_ctes("Origin"))
+
+# ------------------------------------------------------------------ report marts
+from tarmac.plans.oracle import SQL as _A  # noqa: E402
+
+_CTRL = "('Late Aircraft Delay', 'Carrier Delay')"
+
+
+def _sub(key: str) -> str:
+    return f"({_A[key]})"
+
+
+SQL["mart_controllable_pct"] = (
+    f"SELECT {R2('SUM(pct_of_total_minutes)')} AS controllable_pct FROM {_sub('q11_cause_totals')} q "
+    f"WHERE delay_cause IN {_CTRL}")
+_WINDOW = """CASE WHEN "DepHour" BETWEEN 5 AND 8 THEN 'Early Morning' WHEN "DepHour" BETWEEN 9 AND 11 THEN 'Mid Morning'
+  WHEN "DepHour" BETWEEN 12 AND 14 THEN 'Afternoon' WHEN "DepHour" BETWEEN 15 AND 17 THEN 'Peak Hours'
+  WHEN "DepHour" BETWEEN 18 AND 20 THEN 'Evening' ELSE 'Night / Red Eye' END"""
+SQL["mart_kpi"] = q(f"""
+SELECT 'total_flights' AS metric, CAST((SELECT COUNT(*) FROM airline_delays) AS VARCHAR) AS value
+UNION ALL SELECT 'avg_arrival_delay', CAST((SELECT {R2('AVG(avg_arr_delay)')} FROM labeled) AS VARCHAR)
+UNION ALL SELECT 'avg_arrival_delay_rows', CAST((SELECT {R2('AVG("ArrDelay")')} FROM airline_delays) AS VARCHAR)
+UNION ALL SELECT 'controllable_pct', CAST((SELECT {R2('SUM(pct_of_total_minutes)')} FROM final
+                                          WHERE delay_cause IN {_CTRL}) AS VARCHAR)
+UNION ALL SELECT 'best_month', (SELECT month_name FROM labeled ORDER BY avg_arr_delay, "Month" LIMIT 1)
+UNION ALL SELECT 'worst_month', (SELECT month_name FROM labeled ORDER BY avg_arr_delay DESC, "Month" DESC LIMIT 1)
+UNION ALL SELECT 'most_delayed_airline', (SELECT c FROM cr ORDER BY v DESC, c DESC LIMIT 1)
+UNION ALL SELECT 'least_delayed_airline', (SELECT c FROM cr ORDER BY v, c LIMIT 1)
+UNION ALL SELECT 'best_time_window', (SELECT w FROM tw ORDER BY v, w LIMIT 1)""",
+                   Q10_CTES + ",\n" + Q11_CTES + f""",
+cr AS (SELECT "UniqueCarrier" AS c, {R2('AVG("ArrDelay")')} AS v FROM airline_delays GROUP BY 1),
+tw AS (SELECT {_WINDOW} AS w, {R2('AVG("ArrDelay")')} AS v FROM airline_delays GROUP BY 1)""")
+SQL["mart_monthly_trend"] = f"""
+SELECT *, avg_arr_delay = MIN(avg_arr_delay) OVER () AS is_best_month,
+       avg_arr_delay = MAX(avg_arr_delay) OVER () AS is_worst_month
+FROM {_sub('q10_monthly_rolling')} q"""
+SQL["mart_cause_contribution"] = f"""
+SELECT impact_rank, delay_cause, total_minutes, pct_of_total_minutes, impact_label FROM {_sub('q11_cause_totals')} q"""
+SQL["mart_airline_performance"] = f"""
+SELECT s.airline, s.total_flights, s.avg_delay, s.severity_rank, s.severe_delay_rate, s.severity_profile,
+       c.consistency_rank, c.stddev_delay, c.consistency_label, c.performance_profile,
+       m.avg_mom_change, m.overall_trend, d.dominant_cause, d.dominant_pct, d.concentration_label
+FROM {_sub('q06_severity_profile')} s
+LEFT JOIN {_sub('q04_airline_consistency')} c ON s.airline = c.airline
+LEFT JOIN {_sub('q05_airline_momentum')} m ON s.airline = m.airline
+LEFT JOIN (SELECT DISTINCT airline, dominant_cause, dominant_pct, concentration_label
+           FROM {_sub('q12_dominant_cause')} x) d ON s.airline = d.airline"""
+SQL["mart_routes"] = f"""
+SELECT route, 'Repeat Worst' AS list_name, overall_avg_delay AS value, months_in_top10
+FROM {_sub('q01_repeat_worst_routes')} a
+UNION ALL
+SELECT route, category, avg_recovery, CAST(NULL AS BIGINT) FROM {_sub('q03_delay_recovery')} b"""
+SQL["mart_airport_profiles"] = f"""
+SELECT v.*, p.avg_dep_delay, p.avg_arr_delay, p.dep_vs_global, p.arr_vs_global, p.delay_profile
+FROM ({with_flights(Q7_CTES, 'SELECT volume_rank, airport, total_flights, avg_delay, stddev_delay, delay_rank, '
+                                 'rank_difference, airport_profile FROM final')}) v
+JOIN {_sub('q08_dep_arr_profile')} p ON v.airport = p.airport"""
+SQL["mart_rag_tier"] = q(f"""
+SELECT airline, avg_delay, CASE WHEN avg_delay >= 55 THEN 'Red' WHEN avg_delay >= 45 THEN 'Amber' ELSE 'Green' END AS tier
+FROM (SELECT "UniqueCarrier" AS airline, {R2('AVG("ArrDelay")')} AS avg_delay {BYC})""")
+SQL["mart_dep_hour_risk"] = _A["q09_hour_risk"]
+SQL["mart_pivot_airline_month"] = q('SELECT "UniqueCarrier" AS airline, ' + ", ".join(
+    f'{R2(f"AVG(CASE WHEN \"Month\" = {m} THEN \"ArrDelay\" END)")} AS m{m:02d}' for m in range(1, 13)) + f" {BYC}")
