@@ -49,23 +49,27 @@ def rates(total: str, counts: dict[str, str], scale: int = 2) -> list[Column]:
 def corr_matrix(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """Pearson correlation of every ordered pair, long form ``(col_a, col_b, corr)``.
 
-    One pass: the upper triangle is aggregated once (pairwise-complete: a
-    row with a NULL in either column is skipped for that pair only) and
-    mirrored; the diagonal is 1.
+    One scan: each row's values become an array; two ``posexplode`` steps
+    emit the upper triangle ``(i, j, x, y)`` and a single ``corr`` is grouped
+    by pair, so partial aggregation sends one row per pair per task to the
+    shuffle. (21 ``corr`` columns in one ``agg`` would exceed
+    ``spark.sql.codegen.maxFields`` and run interpreted; one struct per pair
+    makes the generated code several times larger to compile.) ``corr`` is
+    the numerically stable co-moment form and skips a row only for the pairs
+    where it has a NULL (pairwise-complete). The diagonal is computed like
+    any pair (1, or NULL for a constant column); the triangle is mirrored.
     """
     cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[F.corr(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
-    items = []
-    for i, a in enumerate(cols):
-        for b in cols:
-            if a == b:
-                v = F.lit(1.0)
-            else:
-                x, y = (a, b) if cols.index(a) < cols.index(b) else (b, a)
-                v = rnd(F.col(f"`{x}|{y}`"), scale)
-            items.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), v.alias("corr")))
-    return wide.select(F.inline(F.array(*items)))
+    vals = F.array(*[F.col(c).cast("double") for c in cols])
+    names = F.array(*[F.lit(c) for c in cols])
+    first = df.select(F.posexplode(vals).alias("i", "x"), vals.alias("_v"))
+    pairs = first.select("i", "x", F.posexplode(F.slice("_v", F.col("i") + 1, len(cols))).alias("k", "y"))
+    tri = pairs.groupBy("i", "k").agg(rnd(F.corr("x", "y"), scale).alias("corr"))
+    a = F.element_at(names, F.col("i") + 1)
+    b = F.element_at(names, F.col("i") + F.col("k") + 1)
+    fwd = F.struct(a.alias("col_a"), b.alias("col_b"), F.col("corr"))
+    rev = F.struct(b.alias("col_a"), a.alias("col_b"), F.col("corr"))
+    return tri.select(F.inline(F.when(F.col("k") == 0, F.array(fwd)).otherwise(F.array(fwd, rev))))
 
 
 def column_means(df: DataFrame, cols: Sequence[str], label: str = "column", value: str = "mean") -> DataFrame:

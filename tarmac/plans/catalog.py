@@ -74,8 +74,9 @@ ANALYSES: dict[str, Query] = {
 
 def queries() -> dict[str, Query]:
     from tarmac.plans.inventory import OPERATOR_QUERIES
+    from tarmac.plans.io_queries import IO_QUERIES
 
-    return {**ANALYSES, **OPERATOR_QUERIES}
+    return {**ANALYSES, **OPERATOR_QUERIES, **IO_QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

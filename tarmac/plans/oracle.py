@@ -446,7 +446,7 @@ FROM cm""")
 _CORR_COLS = ["ArrDelay", "DepDelay", "CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay"]
 SQL["eda_corr"] = with_flights("", "\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
-    + ("CAST(1.0 AS DOUBLE) AS corr" if a == b else R(f'CORR("{a}", "{b}")', 4) + " AS corr FROM airline_delays")
+    + R(f'CORR("{a}", "{b}")', 4) + " AS corr FROM airline_delays"
     for a in _CORR_COLS for b in _CORR_COLS))
 
 _EXT_DIMS = [("carrier", "UniqueCarrier"), ("month", "Month"), ("origin", "Origin"), ("dest", "Dest")]

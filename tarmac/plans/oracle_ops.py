@@ -155,7 +155,7 @@ SQL["agg_quantile"] = q(f'SELECT "UniqueCarrier" AS airline, {R("QUANTILE_CONT(\
                         f'{R("QUANTILE_CONT(\"ArrDelay\", 0.75)", 4)} AS p75 {BYC}')
 SQL["agg_corr_matrix"] = q(uall(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
-    + ("CAST(1.0 AS DOUBLE) AS corr" if a == b else R(f'CORR("{a}", "{b}")', 4) + " AS corr FROM flights0")
+    + R(f'CORR("{a}", "{b}")', 4) + " AS corr FROM flights0"
     for a in CORR for b in CORR))
 SQL["agg_column_means"] = q(uall(f"SELECT '{c}' AS column_name, {R(f'AVG(\"{c}\")', 6)} AS mean FROM flights0"
                                  for c in CORR))
@@ -420,3 +420,17 @@ FROM (SELECT "UniqueCarrier" AS airline, {R2('AVG("ArrDelay")')} AS avg_delay {B
 SQL["mart_dep_hour_risk"] = _A["q09_hour_risk"]
 SQL["mart_pivot_airline_month"] = q('SELECT "UniqueCarrier" AS airline, ' + ", ".join(
     f'{R2(f"AVG(CASE WHEN \"Month\" = {m} THEN \"ArrDelay\" END)")} AS m{m:02d}' for m in range(1, 13)) + f" {BYC}")
+
+# ------------------------------------------------------------------ sources and sinks
+SQL["src_csv"] = q("SELECT * FROM flights0")
+SQL["src_table"] = q("SELECT * FROM airline_delays")
+SQL["sink_csv"] = q("SELECT * FROM airline_delays")
+SQL["sink_table"] = q("SELECT * FROM airline_delays")
+_EXPORTED = [
+    "q01_repeat_worst_routes", "q02_route_symmetry", "q03_delay_recovery", "q04_airline_consistency",
+    "q05_airline_momentum", "q06_severity_profile", "q07_volume_vs_delay", "q08_dep_arr_profile",
+    "q09_hour_risk", "q10_monthly_rolling", "q11_cause_totals", "q12_dominant_cause",
+]
+SQL["sink_query_exports"] = uall(
+    f"SELECT '{k}' AS export_name, COUNT(*) AS rows FROM {_sub(k)} x" for k in _EXPORTED)
+SQL["stream_ingest"] = q("SELECT * FROM flights0")

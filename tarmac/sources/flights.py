@@ -1,12 +1,13 @@
 """The flight fact table: CSV ingest, the derived view over the driver's
 TPC-H-style tables, and its one-time materialisation.
 
-Materialisation mirrors the reference's own lifecycle (clean once, write
+Materialisation mirrors the reference's own lifecycle (clean once, keep
 the original and the filtered frame, load the filtered one into a table
 that every analysis reads): ``prepare()`` writes ``flights0`` (derived,
-unfiltered) and ``flights`` (after the IQR filter) as parquet under
-``spark.checkpoint.dir``. That cuts the join lineage once; every analysis
-afterwards is a pruned scan of one narrow table.
+unfiltered) and its one-row IQR bounds as parquet under
+``spark.checkpoint.dir``; ``flights`` is ``flights0`` filtered by those
+bounds. That cuts the join lineage once; every analysis afterwards is a
+pruned, filtered scan of one narrow table.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarmac.operators.clean import iqr_bounds, iqr_filter_with
+from tarmac.operators.clean import iqr_bounds
 from tarmac.session import shared_dir
 from tarmac.sources.tables import Tables
 from tarmac.spec import DEFAULT, FlightSpec
 
 # Bump when the derivation below changes, so stale materialisations are not reused.
-DERIVATION_VERSION = "flights-v1"
+DERIVATION_VERSION = "flights-v2"
 
 # ---------------------------------------------------------------------------
 # The reference's raw CSV layout (30 columns, a leading
@@ -173,9 +174,9 @@ def derive_flights0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class Prepared:
-    flights0: DataFrame  # derived, before the outlier filter
+    flights0: DataFrame  # derived, before the outlier filter (materialised)
     flights: DataFrame  # after the IQR filter: the table every analysis reads
-    bounds: DataFrame  # one row: q1/q3/lower/upper per measure
+    bounds: DataFrame  # one row: q1/q3/lower/upper per measure (materialised)
     root: str
 
 
@@ -195,32 +196,41 @@ def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuild: bool = False) -> Prepared:
-    """Materialise ``flights0`` / ``flights`` once per folder and return readers.
+def filter_by_bounds(df: DataFrame, bounds_row, measures) -> DataFrame:
+    """IQR filter with the bounds as literals, so Parquet row groups whose
+    min/max fall outside are skipped (``PushedFilters`` on the scan)."""
+    cond = None
+    for m in measures:
+        lo, hi = bounds_row[f"{m}_lower"], bounds_row[f"{m}_upper"]
+        c = (F.col(m) >= F.lit(lo)) & (F.col(m) <= F.lit(hi))
+        cond = c if cond is None else cond & c
+    return df.filter(cond)
+
 
-    Writes go to the shared checkpoint folder; a small ``_ready`` table is
-    written last and acts as the commit marker, so a run that died half way
-    is simply redone.
+def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuild: bool = False) -> Prepared:
+    """Materialise ``flights0`` and the IQR bounds once per folder; return readers.
+
+    Only the derived table is written: the filtered table is the same rows
+    minus the outliers, so it is a filtered scan of ``flights0`` (no second
+    copy of the fact table). The bounds are one row of four numbers per
+    measure; they are read back once and applied as literals. The bounds
+    table is written last and doubles as the commit marker: a run that died
+    half way has no bounds and is simply redone.
     """
     root = f"{shared_dir(spark)}/tarmac/{_key(sf_dir)}"
     memo_key = (spark.sparkContext.applicationId, root)
     with _LOCK:
         if not rebuild and memo_key in _MEMO:
             return _MEMO[memo_key]
-        ready = None if rebuild else _try_read(spark, f"{root}/_ready")
-        if ready is None:
+        b = None if rebuild else _try_read(spark, f"{root}/bounds")
+        if b is None:
             derive_flights0(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/flights0")
             f0 = spark.read.parquet(f"{root}/flights0")
             iqr_bounds(f0, spec.measures).write.mode("overwrite").parquet(f"{root}/bounds")
             b = spark.read.parquet(f"{root}/bounds")
-            iqr_filter_with(f0, b, spec.measures).write.mode("overwrite").parquet(f"{root}/flights")
-            spark.range(1).write.mode("overwrite").parquet(f"{root}/_ready")
-        p = Prepared(
-            flights0=spark.read.parquet(f"{root}/flights0"),
-            flights=spark.read.parquet(f"{root}/flights"),
-            bounds=spark.read.parquet(f"{root}/bounds"),
-            root=root,
-        )
+        f0 = spark.read.parquet(f"{root}/flights0")
+        row = b.first()
+        p = Prepared(flights0=f0, flights=filter_by_bounds(f0, row, spec.measures), bounds=b, root=root)
         _MEMO[memo_key] = p
         return p
 
