@@ -77,3 +77,41 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 
 IO_QUERIES["stream_ingest"] = stream_ingest
+
+
+def _raw_csv(spark: SparkSession, d: str) -> str:
+    from tarmac.sources.raw import derive_raw, write_raw_csv
+
+    p = prepare(spark, d)
+    return write_raw_csv(derive_raw(spark, d), f"{p.root}/csv/raw")
+
+
+def src_csv_raw(spark: SparkSession, d: str) -> DataFrame:
+    """The raw 30-column file scanned with pandas' missing-value tokens."""
+    from tarmac.sources.flights import read_flights_csv as read
+
+    return read(spark, _raw_csv(spark, d))
+
+
+def pipeline_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The notebook's whole cleaning pipeline on the raw file: incomplete
+    rows, dropped columns, truncated clock times, hours, trimmed keys, IQR
+    filter, scheduled departure hour. Returns the filtered frame."""
+    from tarmac.operators.clean import pipeline_clean as clean
+    from tarmac.sources.flights import read_flights_csv as read
+
+    _, filtered = clean(read(spark, _raw_csv(spark, d)))
+    return filtered
+
+
+def pipeline_original(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned, unfiltered frame of the same pipeline (the "original" CSV)."""
+    from tarmac.operators.clean import pipeline_clean as clean
+    from tarmac.sources.flights import read_flights_csv as read
+
+    original, _ = clean(read(spark, _raw_csv(spark, d)))
+    return original
+
+
+IO_QUERIES.update({"src_csv_raw": src_csv_raw, "pipeline_clean": pipeline_clean,
+                   "pipeline_original": pipeline_original})

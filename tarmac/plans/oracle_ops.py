@@ -434,3 +434,54 @@ _EXPORTED = [
 SQL["sink_query_exports"] = uall(
     f"SELECT '{k}' AS export_name, COUNT(*) AS rows FROM {_sub(k)} x" for k in _EXPORTED)
 SQL["stream_ingest"] = q("SELECT * FROM flights0")
+
+# ------------------------------------------------------------------ raw file and the cleaning pipeline
+_RAW = """
+raw AS (
+  SELECT ok * 8 + ln AS "Unnamed: 0", CAST(2008 AS BIGINT) AS "Year", mon AS "Month", ok % 28 + 1 AS "DayofMonth",
+         ok % 7 + 1 AS "DayOfWeek",
+         CASE WHEN ok % 97 = 0 THEN 2400.0
+              ELSE CAST(FLOOR((((hr * 60 + ok % 60 + dep) % 1440) + 1440) % 1440 / 60) * 100
+                        + ((((hr * 60 + ok % 60 + dep) % 1440) + 1440) % 1440) % 60 AS DOUBLE) END AS "DepTime",
+         hr * 100 + ok % 60 AS "CRSDepTime",
+         CASE WHEN ok % 37 = 0 THEN NULL
+              ELSE CAST(FLOOR((((hr * 60 + ok % 60 + 95 + arr) % 1440) + 1440) % 1440 / 60) * 100
+                        + ((((hr * 60 + ok % 60 + 95 + arr) % 1440) + 1440) % 1440) % 60 AS DOUBLE) END AS "ArrTime",
+         CAST(FLOOR(((hr * 60 + ok % 60 + 95) % 1440) / 60) * 100 + ((hr * 60 + ok % 60 + 95) % 1440) % 60 AS BIGINT)
+           AS "CRSArrTime",
+         CASE WHEN ok % 11 = 0 THEN ' ' || concat('C', lpad(CAST(ci AS VARCHAR), 2, '0')) || ' '
+              ELSE concat('C', lpad(CAST(ci AS VARCHAR), 2, '0')) END AS "UniqueCarrier",
+         ok % 7000 + 1 AS "FlightNum",
+         CASE WHEN ok % 41 = 0 THEN NULL ELSE 'N' || CAST(ok % 900 + 100 AS VARCHAR) || 'AA' END AS "TailNum",
+         CAST(95 + arr - dep AS DOUBLE) AS "ActualElapsedTime", CAST(95.0 AS DOUBLE) AS "CRSElapsedTime",
+         CAST(75 + arr - dep AS DOUBLE) AS "AirTime", CAST(arr AS DOUBLE) AS "ArrDelay", CAST(dep AS DOUBLE) AS "DepDelay",
+         CASE WHEN ok % 13 = 1 THEN chr(9) || origin ELSE origin END AS "Origin",
+         CASE WHEN ok % 17 = 2 THEN dest || ' ' ELSE dest END AS "Dest",
+         ok % 2200 + 300 AS "Distance", CAST(ok % 10 + 5 AS DOUBLE) AS "TaxiIn", CAST(ok % 15 + 10 AS DOUBLE) AS "TaxiOut",
+         CAST(0 AS INTEGER) AS "Cancelled", 'N' AS "CancellationCode", CAST(0 AS INTEGER) AS "Diverted",
+         CASE WHEN ok % 23 = 0 THEN NULL ELSE CAST(car AS DOUBLE) END AS "CarrierDelay",
+         CASE WHEN ok % 29 = 0 THEN NULL ELSE CAST(wx AS DOUBLE) END AS "WeatherDelay",
+         CASE WHEN ok % 31 = 0 THEN NULL ELSE CAST(nas AS DOUBLE) END AS "NASDelay",
+         CAST(sec AS DOUBLE) AS "SecurityDelay", CAST(arr - wx - sec - nas - car AS DOUBLE) AS "LateAircraftDelay"
+  FROM r)"""
+_ORIG = _RAW + f""",
+orig AS (
+  SELECT "Year", "Month", "DayofMonth", "DayOfWeek", CAST(TRUNC("DepTime") AS BIGINT) AS "DepTime", "CRSDepTime",
+         CAST(TRUNC("ArrTime") AS BIGINT) AS "ArrTime", "CRSArrTime", trim("UniqueCarrier", {WS}) AS "UniqueCarrier",
+         "FlightNum", "ActualElapsedTime", "CRSElapsedTime", "AirTime", "ArrDelay", "DepDelay",
+         trim("Origin", {WS}) AS "Origin", trim("Dest", {WS}) AS "Dest", "Distance", "TaxiIn", "TaxiOut", "Cancelled",
+         "CancellationCode", "Diverted", "CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay",
+         CAST(FLOOR(TRUNC("DepTime") / 100) AS BIGINT) AS "DepHour", CAST(FLOOR(TRUNC("ArrTime") / 100) AS BIGINT) AS "ArrHour"
+  FROM raw
+  WHERE "ArrTime" IS NOT NULL AND "ActualElapsedTime" IS NOT NULL AND "CRSElapsedTime" IS NOT NULL
+    AND "AirTime" IS NOT NULL AND "ArrDelay" IS NOT NULL AND "TaxiIn" IS NOT NULL AND "TaxiOut" IS NOT NULL
+    AND "CarrierDelay" IS NOT NULL AND "WeatherDelay" IS NOT NULL AND "NASDelay" IS NOT NULL
+    AND "SecurityDelay" IS NOT NULL AND "LateAircraftDelay" IS NOT NULL),
+ob AS (SELECT quantile_cont("ArrDelay", 0.25) AS aq1, quantile_cont("ArrDelay", 0.75) AS aq3,
+              quantile_cont("DepDelay", 0.25) AS dq1, quantile_cont("DepDelay", 0.75) AS dq3 FROM orig)"""
+SQL["src_csv_raw"] = q("SELECT * FROM raw", _RAW)
+SQL["pipeline_original"] = q("SELECT * FROM orig", _ORIG)
+SQL["pipeline_clean"] = q("""
+SELECT o.* REPLACE (CAST(FLOOR(o."CRSDepTime" / 100) AS BIGINT) AS "DepHour") FROM orig o, ob b
+WHERE o."ArrDelay" >= b.aq1 - 1.5 * (b.aq3 - b.aq1) AND o."ArrDelay" <= b.aq3 + 1.5 * (b.aq3 - b.aq1)
+  AND o."DepDelay" >= b.dq1 - 1.5 * (b.dq3 - b.dq1) AND o."DepDelay" <= b.dq3 + 1.5 * (b.dq3 - b.dq1)""", _ORIG)

@@ -98,8 +98,9 @@ def read_flights_csv(spark: SparkSession, path: str, columns=None) -> DataFrame:
     return typed_from_strings(raw, cols)
 
 
-def derive_flights0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights view over lineitem/orders/customer/supplier/nation.
+def derive_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derivation frame with its integer keys (``ok`` orderkey, ``ln`` line)
+    and delay components, before the final projection.
 
     Join order keeps the big side narrow: customer and supplier are first
     resolved to their nation name (nation is 25 rows; AQE broadcasts it by
@@ -143,7 +144,7 @@ def derive_flights0(spark: SparkSession, sf_dir: str) -> DataFrame:
         + (sn * 7) % 13
         + case(ok % 211 == 0, 400)
     )
-    e = k.select("ok", "pk", "q", "sn", "cn", "mon", "origin", "dest", ci.alias("ci"), hr.alias("hr"),
+    e = k.select("ok", "ln", "pk", "q", "sn", "cn", "mon", "origin", "dest", ci.alias("ci"), hr.alias("hr"),
                  F.floor(dep_raw).cast("bigint").alias("dep"))
     arr = F.col("dep") + F.col("q") % 31 - 8 - case(F.col("sn") % 5 == 0, 12) + case(F.col("cn") % 6 == 0, 14)
     a = e.withColumn("arr", arr).filter(F.col("arr") >= 15)
@@ -155,7 +156,14 @@ def derive_flights0(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(arr_c * (F.lit(5) + (ci_c % 4) * 13) / F.lit(100)).cast("bigint").alias("nas"),
     )
     rest = F.col("arr") - F.col("wx") - F.col("sec") - F.col("nas")
-    r = n.withColumn("car", F.floor(rest * (F.lit(15) + (ci_c * 7) % 60) / F.lit(100)).cast("bigint"))
+    return n.withColumn("car", F.floor(rest * (F.lit(15) + (ci_c * 7) % 60) / F.lit(100)).cast("bigint"))
+
+
+def derive_flights0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flights view over lineitem/orders/customer/supplier/nation (query-layer schema)."""
+    r = derive_keyed(spark, sf_dir)
+    ci_c = F.col("ci")
+    rest = F.col("arr") - F.col("wx") - F.col("sec") - F.col("nas")
     return r.select(
         F.col("mon").alias("Month"),
         F.col("hr").cast("bigint").alias("DepHour"),
