@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.operators.windows import row_number_over
@@ -41,16 +41,31 @@ def top_two(
     rank_col: str,
     first: dict[str, str],
     second: dict[str, str],
+    method: str = "window",
 ) -> DataFrame:
-    """Join each key's rank-1 rows with its rank-2 rows.
+    """Each key's rank-1 row paired with its rank-2 rows.
 
     RANK semantics are kept on purpose: a tie at rank 1 leaves no rank 2 (the
     key drops out), a tie at rank 2 yields one output row per tied row.
     ``first``/``second`` map source column -> output name.
+
+    ``method="join"`` is the literal inner join of the rank-1 rows with the
+    rank-2 rows. The default ``"window"`` gives the same rows without a
+    join: whenever a rank-2 row exists the rank-1 row is unique (RANK skips
+    2 after a tie at 1), so its values can be attached to the rank-2 rows
+    with a window over the key. ``ranked`` is already partitioned by the
+    key, so this adds no shuffle and reads the input once.
     """
-    r1 = ranked.filter(F.col(rank_col) == 1).select(F.col(key), *[F.col(c).alias(n) for c, n in first.items()])
-    r2 = ranked.filter(F.col(rank_col) == 2).select(F.col(key), *[F.col(c).alias(n) for c, n in second.items()])
-    return r1.join(r2, key, "inner")
+    if method == "join":
+        r1 = ranked.filter(F.col(rank_col) == 1).select(F.col(key), *[F.col(c).alias(n) for c, n in first.items()])
+        r2 = ranked.filter(F.col(rank_col) == 2).select(F.col(key), *[F.col(c).alias(n) for c, n in second.items()])
+        return r1.join(r2, key, "inner")
+    w = Window.partitionBy(key)
+    top = F.col(rank_col) == 1
+    pick = {n: F.max(F.when(top, F.col(c))).over(w) for c, n in first.items()}
+    out = ranked.filter(F.col(rank_col) <= 2).withColumns(pick).filter(F.col(rank_col) == 2)
+    return out.select(F.col(key), *[F.col(n) for n in first.values()],
+                      *[F.col(c).alias(n) for c, n in second.items()])
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, order: Sequence[str] | None = None, how="left") -> DataFrame:

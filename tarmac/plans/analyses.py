@@ -96,10 +96,9 @@ def q03_delay_recovery(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: i
     ).orderBy(asc("category"), desc("avg_recovery"), asc("route"))
 
 
-def q04_airline_consistency(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100, top: int = 3) -> DataFrame:
-    """Carriers ranked by the spread (sample stddev) of their arrival delay."""
+def airline_stats(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100) -> DataFrame:
     s = spec
-    stats = (
+    return (
         df.groupBy(F.col(s.carrier).alias("airline"))
         .agg(
             F.count(F.lit(1)).alias("total_flights"),
@@ -110,6 +109,10 @@ def q04_airline_consistency(df: DataFrame, spec: FlightSpec = DEFAULT, min_fligh
         )
         .filter(F.col("total_flights") >= min_flights)
     )
+
+
+def consistency_layer(stats: DataFrame, top: int = 3) -> DataFrame:
+    """Ranks and labels from per-carrier (avg_delay, stddev_delay)."""
     ranked = stats.withColumns({
         "consistency_rank": rank_over(F.col("stddev_delay").asc_nulls_last()),
         "avg_delay_rank": rank_over(F.col("avg_delay").asc_nulls_last()),
@@ -123,6 +126,11 @@ def q04_airline_consistency(df: DataFrame, spec: FlightSpec = DEFAULT, min_fligh
     ).orderBy(asc("consistency_rank"), asc("airline"))
 
 
+def q04_airline_consistency(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100, top: int = 3) -> DataFrame:
+    """Carriers ranked by the spread (sample stddev) of their arrival delay."""
+    return consistency_layer(airline_stats(df, spec, min_flights), top)
+
+
 def q05_monthly_changes(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 30) -> DataFrame:
     """Per carrier and month: rounded mean, previous present month's mean, change, label."""
     s = spec
@@ -313,15 +321,17 @@ def q09_hour_risk(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     ).orderBy(asc("probability_rank"), asc("dep_hour"))
 
 
-def q10_monthly_rolling(df: DataFrame, spec: FlightSpec = DEFAULT, window_months: int = 3) -> DataFrame:
-    """Monthly mean with rolling, month-over-month and cumulative views."""
+def monthly_stats(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     s = spec
-    m = s.month
-    monthly = df.groupBy(m).agg(
+    return df.groupBy(s.month).agg(
         F.count(F.lit(1)).alias("total_flights"),
         r2(F.avg(s.arr)).alias("avg_arr_delay"),
         pct(F.count_if(F.col(s.arr) > L.SEVERE_ABOVE), F.count(F.lit(1))).alias("severe_rate"),
     )
+
+
+def monthly_layer(monthly: DataFrame, m: str = "Month", window_months: int = 3) -> DataFrame:
+    """Rolling, month-over-month and cumulative views of monthly rounded means."""
     avg = F.col("avg_arr_delay")
     rolled = monthly.select(
         m, "total_flights", "avg_arr_delay", "severe_rate",
@@ -338,6 +348,11 @@ def q10_monthly_rolling(df: DataFrame, spec: FlightSpec = DEFAULT, window_months
     ).orderBy(asc(m))
 
 
+def q10_monthly_rolling(df: DataFrame, spec: FlightSpec = DEFAULT, window_months: int = 3) -> DataFrame:
+    """Monthly mean with rolling, month-over-month and cumulative views."""
+    return monthly_layer(monthly_stats(df, spec), spec.month, window_months)
+
+
 def _cause_items(spec: FlightSpec, with_max: bool) -> list[tuple[str, dict]]:
     items = []
     for i, (c, label) in enumerate(spec.causes):
@@ -372,9 +387,10 @@ def cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     return unpivot_struct(wide, ["_rows"], _cause_items(spec, True), "delay_cause")
 
 
-def q11_cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Network-level delay attribution over the five cause columns."""
-    long = cause_totals(df, spec)
+def cause_attribution(long: DataFrame) -> DataFrame:
+    """Shares, ranks and labels from per-cause totals (``delay_cause,
+    total_minutes, flights_affected, avg_when_present, max_single_flight``
+    plus the fact row count ``_rows``)."""
     t = long.select(
         "*",
         r2(share_of_total("total_minutes")).alias("pct_of_total_minutes"),
@@ -392,6 +408,11 @@ def q11_cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     ).orderBy(asc("impact_rank"), asc("delay_cause"))
 
 
+def q11_cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """Network-level delay attribution over the five cause columns."""
+    return cause_attribution(cause_totals(df, spec))
+
+
 def cause_ranks_per_carrier(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Per carrier and cause: minutes, rank within the carrier and share of its total."""
     wide = df.groupBy(F.col(spec.carrier).alias("airline")).agg(*_cause_aggs(spec, False))

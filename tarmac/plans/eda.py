@@ -90,24 +90,18 @@ def eda_extremes(df: DataFrame, spec: FlightSpec = DEFAULT, scale: int = MEAN_SC
     items = [F.struct(F.lit(n).alias("dimension"), F.col(c).cast("string").alias("key")) for n, c in dims]
     e = df.select(F.inline(F.array(*items)), *[F.col(m) for m in s.measures]).filter(F.col("key").isNotNull())
     g = e.groupBy("dimension", "key").agg(*[rnd(F.avg(m), scale).alias(m) for m in s.measures])
-    rows = []
-    for m in s.measures:
-        hi = Window.partitionBy("dimension").orderBy(F.desc(m), F.asc("key"))
-        lo = Window.partitionBy("dimension").orderBy(F.asc(m), F.asc("key"))
-        r = (
-            g.select("dimension", "key", F.col(m).alias("v"),
-                     F.row_number().over(hi).alias("_hi"), F.row_number().over(lo).alias("_lo"))
-            .groupBy("dimension")
-            .agg(
-                F.max(F.when(F.col("_hi") == 1, F.col("key"))).alias("highest"),
-                F.max(F.when(F.col("_hi") == 1, F.col("v"))).alias("highest_mean"),
-                F.max(F.when(F.col("_lo") == 1, F.col("key"))).alias("lowest"),
-                F.max(F.when(F.col("_lo") == 1, F.col("v"))).alias("lowest_mean"),
-            )
-            .withColumn("measure", F.lit(m))
-        )
-        rows.append(r)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.select("dimension", "measure", "highest", "highest_mean", "lowest", "lowest_mean")
+    ranks = {}
+    for i, m in enumerate(s.measures):
+        ranks[f"_hi{i}"] = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc(m), F.asc("key")))
+        ranks[f"_lo{i}"] = F.row_number().over(Window.partitionBy("dimension").orderBy(F.asc(m), F.asc("key")))
+    picks = []
+    for i, m in enumerate(s.measures):
+        for end, col in (("hi", "key"), ("hi", m), ("lo", "key"), ("lo", m)):
+            picks.append(F.max(F.when(F.col(f"_{end}{i}") == 1, F.col(col))).alias(f"{end}{i}_{col}"))
+    wide = g.withColumns(ranks).groupBy("dimension").agg(*picks)
+    items = [
+        F.struct(F.lit(m).alias("measure"), F.col(f"hi{i}_key").alias("highest"), F.col(f"hi{i}_{m}").alias("highest_mean"),
+                 F.col(f"lo{i}_key").alias("lowest"), F.col(f"lo{i}_{m}").alias("lowest_mean"))
+        for i, m in enumerate(s.measures)
+    ]
+    return wide.select("dimension", F.inline(F.array(*items)))

@@ -189,7 +189,7 @@ def join_rank1_rank2(spark, d):
     g = _f(spark, d).groupBy(F.col(CAR).alias("airline"), MON).agg(F.count(F.lit(1)).alias("flights"))
     ranked = g.withColumn("month_rank", rank_over(F.col("flights").desc(), ["airline"]))
     return top_two(ranked, "airline", "month_rank", {MON: "top_month", "flights": "top_flights"},
-                   {MON: "second_month", "flights": "second_flights"})
+                   {MON: "second_month", "flights": "second_flights"}, method="join")
 
 
 def join_cross_scalar(spark, d):
