@@ -110,13 +110,13 @@ def derive_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     size check is left to AQE (``autoBroadcastJoinThreshold``).
     """
     t = Tables(spark, sf_dir)
-    nation = t.nation.select(F.col("n_nationkey").cast("bigint").alias("nk"), F.col("n_name"))
-    cust = t.customer.select(F.col("c_custkey"), F.col("c_nationkey").cast("bigint").alias("cn")).join(
-        nation.withColumnRenamed("nk", "cn").withColumnRenamed("n_name", "dest"), "cn"
+    nation = t.nation
+    cust = t.customer.select("c_custkey", F.col("c_nationkey").cast("bigint").alias("cn")).join(
+        nation.select(F.col("n_nationkey").cast("bigint").alias("cn"), F.col("n_name").alias("dest")), "cn"
     )
-    orders = t.orders.select(F.col("o_orderkey"), F.col("o_custkey").alias("c_custkey")).join(cust, "c_custkey")
-    supp = t.supplier.select(F.col("s_suppkey"), F.col("s_nationkey").cast("bigint").alias("sn")).join(
-        nation.withColumnRenamed("nk", "sn").withColumnRenamed("n_name", "origin"), "sn"
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(cust, "c_custkey")
+    supp = t.supplier.select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("sn")).join(
+        nation.select(F.col("n_nationkey").cast("bigint").alias("sn"), F.col("n_name").alias("origin")), "sn"
     )
     li = t.lineitem.select(
         F.col("l_orderkey").cast("bigint").alias("o_orderkey"),
