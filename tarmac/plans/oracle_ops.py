@@ -90,7 +90,7 @@ SQL["clean_override_hour"] = q('SELECT "UniqueCarrier", "CRSDepTime", CAST(FLOOR
 SQL["proj_columns"] = q(f'SELECT {ROUTE} AS route, "Month" AS month, "ArrDelay" AS delay FROM airline_delays')
 SQL["filter_range"] = q('SELECT "UniqueCarrier", "Origin", "Dest", "ArrDelay" FROM airline_delays WHERE "ArrDelay" BETWEEN 31 AND 60')
 SQL["filter_in"] = q('SELECT "Month", "UniqueCarrier", "ArrDelay" FROM airline_delays WHERE "Month" IN (12, 1, 2)')
-SQL["filter_null"] = q('SELECT airline, "Month", avg_delay FROM labeled WHERE mom_change IS NULL', q5_ctes())
+SQL["filter_null"] = q('SELECT airline, "Month", avg_delay FROM tagged WHERE mom_change IS NULL', q5_ctes())
 SQL["filter_compare"] = q('SELECT "Origin", "Dest", "ArrDelay", "DepDelay" FROM airline_delays '
                           'WHERE "Origin" < "Dest" AND "ArrDelay" > "DepDelay"')
 SQL["filter_having"] = q(f'SELECT {ROUTE} AS route, COUNT(*) AS flights FROM airline_delays GROUP BY "Origin", "Dest" '
@@ -195,7 +195,7 @@ SQL["win_conditional_rank"] = q("""
 SELECT airline, severity_profile, severe_delay_rate,
        CASE WHEN severity_profile = 'High Severity'
             THEN RANK() OVER (PARTITION BY severity_profile ORDER BY severe_delay_rate DESC NULLS FIRST) END AS profile_rank
-FROM rates""", Q6_CTES)
+FROM car_rates""", Q6_CTES)
 SQL["win_lag"] = q('SELECT *, LAG(avg_delay) OVER (ORDER BY "Month") AS prev_avg FROM mo', MO)
 SQL["win_delta"] = q(f'SELECT *, {R2("avg_delay - LAG(avg_delay) OVER (ORDER BY \"Month\")")} AS change FROM mo', MO)
 SQL["win_moving_avg"] = q(f"""SELECT *, {R2('AVG(avg_delay) OVER (PARTITION BY airline ORDER BY "Month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')}
@@ -290,7 +290,7 @@ FROM (SELECT "UniqueCarrier" AS airline, {R2('AVG("ArrDelay")')} AS avg_arr, {R2
 AS_ = f"""ast AS (SELECT "Origin" AS airport, COUNT(*) AS flights, {R2('AVG("ArrDelay")')} AS avg_delay,
   {R2('STDDEV_SAMP("ArrDelay")')} AS stddev_delay, {R2('AVG("DepDelay" - "ArrDelay")')} AS avg_recovery,
   {PCT('COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END)', 'COUNT(*)')} AS severe_rate FROM airline_delays GROUP BY 1)"""
-SQL["lbl_symmetry"] = q("SELECT route_ab, delay_difference, symmetry_label FROM route_pairs", Q2_CTES)
+SQL["lbl_symmetry"] = q("SELECT route_ab, delay_difference, symmetry_label FROM dir_pairs", Q2_CTES)
 SQL["lbl_recovery"] = q("""SELECT airport, avg_recovery, CASE WHEN avg_recovery >= 10 THEN 'Strong Recovery'
   WHEN avg_recovery >= 0 THEN 'Slight Recovery' WHEN avg_recovery >= -10 THEN 'Slight Worsening'
   ELSE 'Strong Worsening' END AS recovery_label FROM ast""", AS_)
@@ -302,7 +302,7 @@ SQL["lbl_performance"] = q("""SELECT airport, consistency_rank, avg_delay_rank,
        ELSE 'Standard' END AS performance_profile
 FROM (SELECT *, RANK() OVER (ORDER BY stddev_delay ASC NULLS LAST) AS consistency_rank,
              RANK() OVER (ORDER BY avg_delay ASC NULLS LAST) AS avg_delay_rank FROM ast)""", AS_)
-SQL["lbl_airline_trend"] = q('SELECT airline, "Month", mom_change, trend_label FROM labeled', q5_ctes(1))
+SQL["lbl_airline_trend"] = q('SELECT airline, "Month", mom_change, trend_label FROM tagged', q5_ctes(1))
 OM = f"""om AS (SELECT airport, "Month", avg_delay,
   {R2('avg_delay - LAG(avg_delay) OVER (PARTITION BY airport ORDER BY "Month")')} AS mom_change
   FROM (SELECT "Origin" AS airport, "Month", {R2('AVG("ArrDelay")')} AS avg_delay FROM airline_delays GROUP BY 1, 2))"""
@@ -316,8 +316,8 @@ SQL["lbl_severity"] = q("""SELECT airport, severe_rate, CASE WHEN severe_rate >=
 SQL["bucket_delay"] = q("""SELECT "DepHour" AS dep_hour, COUNT(CASE WHEN "ArrDelay" BETWEEN 15 AND 30 THEN 1 END) AS mild,
   COUNT(CASE WHEN "ArrDelay" BETWEEN 31 AND 60 THEN 1 END) AS moderate, COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END) AS severe,
   COUNT(*) AS flights FROM airline_delays GROUP BY 1""")
-SQL["lbl_airport_profile"] = q("SELECT airport, volume_rank, delay_rank, airport_profile FROM final", Q7_CTES)
-SQL["lbl_delay_profile"] = q("SELECT airport, delay_profile, ground_ops_rank FROM ranked", q8_ctes(1))
+SQL["lbl_airport_profile"] = q("SELECT airport, volume_rank, delay_rank, airport_profile FROM outp", Q7_CTES)
+SQL["lbl_delay_profile"] = q("SELECT airport, delay_profile, ground_ops_rank FROM graded", q8_ctes(1))
 SQL["lbl_hour_risk"] = q(f"""SELECT airline, major_delay_prob, CASE WHEN major_delay_prob >= 40 THEN 'Very High Risk'
   WHEN major_delay_prob >= 30 THEN 'High Risk' WHEN major_delay_prob >= 20 THEN 'Moderate Risk' ELSE 'Low Risk' END AS risk_label
 FROM (SELECT "UniqueCarrier" AS airline, {PCT('COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END)', 'COUNT(*)')} AS major_delay_prob {BYC})""")
@@ -377,12 +377,12 @@ _WINDOW = """CASE WHEN "DepHour" BETWEEN 5 AND 8 THEN 'Early Morning' WHEN "DepH
   WHEN "DepHour" BETWEEN 18 AND 20 THEN 'Evening' ELSE 'Night / Red Eye' END"""
 SQL["mart_kpi"] = q(f"""
 SELECT 'total_flights' AS metric, CAST((SELECT COUNT(*) FROM airline_delays) AS VARCHAR) AS value
-UNION ALL SELECT 'avg_arrival_delay', CAST((SELECT {R2('AVG(avg_arr_delay)')} FROM labeled) AS VARCHAR)
+UNION ALL SELECT 'avg_arrival_delay', CAST((SELECT {R2('AVG(avg_arr_delay)')} FROM tagged) AS VARCHAR)
 UNION ALL SELECT 'avg_arrival_delay_rows', CAST((SELECT {R2('AVG("ArrDelay")')} FROM airline_delays) AS VARCHAR)
-UNION ALL SELECT 'controllable_pct', CAST((SELECT {R2('SUM(pct_of_total_minutes)')} FROM final
+UNION ALL SELECT 'controllable_pct', CAST((SELECT {R2('SUM(pct_of_total_minutes)')} FROM outp
                                           WHERE delay_cause IN {_CTRL}) AS VARCHAR)
-UNION ALL SELECT 'best_month', (SELECT month_name FROM labeled ORDER BY avg_arr_delay, "Month" LIMIT 1)
-UNION ALL SELECT 'worst_month', (SELECT month_name FROM labeled ORDER BY avg_arr_delay DESC, "Month" DESC LIMIT 1)
+UNION ALL SELECT 'best_month', (SELECT month_name FROM tagged ORDER BY avg_arr_delay, "Month" LIMIT 1)
+UNION ALL SELECT 'worst_month', (SELECT month_name FROM tagged ORDER BY avg_arr_delay DESC, "Month" DESC LIMIT 1)
 UNION ALL SELECT 'most_delayed_airline', (SELECT c FROM cr ORDER BY v DESC, c DESC LIMIT 1)
 UNION ALL SELECT 'least_delayed_airline', (SELECT c FROM cr ORDER BY v, c LIMIT 1)
 UNION ALL SELECT 'best_time_window', (SELECT w FROM tw ORDER BY v, w LIMIT 1)""",
@@ -412,7 +412,7 @@ SELECT route, category, avg_recovery, CAST(NULL AS BIGINT) FROM {_sub('q03_delay
 SQL["mart_airport_profiles"] = f"""
 SELECT v.*, p.avg_dep_delay, p.avg_arr_delay, p.dep_vs_global, p.arr_vs_global, p.delay_profile
 FROM ({with_flights(Q7_CTES, 'SELECT volume_rank, airport, total_flights, avg_delay, stddev_delay, delay_rank, '
-                                 'rank_difference, airport_profile FROM final')}) v
+                                 'rank_difference, airport_profile FROM outp')}) v
 JOIN {_sub('q08_dep_arr_profile')} p ON v.airport = p.airport"""
 SQL["mart_rag_tier"] = q(f"""
 SELECT airline, avg_delay, CASE WHEN avg_delay >= 55 THEN 'Red' WHEN avg_delay >= 45 THEN 'Amber' ELSE 'Green' END AS tier
