@@ -27,11 +27,6 @@ def rank_over(order: Sequence[Column] | Column, partition: Sequence[str] | None
     return F.rank().over(_spec(partition, order)).cast("bigint")
 
 
-def dense_rank_over(order: Sequence[Column] | Column, partition: Sequence[str] | None = None) -> Column:
-    order = [order] if isinstance(order, Column) else list(order)
-    return F.dense_rank().over(_spec(partition, order)).cast("bigint")
-
-
 def row_number_over(order: Sequence[Column] | Column, partition: Sequence[str] | None = None) -> Column:
     order = [order] if isinstance(order, Column) else list(order)
     return F.row_number().over(_spec(partition, order)).cast("bigint")

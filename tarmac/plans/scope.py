@@ -13,14 +13,20 @@ def scope_total_flights(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_flights"))
 
 
-def scope_total_airports(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+def _distinct(c, approx: bool, rsd: float):
+    """Exact distinct count (two-phase distinct aggregation), or a mergeable
+    HyperLogLog++ sketch when ``approx`` (constant memory per task)."""
+    return F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
+
+
+def scope_total_airports(df: DataFrame, spec: FlightSpec = DEFAULT, approx: bool = False, rsd: float = 0.01) -> DataFrame:
     """Distinct airports over both endpoints, in one scan (explode, not UNION)."""
     ends = df.select(F.explode(F.array(F.col(spec.origin), F.col(spec.dest))).alias("airport"))
-    return ends.agg(F.count_distinct("airport").alias("total_airports"))
+    return ends.agg(_distinct(F.col("airport"), approx, rsd).alias("total_airports"))
 
 
-def scope_total_airlines(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    return df.agg(F.count_distinct(spec.carrier).alias("total_airlines"))
+def scope_total_airlines(df: DataFrame, spec: FlightSpec = DEFAULT, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    return df.agg(_distinct(F.col(spec.carrier), approx, rsd).alias("total_airlines"))
 
 
 def scope_arrdelay_range(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:

@@ -55,3 +55,11 @@ def test_iqr_filter_idempotent_under_fixed_bounds(spark):
     twice = iqr_filter_with(once, p.bounds, ["ArrDelay", "DepDelay"])
     assert once.count() == twice.count() == p.flights.count()
     assert iqr_bounds(p.flights0, ["ArrDelay", "DepDelay"]).first() == p.bounds.first()
+
+
+def test_approx_distinct_close_to_exact(spark):
+    from tarmac.plans.scope import scope_total_airlines, scope_total_airports
+
+    f = fl(spark)
+    assert scope_total_airports(f, approx=True).first()[0] == scope_total_airports(f).first()[0]
+    assert scope_total_airlines(f, approx=True).first()[0] == scope_total_airlines(f).first()[0]
