@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.labels import rag, time_of_day
+from tarmac.functions.labels import month_name, rag, time_of_day
 from tarmac.functions.numeric import r2
 from tarmac.operators.aggregates import pivot_mean
 from tarmac.operators.joins import lookup
@@ -32,37 +32,52 @@ def mart_controllable_pct(df: DataFrame, spec: FlightSpec = DEFAULT, causes=CONT
     return q.filter(F.col("delay_cause").isin(*causes)).agg(r2(F.sum("pct_of_total_minutes")).alias("controllable_pct"))
 
 
-def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Headline KPIs as ``(metric, value)`` text rows.
+def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABLE) -> DataFrame:
+    """Headline KPIs as ``(metric, value)`` text rows, from ONE scan.
 
+    A single grouping-sets aggregate yields the per-month, per-carrier and
+    per-part-of-day means plus the global totals (about 40 rows); every KPI
+    is then read off those rows in one more single-row pass.
     ``avg_arrival_delay`` is the unweighted mean of the rounded monthly means
     (the README figure); ``avg_arrival_delay_rows`` is the row-level mean.
     Ties: "best"/"least" take the smallest key, "worst"/"most" the largest.
     """
     s = spec
-    monthly = Q.q10_monthly_rolling(df, spec)
-    carriers = df.groupBy(s.carrier).agg(r2(F.avg(s.arr)).alias("avg_delay"))
-    windows = df.groupBy(time_of_day(s.hour).alias("window")).agg(r2(F.avg(s.arr)).alias("avg_delay"))
-
-    def lowest(frame: DataFrame, key: str, order_key: str, metric: str) -> DataFrame:
-        return _kv(frame.agg(F.min_by(key, F.struct("avg_delay", order_key)).alias("v")), metric, F.col("v"))
-
-    def highest(frame: DataFrame, key: str, order_key: str, metric: str) -> DataFrame:
-        return _kv(frame.agg(F.max_by(key, F.struct("avg_delay", order_key)).alias("v")), metric, F.col("v"))
-
-    months = monthly.withColumnRenamed("avg_arr_delay", "avg_delay")
-    rows = [
-        _kv(df.agg(F.count(F.lit(1)).alias("n")), "total_flights", F.col("n")),
-        _kv(monthly.agg(r2(F.avg("avg_arr_delay")).alias("v")), "avg_arrival_delay", F.col("v")),
-        _kv(df.agg(r2(F.avg(s.arr)).alias("v")), "avg_arrival_delay_rows", F.col("v")),
-        _kv(mart_controllable_pct(df, spec), "controllable_pct", F.col("controllable_pct")),
-        lowest(months, "month_name", s.month, "best_month"),
-        highest(months, "month_name", s.month, "worst_month"),
-        highest(carriers, s.carrier, s.carrier, "most_delayed_airline"),
-        lowest(carriers, s.carrier, s.carrier, "least_delayed_airline"),
-        lowest(windows, "window", "window", "best_time_window"),
-    ]
-    return union_all(rows)
+    labels = dict(s.causes)
+    base = df.select(
+        F.col(s.month).alias("m"), F.col(s.carrier).alias("c"), time_of_day(s.hour).alias("w"),
+        F.col(s.arr).alias("a"), *[F.col(c) for c in s.cause_cols],
+    )
+    g = base.groupingSets([("m",), ("c",), ("w",), ()], "m", "c", "w").agg(
+        F.grouping_id().alias("gid"),
+        F.count(F.lit(1)).alias("n"),
+        r2(F.avg("a")).alias("avg"),
+        *[F.sum(c).alias(c) for c in s.cause_cols],
+    )
+    gid = F.col("gid")
+    by_month, by_carrier, by_window, overall = gid == 3, gid == 5, gid == 6, gid == 7
+
+    def at(cond, col):
+        return F.when(cond, col)
+
+    k = g.agg(
+        F.max(at(overall, F.col("n"))).alias("total_flights"),
+        r2(F.avg(at(by_month, F.col("avg")))).alias("avg_arrival_delay"),
+        F.max(at(overall, F.col("avg"))).alias("avg_arrival_delay_rows"),
+        *[F.max(at(overall, F.col(c))).alias(c) for c in s.cause_cols],
+        F.min_by(at(by_month, month_name("m")), at(by_month, F.struct("avg", "m"))).alias("best_month"),
+        F.max_by(at(by_month, month_name("m")), at(by_month, F.struct("avg", "m"))).alias("worst_month"),
+        F.max_by(at(by_carrier, F.col("c")), at(by_carrier, F.struct("avg", "c"))).alias("most_delayed_airline"),
+        F.min_by(at(by_carrier, F.col("c")), at(by_carrier, F.struct("avg", "c"))).alias("least_delayed_airline"),
+        F.min_by(at(by_window, F.col("w")), at(by_window, F.struct("avg", "w"))).alias("best_time_window"),
+    )
+    total = sum((F.col(c) for c in s.cause_cols[1:]), F.col(s.cause_cols[0]))
+    shares = [r2(F.lit(100.0) * F.col(c) / total) for c in s.cause_cols if labels[c] in controllable]
+    k = k.withColumn("controllable_pct", r2(sum(shares[1:], shares[0])))
+    order = ["total_flights", "avg_arrival_delay", "avg_arrival_delay_rows", "controllable_pct", "best_month",
+             "worst_month", "most_delayed_airline", "least_delayed_airline", "best_time_window"]
+    rows = [F.struct(F.lit(name).alias("metric"), F.col(name).cast("string").alias("value")) for name in order]
+    return k.select(F.inline(F.array(*rows)))
 
 
 def mart_monthly_trend(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
