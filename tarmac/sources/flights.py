@@ -192,9 +192,21 @@ _LOCK = threading.Lock()
 _MEMO: dict[tuple[str, str], Prepared] = {}
 
 
+INPUT_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
+
+
 def _key(sf_dir: str) -> str:
-    h = hashlib.sha1(f"{os.path.realpath(sf_dir)}|{DERIVATION_VERSION}".encode()).hexdigest()
-    return h[:16]
+    """Folder + derivation version + (for local folders) size and mtime of
+    every input file, so regenerated inputs never reuse a stale table."""
+    parts = [os.path.realpath(sf_dir) if "://" not in sf_dir else sf_dir, DERIVATION_VERSION]
+    for t in INPUT_TABLES:
+        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
+        if os.path.exists(path):
+            for root, _, files in os.walk(path) if os.path.isdir(path) else [("", [], [path])]:
+                for f in sorted(files):
+                    st = os.stat(os.path.join(root, f))
+                    parts.append(f"{f}:{st.st_size}:{int(st.st_mtime)}")
+    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
 def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
