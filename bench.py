@@ -8,7 +8,9 @@ compute and write the IQR bounds), rebuilt from scratch each time and timed
 the same way (best of ``BENCH_REPEAT``; the first run includes JVM warm-up).
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2).
+BENCH_REPEAT (default 2), BENCH_EVENT_LOG (optional folder: write Spark's
+event log there; every query runs under its own job group, so
+``tools/stage_report.py`` can attribute input and shuffle bytes to it).
 """
 
 from __future__ import annotations
@@ -32,9 +34,13 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
-    spark = build_session(cpus, app="tarmac-bench", shuffle_partitions=cpus)
+    event_dir = os.environ.get("BENCH_EVENT_LOG")
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else {}
+    spark = build_session(cpus, app="tarmac-bench", shuffle_partitions=cpus, extra=extra)
+    sc = spark.sparkContext
 
     prepare_sec = None
+    sc.setJobGroup("prepare_flights", "prepare_flights")
     for _ in range(repeat):
         t0 = time.perf_counter()
         prep = prepare(spark, sf_dir, rebuild=True)
@@ -44,6 +50,7 @@ def main() -> None:
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in HEADLINE:
+        sc.setJobGroup(name, name)
         best = None
         for _ in range(repeat):
             t = time.perf_counter()
@@ -53,6 +60,7 @@ def main() -> None:
         times[name] = round(best, 4)
         rows[name] = len(out)
 
+    sc.setJobGroup("(bench)", "(bench)")
     n_flights = prep.flights.count()
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None

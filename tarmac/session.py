@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def build_session(cores: int | str = "*", app: str = "tarmac", shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(cores: int | str = "*", app: str = "tarmac", shuffle_partitions: int | None = None,
+                  extra: dict[str, str] | None = None) -> SparkSession:
     """Local session tuned for the small test scales.
 
     On a cluster pass your own session instead: nothing in the library
@@ -16,8 +17,11 @@ def build_session(cores: int | str = "*", app: str = "tarmac", shuffle_partition
     """
     n = (os.cpu_count() or 8) if cores == "*" else int(cores)
     parts = shuffle_partitions or max(4, 2 * int(n))
+    builder = SparkSession.builder
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
