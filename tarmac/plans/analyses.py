@@ -131,27 +131,26 @@ def q04_airline_consistency(df: DataFrame, spec: FlightSpec = DEFAULT, min_fligh
     return consistency_layer(airline_stats(df, spec, min_flights), top)
 
 
-def q05_monthly_changes(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 30) -> DataFrame:
-    """Per carrier and month: rounded mean, previous present month's mean, change, label."""
+def carrier_month_stats(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     s = spec
-    monthly = (
-        df.groupBy(F.col(s.carrier).alias("airline"), F.col(s.month))
-        .agg(r2(F.avg(s.arr)).alias("avg_delay"), F.count(F.lit(1)).alias("total_flights"))
-        .filter(F.col("total_flights") >= min_flights)
-    )
-    return monthly.select(
-        "airline", s.month, "avg_delay", "total_flights",
-        lag_of("avg_delay", s.month, ["airline"]).alias("prev_month_avg"),
-        period_change("avg_delay", s.month, ["airline"]).alias("mom_change"),
+    return df.groupBy(F.col(s.carrier).alias("airline"), F.col(s.month)).agg(
+        r2(F.avg(s.arr)).alias("avg_delay"), F.count(F.lit(1)).alias("total_flights"))
+
+
+def monthly_change_layer(monthly: DataFrame, month: str = "Month", min_flights: int = 30) -> DataFrame:
+    """Previous present month's mean, change and label per carrier-month."""
+    kept = monthly.filter(F.col("total_flights") >= min_flights)
+    return kept.select(
+        "airline", month, "avg_delay", "total_flights",
+        lag_of("avg_delay", month, ["airline"]).alias("prev_month_avg"),
+        period_change("avg_delay", month, ["airline"]).alias("mom_change"),
     ).withColumn("trend_label", lbl("mom_change", L.AIRLINE_TREND))
 
 
-def q05_airline_momentum(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 30) -> DataFrame:
-    """Month-over-month momentum of each carrier's mean arrival delay."""
+def momentum_layer(changes: DataFrame) -> DataFrame:
     mom = F.col("mom_change")
     return (
-        q05_monthly_changes(df, spec, min_flights)
-        .filter(mom.isNotNull())
+        changes.filter(mom.isNotNull())
         .groupBy("airline")
         .agg(
             F.count(F.lit(1)).alias("months_tracked"),
@@ -166,10 +165,19 @@ def q05_airline_momentum(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights:
     )
 
 
-def q06_severity_profile(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Share of each carrier's flights in the mild / moderate / severe buckets."""
+def q05_monthly_changes(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 30) -> DataFrame:
+    """Per carrier and month: rounded mean, previous present month's mean, change, label."""
+    return monthly_change_layer(carrier_month_stats(df, spec), spec.month, min_flights)
+
+
+def q05_airline_momentum(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 30) -> DataFrame:
+    """Month-over-month momentum of each carrier's mean arrival delay."""
+    return momentum_layer(q05_monthly_changes(df, spec, min_flights))
+
+
+def severity_aggs(spec: FlightSpec = DEFAULT) -> list:
     s = spec
-    counts = df.groupBy(F.col(s.carrier).alias("airline")).agg(
+    return [
         F.count(F.lit(1)).alias("total_flights"),
         *bucket_counts(s.arr, {
             "severe_delay_flights": (L.SEVERE_ABOVE, None),
@@ -177,7 +185,11 @@ def q06_severity_profile(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame
             "moderate_delay_flights": L.MODERATE_BUCKET,
         }),
         r2(F.avg(s.arr)).alias("avg_delay"),
-    )
+    ]
+
+
+def severity_layer(counts: DataFrame) -> DataFrame:
+    """Rates, rank and label from per-carrier bucket counts."""
     tot = F.col("total_flights")
     rates = counts.select(
         "airline", "total_flights", "severe_delay_flights",
@@ -194,6 +206,11 @@ def q06_severity_profile(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame
     ).orderBy(desc("severe_delay_rate"), asc("airline"))
 
 
+def q06_severity_profile(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """Share of each carrier's flights in the mild / moderate / severe buckets."""
+    return severity_layer(df.groupBy(F.col(spec.carrier).alias("airline")).agg(*severity_aggs(spec)))
+
+
 def q07_volume_vs_delay(
     df: DataFrame, spec: FlightSpec = DEFAULT, min_departures: int = 500, top: int | None = 30, busy: int = 20
 ) -> DataFrame:
@@ -413,9 +430,8 @@ def q11_cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     return cause_attribution(cause_totals(df, spec))
 
 
-def cause_ranks_per_carrier(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Per carrier and cause: minutes, rank within the carrier and share of its total."""
-    wide = df.groupBy(F.col(spec.carrier).alias("airline")).agg(*_cause_aggs(spec, False))
+def cause_rank_layer(wide: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """Long (airline, cause) rows with rank and share, from per-carrier cause aggregates."""
     long = unpivot_struct(wide, ["airline"], _cause_items(spec, False), "delay_cause")
     return long.withColumns({
         "cause_rank_within_airline": rank_over(F.col("total_minutes").desc_nulls_first(), ["airline"]),
@@ -423,9 +439,13 @@ def cause_ranks_per_carrier(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFr
     })
 
 
-def q12_dominant_cause(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Each carrier's dominant and second delay cause (RANK ties kept as in SQL)."""
-    ranked = cause_ranks_per_carrier(df, spec)
+def cause_ranks_per_carrier(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """Per carrier and cause: minutes, rank within the carrier and share of its total."""
+    wide = df.groupBy(F.col(spec.carrier).alias("airline")).agg(*_cause_aggs(spec, False))
+    return cause_rank_layer(wide, spec)
+
+
+def dominant_layer(ranked: DataFrame) -> DataFrame:
     pair = top_two(
         ranked, "airline", "cause_rank_within_airline",
         {"delay_cause": "dominant_cause", "pct_of_airline_total": "_dom_pct",
@@ -444,3 +464,8 @@ def q12_dominant_cause(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
         lbl("_dom_pct", L.CONCENTRATION).alias("concentration_label"),
         F.col("_dom_pct"),
     ).orderBy(asc("vs_network"), desc("_dom_pct"), asc("airline"), asc("second_cause")).drop("_dom_pct")
+
+
+def q12_dominant_cause(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """Each carrier's dominant and second delay cause (RANK ties kept as in SQL)."""
+    return dominant_layer(cause_ranks_per_carrier(df, spec))

@@ -16,6 +16,7 @@ from tarmac.operators.aggregates import pivot_mean
 from tarmac.operators.joins import lookup
 from tarmac.operators.reshape import union_all
 from tarmac.plans import analyses as Q
+from tarmac.session import shared_dir
 from tarmac.spec import DEFAULT, FlightSpec
 
 CONTROLLABLE = ("Late Aircraft Delay", "Carrier Delay")
@@ -98,16 +99,38 @@ def mart_cause_contribution(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFr
     )
 
 
-def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100,
+                             min_monthly_flights: int = 30) -> DataFrame:
     """One row per carrier: severity (all carriers) left-joined with
-    consistency, momentum and dominant cause (each at most one row per
-    carrier, enforced by ``lookup``)."""
-    sev = Q.q06_severity_profile(df, spec).select(
+    consistency, momentum and dominant cause.
+
+    One scan: a grouping-sets aggregate over (carrier) and (carrier, month)
+    computes every statistic the four analyses need. It is checkpointed to
+    the shared checkpoint folder (a few hundred rows) because the four
+    layers prune different columns from it, which would otherwise plan four
+    different aggregates and four scans. The joins are ``lookup``s, so a
+    carrier never multiplies.
+    """
+    s = spec
+    g = df.groupingSets([(s.carrier,), (s.carrier, s.month)], s.carrier, s.month).agg(
+        F.grouping_id().alias("_gid"),
+        *Q.severity_aggs(spec),
+        r2(F.stddev_samp(s.arr)).alias("stddev_delay"),
+        *Q._cause_aggs(spec, False),
+    ).withColumnRenamed(s.carrier, "airline")
+    shared_dir(df.sparkSession)  # make sure the checkpoint folder is configured
+    g = g.checkpoint(eager=True)
+    car = g.filter(F.col("_gid") == 1)
+    car_month = g.filter(F.col("_gid") == 0).select("airline", s.month, "avg_delay", "total_flights")
+
+    sev = Q.severity_layer(car).select(
         "airline", "total_flights", "avg_delay", "severity_rank", "severe_delay_rate", "severity_profile")
-    con = Q.q04_airline_consistency(df, spec).select(
+    con = Q.consistency_layer(car.filter(F.col("total_flights") >= min_flights)).select(
         "airline", "consistency_rank", "stddev_delay", "consistency_label", "performance_profile")
-    mom = Q.q05_airline_momentum(df, spec).select("airline", "avg_mom_change", "overall_trend")
-    dom = Q.q12_dominant_cause(df, spec).select("airline", "dominant_cause", "dominant_pct", "concentration_label")
+    mom = Q.momentum_layer(Q.monthly_change_layer(car_month, s.month, min_monthly_flights)).select(
+        "airline", "avg_mom_change", "overall_trend")
+    dom = Q.dominant_layer(Q.cause_rank_layer(car, spec)).select(
+        "airline", "dominant_cause", "dominant_pct", "concentration_label")
     out = lookup(sev, con, "airline")
     out = lookup(out, mom, "airline")
     out = lookup(out, dom, "airline", order=["dominant_cause", "dominant_pct"])
