@@ -19,6 +19,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,8 +35,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
-    event_dir = os.environ.get("BENCH_EVENT_LOG")
-    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir} if event_dir else {}
+    event_dir = os.environ.get("BENCH_EVENT_LOG") or tempfile.mkdtemp(prefix="run-bench-events-")
+    extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir}
     spark = build_session(cpus, app="tarmac-bench", shuffle_partitions=cpus, extra=extra)
     sc = spark.sparkContext
 
@@ -65,6 +66,9 @@ def main() -> None:
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
     total = prepare_sec + sum(times.values())
+    app_id = sc.applicationId
+    spark.stop()  # flushes the event log
+    io = _io_report(event_dir, app_id)
     print(json.dumps({
         "metric": "delay_workload_total",
         "value": round(total, 3),
@@ -74,8 +78,21 @@ def main() -> None:
         "cpus": cpus,
         "fact_rows": n_flights,
         "rows": rows,
+        "shuffle_bytes": {k: v.get("shuffle_write_bytes", 0) for k, v in io.items()},
+        "stages": {k: v.get("stages", 0) for k, v in io.items()},
     }))
-    spark.stop()
+
+
+def _io_report(event_dir: str, app_id: str) -> dict:
+    """Per-query shuffle bytes and stage counts from this run's event log
+    (summed over all repeats of the query)."""
+    from tools.stage_report import report
+
+    try:
+        logs = [os.path.join(event_dir, d) for d in os.listdir(event_dir) if app_id in d]
+        return report(logs[0]) if logs else {}
+    except Exception:  # noqa: BLE001 - the metric is informational
+        return {}
 
 
 if __name__ == "__main__":
