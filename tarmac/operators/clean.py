@@ -51,20 +51,28 @@ def iqr_bounds(
 ) -> DataFrame:
     """One-row frame of ``{m}_q1, {m}_q3, {m}_lower, {m}_upper`` per measure.
 
-    Exact quantiles (``percentile``: linear interpolation) keep a value->count
-    map per partition and merge them in one reducer, which is small for
-    whole-minute delays. For continuous measures with billions of distinct
-    values use ``approx=True`` (``percentile_approx``, a mergeable sketch).
-    All measures share one scan of the same pre-filter frame.
+    Exact quantiles (linear interpolation, as pandas) come from a distributed
+    value histogram (``exact_quantiles``), which stays small for whole-minute
+    delays; for continuous measures with billions of distinct values use
+    ``approx=True`` (``percentile_approx``, a mergeable sketch). All measures
+    share one scan of the same pre-filter frame.
     """
-    aggs = []
-    for m in measures:
-        if approx:
+    if approx:
+        aggs = []
+        for m in measures:
             qs = F.percentile_approx(F.col(m), [0.25, 0.75], accuracy)
             aggs += [qs[0].cast("double").alias(f"{m}_q1"), qs[1].cast("double").alias(f"{m}_q3")]
-        else:
-            aggs += [F.percentile(F.col(m), 0.25).alias(f"{m}_q1"), F.percentile(F.col(m), 0.75).alias(f"{m}_q3")]
-    q = df.agg(*aggs)
+        q = df.agg(*aggs)
+    else:
+        from tarmac.operators.aggregates import exact_quantiles
+
+        long = exact_quantiles(df, measures, [0.25, 0.75])
+        aggs = []
+        for m in measures:
+            mine = F.col("measure") == m
+            aggs += [F.max(F.when(mine, F.col("q")[0])).alias(f"{m}_q1"),
+                     F.max(F.when(mine, F.col("q")[1])).alias(f"{m}_q3")]
+        q = long.agg(*aggs)
     out = []
     for m in measures:
         q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")

@@ -36,10 +36,17 @@ def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return _long(wide, [(c, {"null_count": F.col(f"n{i}")}) for i, c in enumerate(cols)], "column_name")
 
 
-def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+# Fixed value: the surrogate row-number column of the reference's raw file.
+SURROGATE_KEYS = ("Unnamed: 0",)
+
+
+def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None,
+                    exclude: Sequence[str] = SURROGATE_KEYS) -> DataFrame:
     """Rows equal to an earlier row on ``cols`` (NULL equals NULL): sum(n - 1)
-    over groups. One shuffle of distinct rows, never a collect."""
-    cols = list(cols or df.columns)
+    over groups. By default every column except a surrogate row number
+    (with it, no row could ever repeat). One shuffle of the distinct rows,
+    with map-side combining of local repeats; never a collect."""
+    cols = list(cols or [c for c in df.columns if c not in set(exclude)])
     g = df.groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count(F.lit(1)).alias("_n"))
     return g.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
@@ -52,31 +59,29 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, interpolated), max.
 
-    One row per column; statistics rounded at ``scale``. All columns share a
-    single scan.
+    One row per column; statistics rounded at ``scale``. The moments come
+    from one scan, the quartiles from a distributed value histogram
+    (``exact_quantiles``); the two small results are joined on the column name.
     """
+    from tarmac.operators.aggregates import exact_quantiles
+
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c)
-        aggs += [
-            F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-            F.min(x).alias(f"lo{i}"), F.percentile(x, 0.25).alias(f"p25_{i}"), F.percentile(x, 0.5).alias(f"p50_{i}"),
-            F.percentile(x, 0.75).alias(f"p75_{i}"), F.max(x).alias(f"hi{i}"),
-        ]
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = df.agg(*aggs)
     items = [
-        (
-            c,
-            {
-                "count": F.col(f"c{i}"), "mean": rnd(F.col(f"m{i}"), scale), "std": rnd(F.col(f"s{i}"), scale),
-                "min": F.col(f"lo{i}").cast("double"), "p25": rnd(F.col(f"p25_{i}"), scale),
-                "p50": rnd(F.col(f"p50_{i}"), scale), "p75": rnd(F.col(f"p75_{i}"), scale),
-                "max": F.col(f"hi{i}").cast("double"),
-            },
-        )
+        (c, {"count": F.col(f"c{i}"), "mean": rnd(F.col(f"m{i}"), scale), "std": rnd(F.col(f"s{i}"), scale),
+             "min": F.col(f"lo{i}").cast("double"), "max": F.col(f"hi{i}").cast("double")})
         for i, c in enumerate(cols)
     ]
-    return _long(wide, items, "column_name")
+    moments = _long(wide, items, "column_name")
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
+        F.col("measure").alias("column_name"),
+        *[rnd(F.col("q")[i], scale).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    return moments.join(q, "column_name", "left").select(
+        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -90,20 +95,24 @@ def boxplot_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     """The numbers behind a box plot: quartiles, whisker ends (furthest data
     point inside ``k``·IQR) and the outlier count.
 
-    Quartiles come from one aggregate used as a scalar subquery, then one
-    more pass computes the whiskers; both are single-row results.
+    Quartiles come from a distributed value histogram and enter the second
+    pass as scalar subqueries (one-row plan, run once); both results are
+    single rows.
     """
+    from tarmac.operators.aggregates import exact_quantiles
+
     x = F.col(col)
-    q = df.agg(F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.75).alias("q3"))
-    q1, q3 = q.select("q1").scalar(), q.select("q3").scalar()
+    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75]).select(
+        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q1, med, q3 = q.select("q1").scalar(), q.select("median").scalar(), q.select("q3").scalar()
     lo = q1 - F.lit(k) * (q3 - q1)
     hi = q3 + F.lit(k) * (q3 - q1)
     inside = (x >= lo) & (x <= hi)
     return df.agg(
         F.lit(col).alias("column_name"),
-        q.select("q1").scalar().alias("q1"),
-        q.select("median").scalar().alias("median"),
-        q.select("q3").scalar().alias("q3"),
+        q1.alias("q1"),
+        med.alias("median"),
+        q3.alias("q3"),
         F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
         F.max(F.when(inside, x)).cast("double").alias("whisker_high"),
         F.count_if(x.isNotNull() & ~inside).alias("outliers"),

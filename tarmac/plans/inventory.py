@@ -272,9 +272,8 @@ def agg_of_agg(spark, d):
 
 
 def agg_quantile(spark, d):
-    x = F.col(ARR)
-    return _by_carrier(spark, d, rnd(F.percentile(x, 0.25), 4).alias("p25"), rnd(F.percentile(x, 0.5), 4).alias("p50"),
-                       rnd(F.percentile(x, 0.75), 4).alias("p75"))
+    q = A.exact_quantiles(_f(spark, d).withColumnRenamed(CAR, "airline"), [ARR], [0.25, 0.5, 0.75], ["airline"])
+    return q.select("airline", *[rnd(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
 
 
 def agg_corr_matrix(spark, d):
