@@ -14,21 +14,43 @@ from tarmac.operators.windows import row_number_over
 
 
 def reverse_pairs(
-    df: DataFrame, a: str, b: str, values: Sequence[str], keep_once: bool = True, suffixes=("_ab", "_ba")
+    df: DataFrame, a: str, b: str, values: Sequence[str], keep_once: bool = True, suffixes=("_ab", "_ba"),
+    method: str = "group",
 ) -> DataFrame:
-    """Pair every (a, b) row with its reverse (b, a) row.
-
-    Inner self-join on the swapped composite key; with ``keep_once`` the
-    theta predicate ``a < b`` keeps each unordered pair once (Catalyst pushes
-    it below the join onto the left side). Self-loops (a == b) never survive.
+    """Pair every (a, b) row with its reverse (b, a) row; ``df`` has one row per (a, b).
+
+    ``method="join"`` is the literal inner self-join on the swapped key with
+    the theta predicate ``a < b`` keeping each unordered pair once. The
+    default ``"group"`` gives the same rows without a join: rows are keyed by
+    the unordered pair (least, greatest) and each direction's values are
+    picked by a conditional aggregate; pairs missing a direction, and
+    self-loops, drop out. It reads ``df`` once (the join form plans the input
+    twice, because the theta predicate is pushed into one side only).
     """
     sa, sb = suffixes
-    left = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), *[F.col(v).alias(v + sa) for v in values])
-    right = df.select(F.col(a).alias("_ra"), F.col(b).alias("_rb"), *[F.col(v).alias(v + sb) for v in values])
-    j = left.join(right, (F.col("_a") == F.col("_rb")) & (F.col("_b") == F.col("_ra")), "inner")
-    if keep_once:
-        j = j.filter(F.col("_a") < F.col("_b"))
-    return j.select(F.col("_a").alias(a), F.col("_b").alias(b), *[v + s for v in values for s in suffixes])
+    if method == "join":
+        left = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"), *[F.col(v).alias(v + sa) for v in values])
+        right = df.select(F.col(a).alias("_ra"), F.col(b).alias("_rb"), *[F.col(v).alias(v + sb) for v in values])
+        j = left.join(right, (F.col("_a") == F.col("_rb")) & (F.col("_b") == F.col("_ra")), "inner")
+        if keep_once:
+            j = j.filter(F.col("_a") < F.col("_b"))
+        return j.select(F.col("_a").alias(a), F.col("_b").alias(b), *[v + s for v in values for s in suffixes])
+    if not keep_once:
+        fwd = reverse_pairs(df, a, b, values, True, suffixes, method)
+        back = fwd.select(F.col(b).alias(a), F.col(a).alias(b), *[F.col(v + s).alias(v + o) for v in values
+                                                                   for s, o in ((sb, sa), (sa, sb))])
+        return fwd.unionByName(back)
+    x, y = F.col(a), F.col(b)
+    forward = x < y
+    keyed = df.filter(x.isNotNull() & y.isNotNull() & (x != y)).select(
+        F.least(x, y).alias(a), F.greatest(x, y).alias(b), forward.alias("_fwd"), *[F.col(v) for v in values])
+    g = keyed.groupBy(a, b).agg(
+        F.count_if(F.col("_fwd")).alias("_nf"), F.count_if(~F.col("_fwd")).alias("_nb"),
+        *[F.max(F.when(F.col("_fwd"), F.col(v))).alias(v + sa) for v in values],
+        *[F.max(F.when(~F.col("_fwd"), F.col(v))).alias(v + sb) for v in values],
+    )
+    return g.filter((F.col("_nf") == 1) & (F.col("_nb") == 1)).select(
+        a, b, *[v + s for v in values for s in suffixes])
 
 
 def equi_inner(left: DataFrame, right: DataFrame, key: str | Sequence[str]) -> DataFrame:

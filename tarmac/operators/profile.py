@@ -59,29 +59,31 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, interpolated), max.
 
-    One row per column; statistics rounded at ``scale``. The moments come
-    from one scan, the quartiles from a distributed value histogram
-    (``exact_quantiles``); the two small results are joined on the column name.
+    One row per column, statistics rounded at ``scale``, all from one scan:
+    the columns are stacked into a value histogram ``(column, value) ->
+    count`` (distributed, partial aggregation per task), and every statistic
+    is read from it: moments with a two-pass (mean, then squared deviations)
+    formula over the distinct values, quartiles with ``percentile(value, p,
+    count)``. NULLs are kept in the histogram so a column with no values
+    still gets a row (count 0).
     """
-    from tarmac.operators.aggregates import exact_quantiles
-
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    items = [
-        (c, {"count": F.col(f"c{i}"), "mean": rnd(F.col(f"m{i}"), scale), "std": rnd(F.col(f"s{i}"), scale),
-             "min": F.col(f"lo{i}").cast("double"), "max": F.col(f"hi{i}").cast("double")})
-        for i, c in enumerate(cols)
-    ]
-    moments = _long(wide, items, "column_name")
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
-        F.col("measure").alias("column_name"),
-        *[rnd(F.col("q")[i], scale).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
-    return moments.join(q, "column_name", "left").select(
-        "column_name", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    from pyspark.sql import Window
+
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in cols]
+    hist = df.select(F.inline(F.array(*items))).groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    v, n = F.col("_v"), F.when(F.col("_v").isNotNull(), F.col("_n"))
+    w = Window.partitionBy("column_name")
+    h = hist.withColumn("_mean", F.try_divide(F.sum(v * n).over(w), F.sum(n).over(w)))
+    stats = h.groupBy("column_name").agg(
+        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("count"),
+        F.max("_mean").alias("_m"),
+        F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), F.sum(n) - 1)).alias("_s"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.percentile(v, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"),
+    )
+    return stats.select(
+        "column_name", "count", rnd("_m", scale).alias("mean"), rnd("_s", scale).alias("std"), "min",
+        *[rnd(F.col("_q")[i], scale).alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:

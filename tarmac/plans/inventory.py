@@ -174,7 +174,7 @@ def row_mask_and(spark, d):
 # ------------------------------------------------------------------ joins
 def join_reverse_pair(spark, d):
     g = _f(spark, d).groupBy(ORI, DST).agg(F.count(F.lit(1)).alias("flights"))
-    return reverse_pairs(g, ORI, DST, ["flights"])
+    return reverse_pairs(g, ORI, DST, ["flights"], method="join")
 
 
 def join_equi_inner(spark, d):

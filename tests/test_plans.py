@@ -31,7 +31,8 @@ def test_no_cartesian_or_python(spark, key):
 
 @pytest.mark.parametrize("key", ["q07_volume_vs_delay", "q08_dep_arr_profile", "q11_cause_totals",
                                  "q12_dominant_cause", "scope_total_airports", "eda_corr", "eda_extremes",
-                                 "endpoint_explode", "mart_kpi"])
+                                 "endpoint_explode", "mart_kpi", "q02_route_symmetry", "prof_describe",
+                                 "sql_scope_total_airports", "sql_q02_route_symmetry", "agg_quantile"])
 def test_single_fact_scan(spark, key):
     p = plan(QUERIES[key](spark, SF_SMALL), "simple")
     assert p.count("FileScan parquet") == 1, p
