@@ -27,8 +27,12 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
 
 def src_table(spark: SparkSession, d: str) -> DataFrame:
     """The filtered frame as the SQL table ``airline_delays``."""
-    prepare(spark, d).flights.createOrReplaceTempView("airline_delays")
-    return spark.sql("SELECT * FROM airline_delays")
+    from tarmac.plans.spark_sql import _VIEW_LOCK, VIEW, register
+
+    flights = prepare(spark, d).flights
+    with _VIEW_LOCK:
+        register(spark, flights)
+        return spark.sql(f"SELECT * FROM {VIEW}")
 
 
 def sink_csv(spark: SparkSession, d: str) -> DataFrame:

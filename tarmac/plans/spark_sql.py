@@ -15,6 +15,8 @@ unique tiebreak.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEW = "airline_delays"
@@ -316,14 +318,24 @@ def run(spark: SparkSession, key: str) -> DataFrame:
     return spark.sql(STATEMENTS[key])
 
 
+_VIEW_LOCK = threading.Lock()
+
+
 def sql_query(key: str):
-    """Registered-query form: ``(spark, sf_dir) -> DataFrame`` over the cleaned table."""
+    """Registered-query form: ``(spark, sf_dir) -> DataFrame`` over the cleaned table.
+
+    ``spark.sql`` binds the view when it analyses the text, so registering
+    and running under one lock keeps concurrent calls for different folders
+    from seeing each other's table.
+    """
 
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tarmac.sources.flights import prepare
 
-        register(spark, prepare(spark, sf_dir).flights)
-        return run(spark, key)
+        flights = prepare(spark, sf_dir).flights
+        with _VIEW_LOCK:
+            register(spark, flights)
+            return run(spark, key)
 
     q.__name__ = f"sql_{key}"
     return q
