@@ -36,12 +36,9 @@ from tarmac.spec import DEFAULT, FlightSpec
 asc, desc = F.asc, F.desc
 
 
-def q01_repeat_worst_routes(df: DataFrame, spec: FlightSpec = DEFAULT, top: int = 10, min_months: int = 2) -> DataFrame:
-    """Routes that rank among each month's ``top`` worst more than once."""
-    s = spec
-    monthly = df.groupBy(s.origin, s.dest, s.month).agg(r2(F.avg(s.arr)).alias("avg_delay"))
-    monthly = monthly.select(route(s.origin, s.dest).alias("route"), s.month, "avg_delay")
-    ranked = top_per_group(monthly, [s.month], [F.col("avg_delay").desc_nulls_first()], top, "delay_rank")
+def repeat_worst_layer(route_month: DataFrame, month: str = "Month", top: int = 10, min_months: int = 2) -> DataFrame:
+    """From (route, month, rounded mean): routes in a month's top ``top`` more than once."""
+    ranked = top_per_group(route_month, [month], [F.col("avg_delay").desc_nulls_first()], top, "delay_rank")
     return (
         ranked.groupBy("route")
         .agg(F.count(F.lit(1)).alias("months_in_top10"), r2(F.avg("avg_delay")).alias("overall_avg_delay"))
@@ -50,6 +47,14 @@ def q01_repeat_worst_routes(df: DataFrame, spec: FlightSpec = DEFAULT, top: int
     )
 
 
+def q01_repeat_worst_routes(df: DataFrame, spec: FlightSpec = DEFAULT, top: int = 10, min_months: int = 2) -> DataFrame:
+    """Routes that rank among each month's ``top`` worst more than once."""
+    s = spec
+    monthly = df.groupBy(s.origin, s.dest, s.month).agg(r2(F.avg(s.arr)).alias("avg_delay"))
+    monthly = monthly.select(route(s.origin, s.dest).alias("route"), s.month, "avg_delay")
+    return repeat_worst_layer(monthly, s.month, top, min_months)
+
+
 def q02_route_symmetry(df: DataFrame, spec: FlightSpec = DEFAULT, top: int | None = 20) -> DataFrame:
     """Each direction's mean delay against its reverse direction."""
     s = spec
@@ -69,23 +74,21 @@ def q02_route_symmetry(df: DataFrame, spec: FlightSpec = DEFAULT, top: int | Non
     return top_k(out, order, top) if top else out.orderBy(*order)
 
 
-def q03_delay_recovery(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 50, k: int = 10) -> DataFrame:
-    """Routes that make up (or lose) the most time in the air: best k and worst k."""
+def route_recovery_aggs(spec: FlightSpec = DEFAULT) -> list:
     s = spec
-    rec = (
-        df.groupBy(s.origin, s.dest)
-        .agg(
-            r2(F.avg(s.dep)).alias("avg_dep_delay"),
-            r2(F.avg(s.arr)).alias("avg_arr_delay"),
-            r2(F.avg(F.col(s.dep) - F.col(s.arr))).alias("avg_recovery"),
-            F.count(F.lit(1)).alias("total_flights"),
-        )
-        .filter(F.col("total_flights") >= min_flights)
-        .select(
-            route(s.origin, s.dest).alias("route"),
-            "avg_dep_delay", "avg_arr_delay", "avg_recovery", "total_flights",
-            lbl("avg_recovery", L.RECOVERY).alias("recovery_label"),
-        )
+    return [
+        r2(F.avg(s.dep)).alias("avg_dep_delay"),
+        r2(F.avg(s.arr)).alias("avg_arr_delay"),
+        r2(F.avg(F.col(s.dep) - F.col(s.arr))).alias("avg_recovery"),
+        F.count(F.lit(1)).alias("total_flights"),
+    ]
+
+
+def recovery_layer(routes: DataFrame, min_flights: int = 50, k: int = 10) -> DataFrame:
+    """Best k and worst k routes by mean recovery, from per-route aggregates."""
+    rec = routes.filter(F.col("total_flights") >= min_flights).select(
+        "route", "avg_dep_delay", "avg_arr_delay", "avg_recovery", "total_flights",
+        lbl("avg_recovery", L.RECOVERY).alias("recovery_label"),
     )
     return both_ends(
         rec,
@@ -96,6 +99,14 @@ def q03_delay_recovery(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: i
     ).orderBy(asc("category"), desc("avg_recovery"), asc("route"))
 
 
+def q03_delay_recovery(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 50, k: int = 10) -> DataFrame:
+    """Routes that make up (or lose) the most time in the air: best k and worst k."""
+    s = spec
+    routes = df.groupBy(s.origin, s.dest).agg(*route_recovery_aggs(spec)).withColumn(
+        "route", route(s.origin, s.dest))
+    return recovery_layer(routes, min_flights, k)
+
+
 def airline_stats(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100) -> DataFrame:
     s = spec
     return (
@@ -211,30 +222,36 @@ def q06_severity_profile(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame
     return severity_layer(df.groupBy(F.col(spec.carrier).alias("airline")).agg(*severity_aggs(spec)))
 
 
-def q07_volume_vs_delay(
-    df: DataFrame, spec: FlightSpec = DEFAULT, min_departures: int = 500, top: int | None = 30, busy: int = 20
-) -> DataFrame:
-    """Airport traffic (as origin or destination) against delay as origin.
+def airport_endpoint_stats(df: DataFrame, spec: FlightSpec = DEFAULT, with_origin_sums: bool = False) -> DataFrame:
+    """Per airport, from one scan: flights over both ends, departures, and the
+    origin-side arrival-delay mean/stddev (optionally also the origin-side
+    delay sums the departure/arrival profile needs).
 
-    One scan: each flight is emitted once per endpoint, carrying its delay
-    only on the origin row; one aggregate then yields the two-ended volume
-    and the origin-side statistics together (the SQL needs three scans and a
-    join). Ranks are taken among qualifying airports only.
+    Each flight is emitted once per endpoint, carrying its delays only on the
+    origin row; one aggregate then yields everything (the SQL needs three
+    scans and a join).
     """
     s = spec
-    e = endpoints(df, [s.origin, s.dest], "airport",
-                  {"dep_flag": (F.lit(1), "int"), "d": (F.col(s.arr), "double")})
-    stats = (
-        e.groupBy("airport")
-        .agg(
-            F.count(F.lit(1)).alias("total_flights"),
-            F.count("dep_flag").alias("departures"),
-            r2(F.avg("d")).alias("avg_delay"),
-            r2(F.stddev_samp("d")).alias("stddev_delay"),
-        )
-        .filter(F.col("airport").isNotNull() & (F.col("departures") >= min_departures))
-    )
-    ranked = stats.withColumns({
+    carry = {"dep_flag": (F.lit(1), "int"), "d": (F.col(s.arr), "double")}
+    if with_origin_sums:
+        carry["od"] = (F.col(s.dep), "double")
+    e = endpoints(df, [s.origin, s.dest], "airport", carry)
+    aggs = [
+        F.count(F.lit(1)).alias("total_flights"),
+        F.count("dep_flag").alias("departures"),
+        r2(F.avg("d")).alias("avg_delay"),
+        r2(F.stddev_samp("d")).alias("stddev_delay"),
+    ]
+    if with_origin_sums:
+        aggs += [F.sum("od").alias("_sd"), F.count("od").alias("_nd"), F.sum("d").alias("_sa"),
+                 F.count("d").alias("_na")]
+    return e.groupBy("airport").agg(*aggs)
+
+
+def volume_layer(stats: DataFrame, min_departures: int = 500, top: int | None = 30, busy: int = 20) -> DataFrame:
+    """Ranks among qualifying airports (ranked after the departures filter)."""
+    kept = stats.filter(F.col("airport").isNotNull() & (F.col("departures") >= min_departures))
+    ranked = kept.withColumns({
         "volume_rank": rank_over(F.col("total_flights").desc_nulls_first()),
         "delay_rank": rank_over(F.col("avg_delay").desc_nulls_first()),
     })
@@ -248,23 +265,31 @@ def q07_volume_vs_delay(
     return top_k(out, order, top) if top else out.orderBy(*order)
 
 
-def q08_dep_arr_profile(
-    df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 500, literal: bool = False
+def q07_volume_vs_delay(
+    df: DataFrame, spec: FlightSpec = DEFAULT, min_departures: int = 500, top: int | None = 30, busy: int = 20
 ) -> DataFrame:
-    """Each origin's departure and arrival means against the network means.
+    """Airport traffic (as origin or destination) against delay as origin."""
+    return volume_layer(airport_endpoint_stats(df, spec), min_departures, top, busy)
 
-    The network means come from the same scan: per-origin sums are added up
-    with a window over the (small) per-origin result before the HAVING
-    filter, instead of a second scan plus a cross join.
-    ``literal=True`` keeps the reference's label mismatch in the rank step,
-    which leaves ``ground_ops_rank`` NULL everywhere.
-    """
+
+def origin_sums(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     s = spec
-    per = df.groupBy(F.col(s.origin).alias("airport")).agg(
+    return df.groupBy(F.col(s.origin).alias("airport")).agg(
         F.count(F.lit(1)).alias("total_flights"),
         F.sum(s.dep).alias("_sd"), F.count(s.dep).alias("_nd"),
         F.sum(s.arr).alias("_sa"), F.count(s.arr).alias("_na"),
     )
+
+
+def profile_layer(per: DataFrame, min_flights: int = 500, literal: bool = False) -> DataFrame:
+    """Departure/arrival profile of each origin against the network means.
+
+    ``per`` has one row per origin with ``total_flights`` (departures) and
+    the delay sums/counts; the network means are the same sums added up with
+    a window over those rows (before the HAVING filter), so no second scan
+    and no cross join. ``literal=True`` keeps the reference's label mismatch
+    in the rank step, which leaves ``ground_ops_rank`` NULL everywhere.
+    """
     w = Window.partitionBy()
     g = per.select(
         "airport", "total_flights",
@@ -305,6 +330,13 @@ def q08_dep_arr_profile(
     ).orderBy(prio, F.col("ground_ops_rank").asc_nulls_last(), asc("airport"))
 
 
+def q08_dep_arr_profile(
+    df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 500, literal: bool = False
+) -> DataFrame:
+    """Each origin's departure and arrival means against the network means."""
+    return profile_layer(origin_sums(df, spec), min_flights, literal)
+
+
 def q09_hour_risk(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Probability of a major / mild / moderate delay by departure hour."""
     s = spec

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.labels import month_name, rag, time_of_day
+from tarmac.functions.labels import month_name, rag, route, time_of_day
 from tarmac.functions.numeric import r2
 from tarmac.operators.aggregates import pivot_mean
 from tarmac.operators.joins import lookup
@@ -138,25 +138,48 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
 
 
 def mart_routes(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Repeat-worst routes and best/worst recovery routes in one list."""
-    q1 = Q.q01_repeat_worst_routes(df, spec).select(
+    """Repeat-worst routes and best/worst recovery routes in one list.
+
+    One scan: a grouping-sets aggregate over (route, month) and (route),
+    checkpointed (a few rows per route), feeds both layers.
+    """
+    s = spec
+    g = df.groupingSets([(s.origin, s.dest, s.month), (s.origin, s.dest)], s.origin, s.dest, s.month).agg(
+        F.grouping_id().alias("_gid"), *Q.route_recovery_aggs(spec),
+    ).withColumn("route", route(s.origin, s.dest))
+    shared_dir(df.sparkSession)
+    g = g.checkpoint(eager=True)
+    monthly = g.filter(F.col("_gid") == 0).select("route", s.month, F.col("avg_arr_delay").alias("avg_delay"))
+    q1 = Q.repeat_worst_layer(monthly, s.month).select(
         "route", F.lit("Repeat Worst").alias("list_name"), F.col("overall_avg_delay").alias("value"),
         F.col("months_in_top10"))
-    q3 = Q.q03_delay_recovery(df, spec).select(
+    q3 = Q.recovery_layer(g.filter(F.col("_gid") == 1)).select(
         "route", F.col("category").alias("list_name"), F.col("avg_recovery").alias("value"),
         F.lit(None).cast("bigint").alias("months_in_top10"))
     return q1.unionByName(q3)
 
 
-def mart_airport_profiles(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+def mart_airport_profiles(df: DataFrame, spec: FlightSpec = DEFAULT, min_departures: int = 500) -> DataFrame:
     """Volume-versus-delay position and departure/arrival profile of every
-    qualifying airport (no top-30 cut)."""
-    vol = Q.q07_volume_vs_delay(df, spec, top=None)
-    prof = Q.q08_dep_arr_profile(df, spec).select(
+    qualifying airport (no top-30 cut).
+
+    One scan: a single endpoint aggregate carries both the two-ended volume
+    and the origin-side sums; it is checkpointed (one row per airport)
+    because the two layers prune different columns from it.
+    """
+    stats = airport_stats_checkpointed(df, spec)
+    vol = Q.volume_layer(stats, min_departures, top=None)
+    per = stats.select("airport", F.col("departures").alias("total_flights"), "_sd", "_nd", "_sa", "_na")
+    prof = Q.profile_layer(per, min_departures).select(
         "airport", "avg_dep_delay", "avg_arr_delay", "dep_vs_global", "arr_vs_global", "delay_profile")
     return vol.join(prof, "airport", "inner").orderBy("volume_rank", "airport")
 
 
+def airport_stats_checkpointed(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    shared_dir(df.sparkSession)
+    return Q.airport_endpoint_stats(df, spec, with_origin_sums=True).checkpoint(eager=True)
+
+
 def mart_rag_tier(df: DataFrame, spec: FlightSpec = DEFAULT, amber: float = 45.0, red: float = 55.0) -> DataFrame:
     """Red/Amber/Green tier of each carrier's mean arrival delay (cut-offs are parameters)."""
     s = spec
