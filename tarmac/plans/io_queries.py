@@ -119,3 +119,16 @@ def pipeline_original(spark: SparkSession, d: str) -> DataFrame:
 
 IO_QUERIES.update({"src_csv_raw": src_csv_raw, "pipeline_clean": pipeline_clean,
                    "pipeline_original": pipeline_original})
+
+
+def prof_invariants_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Dataset-scope checks on the cleaned raw file, including the
+    cancelled / diverted flags that only the raw layout carries."""
+    from tarmac.operators.profile import check_invariants
+
+    original = pipeline_original(spark, d)
+    causes = ["CarrierDelay", "WeatherDelay", "NASDelay", "SecurityDelay", "LateAircraftDelay"]
+    return check_invariants(original, "ArrDelay", causes, flags=("Cancelled", "Diverted"))
+
+
+IO_QUERIES["prof_invariants_raw"] = prof_invariants_raw

@@ -485,3 +485,10 @@ SQL["pipeline_clean"] = q("""
 SELECT o.* REPLACE (CAST(FLOOR(o."CRSDepTime" / 100) AS BIGINT) AS "DepHour") FROM orig o, ob b
 WHERE o."ArrDelay" >= b.aq1 - 1.5 * (b.aq3 - b.aq1) AND o."ArrDelay" <= b.aq3 + 1.5 * (b.aq3 - b.aq1)
   AND o."DepDelay" >= b.dq1 - 1.5 * (b.dq3 - b.dq1) AND o."DepDelay" <= b.dq3 + 1.5 * (b.dq3 - b.dq1)""", _ORIG)
+SQL["prof_invariants_raw"] = q("""
+SELECT 'arr_delay_at_least_min' AS check_name, COUNT(CASE WHEN NOT ("ArrDelay" >= 15) THEN 1 END) AS violations FROM orig
+UNION ALL SELECT 'Cancelled_is_zero', COUNT(CASE WHEN "Cancelled" <> 0 THEN 1 END) FROM orig
+UNION ALL SELECT 'Diverted_is_zero', COUNT(CASE WHEN "Diverted" <> 0 THEN 1 END) FROM orig
+UNION ALL SELECT 'causes_sum_to_arr_delay', COUNT(CASE WHEN COALESCE("CarrierDelay", 0) + COALESCE("WeatherDelay", 0)
+       + COALESCE("NASDelay", 0) + COALESCE("SecurityDelay", 0) + COALESCE("LateAircraftDelay", 0) <> "ArrDelay"
+       THEN 1 END) FROM orig""", _ORIG)

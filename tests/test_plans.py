@@ -12,7 +12,7 @@ from conftest import SF_SMALL
 
 QUERIES = ENTRY.queries()
 WRITE_KEYS = {"src_csv", "sink_csv", "sink_table", "sink_query_exports", "stream_ingest", "src_csv_raw",
-              "pipeline_clean", "pipeline_original"}
+              "pipeline_clean", "pipeline_original", "prof_invariants_raw"}
 
 
 def plan(df, mode="formatted"):
