@@ -8,7 +8,7 @@ compute and write the IQR bounds), rebuilt from scratch each time and timed
 the same way (best of ``BENCH_REPEAT``; the first run includes JVM warm-up).
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_REPEAT (default 2), BENCH_EVENT_LOG (optional folder: write Spark's
+BENCH_REPEAT (default 3), BENCH_EVENT_LOG (optional folder: write Spark's
 event log there; every query runs under its own job group, so
 ``tools/stage_report.py`` can attribute input and shuffle bytes to it).
 """
@@ -34,7 +34,7 @@ HEADLINE = [k for k in ANALYSES]
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     event_dir = os.environ.get("BENCH_EVENT_LOG") or tempfile.mkdtemp(prefix="run-bench-events-")
     extra = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_dir}
     spark = build_session(cpus, app="tarmac-bench", shuffle_partitions=cpus, extra=extra)

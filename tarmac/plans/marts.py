@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tarmac.functions.labels import month_name, rag, route, time_of_day
 from tarmac.functions.numeric import r2
 from tarmac.operators.aggregates import pivot_mean
-from tarmac.operators.joins import lookup
 from tarmac.operators.reshape import union_all
 from tarmac.plans import analyses as Q
 from tarmac.session import shared_dir
@@ -108,8 +107,7 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
     computes every statistic the four analyses need. It is checkpointed to
     the shared checkpoint folder (a few hundred rows) because the four
     layers prune different columns from it, which would otherwise plan four
-    different aggregates and four scans. The joins are ``lookup``s, so a
-    carrier never multiplies.
+    different aggregates and four scans.
     """
     s = spec
     g = df.groupingSets([(s.carrier,), (s.carrier, s.month)], s.carrier, s.month).agg(
@@ -131,9 +129,11 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
         "airline", "avg_mom_change", "overall_trend")
     dom = Q.dominant_layer(Q.cause_rank_layer(car, spec)).select(
         "airline", "dominant_cause", "dominant_pct", "concentration_label")
-    out = lookup(sev, con, "airline")
-    out = lookup(out, mom, "airline")
-    out = lookup(out, dom, "airline", order=["dominant_cause", "dominant_pct"])
+    # consistency and momentum have one row per carrier by construction; the
+    # dominant-cause rows repeat only on a rank-2 tie and then agree on every
+    # selected column, so distinct() makes them unique: plain left joins
+    # never multiply a carrier here.
+    out = sev.join(con, "airline", "left").join(mom, "airline", "left").join(dom.distinct(), "airline", "left")
     return out.orderBy("severity_rank", "airline")
 
 
