@@ -15,7 +15,7 @@ from tarmac.functions.numeric import r2
 from tarmac.operators.aggregates import pivot_mean
 from tarmac.operators.reshape import union_all
 from tarmac.plans import analyses as Q
-from tarmac.session import shared_dir
+from tarmac.session import materialize
 from tarmac.spec import DEFAULT, FlightSpec
 
 CONTROLLABLE = ("Late Aircraft Delay", "Carrier Delay")
@@ -104,7 +104,7 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
     consistency, momentum and dominant cause.
 
     One scan: a grouping-sets aggregate over (carrier) and (carrier, month)
-    computes every statistic the four analyses need. It is checkpointed to
+    computes every statistic the four analyses need. It is written once to
     the shared checkpoint folder (a few hundred rows) because the four
     layers prune different columns from it, which would otherwise plan four
     different aggregates and four scans.
@@ -116,8 +116,7 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
         r2(F.stddev_samp(s.arr)).alias("stddev_delay"),
         *Q._cause_aggs(spec, False),
     ).withColumnRenamed(s.carrier, "airline")
-    shared_dir(df.sparkSession)  # make sure the checkpoint folder is configured
-    g = g.checkpoint(eager=True)
+    g = materialize(g, "airline_performance")
     car = g.filter(F.col("_gid") == 1)
     car_month = g.filter(F.col("_gid") == 0).select("airline", s.month, "avg_delay", "total_flights")
 
@@ -141,14 +140,13 @@ def mart_routes(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Repeat-worst routes and best/worst recovery routes in one list.
 
     One scan: a grouping-sets aggregate over (route, month) and (route),
-    checkpointed (a few rows per route), feeds both layers.
+    written once to the shared folder (a few rows per route), feeds both layers.
     """
     s = spec
     g = df.groupingSets([(s.origin, s.dest, s.month), (s.origin, s.dest)], s.origin, s.dest, s.month).agg(
         F.grouping_id().alias("_gid"), *Q.route_recovery_aggs(spec),
     ).withColumn("route", route(s.origin, s.dest))
-    shared_dir(df.sparkSession)
-    g = g.checkpoint(eager=True)
+    g = materialize(g, "routes")
     monthly = g.filter(F.col("_gid") == 0).select("route", s.month, F.col("avg_arr_delay").alias("avg_delay"))
     q1 = Q.repeat_worst_layer(monthly, s.month).select(
         "route", F.lit("Repeat Worst").alias("list_name"), F.col("overall_avg_delay").alias("value"),
@@ -164,7 +162,8 @@ def mart_airport_profiles(df: DataFrame, spec: FlightSpec = DEFAULT, min_departu
     qualifying airport (no top-30 cut).
 
     One scan: a single endpoint aggregate carries both the two-ended volume
-    and the origin-side sums; it is checkpointed (one row per airport)
+    and the origin-side sums; it is written once to the shared folder (one
+    row per airport)
     because the two layers prune different columns from it.
     """
     stats = airport_stats_checkpointed(df, spec)
@@ -176,8 +175,7 @@ def mart_airport_profiles(df: DataFrame, spec: FlightSpec = DEFAULT, min_departu
 
 
 def airport_stats_checkpointed(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return Q.airport_endpoint_stats(df, spec, with_origin_sums=True).checkpoint(eager=True)
+    return materialize(Q.airport_endpoint_stats(df, spec, with_origin_sums=True), "airport_stats")
 
 
 def mart_rag_tier(df: DataFrame, spec: FlightSpec = DEFAULT, amber: float = 45.0, red: float = 55.0) -> DataFrame:

@@ -57,3 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
     d = tempfile.mkdtemp(prefix="tarmac-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a reader: cuts the lineage (lost executors re-read the files) and,
+    unlike ``DataFrame.checkpoint`` on an unpersisted plan, computes the input
+    only once. Meant for small intermediate results shared by several plans."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
