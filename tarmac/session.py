@@ -55,8 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     d = tempfile.mkdtemp(prefix="tarmac-ckpt-")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    try:
+        spark.sparkContext.setCheckpointDir(d)
+        return spark.sparkContext.getCheckpointDir() or d
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): plain folder only
+        return d
 
 
 def materialize(df, name: str = "stage"):

@@ -216,6 +216,15 @@ def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _app_id(spark: SparkSession) -> str:
+    """Application id for the in-process memo (also under Spark Connect,
+    which has no SparkContext)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def filter_by_bounds(df: DataFrame, bounds_row, measures) -> DataFrame:
     """IQR filter with the bounds as literals, so Parquet row groups whose
     min/max fall outside are skipped (``PushedFilters`` on the scan)."""
@@ -238,7 +247,7 @@ def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuil
     half way has no bounds and is simply redone.
     """
     root = f"{shared_dir(spark)}/tarmac/{_key(sf_dir)}"
-    memo_key = (spark.sparkContext.applicationId, root)
+    memo_key = (_app_id(spark), root)
     with _LOCK:
         if not rebuild and memo_key in _MEMO:
             return _MEMO[memo_key]
