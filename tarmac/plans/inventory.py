@@ -33,7 +33,7 @@ from tarmac.operators.windows import (
 from tarmac.plans import analyses as Q
 from tarmac.sources.flights import prepare
 from tarmac.sources.tables import Tables
-from tarmac.spec import DEFAULT
+from tarmac.spec import DEFAULT, FlightSpec
 
 S = DEFAULT
 ARR, DEP, CAR, ORI, DST, MON, HR = S.arr, S.dep, S.carrier, S.origin, S.dest, S.month, S.hour
@@ -612,8 +612,10 @@ def lbl_trend_position(spark, d):
 
 
 def _origin_causes(spark, d):
-    f = _f(spark, d).withColumnRenamed(ORI, "_o").withColumnRenamed(CAR, "_c").withColumnRenamed("_o", CAR)
-    return Q.cause_ranks_per_carrier(f).withColumnRenamed("airline", "airport")
+    """Cause ranking per origin airport: the carrier-level operator with the
+    origin column as its grouping key."""
+    by_origin = FlightSpec(carrier=ORI)
+    return Q.cause_ranks_per_carrier(_f(spark, d), by_origin).withColumnRenamed("airline", "airport")
 
 
 def lbl_impact(spark, d):
