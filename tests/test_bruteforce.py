@@ -146,3 +146,22 @@ def test_volume_vs_delay(spark, rows):
         assert got[a]["total_flights"] == vol[a]
         assert got[a]["avg_delay"] == r2(mean(v))
         assert got[a]["volume_rank"] == 1 + sum(1 for b in dep if vol[b] > vol[a])
+
+
+@SETTINGS
+@given(values=st.lists(st.integers(min_value=-50, max_value=300), min_size=1, max_size=80),
+       deps=st.lists(st.integers(min_value=-20, max_value=200), min_size=80, max_size=80))
+def test_iqr_bounds_match_numpy(spark, values, deps):
+    import numpy as np
+
+    from tarmac.operators.clean import iqr_bounds
+
+    rows = [(float(v), float(deps[i])) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "ArrDelay double, DepDelay double")
+    got = iqr_bounds(df, ["ArrDelay", "DepDelay"]).first()
+    for j, m in enumerate(("ArrDelay", "DepDelay")):
+        col = np.array([r[j] for r in rows])
+        q1, q3 = np.percentile(col, 25), np.percentile(col, 75)  # linear interpolation, as pandas
+        assert abs(got[f"{m}_q1"] - q1) < 1e-9 and abs(got[f"{m}_q3"] - q3) < 1e-9
+        assert abs(got[f"{m}_lower"] - (q1 - 1.5 * (q3 - q1))) < 1e-9
+        assert abs(got[f"{m}_upper"] - (q3 + 1.5 * (q3 - q1))) < 1e-9
