@@ -402,7 +402,7 @@ def q10_monthly_rolling(df: DataFrame, spec: FlightSpec = DEFAULT, window_months
     return monthly_layer(monthly_stats(df, spec), spec.month, window_months)
 
 
-def _cause_items(spec: FlightSpec, with_max: bool) -> list[tuple[str, dict]]:
+def cause_items(spec: FlightSpec, with_max: bool) -> list[tuple[str, dict]]:
     items = []
     for i, (c, label) in enumerate(spec.causes):
         cols = {
@@ -416,7 +416,7 @@ def _cause_items(spec: FlightSpec, with_max: bool) -> list[tuple[str, dict]]:
     return items
 
 
-def _cause_aggs(spec: FlightSpec, with_max: bool) -> list:
+def cause_aggs(spec: FlightSpec, with_max: bool) -> list:
     aggs = []
     for i, c in enumerate(spec.cause_cols):
         x = F.col(c)
@@ -432,8 +432,8 @@ def cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     One scan for all five causes (the SQL scans once per cause), then the
     one-row result is unpivoted.
     """
-    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *_cause_aggs(spec, True))
-    return unpivot_struct(wide, ["_rows"], _cause_items(spec, True), "delay_cause")
+    wide = df.agg(F.count(F.lit(1)).alias("_rows"), *cause_aggs(spec, True))
+    return unpivot_struct(wide, ["_rows"], cause_items(spec, True), "delay_cause")
 
 
 def cause_attribution(long: DataFrame) -> DataFrame:
@@ -464,7 +464,7 @@ def q11_cause_totals(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
 
 def cause_rank_layer(wide: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Long (airline, cause) rows with rank and share, from per-carrier cause aggregates."""
-    long = unpivot_struct(wide, ["airline"], _cause_items(spec, False), "delay_cause")
+    long = unpivot_struct(wide, ["airline"], cause_items(spec, False), "delay_cause")
     return long.withColumns({
         "cause_rank_within_airline": rank_over(F.col("total_minutes").desc_nulls_first(), ["airline"]),
         "pct_of_airline_total": r2(share_of_total("total_minutes", ["airline"])),
@@ -473,7 +473,7 @@ def cause_rank_layer(wide: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
 
 def cause_ranks_per_carrier(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Per carrier and cause: minutes, rank within the carrier and share of its total."""
-    wide = df.groupBy(F.col(spec.carrier).alias("airline")).agg(*_cause_aggs(spec, False))
+    wide = df.groupBy(F.col(spec.carrier).alias("airline")).agg(*cause_aggs(spec, False))
     return cause_rank_layer(wide, spec)
 
 

@@ -114,7 +114,7 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
         F.grouping_id().alias("_gid"),
         *Q.severity_aggs(spec),
         r2(F.stddev_samp(s.arr)).alias("stddev_delay"),
-        *Q._cause_aggs(spec, False),
+        *Q.cause_aggs(spec, False),
     ).withColumnRenamed(s.carrier, "airline")
     g = materialize(g, "airline_performance")
     car = g.filter(F.col("_gid") == 1)
