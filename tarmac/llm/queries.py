@@ -18,6 +18,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.pii import pii_report
+
+    return pii_report(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.exact_dedup import exact_dedup
 
