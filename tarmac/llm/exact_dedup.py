@@ -31,12 +31,16 @@ def chunk_id(chunk: Column) -> Column:
 
 def colliding_chunks(texts: DataFrame, hash_of=chunk_id) -> DataFrame:
     """(hash, chunk, ordinal) of every chunk content that shares its hash with
-    another content: each distinct chunk is shuffled once, copies are combined
-    before the shuffle. Empty unless hashes collide."""
+    another content. Each distinct chunk is shuffled once, copies are combined
+    before the shuffle; after it only hashes are counted. Empty unless hashes
+    collide."""
     parts = texts.select(F.explode(chunks(F.col("norm"))).alias("chunk"))
     distinct = parts.select(hash_of(F.col("chunk")).alias("hash"), "chunk").distinct()
-    twice = distinct.groupBy("hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("chunk")).alias("all"))
-    return twice.where("n > 1").select("hash", F.posexplode("all").alias("ordinal", "chunk"))
+    twice = stage(distinct.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunk-hashes")
+    if twice.isEmpty():
+        return texts.sparkSession.createDataFrame([], "hash bigint, ordinal int, chunk string")
+    contents = distinct.join(twice, "hash").groupBy("hash").agg(F.array_sort(F.collect_list("chunk")).alias("all"))
+    return contents.select("hash", F.posexplode("all").alias("ordinal", "chunk"))
 
 
 def with_recipes(docs: DataFrame, hash_of=chunk_id) -> DataFrame:

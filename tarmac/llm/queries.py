@@ -42,6 +42,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(read(spark, sf_dir, "documents"), tokenizer_file()).drop("shard")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.ngram_join import similar_sets
+
+    return similar_sets(read(spark, sf_dir, "documents")).drop("class_size")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
