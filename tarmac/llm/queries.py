@@ -18,6 +18,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.decontaminate import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.pii import pii_report
 
