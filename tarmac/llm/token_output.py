@@ -39,7 +39,7 @@ BLOCK_IDS = 65_536
 END_ID = 0
 ZSTD_LEVEL = 3
 #: Texts encoded at once, and pieces kept with their ids in a worker.
-BATCH_TEXTS, CACHE_PIECES = 256, 800_000
+BATCH_TEXTS, CACHE_PIECES = 512, 800_000
 
 BLOCKS = ("shard int, block int, first bigint, n_ids int, planes array<binary>, doc_seq bigint, "
           "doc_ids array<bigint>, pieces array<int>, piece_no int")
@@ -56,19 +56,20 @@ class Pieces:
         self.tokenizer, self.before, self.ids = tokenizer, before, {}
         self.marks = {c: array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
-    def learn(self, pieces: set[str]) -> None:
-        """Make the ids of ``pieces`` known. A full cache keeps its older half, where the frequent pieces are."""
-        new = [p for p in pieces if p not in self.ids]
+    def of(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of ``pieces``. A full cache keeps its older half, where the frequent pieces are."""
+        new = pieces.difference(self.ids)
         if len(self.ids) + 2 * len(new) > CACHE_PIECES:
             self.ids = dict(islice(self.ids.items(), CACHE_PIECES // 2))
-            new = [p for p in pieces if p not in self.ids]
+            new = pieces.difference(self.ids)
         # A token never spans a letter and the full stop or comma after it.
         marked = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
-        self._encode({p[:-1] for p in marked} | set(new).difference(marked))
+        self._encode({p[:-1] for p in marked} | new.difference(marked))
         self.ids.update((p, self.ids[p[:-1]] + self.marks[p[-1]]) for p in marked)
+        return dict(zip(pieces, map(self.ids.__getitem__, pieces)))
 
     def _encode(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.ids]
+        new = list(pieces.difference(self.ids))
         for k in range(0, len(new), 10_000):
             some = new[k:k + 10_000]
             found = self.tokenizer.encode_batch_fast([self.before + p for p in some], add_special_tokens=False)
@@ -97,10 +98,9 @@ class Encoder:
         lines = [[x.split(" ") for x in t.split("\n")] if ok else None for t, ok in zip(texts, plain)]
         odd = [None if ok else _before_word.split(t) for t, ok in zip(texts, plain)]
         heads = [[x.pop(0) for x in text] if text else None for text in lines]
-        self.first.learn({x for h in heads if h for x in h})
-        self.later.learn(set(chain.from_iterable(chain.from_iterable(x for x in lines if x))))
-        self.other.learn({x for pieces in odd if pieces for x in pieces})
-        first, later, other = self.first.ids, self.later.ids.__getitem__, self.other.ids.__getitem__
+        first = self.first.of({x for h in heads if h for x in h})
+        later = self.later.of(set(chain.from_iterable(chain.from_iterable(x for x in lines if x)))).__getitem__
+        other = self.other.of({x for pieces in odd if pieces for x in pieces}).__getitem__
         out = []
         for head, text, pieces in zip(heads, lines, odd):
             if pieces:
@@ -212,7 +212,7 @@ def shift_crc(crc: int, n: int) -> int:
 
 def _crc_of(pieces) -> int:
     crc = None
-    for p in pieces:
+    for p in pieces or ():
         crc = p["crc"] if crc is None else shift_crc(crc, 4 * p["n"]) ^ p["crc"]
     return crc
 
@@ -243,8 +243,8 @@ def read_digest(blocks: DataFrame) -> DataFrame:
     docs = pieces.groupBy("shard", "doc_seq").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
         F.sort_array(F.collect_list(F.struct("piece_no", "n", "crc"))).alias("all"))
-    combined = F.udf(_crc_of, "bigint")(F.col("all"))
-    crc = F.when(F.size("all") == 1, F.col("all")[0]["crc"]).otherwise(F.when(F.size("all") > 1, combined))
+    combined = F.udf(_crc_of, "bigint")(F.when(F.size("all") > 1, F.col("all")))
+    crc = F.coalesce(combined, F.col("all")[0]["crc"])
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
     base = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
     return docs.join(base, "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", crc.alias("ids_crc32"), "shard")
