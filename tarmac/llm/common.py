@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +49,15 @@ def join_small(big: DataFrame, small: DataFrame, on: Column, how: str, rows: int
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name in the folder that all executors share."""
     return f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers get at most ``rows`` rows at once in the jobs run inside: bounds their memory where rows are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

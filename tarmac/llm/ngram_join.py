@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_small, stage
+from tarmac.llm.common import arrow_rows, join_small, stage
 from tarmac.llm.components import components
 
 SHINGLE, NUM, DEN = 3, 90, 100
@@ -45,6 +45,7 @@ MAX_LIGHT = 29
 FREQUENT_BITS, PARITY_BITS = 26, 512
 ELEMENT_BYTES = 6
 SLIM_ROWS = 1_000_000
+ARROW_ROWS = 500
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
@@ -61,7 +62,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -110,14 +111,13 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 
     names = [x.split()[0] for x in SETS.split(", ")]
     for pdf in batches:
-        for at in range(0, len(pdf), 1_000):
-            rows = []
-            for uid, doc_id, text in pdf.iloc[at:at + 1_000][["uid", "doc_id", "text"]].itertuples(index=False):
-                e = shingles(text, k)
-                data = pack(e)
-                sid = xxhash.xxh3_64_intdigest(data, seed=len(e)) - (1 << 63)
-                rows.append((uid, None if pd.isna(doc_id) else int(doc_id), len(e), sid, *parity(e).tolist(), data))
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+        rows = []
+        for uid, doc_id, text in pdf[["uid", "doc_id", "text"]].itertuples(index=False):
+            e = shingles(text, k)
+            data = pack(e)
+            sid = xxhash.xxh3_64_intdigest(data, seed=len(e)) - (1 << 63)
+            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), len(e), sid, *parity(e).tolist(), data))
+        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
 def need(n: int, num: int, den: int) -> int:
@@ -160,22 +160,20 @@ def postings(sets: DataFrame, frequent: np.ndarray | None, light: int, num: int,
     def run(batches):
         often = shared.value if shared is not None else None
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at:at + 500]
-                keys, sids, ns = [], [], []
-                for sid, n, data in zip(part["sid"], part["n"], part["elements"]):
-                    e = unpack(data)
-                    own = [e] if whole else []
-                    if not whole and n >= heavy_from:
-                        own.append(listed(e, often, num, den))
-                    if not whole and n < light:
-                        own.append(light_keys(e, num, den))
-                    for k in own:
-                        keys.append(k)
-                        sids.append(np.full(len(k), sid, np.int64))
-                        ns.append(np.full(len(k), n, np.int32))
-                if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys).astype("<u8").view("<i8"), "sid": np.concatenate(sids), "n": np.concatenate(ns)})
+            keys, sids, ns = [], [], []
+            for sid, n, data in zip(pdf["sid"], pdf["n"], pdf["elements"]):
+                e = unpack(data)
+                own = [e] if whole else []
+                if not whole and n >= heavy_from:
+                    own.append(listed(e, often, num, den))
+                if not whole and n < light:
+                    own.append(light_keys(e, num, den))
+                for k in own:
+                    keys.append(k)
+                    sids.append(np.full(len(k), sid, np.int64))
+                    ns.append(np.full(len(k), n, np.int32))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys).astype("<u8").view("<i8"), "sid": np.concatenate(sids), "n": np.concatenate(ns)})
 
     return sets.select("sid", "n", "elements").mapInPandas(run, "key bigint, sid bigint, n int")
 
@@ -251,6 +249,11 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = D
 
     Shingles are compared by 48-bit hashes, sets by size and 64-bit hash.
     """
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        return _similar_sets(docs, k, num, den)
+
+
+def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stage(rows.mapInPandas(lambda b: _sets(b, k), SETS), "sets")
     full = sets.where("n > 0")

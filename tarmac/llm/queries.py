@@ -42,6 +42,12 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).drop("source", "text_key")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.token_output import token_output
 
