@@ -68,7 +68,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every operator's query by name, and the pipeline."""
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
+    found = {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit()}
+    return found | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

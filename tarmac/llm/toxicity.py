@@ -35,8 +35,9 @@ DICT_BYTES, SEGMENT, LEVEL = 8_192, 32, 3
 #: A training word has so many bytes and contexts at least, and is said at this many times the other side's rate.
 WORD_BYTES, CONTEXTS, RATIO = 4, 4, 100
 WINDOW_BYTES = 64
-#: Differences in bytes that are counted.
-STEPS = (2, 3, 4)
+#: Differences in bytes, and in shares of the ordinary length, at which windows are counted.
+STEPS, SHARES = (3, 5), (0.3, 0.45, 0.55)
+RIDGE = 1.0
 ANCHOR = b"<<0123456789abcdefghijklmnopqrstuvwxyz>>"
 CACHE = 400_000
 
@@ -70,14 +71,12 @@ def train_dictionary(own: Counter, other: Counter, size: int = DICT_BYTES) -> by
     words = sorted(w for w in apart for _ in range(min(own[w], 1_000)))
     order = np.random.default_rng(1).permutation(len(words))
     samples = [b" " + b" ".join(words[i] for i in order[k:k + 8]) + b" " for k in range(0, len(words), 8)]
-    plain = b"".join(sorted({b" " + w + b" " for w in words}))[:size]
-    if len(samples) < 16 or len(plain) < 256:  # too little for the trainer: the words themselves are the dictionary
-        return plain
+    whole = b"".join(b" " + w + b" " for w in sorted(set(words), key=lambda w: (own[w], w)))
     try:
-        trained = zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()
-    except zstandard.ZstdError:
-        return plain
-    return trained[-size:]
+        trained = zstandard.train_dictionary(size, samples, k=SEGMENT, d=6).as_bytes()[-size:]
+    except zstandard.ZstdError:  # too little text for the trainer
+        trained = b""
+    return trained + whole[-size:]  # the trainer may cut words; the most frequent stand last, whole
 
 
 @dataclass(frozen=True)
@@ -92,10 +91,12 @@ class Model:
 
 
 class Differences(dict):
-    """By window: how many bytes fewer the toxic dictionary takes than the ordinary one."""
+    """By window: how many bytes fewer the toxic dictionary takes than the
+    ordinary one, and which share of the ordinary length that is."""
 
     def __init__(self, model: Model):
         self.toxic, self.ordinary = self._compressor(model.toxic), self._compressor(model.ordinary)
+        self.empty = len(self.ordinary.compress(ANCHOR))
 
     @staticmethod
     def _compressor(content: bytes):
@@ -106,21 +107,30 @@ class Differences(dict):
         words.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(compression_params=how, dict_data=words)
 
-    def __missing__(self, window: bytes) -> int:
+    def __missing__(self, window: bytes) -> complex:
+        """The difference as real, the share as imaginary part."""
         if len(self) > CACHE:
             self.clear()
         block = b" " + window + b" " + ANCHOR
-        d = self[window] = len(self.ordinary.compress(block)) - len(self.toxic.compress(block))
+        ordinary = len(self.ordinary.compress(block))
+        less = ordinary - len(self.toxic.compress(block))
+        d = self[window] = complex(less, less / max(1, ordinary - self.empty) if less >= 2 else 0)
         return d
 
 
+def _top(x: np.ndarray) -> tuple[float, float]:
+    three = np.partition(x, -3)[-3:] if len(x) > 3 else x
+    return float(three.max()), float(three.clip(0).sum())
+
+
 def features(text: str | None, differences: Differences) -> list[float]:
     w = windows(text)
     if not w:
-        return [0.0] * (3 + len(STEPS))
-    d = np.fromiter(map(differences.__getitem__, w), np.int64, len(w))
-    top = np.sort(d[np.argpartition(d, -3)[-3:]] if len(d) > 3 else d)
-    return [float(top[-1]), float(top.clip(0).sum()), *(float(np.log1p((d >= s).sum())) for s in STEPS), float(np.log1p(len(d)))]
+        return [0.0] * (5 + len(STEPS) + len(SHARES))
+    both = np.fromiter(map(differences.__getitem__, w), np.complex128, len(w))
+    less, share = both.real, both.imag
+    return [*_top(less), *_top(share), *(float(np.log1p((less >= s).sum())) for s in STEPS),
+            *(float(np.log1p((share >= s).sum())) for s in SHARES), float(np.log1p(len(w)))]
 
 
 def calibrate(x: np.ndarray, y: np.ndarray) -> tuple:
@@ -129,8 +139,8 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple:
     a, w = np.c_[np.ones(len(x)), (x - mean) / scale], np.zeros(x.shape[1] + 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, a.T @ (y - p) - 0.1 * w)
+        hessian = (a * (p * (1 - p))[:, None]).T @ a + RIDGE * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, a.T @ (y - p) - RIDGE * w)
     return tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist())
 
 
