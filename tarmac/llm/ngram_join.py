@@ -15,8 +15,8 @@ each other and their symmetric difference: |A ^ B| * (DEN + NUM) <=
 * The boundary is the size with the least cost: keys that the light sets
   write, against list entries that the heavy sets would meet.
 
-Pairs within a list are not enumerated: every member is first compared with
-the list's smallest member. Only members that are in different components
+Pairs within a list are not enumerated: every set is first compared with one
+that is the smallest member of most of its lists. Only members that are in different components
 after that are compared with each other, and of those only the pairs whose
 sizes and parity sketches allow a link (the popcount of the sketches' xor
 never exceeds |A ^ B|, so no link is lost). Every link used is verified on
@@ -103,7 +103,19 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 
 _WORDS64 = PARITY_BITS // 64
-SETS = "uid bigint, doc_id bigint, n int, sid bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", elements binary"
+SETS = "uid bigint, doc_id bigint, n int, sid bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", wide binary, elements binary"
+
+
+def wide_parity(elements: np.ndarray) -> bytes:
+    """A parity sketch of at least twice as many bits as elements."""
+    bits = max(PARITY_BITS, 1 << int(2 * len(elements) - 1).bit_length())
+    return np.packbits((np.bincount((elements % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At most the symmetric difference of the sets of two wide sketches; the longer one is folded to the other's size."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
 def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
@@ -116,7 +128,7 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             e = shingles(text, k)
             data = pack(e)
             sid = xxhash.xxh3_64_intdigest(data, seed=len(e)) - (1 << 63)
-            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), len(e), sid, *parity(e).tolist(), data))
+            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), len(e), sid, *parity(e).tolist(), wide_parity(e), data))
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
@@ -217,13 +229,23 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose full sets link; only the sets that occur in a pair are moved."""
-    pairs = stage(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = stage(ids.join(classes, "sid").select(F.col("sid").alias("want"), F.col("uid").alias("want_uid")), "pair-sets")
-    moved = join_small(sets.select("uid", "elements"), wanted, F.col("uid") == F.col("want_uid"), "inner", SLIM_ROWS).select("want", "elements")
-    both = pairs.join(moved.select(F.col("want").alias("a"), F.col("elements").alias("x")), "a").join(
-        moved.select(F.col("want").alias("b"), F.col("elements").alias("y")), "b")
+    """The pairs (a, b) of ``pairs`` whose full sets link.
+
+    The wide sketches rule out most of the others first. Then the sets of a
+    travel to b's partition, once a pair; b's sets once."""
+    of = lambda x: classes.select(F.col("sid").alias(x), F.col("uid").alias(f"{x}_uid"), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+    names = "a bigint, b bigint, a_uid bigint, b_uid bigint"
+
+    def near(batches):
+        for pdf in batches:
+            ok = [apart(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(pdf["a_wide"], pdf["b_wide"], pdf["a_n"], pdf["b_n"])]
+            yield pdf.loc[np.array(ok, bool), ["a", "b", "a_uid", "b_uid"]]
+
+    pairs = stage(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(near, names), "pairs")
+    seconds = stage(pairs.select("b", F.col("b_uid").alias("uid2")).distinct(), "pair-seconds")
+    own = sets.select("uid", F.col("elements"))
+    left = join_small(own, pairs, F.col("uid") == F.col("a_uid"), "inner", SLIM_ROWS).select("a", "b", F.col("elements").alias("x"))
+    right = join_small(own, seconds, F.col("uid") == F.col("uid2"), "inner", SLIM_ROWS).select("b", F.col("elements").alias("y"))
 
     def run(batches):
         for pdf in batches:
@@ -234,7 +256,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, de
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    return stage(both.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "verified")
+    return stage(left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "verified")
 
 
 def similar_sets(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -259,7 +281,7 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     full = sets.where("n > 0")
     sketch = [f"s{i}" for i in range(_WORDS64)]
     classes = stage(full.groupBy("sid", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
-                                                 *(F.min(s).alias(s) for s in sketch)), "set-classes")
+                                                 *(F.min(s).alias(s) for s in sketch), F.min("wide").alias("wide")), "set-classes")
 
     # The order of elements: frequent ones last. Copies count here, which moves elements back but loses nothing.
     counts = stage(postings(full, None, 1, num, den).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
@@ -281,7 +303,9 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     shared = stage(entries.join(lists, "key"), "shared")
 
     sided = lambda side, name: side.join(classes.select(F.col("sid").alias(name), "n", *sketch), name)
-    stars = shared.where("sid != first").select(F.col("sid").alias("a"), F.col("first").alias("b")).distinct()
+    # Each set with the smallest member that it shares most lists with.
+    stars = shared.where("sid != first").groupBy(F.col("sid").alias("a"), F.col("first").alias("b")).agg(F.count("*").alias("c"))
+    stars = stars.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
     x, y = classes.alias("x"), classes.alias("y")
     near = stars.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(may_link("x", "y", num, den)).select("a", "b")
     links = verified(near, sets, classes, num, den)

@@ -30,6 +30,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages")).drop("template_tokens")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.exact_dedup import exact_dedup
 
