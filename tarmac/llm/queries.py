@@ -42,6 +42,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.lm_score import cross_entropy_difference
+
+    return cross_entropy_difference(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.mixing import mix
 

@@ -16,16 +16,17 @@ have not seen turns them into a score.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import text_of
+from tarmac.llm.common import stage, text_of
 
 THRESHOLD = 0.3
 #: The labelled rows that training reads at most, of each label: so many for the dictionaries, so many for the
@@ -54,12 +55,14 @@ def windows(text: str | None) -> list[bytes]:
 
 def contexts(texts: list[str]) -> Counter:
     """For each word of a set of texts the number of different pairs of neighbours it has."""
-    found = defaultdict(set)
-    for text in texts:
-        w = [b"", *windows(text), b""]
-        for before, word, after in zip(w, w[1:], w[2:]):
-            found[word].add((before, after))
-    return Counter({w: len(x) for w, x in found.items() if len(w) >= WORD_BYTES})
+    ids: dict[bytes, int] = {b"": 0}
+    rows = [np.fromiter((ids.setdefault(w, len(ids)) for w in [b"", *windows(t), b""]), np.uint64) for t in texts]
+    # The word in the high half, a hash of its neighbours in the low one: each different value is one context.
+    with np.errstate(over="ignore"):
+        found = [r[1:-1] << np.uint64(32) | (r[:-2] * np.uint64(0x9E3779B97F4A7C15) + r[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32) for r in rows]
+    each = np.unique(np.concatenate([np.empty(0, np.uint64), *found])) >> np.uint64(32)
+    counts = np.bincount(each.astype(np.int64), minlength=len(ids))
+    return Counter({w: int(counts[i]) for w, i in ids.items() if len(w) >= WORD_BYTES})
 
 
 def train_dictionary(own: Counter, other: Counter, size: int = DICT_BYTES) -> bytes:
@@ -158,20 +161,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     """Fit on a bounded sample of the labelled rows that are not held out.
 
     Rows with a null id or label do not train; a doc_id with several labels
-    counts as toxic if one says so. The sample is drawn by hash, so it does
-    not depend on the order of rows: up to ``rows`` for the dictionaries
+    counts as toxic if one says so, and trains with one of its texts. Ids are
+    drawn by hash, so the sample does not depend on the order of rows: up to ``rows`` for the dictionaries
     (from three quarters of the rows) and as many for the calibration (from the
     rest), of each label.
     """
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    drawn = marked.withColumn("part", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 3).cast("int"))
+    some = [drawn.where((F.col("part") == part) & (F.col("toxic") == toxic)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for toxic in (0, 1) for part in (0, 1)]
+    ids = stage(reduce(DataFrame.union, some), "training-ids")  # at most 4 * rows
     texts = docs.select("doc_id", text_of().alias("text")).where(F.length("text").between(1, chars))
-    dealt = texts.join(marked, "doc_id").withColumn("part", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 3).cast("int"))
-    sample = None
-    for toxic in (0, 1):
-        for part in (0, 1):
-            some = dealt.where((F.col("part") == part) & (F.col("toxic") == toxic)).select("part", "toxic", "text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(rows)
-            sample = some if sample is None else sample.union(some)
-    pdf = sample.toPandas()
+    pdf = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "part", "toxic").agg(F.min("text").alias("text")).toPandas()
 
     def said(toxic: int, part: int) -> list[str]:
         return sorted(set(pdf[(pdf["toxic"] == toxic) & (pdf["part"] == part)]["text"]))
