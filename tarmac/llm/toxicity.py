@@ -38,7 +38,7 @@ WORD_BYTES, CONTEXTS, RATIO = 4, 4, 100
 WINDOW_BYTES = 64
 #: Differences in bytes, and in shares of the ordinary length, at which windows are counted.
 STEPS, SHARES = (3, 5), (0.3, 0.45, 0.55)
-RIDGE = 1.0
+RIDGE = 0.3
 ANCHOR = b"<<0123456789abcdefghijklmnopqrstuvwxyz>>"
 CACHE = 400_000
 
