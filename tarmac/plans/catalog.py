@@ -75,20 +75,18 @@ ANALYSES: dict[str, Query] = {
 def queries() -> dict[str, Query]:
     from tarmac.plans.inventory import OPERATOR_QUERIES
     from tarmac.plans.io_queries import IO_QUERIES
-    from tarmac.plans.spark_sql import STATEMENTS, SURFACE, sql_query
+    from tarmac.plans.spark_sql import FORMS, STATEMENTS, sql_query
 
     sql = {f"sql_{k}": sql_query(k) for k in STATEMENTS}
-    surface = {name: sql_query(k) for name, k in SURFACE.items()}
+    surface = {k: sql_query(k) for k in FORMS}
     return {**ANALYSES, **OPERATOR_QUERIES, **IO_QUERIES, **sql, **surface}
 
 
 def oracle_sql() -> dict[str, str]:
     from tarmac.plans.oracle import SQL
     from tarmac.plans.oracle_ops import SQL as OPS
-
-    from tarmac.plans.spark_sql import STATEMENTS, SURFACE
+    from tarmac.plans.spark_sql import STATEMENTS
 
     same = {f"sql_{k}": SQL[k] for k in STATEMENTS}
-    same.update({name: SQL[k] for name, k in SURFACE.items()})
     keys = queries()
     return {k: v for k, v in {**SQL, **OPS, **same}.items() if k in keys}
