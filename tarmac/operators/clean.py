@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.numeric import hhmm_hour
+from tarmac.functions.numeric import hhmm_hour, nan_to_null
 
 # Fixed value: the characters Python's ``str.strip()`` removes for ASCII text.
 WHITESPACE = " \t\n\r\x0b\x0c"
@@ -57,6 +57,7 @@ def iqr_bounds(
     ``approx=True`` (``percentile_approx``, a mergeable sketch). All measures
     share one scan of the same pre-filter frame.
     """
+    df = df.withColumns({m: nan_to_null(F.col(m)) for m, t in df.dtypes if m in measures and t in ("double", "float")})
     if approx:
         aggs = []
         for m in measures:
@@ -121,5 +122,9 @@ def pipeline_clean(raw: DataFrame, measures: Sequence[str] = ("ArrDelay", "DepDe
     df = cast_int(df, ["DepTime", "ArrTime"])
     df = add_hours(df, {"DepHour": "DepTime", "ArrHour": "ArrTime"})
     original = strip(df, [c for c in KEY_COLUMNS if c in df.columns])
-    filtered = override_hour(iqr_filter(original, list(measures), k))
-    return original, filtered
+    return original, filter_cleaned(original, measures, k)
+
+
+def filter_cleaned(original: DataFrame, measures: Sequence[str] = ("ArrDelay", "DepDelay"), k: float = 1.5) -> DataFrame:
+    """The outlier filter on cleaned rows; ``DepHour`` from the scheduled time."""
+    return override_hour(iqr_filter(original, list(measures), k))

@@ -68,6 +68,9 @@ ANALYSES: dict[str, Query] = {
     "mart_airport_profiles": on_flights(M.mart_airport_profiles),
     "mart_rag_tier": on_flights(M.mart_rag_tier),
     "mart_dep_hour_risk": on_flights(M.mart_dep_hour_risk),
+    "mart_executive": on_flights(M.mart_executive),
+    "mart_deep_dive": on_flights(M.mart_deep_dive),
+    "mart_airport": on_flights(M.mart_airport),
     "mart_pivot_airline_month": on_flights(M.mart_pivot_airline_month),
 }
 

@@ -21,7 +21,7 @@ def src_csv(spark: SparkSession, d: str) -> DataFrame:
     """The original (unfiltered) frame written as CSV, scanned back with the
     text-first reader (NA tokens, tolerant casts)."""
     p = prepare(spark, d)
-    path = write_csv(p.flights0, f"{p.root}/csv/original")
+    path = write_csv(p.flights0, f"{p.run_dir()}/original")
     return read_flights_csv(spark, path, FLIGHT_COLUMNS)
 
 
@@ -38,15 +38,16 @@ def src_table(spark: SparkSession, d: str) -> DataFrame:
 def sink_csv(spark: SparkSession, d: str) -> DataFrame:
     """Original and filtered frames written as CSV; the filtered one read back."""
     p = prepare(spark, d)
-    write_csv(p.flights0, f"{p.root}/csv/original")
-    path = write_csv(p.flights, f"{p.root}/csv/filtered")
+    write_csv(p.flights0, f"{p.run_dir()}/original")
+    path = write_csv(p.flights, f"{p.run_dir()}/filtered")
     return read_flights_csv(spark, path, FLIGHT_COLUMNS)
 
 
 def sink_table(spark: SparkSession, d: str) -> DataFrame:
     """Replace-load of the filtered frame into a catalog table."""
     p = prepare(spark, d)
-    return write_table(p.flights, "tarmac_airline_delays", f"{p.root}/tables/airline_delays")
+    path = p.run_dir()
+    return write_table(p.flights, f"tarmac_airline_delays_{path.rsplit('/', 1)[-1]}", f"{path}/airline_delays")
 
 
 def sink_query_exports(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +55,7 @@ def sink_query_exports(spark: SparkSession, d: str) -> DataFrame:
     p = prepare(spark, d)
     f = p.flights
     fns = {name: (lambda fn=getattr(Q, name): fn(f)) for name in EXPORTED}
-    paths = export_all(fns, f"{p.root}/exports")
+    paths = export_all(fns, f"{p.run_dir()}/exports")
     return export_manifest(spark, paths)
 
 
@@ -70,13 +71,11 @@ IO_QUERIES = {
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The original frame landed as CSV files and loaded by the streaming
     ingest (fresh checkpoint per call, so the whole landing folder is read)."""
-    import uuid
-
     from tarmac.streaming.ingest import ingest_available
 
     p = prepare(spark, d)
-    landing = write_csv(p.flights0, f"{p.root}/csv/landing")
-    run = f"{p.root}/stream/{uuid.uuid4().hex}"
+    landing = write_csv(p.flights0, f"{p.run_dir()}/landing")
+    run = p.run_dir()
     return ingest_available(spark, landing, f"{run}/table", f"{run}/checkpoint", FLIGHT_COLUMNS)
 
 
@@ -87,7 +86,7 @@ def _raw_csv(spark: SparkSession, d: str) -> str:
     from tarmac.sources.raw import derive_raw, write_raw_csv
 
     p = prepare(spark, d)
-    return write_raw_csv(derive_raw(spark, d), f"{p.root}/csv/raw")
+    return write_raw_csv(derive_raw(spark, d), f"{p.run_dir()}/raw")
 
 
 def src_csv_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -97,24 +96,36 @@ def src_csv_raw(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, _raw_csv(spark, d))
 
 
+_CLEANED: dict[str, str] = {}
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned raw file as Parquet: each folder's CSV is parsed once in a
+    session, and the bounds, the filter and the checks read the table."""
+    from tarmac.sources.flights import read_flights_csv as read
+    from tarmac.streaming.ingest import clean_rows
+
+    p = prepare(spark, d)
+    key = f"{spark.sparkContext.applicationId}|{p.root}"
+    if key not in _CLEANED:
+        path = f"{p.run_dir()}/cleaned"
+        clean_rows(read(spark, _raw_csv(spark, d))).write.parquet(path)
+        _CLEANED[key] = path
+    return spark.read.parquet(_CLEANED[key])
+
+
 def pipeline_clean(spark: SparkSession, d: str) -> DataFrame:
     """The notebook's whole cleaning pipeline on the raw file: incomplete
     rows, dropped columns, truncated clock times, hours, trimmed keys, IQR
     filter, scheduled departure hour. Returns the filtered frame."""
-    from tarmac.operators.clean import pipeline_clean as clean
-    from tarmac.sources.flights import read_flights_csv as read
+    from tarmac.operators.clean import filter_cleaned
 
-    _, filtered = clean(read(spark, _raw_csv(spark, d)))
-    return filtered
+    return filter_cleaned(_cleaned(spark, d))
 
 
 def pipeline_original(spark: SparkSession, d: str) -> DataFrame:
     """The cleaned, unfiltered frame of the same pipeline (the "original" CSV)."""
-    from tarmac.operators.clean import pipeline_clean as clean
-    from tarmac.sources.flights import read_flights_csv as read
-
-    original, _ = clean(read(spark, _raw_csv(spark, d)))
-    return original
+    return _cleaned(spark, d)
 
 
 IO_QUERIES.update({"src_csv_raw": src_csv_raw, "pipeline_clean": pipeline_clean,

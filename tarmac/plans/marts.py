@@ -71,9 +71,11 @@ def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABL
         F.min_by(at(by_carrier, F.col("c")), at(by_carrier, F.struct("avg", "c"))).alias("least_delayed_airline"),
         F.min_by(at(by_window, F.col("w")), at(by_window, F.struct("avg", "w"))).alias("best_time_window"),
     )
-    total = sum((F.col(c) for c in s.cause_cols[1:]), F.col(s.cause_cols[0]))
-    shares = [r2(F.lit(100.0) * F.col(c) / total) for c in s.cause_cols if labels[c] in controllable]
-    k = k.withColumn("controllable_pct", r2(sum(shares[1:], shares[0])))
+    # As in Q11: a cause without values has no share, and without any minutes there are no shares.
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in s.cause_cols[1:]), F.coalesce(s.cause_cols[0], F.lit(0.0)))
+    shares = [r2(F.try_divide(F.lit(100.0) * F.col(c), total)) for c in s.cause_cols if labels[c] in controllable]
+    some = F.coalesce(*shares).isNotNull()
+    k = k.withColumn("controllable_pct", F.when(some, r2(sum((F.coalesce(x, F.lit(0.0)) for x in shares), F.lit(0.0)))))
     order = ["total_flights", "avg_arrival_delay", "avg_arrival_delay_rows", "controllable_pct", "best_month",
              "worst_month", "most_delayed_airline", "least_delayed_airline", "best_time_window"]
     rows = [F.struct(F.lit(name).alias("metric"), F.col(name).cast("string").alias("value")) for name in order]
@@ -196,6 +198,36 @@ def mart_pivot_airline_month(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataF
     return p.select("airline", *[F.col(str(m)).alias(f"m{m:02d}") for m in range(1, 13)]).orderBy("airline")
 
 
+def _section(df: DataFrame, section: str, item: str, value: str, label: str) -> DataFrame:
+    return df.select(F.lit(section).alias("section"), F.col(item).cast("string").alias("item"), F.col(value).cast("double").alias("value"), F.col(label).alias("label"))
+
+
+def mart_executive(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """The executive dashboard in one long table ``(section, item, value,
+    label)``: months, causes, airlines and the controllable share."""
+    kpi = mart_controllable_pct(df, spec).select(F.lit("kpi").alias("section"), F.lit("controllable_pct").alias("item"), F.col("controllable_pct").alias("value"), F.lit(None).cast("string").alias("label"))
+    return union_all([
+        _section(mart_monthly_trend(df, spec), "month", "month_name", "avg_arr_delay", "mom_trend"),
+        _section(mart_cause_contribution(df, spec), "cause", "delay_cause", "pct_of_total_minutes", "impact_label"),
+        _section(Q.q06_severity_profile(df, spec), "airline", "airline", "avg_delay", "severity_profile"), kpi])
+
+
+def mart_deep_dive(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """The root-cause dashboard: hours by risk, each airline's dominant cause, routes that regain or lose time."""
+    routes = Q.q03_delay_recovery(df, spec)
+    return union_all([
+        _section(mart_dep_hour_risk(df, spec), "hour", "dep_hour", "major_delay_prob", "risk_label"),
+        _section(Q.q12_dominant_cause(df, spec), "dominant cause", "airline", "dominant_avg_mins", "dominant_cause"),
+        routes.select(F.col("category").alias("section"), F.col("route").alias("item"), F.col("avg_recovery").alias("value"), F.col("recovery_label").alias("label"))])
+
+
+def mart_airport(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    """The airport dashboard: volume against delay, and departure against the network."""
+    both = mart_airport_profiles(df, spec)
+    return union_all([_section(both, "volume and delay", "airport", "avg_delay", "airport_profile"),
+                     _section(both, "departure and arrival", "airport", "dep_vs_global", "delay_profile")])
+
+
 def dashboards(df: DataFrame, spec: FlightSpec = DEFAULT) -> dict[str, dict[str, DataFrame]]:
     """The tables behind the three dashboards (executive, deep dive, airports)."""
     return {

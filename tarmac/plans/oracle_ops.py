@@ -410,6 +410,20 @@ SQL["mart_airport_profiles"] = f"""
 SELECT v.*, p.avg_dep_delay, p.avg_arr_delay, p.dep_vs_global, p.arr_vs_global, p.delay_profile
 FROM ({portable.text(portable.volume(top=None), f'{FLIGHTS0_CTES},{IQR_CTES}')}) v
 JOIN {_sub('q08_dep_arr_profile')} p ON v.airport = p.airport"""
+SQL["mart_executive"] = f"""
+SELECT 'month' AS section, month_name AS item, avg_arr_delay AS value, mom_trend AS label FROM {_sub('q10_monthly_rolling')} a
+UNION ALL SELECT 'cause', delay_cause, pct_of_total_minutes, impact_label FROM {_sub('q11_cause_totals')} b
+UNION ALL SELECT 'airline', airline, avg_delay, severity_profile FROM {_sub('q06_severity_profile')} c
+UNION ALL SELECT 'kpi', 'controllable_pct', {R2('SUM(pct_of_total_minutes)')}, NULL FROM {_sub('q11_cause_totals')} d
+          WHERE delay_cause IN ('Late Aircraft Delay', 'Carrier Delay')"""
+SQL["mart_deep_dive"] = f"""
+SELECT 'hour' AS section, CAST(dep_hour AS VARCHAR) AS item, major_delay_prob AS value, risk_label AS label FROM {_sub('q09_hour_risk')} a
+UNION ALL SELECT 'dominant cause', airline, dominant_avg_mins, dominant_cause FROM {_sub('q12_dominant_cause')} b
+UNION ALL SELECT category, route, avg_recovery, recovery_label FROM {_sub('q03_delay_recovery')} c"""
+SQL["mart_airport"] = f"""
+WITH both_views AS ({SQL['mart_airport_profiles']})
+SELECT 'volume and delay' AS section, airport AS item, avg_delay AS value, airport_profile AS label FROM both_views
+UNION ALL SELECT 'departure and arrival', airport, dep_vs_global, delay_profile FROM both_views"""
 SQL["mart_rag_tier"] = q(f"""
 SELECT airline, avg_delay, CASE WHEN avg_delay >= 55 THEN 'Red' WHEN avg_delay >= 45 THEN 'Amber' ELSE 'Green' END AS tier
 FROM (SELECT "UniqueCarrier" AS airline, {R2('AVG("ArrDelay")')} AS avg_delay {BYC})""")

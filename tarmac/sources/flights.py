@@ -13,8 +13,8 @@ pruned, filtered scan of one narrow table.
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -63,39 +63,72 @@ def _string_schema(cols) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n, _ in cols])
 
 
-def typed_from_strings(df: DataFrame, cols) -> DataFrame:
-    """NA tokens -> NULL, then tolerant casts (``'1955.0'`` -> 1955 for ints)."""
+def _typed(raw: Column, typ: str) -> tuple[Column, Column]:
+    """(value, whether a present token is no value of the type)."""
+    text = F.btrim(raw, F.lit(" \t\r\n"))
+    s = F.when(raw.isin(*NA_TOKENS) | text.isin(*NA_TOKENS), F.lit(None)).otherwise(raw)
+    if typ == "string":
+        return s, F.lit(False)
+    number = F.when(s.isNotNull(), text)
+    d = number.try_cast("double")
+    bad = number.isNotNull() & d.isNull()
+    d = F.when(F.isnan(d), F.lit(None)).otherwise(d)
+    # Whole numbers keep all digits; '12.0' goes through double and is truncated.
+    return (d if typ == "double" else F.coalesce(number.try_cast(typ), d.try_cast(typ))), bad
+
+
+def typed_from_strings(df: DataFrame, cols, on_reject: str = "null") -> DataFrame:
+    """Missing-value tokens and NaN -> NULL, then casts.
+
+    A malformed number becomes NULL (``on_reject="null"``; ``reject_counts``
+    counts them) or fails the job (``"fail"``).
+    """
+    if on_reject not in ("null", "fail"):
+        raise ValueError("on_reject is 'null' or 'fail'")
     out = []
     for name, typ in cols:
-        raw = F.col(f"`{name}`")
-        s = F.when(raw.isin(*NA_TOKENS), F.lit(None)).otherwise(raw)
-        if typ == "string":
-            v = s
-        elif typ == "double":
-            v = s.try_cast("double")
-        else:  # integral: go through double so '12.0' parses, then truncate
-            d = s.try_cast("double")
-            v = F.when(F.isnan(d), F.lit(None)).otherwise(d).try_cast(typ)
+        v, bad = _typed(F.col(f"`{name}`"), typ)
+        if on_reject == "fail" and typ != "string":
+            v = F.when(bad, F.raise_error(F.concat(F.lit(f"column {name}: not a number: "), F.col(f"`{name}`")))).otherwise(v)
         out.append(v.alias(name))
     return df.select(*out)
 
 
-def read_flights_csv(spark: SparkSession, path: str, columns=None) -> DataFrame:
-    """CSV scan with a header and pandas' missing-value tokens.
+def text_frame(spark: SparkSession, path: str, cols) -> DataFrame:
+    """The columns ``cols`` of a CSV as text, found by their header names.
+
+    Files of one folder must have one header; another one fails the read.
+    """
+    return spark.read.schema(header_schema(spark, path, cols)).option("header", True).option("enforceSchema", False).csv(path).select(
+        *[F.col(f"`{n}`") for n, _ in cols])
+
+
+def header_schema(spark: SparkSession, path: str, cols) -> T.StructType:
+    """A text schema in the order of the file's header. A blank name is the
+    unnamed row number that the layout may begin with."""
+    names = spark.read.option("header", True).csv(path).columns
+    missing = [n for n, _ in cols if n not in names]
+    if missing:
+        raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
+    return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+
+
+def read_flights_csv(spark: SparkSession, path: str, columns=None, on_reject: str = "null") -> DataFrame:
+    """CSV scan by column name, with pandas' missing-value tokens.
 
-    Every field is read as text and typed with ``try_cast``, so no schema
-    inference job runs and malformed numbers become NULL instead of failing
-    the whole load.
+    Every field is read as text and typed after, so no schema inference job
+    runs. See ``typed_from_strings`` for malformed numbers.
     """
     cols = columns or RAW_COLUMNS
-    raw = (
-        spark.read.schema(_string_schema(cols))
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("nullValue", None)
-        .csv(path)
-    )
-    return typed_from_strings(raw, cols)
+    return typed_from_strings(text_frame(spark, path, cols), cols, on_reject)
+
+
+def reject_counts(spark: SparkSession, path: str, columns=None) -> DataFrame:
+    """(column, rejected): how many present tokens of each numeric column are no number, in one pass."""
+    cols = [(n, t) for n, t in columns or RAW_COLUMNS if t != "string"]
+    df = text_frame(spark, path, cols)
+    counts = df.agg(*[F.count_if(_typed(F.col(f"`{n}`"), t)[1]).alias(n) for n, t in cols])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("rejected")) for n, _ in cols])))
 
 
 def derive_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,6 +220,10 @@ class Prepared:
     bounds: DataFrame  # one row: q1/q3/lower/upper per measure (materialised)
     root: str
 
+    def run_dir(self) -> str:
+        """A new folder, for what one call writes."""
+        return f"{self.root}/runs/{uuid.uuid4().hex}"
+
 
 _LOCK = threading.Lock()
 _MEMO: dict[tuple[str, str], Prepared] = {}
@@ -195,18 +232,28 @@ _MEMO: dict[tuple[str, str], Prepared] = {}
 INPUT_TABLES = ("lineitem", "orders", "customer", "supplier", "nation")
 
 
-def _key(sf_dir: str) -> str:
-    """Folder + derivation version + (for local folders) size and mtime of
-    every input file, so regenerated inputs never reuse a stale table."""
-    parts = [os.path.realpath(sf_dir) if "://" not in sf_dir else sf_dir, DERIVATION_VERSION]
-    for t in INPUT_TABLES:
-        path = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        if os.path.exists(path):
-            for root, _, files in os.walk(path) if os.path.isdir(path) else [("", [], [path])]:
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f))
-                    parts.append(f"{f}:{st.st_size}:{int(st.st_mtime)}")
-    return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
+_SEEN: dict[tuple[str, str], str] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the input files, as a digest. Spark lists
+    them, so every scheme behaves alike; contents are not read."""
+    paths = [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in INPUT_TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    file = F.xxhash64(F.substring_index("path", "/", -2), "length", "modificationTime")
+    row = files.agg(F.count("*"), F.sum("length"), F.bit_xor(file)).first()
+    return ":".join(map(str, row))
+
+
+def _key(spark: SparkSession, sf_dir: str, version: str | None, refresh: bool) -> str:
+    """Folder, derivation and input version. Without an explicit ``version``
+    the inputs are listed once per session, or again on ``refresh``."""
+    place = (_app_id(spark), sf_dir.rstrip("/"))
+    if version is None:
+        if refresh or place not in _SEEN:
+            _SEEN[place] = _state(spark, sf_dir)
+        version = _SEEN[place]
+    return hashlib.sha1("|".join((place[1], DERIVATION_VERSION, version)).encode()).hexdigest()[:16]
 
 
 def _try_read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -226,8 +273,7 @@ def _app_id(spark: SparkSession) -> str:
 
 
 def filter_by_bounds(df: DataFrame, bounds_row, measures) -> DataFrame:
-    """IQR filter with the bounds as literals, so Parquet row groups whose
-    min/max fall outside are skipped (``PushedFilters`` on the scan)."""
+    """IQR filter with the bounds as literals, pushed to the scan."""
     cond = None
     for m in measures:
         lo, hi = bounds_row[f"{m}_lower"], bounds_row[f"{m}_upper"]
@@ -236,30 +282,39 @@ def filter_by_bounds(df: DataFrame, bounds_row, measures) -> DataFrame:
     return df.filter(cond)
 
 
-def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuild: bool = False) -> Prepared:
+def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuild: bool = False,
+            refresh: bool = False, version: str | None = None) -> Prepared:
     """Materialise ``flights0`` and the IQR bounds once per folder; return readers.
 
     Only the derived table is written: the filtered table is the same rows
     minus the outliers, so it is a filtered scan of ``flights0`` (no second
     copy of the fact table). The bounds are one row of four numbers per
-    measure; they are read back once and applied as literals. The bounds
-    table is written last and doubles as the commit marker: a run that died
-    half way has no bounds and is simply redone.
+    measure; they are read back once and applied as literals.
+
+    Every build writes to an attempt folder of its own and then publishes it
+    by a small marker that names it, so builds of several applications and
+    rebuilds never touch what others read; the latest marker counts. Changed
+    inputs are seen by a new session, or with ``refresh``; ``version`` names
+    the inputs' state explicitly and skips the listing.
     """
-    root = f"{shared_dir(spark)}/tarmac/{_key(sf_dir)}"
-    memo_key = (_app_id(spark), root)
     with _LOCK:
+        root = f"{shared_dir(spark)}/tarmac/{_key(spark, sf_dir, version, refresh)}"
+        memo_key = (_app_id(spark), root)
         if not rebuild and memo_key in _MEMO:
             return _MEMO[memo_key]
-        b = None if rebuild else _try_read(spark, f"{root}/bounds")
-        if b is None:
-            derive_flights0(spark, sf_dir).write.mode("overwrite").parquet(f"{root}/flights0")
-            f0 = spark.read.parquet(f"{root}/flights0")
-            iqr_bounds(f0, spec.measures).write.mode("overwrite").parquet(f"{root}/bounds")
-            b = spark.read.parquet(f"{root}/bounds")
-        f0 = spark.read.parquet(f"{root}/flights0")
-        row = b.first()
-        p = Prepared(flights0=f0, flights=filter_by_bounds(f0, row, spec.measures), bounds=b, root=root)
+        done = None if rebuild else _try_read(spark, f"{root}/done-*")
+        if done is None:
+            attempt = uuid.uuid4().hex
+            at = f"{root}/attempt-{attempt}"
+            derive_flights0(spark, sf_dir).write.parquet(f"{at}/flights0")
+            iqr_bounds(spark.read.parquet(f"{at}/flights0"), spec.measures).write.parquet(f"{at}/bounds")
+            marker = spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("written"))
+            marker.coalesce(1).write.parquet(f"{root}/done-{attempt}")
+        else:
+            attempt = done.orderBy(F.desc("written"), "attempt").first()["attempt"]
+            at = f"{root}/attempt-{attempt}"
+        f0, b = spark.read.parquet(f"{at}/flights0"), spark.read.parquet(f"{at}/bounds")
+        p = Prepared(flights0=f0, flights=filter_by_bounds(f0, b.first(), spec.measures), bounds=b, root=root)
         _MEMO[memo_key] = p
         return p
 

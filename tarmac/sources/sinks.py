@@ -49,16 +49,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str
 def export_all(results: Mapping[str, Callable[[], DataFrame]], root: str, fmt: str = "parquet") -> dict[str, str]:
     """Write each named result under ``root/<name>``; returns name -> path.
 
-    Results are small aggregates; each is written by its own job.
+    Each is written by its own job, a file per task.
     """
     paths = {}
     for name, build in results.items():
         df = build()
         path = f"{root.rstrip('/')}/{name}"
         if fmt == "csv":
-            write_csv(df, path, single_file=True)
+            write_csv(df, path)
         else:
-            write_parquet(df.coalesce(1), path)
+            write_parquet(df, path)
         paths[name] = path
     return paths
 

@@ -14,12 +14,13 @@ table, so it runs at read time over the accumulated table
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tarmac.operators.clean import DROP_COLUMNS, KEY_COLUMNS, NULL_CHECK_COLUMNS, add_hours, cast_int, drop_columns
 from tarmac.operators.clean import drop_null_rows, strip
-from tarmac.sources.flights import RAW_COLUMNS, _string_schema, typed_from_strings
+from tarmac.sources.flights import RAW_COLUMNS, _string_schema, header_schema, typed_from_strings
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -35,9 +36,14 @@ def clean_rows(df: DataFrame) -> DataFrame:
 
 
 def raw_stream(spark: SparkSession, landing_dir: str, columns=None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming CSV source over a landing folder (text-first, typed after)."""
+    """Streaming CSV source over a landing folder, by header names (text first,
+    typed after). A file with another header fails the stream."""
     cols = columns or RAW_COLUMNS
-    r = spark.readStream.schema(_string_schema(cols)).option("header", True)
+    try:
+        schema = header_schema(spark, landing_dir, cols)  # the order that the files have
+    except AnalysisException:  # nothing has landed yet
+        schema = _string_schema(cols)
+    r = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     return typed_from_strings(r.csv(landing_dir), cols)
