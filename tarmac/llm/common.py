@@ -51,6 +51,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
 
 
+_held: dict[str, object] = {}
+
+
+def worker_cache(owner: str, make):
+    """What a Python worker keeps between the batches and tasks of one operator. Another operator's is dropped:
+    a worker serves many stages, and their caches together would not fit."""
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = make()
+    return _held[owner]
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Python workers get at most ``rows`` rows at once in the jobs run inside: bounds their memory where rows are wide."""

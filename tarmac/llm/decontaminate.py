@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stage, text_of
+from tarmac.llm.common import stage, text_of, worker_cache
 
 #: Masks of weight 7 over 11 places. Together they hit every aligned stretch of 13 places with at most two
 #: substitutions, wherever those are (a test goes through all of them).
@@ -48,13 +48,11 @@ class _Ids(dict):
         return h
 
 
-_ids = _Ids()
-
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the lower-cased words (A-Z only)."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return np.fromiter(map(_ids.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(worker_cache("tokens", _Ids).__getitem__, words), np.uint64, len(words))
 
 
 def _offsets(mask: str) -> list[int]:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage
+from tarmac.llm.common import arrow_rows, join_small, stage, worker_cache
 from tarmac.llm.components import components
 
 SHINGLE, NUM, DEN = 3, 90, 100
@@ -68,15 +68,13 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's k-word shingles, ascending; ELEMENT_BYTES bytes each."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_cache("shingles", _Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - k + 1)
     with np.errstate(over="ignore"):
         all_of = np.full(n, min(len(h), k), np.uint64)

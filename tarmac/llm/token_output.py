@@ -25,27 +25,30 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import shared_path, shuffle_partitions, text_of
+from tarmac.llm.common import shared_path, shuffle_partitions, text_of, worker_cache
 
 BLOCK_IDS = 65_536
 END_ID = 0
 ZSTD_LEVEL = 3
 #: Texts encoded at once, and pieces kept with their ids in a worker.
-BATCH_TEXTS, CACHE_PIECES = 512, 800_000
+BATCH_TEXTS, CACHE_PIECES = 1_000, 600_000
 
 BLOCKS = ("shard int, block int, first bigint, n_ids int, planes array<binary>, doc_seq bigint, "
           "doc_ids array<bigint>, pieces array<int>, piece_no int")
 PIECES = "shard int, doc_seq bigint, doc_id bigint, piece_no int, at bigint, n int, crc bigint"
 
 _two_spaces = re.compile(r"\s\s")
+_marks = frozenset(".,")
 _before_word = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -56,24 +59,24 @@ class Pieces:
         self.tokenizer, self.before, self.ids = tokenizer, before, {}
         self.marks = {c: array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
-    def of(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of ``pieces``. A full cache keeps its older half, where the frequent pieces are."""
-        new = pieces.difference(self.ids)
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of different ``pieces``. A full cache keeps its older half, where the frequent pieces are."""
+        new = [p for p in pieces if p not in self.ids]
         if len(self.ids) + 2 * len(new) > CACHE_PIECES:
             self.ids = dict(islice(self.ids.items(), CACHE_PIECES // 2))
-            new = pieces.difference(self.ids)
+            new = [p for p in pieces if p not in self.ids]
         # A token never spans a letter and the full stop or comma after it.
-        marked = [p for p in new if p[-1:] in (".", ",") and p[-2:-1].isalpha()]
-        self._encode({p[:-1] for p in marked} | new.difference(marked))
-        self.ids.update((p, self.ids[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        return dict(zip(pieces, map(self.ids.__getitem__, pieces)))
+        marked = [p for p in new if p[-1:] in _marks and p[-2:-1].isalpha()]
+        self._encode([p for p in new if p[-1:] not in _marks or not p[-2:-1].isalpha()])
+        self._encode(list({p[:-1] for p in marked if p[:-1] not in self.ids}))
+        self.ids.update([(p, self.ids[p[:-1]] + self.marks[p[-1]]) for p in marked])
+        return list(map(self.ids.__getitem__, pieces))
 
-    def _encode(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.ids))
+    def _encode(self, new: list[str]) -> None:
         for k in range(0, len(new), 10_000):
             some = new[k:k + 10_000]
             found = self.tokenizer.encode_batch_fast([self.before + p for p in some], add_special_tokens=False)
-            self.ids.update((p, array("I", e.ids).tobytes()) for p, e in zip(some, found))
+            self.ids.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
 
 
 class Encoder:
@@ -94,30 +97,57 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The unsigned 32-bit ids of each text."""
-        plain = [not _two_spaces.search(t) for t in texts]
-        lines = [[x.split(" ") for x in t.split("\n")] if ok else None for t, ok in zip(texts, plain)]
-        odd = [None if ok else _before_word.split(t) for t, ok in zip(texts, plain)]
-        heads = [[x.pop(0) for x in text] if text else None for text in lines]
-        first = self.first.of({x for h in heads if h for x in h})
-        later = self.later.of(set(chain.from_iterable(chain.from_iterable(x for x in lines if x)))).__getitem__
-        other = self.other.of({x for pieces in odd if pieces for x in pieces}).__getitem__
-        out = []
-        for head, text, pieces in zip(heads, lines, odd):
-            if pieces:
-                ids = b"".join(map(other, pieces))
-            else:
-                ids = self.line_feed.join([first[h] + b"".join(map(later, x)) for h, x in zip(head, text)])
-            out.append(np.frombuffer(ids, "<u4"))
+        plain = [i for i, t in enumerate(texts) if not _two_spaces.search(t)]
+        out: list = [None] * len(texts)
+        for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
+            out[i] = ids
+        odd = {i: _before_word.split(t) for i, t in enumerate(texts) if out[i] is None}
+        every = list({x for pieces in odd.values() for x in pieces})
+        ids_of = dict(zip(every, self.other.of(every))).__getitem__
+        for i, pieces in odd.items():
+            out[i] = np.frombuffer(b"".join(map(ids_of, pieces)), "<u4")
         return out
 
-
-_encoders: dict[str, Encoder] = {}
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Texts whose white space stands alone: split, numbered and put together by whole columns."""
+        if not texts:
+            return []
+        lines = pc.split_pattern(pa.array(texts, pa.large_string()), "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        numbered = words.flatten().dictionary_encode()
+        n, code = len(numbered.dictionary), numbered.indices.to_numpy().astype(np.int64)
+        line_at, word_at = lines.offsets.to_numpy().astype(np.int64), words.offsets.to_numpy().astype(np.int64)
+        # A piece is the first word of a line, a later one, or a line feed before all lines but a text's first.
+        first = np.zeros(len(code), bool)
+        first[word_at[:-1]] = True
+        feeds = np.ones(len(word_at) - 1, np.int64)
+        feeds[line_at[:-1]] = 0
+        before = np.cumsum(feeds)
+        pieces = np.full(len(code) + before[-1], 2 * n)
+        pieces[np.arange(len(code)) + np.repeat(before, np.diff(word_at))] = code + n * first
+        ids, size = [], np.zeros(2 * n + 1, np.int64)
+        for table, at, which in ((self.later, 0, ~first), (self.first, n, first)):
+            seen = np.zeros(n, bool)
+            seen[code[which]] = True
+            found = table.of(numbered.dictionary.filter(pa.array(seen)).to_pylist())
+            size[at + np.flatnonzero(seen)] = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            ids += found
+        size[-1] = len(self.line_feed) // 4
+        pool = np.frombuffer(b"".join([*ids, self.line_feed]), "<u4")
+        start = np.cumsum(size) - size
+        sizes = size[pieces]
+        end = np.cumsum(sizes)
+        every = pool[np.repeat(start[pieces] - end + sizes, sizes) + np.arange(end[-1])]
+        # A text's pieces end with its last line's words.
+        cuts = np.concatenate([[0], end])[word_at[line_at[1:]] + before[line_at[1:] - 1]]
+        return np.split(every, cuts[:-1])
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = worker_cache("token output", dict)
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:

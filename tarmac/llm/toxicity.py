@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stage, text_of
+from tarmac.llm.common import stage, text_of, worker_cache
 
 THRESHOLD = 0.3
 #: The labelled rows that training reads at most, of each label: so many for the dictionaries, so many for the
@@ -40,7 +40,7 @@ WINDOW_BYTES = 64
 STEPS, SHARES = (3, 5), (0.3, 0.45, 0.55)
 RIDGE = 0.3
 ANCHOR = b"<<0123456789abcdefghijklmnopqrstuvwxyz>>"
-CACHE = 400_000
+CACHE = 250_000
 
 _FOLD = bytes(range(256)).translate(bytes(32 if c in b".,;:!?" else c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
@@ -188,14 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int
     return Model(model.toxic, model.ordinary, *fit)
 
 
-_known: dict[Model, Differences] = {}
-
-
 def _scores(texts: list, model: Model) -> np.ndarray:
-    if model not in _known:
-        _known.clear()
-        _known[model] = Differences(model)
-    return score(np.array([features(t, _known[model]) for t in texts]).reshape(len(texts), -1), model)
+    known = worker_cache("toxicity", dict)
+    if model not in known:
+        known.clear()
+        known[model] = Differences(model)
+    return score(np.array([features(t, known[model]) for t in texts]).reshape(len(texts), -1), model)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
