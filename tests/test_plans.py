@@ -7,10 +7,10 @@ import io
 
 import pytest
 
-import __spark_entry__ as ENTRY
+from tarmac.plans import catalog
 from conftest import SF_SMALL
 
-QUERIES = ENTRY.queries()
+QUERIES = catalog.queries()
 WRITE_KEYS = {"src_csv", "sink_csv", "sink_table", "sink_query_exports", "stream_ingest", "src_csv_raw",
               "pipeline_clean", "pipeline_original", "prof_invariants_raw"}
 
