@@ -34,8 +34,7 @@ SLIM_ROWS = 1_000_000
 ARROW_ROWS, SEEN = 1_000, 300_000
 
 _G = SKETCH_BITS // 64
-ROWS = "uid bigint, doc_id bigint, line int, lid bigint, n int, " + ", ".join(f"g{i} bigint" for i in range(_G)) + ", key bigint, indexed boolean"
-_names = [x.split()[0] for x in ROWS.split(", ")]
+ROWS = "uid bigint, doc_id bigint, line int, lid bigint, n int, " + ", ".join(f"g{i} bigint" for i in range(_G)) + ", keys array<bigint>, indexed int"
 _low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -61,11 +60,11 @@ def segments(n: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys(codes: bytes, tau: int) -> list[tuple[int, bool]]:
-    """(key, whether the line is indexed under it) of every index entry that a line of UTF-32 ``codes`` is in or probes."""
+def keys(codes: bytes, tau: int) -> tuple[list[int], int]:
+    """The keys of every index entry that a line of UTF-32 ``codes`` is in or probes, and how many it is in, the first."""
     import xxhash
 
-    n, out = len(codes) // 4, {}
+    n, own, probed = len(codes) // 4, {}, {}
     for l in range(max(SHORT, n - tau), n + 1):  # noqa: E741
         more = n - l
         for i, (p, size) in enumerate(segments(l, tau)):
@@ -73,8 +72,8 @@ def keys(codes: bytes, tau: int) -> list[tuple[int, bool]]:
             hi = min(n - size, p + i, p + more + (tau - i))
             for at in range(lo, hi + 1):
                 k = xxhash.xxh3_64_intdigest(codes[4 * at:4 * (at + size)], seed=l * (tau + 1) + i) - (1 << 63)
-                out[k] = out.get(k, False) or (more == 0 and at == p)
-    return list(out.items())
+                (own if more == 0 and at == p else probed)[k] = None
+    return [*own, *(k for k in probed if k not in own)], len(own)
 
 
 def sketch(codes: bytes) -> list[int]:
@@ -121,52 +120,49 @@ def edit_distance(x: str, y: str, most: int) -> int | None:
 
 
 def _rows(batches: Iterator[pd.DataFrame], tau: int) -> Iterator[pd.DataFrame]:
-    """A row per line and, for each different line that a task meets, a row per key."""
+    """A row per line; for each different line that a task meets, one of them has its keys."""
     seen: set[int] = set()
-    none = (None,) * (2 + _G + 1)
     for pdf in batches:
-        out = []
+        where, own, sketches, own_keys = [], [], [], []
         for uid, doc_id, text in zip(pdf["uid"], pdf["doc_id"], pdf["text"]):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
             for no, line in enumerate(lines(text)):
-                codes = line.encode("utf-32-le", "surrogatepass")
-                lid, n = line_id(codes), len(line)
-                long = n >= SHORT
-                out.append((uid, doc_id, no, lid, n, *(sketch(codes) if long else (0,) * _G), None, None))
-                if long and lid not in seen:
+                codes, n, found = line.encode("utf-32-le", "surrogatepass"), len(line), ([], 0)
+                lid = line_id(codes)
+                if n >= SHORT and lid not in seen:
                     seen.add(lid)
-                    out += [(None, None, None, lid, n, *(None,) * _G, k, i) for k, i in keys(codes, tau)]
+                    found = keys(codes, tau)
+                where.append((uid, doc_id))
+                own.append((no, lid, n, found[1]))
+                sketches.append(sketch(codes) if n >= SHORT else (0,) * _G)
+                own_keys.append(found[0])
             if len(seen) > SEEN:
                 seen.clear()
-            if len(out) > 50_000:
-                yield _frame(out)
-                out = []
-        if out:
-            yield _frame(out)
+        own_of, g = np.array(own, np.int64).reshape(-1, 4), np.array(sketches, np.int64).reshape(-1, _G)
+        yield pd.DataFrame({"uid": [x[0] for x in where], "doc_id": pd.array([x[1] for x in where], "Int64"), "line": own_of[:, 0], "lid": own_of[:, 1], "n": own_of[:, 2],
+                            **{f"g{i}": g[:, i] for i in range(_G)}, "keys": own_keys, "indexed": own_of[:, 3]})
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    columns = list(zip(*rows))
-    kinds = {"indexed": "boolean", "line": "Int32", "n": "Int32"}
-    return pd.DataFrame({c: pd.array(v, kinds.get(c, "Int64")) for c, v in zip(_names, columns)})
+def _texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lid, text) of the lines in ``wanted`` (lid): one document of each is read again."""
+    holders = every.join(wanted, "lid", "left_semi").groupBy("lid").agg(F.min("doc_id").alias("holder"))
+    holders = stage(holders.select("holder").distinct(), "line-holders")
+    some = join_small(docs, holders, F.col("doc_id").cast("bigint").eqNullSafe(F.col("holder")), "left_semi", SLIM_ROWS)
 
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lid, text) of the lines in ``wanted`` (lid)."""
     def each(batches):
         for pdf in batches:
             found = {line_id(x.encode("utf-32-le", "surrogatepass")): x for text in pdf["text"] for x in lines(text) if len(x) >= SHORT}
             yield pd.DataFrame({"lid": pd.array(list(found), "int64"), "text": list(found.values())})
 
-    every = docs.select("text").mapInPandas(each, "lid bigint, text string")
-    return join_small(every, wanted.withColumnRenamed("lid", "want"), F.col("lid") == F.col("want"), "inner", SLIM_ROWS).groupBy("lid").agg(F.min("text").alias("text"))
+    said = some.select("text").mapInPandas(each, "lid bigint, text string")
+    return join_small(said, wanted.withColumnRenamed("lid", "want"), F.col("lid") == F.col("want"), "inner", SLIM_ROWS).groupBy("lid").agg(F.min("text").alias("text"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, tau: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, every: DataFrame, tau: int) -> DataFrame:
     """The pairs (a, b) of lines within ``tau`` edits."""
     pairs = stage(pairs, "line-pairs")
     wanted = stage(pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct(), "line-ids")
-    texts = stage(_texts(docs, wanted), "line-texts")
+    texts = stage(_texts(docs, every, wanted), "line-texts")
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches):
@@ -192,8 +188,8 @@ def _line_classes(docs: DataFrame, tau: int) -> DataFrame:
     texts = docs.select("doc_id", text_of().alias("text"))
     slim = texts.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = stage(slim.mapInPandas(lambda b: _rows(b, tau), ROWS), "lines")
-    every = rows.where("uid IS NOT NULL")
-    entries = rows.where("uid IS NULL").select("key", "lid", "n", "indexed")
+    every = rows.drop("keys", "indexed")
+    entries = rows.where("indexed > 0").select("lid", F.col("indexed").alias("own"), F.posexplode("keys").alias("at", "key")).select("key", "lid", (F.col("at") < F.col("own")).alias("indexed"))
     # Index entries with an indexed line and another one; the smallest indexed line stands for the entry.
     met = entries.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.min(F.when(F.col("indexed"), F.col("lid"))).alias("first"))
     met = stage(met.where("lo != hi AND first IS NOT NULL").select(F.col("key").alias("met"), "first"), "shared-segments")
@@ -204,7 +200,7 @@ def _line_classes(docs: DataFrame, tau: int) -> DataFrame:
     x, y = nodes.alias("x"), nodes.alias("y")
     stars = shared.where("lid != first").select(F.col("lid").alias("a"), F.col("first").alias("b")).distinct()
     near = stars.join(x, F.col("a") == F.col("x.lid")).join(y, F.col("b") == F.col("y.lid")).where(_may_link(tau)).select("a", "b")
-    links = _verified(near, texts, tau)
+    links = _verified(near, texts, every, tau)
     roots = components(links)
 
     placed = shared.join(roots, F.col("lid") == F.col("node"), "left").select("key", "lid", "indexed", F.coalesce("root", "lid").alias("root"))
@@ -212,7 +208,7 @@ def _line_classes(docs: DataFrame, tau: int) -> DataFrame:
     left = stage(placed.join(split, "key").join(nodes, "lid"), "unlinked-lines")
     across = left.where("indexed").alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _may_link(tau))
     cross = across.select(F.greatest("x.lid", "y.lid").alias("a"), F.least("x.lid", "y.lid").alias("b")).distinct()
-    roots = stage(components(links.union(_verified(cross, texts, tau))).withColumnRenamed("root", "of_root"), "line-roots")
+    roots = stage(components(links.union(_verified(cross, texts, every, tau))).withColumnRenamed("root", "of_root"), "line-roots")
     placed = join_small(every.select("uid", "doc_id", "line", "n", "lid"), roots, F.col("lid") == F.col("node"), "left", SLIM_ROWS)
     return stage(placed.select("uid", "doc_id", "line", "n", "lid", F.coalesce("of_root", "lid").alias("root")), "line-classes")
 
