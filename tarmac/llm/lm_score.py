@@ -26,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, stage
+from tarmac.llm.common import arrow_rows, join_small, stage
 
 WORD_SHARE, PAIR_SHARE, MU = 1e-5, 1e-6, 20.0
 #: Texts at once in a task, and counts that a task holds before it passes them on.
 TEXTS, HELD = 2_000, 400_000
+#: Target ids that may go to every task; more are joined by a shuffle.
+TARGET_ROWS = 1_000_000
 
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
@@ -150,8 +152,10 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: flo
     gives an empty result.
     """
     spark = docs.sparkSession
-    chosen = target.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn("target", F.lit(True))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    chosen = target.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("target_id")).distinct()
+    chosen = stage(chosen.withColumn("target", F.lit(True)), "target-ids")
+    texts = join_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, F.col("doc_id") == F.col("target_id"), "left", TARGET_ROWS)
+    texts = texts.select("text", F.coalesce("target", F.lit(False)).alias("target"))
     with arrow_rows(spark, TEXTS):
         model = train(texts, word_share, pair_share)
     shared = spark.sparkContext.broadcast(model)
