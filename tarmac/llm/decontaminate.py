@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import join_small, stage, text_of, worker_cache
+from tarmac.llm.common import arrow_rows, join_small, stage, text_of, worker_cache
 
 #: Masks of weight 7 over 11 places. Together they hit every aligned stretch of 13 places with at most two
 #: substitutions, wherever those are (a test goes through all of them).
@@ -31,6 +31,7 @@ MASKS = ("11011011001", "10101001111", "11001101011", "10011111001")
 #: An overlap has at least this many aligned places (or the whole item, if it is shorter), this share of them equal.
 MIN_OVERLAP, MIN_EQUAL = 13, 0.8
 BLOCK_TOKENS = 2_000_000
+ARROW_ROWS = 1_000
 
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 RESULT = "uid bigint, item_id bigint, start int, end int, equal int"
@@ -42,7 +43,7 @@ class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -171,7 +172,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...]
     contaminated.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
-    found = _per_row(rows, benchmark, masks, least, equal, block_tokens)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        found = stage(_per_row(rows, benchmark, masks, least, equal, block_tokens), "overlaps")
     return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "item_id", "start", "end", "equal", "text_key")
 
 

@@ -35,13 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import shared_path, shuffle_partitions, text_of, worker_cache
+from tarmac.llm.common import arrow_rows, shared_path, shuffle_partitions, text_of, worker_cache
 
 BLOCK_IDS = 65_536
 END_ID = 0
 ZSTD_LEVEL = 3
 #: Texts encoded at once, and pieces kept with their ids in a worker.
-BATCH_TEXTS, CACHE_PIECES = 1_000, 600_000
+BATCH_TEXTS, CACHE_PIECES = 400, 350_000
+ARROW_ROWS = 400
 
 BLOCKS = ("shard int, block int, first bigint, n_ids int, planes array<binary>, doc_seq bigint, "
           "doc_ids array<bigint>, pieces array<int>, piece_no int")
@@ -219,7 +220,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, block_ids: int = BL
     order = ["doc_id", F.xxhash64("text")]
     dealt = slim.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     blocks = dealt.mapInPandas(lambda batches: _blocks(batches, tokenizer, block_ids, bits), BLOCKS)
-    blocks.write.option("compression", "none").parquet(path)
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        blocks.write.option("compression", "none").parquet(path)
 
 
 def shift_crc(crc: int, n: int) -> int:

@@ -40,7 +40,7 @@ WINDOW_BYTES = 64
 STEPS, SHARES = (3, 5), (0.3, 0.45, 0.55)
 RIDGE = 0.3
 ANCHOR = b"<<0123456789abcdefghijklmnopqrstuvwxyz>>"
-CACHE = 250_000
+CACHE = 150_000
 
 _FOLD = bytes(range(256)).translate(bytes(32 if c in b".,;:!?" else c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
