@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -59,10 +60,26 @@ def worker_cache(owner: str, make):
     a worker serves many stages, and their caches together would not fit."""
     if owner not in _held:
         _held.clear()
+        _give_back()
         _held[owner] = make()
     return _held[owner]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system; else a worker keeps what its last operator needed at most."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Python workers get at most ``rows`` rows at once in the jobs run inside: bounds their memory where rows are wide."""

@@ -41,7 +41,7 @@ BLOCK_IDS = 65_536
 END_ID = 0
 ZSTD_LEVEL = 3
 #: Texts encoded at once, and pieces kept with their ids in a worker.
-BATCH_TEXTS, CACHE_PIECES = 400, 350_000
+BATCH_TEXTS, CACHE_PIECES = 400, 250_000
 ARROW_ROWS = 400
 
 BLOCKS = ("shard int, block int, first bigint, n_ids int, planes array<binary>, doc_seq bigint, "
