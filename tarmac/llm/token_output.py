@@ -21,6 +21,7 @@ to give back its documents.
 from __future__ import annotations
 
 import gc
+import os
 import re
 import zlib
 from array import array
@@ -90,6 +91,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # Tasks already use all cores; threads of a task would only hold memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
