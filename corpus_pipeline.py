@@ -6,13 +6,13 @@ stages the rows are written as Parquet and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import read, stage, text_of
+from tarmac.llm.common import WORD_RE, read, stage, text_of
 from tarmac.llm.decontaminate import clean_documents
 from tarmac.llm.mixing import mix, mixed_documents
-from tarmac.llm.ngram_join import similar_sets
+from tarmac.llm.ngram_join import first_of_each
 from tarmac.llm.queries import tokenizer_file
 from tarmac.llm.token_output import token_output
 from tarmac.llm.toxicity import harmless_documents
@@ -28,11 +28,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays
-    (of rows repeated with it, one); documents without words all stay, but
-    for repeated rows."""
-    groups = stage(similar_sets(docs, WORDS, NUM, DEN).where("doc_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct(), "kept-ids")
-    kept = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text_of())))).where("_row = 1").drop("_row")
+    (null ids last; of one id's texts the one with the smallest MD5; of rows
+    repeated with id and text, one). Texts that share an id or have none are
+    documents of their own. Documents without words all stay, but for rows
+    repeated with their id."""
+    first = stage(first_of_each(docs, WORDS, NUM, DEN).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_first")), "kept-texts")
+    nameless = F.col("doc_id").isNull() & ~text_of().rlike(WORD_RE)  # nothing says that two of these are one document
+    keyed = docs.where(~nameless).withColumn("_key", F.md5(text_of()))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").union(docs.where(nameless))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage, worker_cache
+from tarmac.llm.common import arrow_rows, join_small, stage, text_of, worker_cache
 from tarmac.llm.components import components
 
 SHINGLE, NUM, DEN = 3, 90, 100
@@ -101,7 +101,7 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 
 _WORDS64 = PARITY_BITS // 64
-SETS = "uid bigint, doc_id bigint, n int, sid bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", wide binary, elements binary"
+SETS = "uid bigint, doc_id bigint, text_key string, n int, sid bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", wide binary, elements binary"
 
 
 def wide_parity(elements: np.ndarray) -> bytes:
@@ -122,11 +122,11 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in SETS.split(", ")]
     for pdf in batches:
         rows = []
-        for uid, doc_id, text in pdf[["uid", "doc_id", "text"]].itertuples(index=False):
+        for uid, doc_id, key, text in pdf[["uid", "doc_id", "text_key", "text"]].itertuples(index=False):
             e = shingles(text, k)
             data = pack(e)
             sid = xxhash.xxh3_64_intdigest(data, seed=len(e)) - (1 << 63)
-            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), len(e), sid, *parity(e).tolist(), wide_parity(e), data))
+            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), key, len(e), sid, *parity(e).tolist(), wide_parity(e), data))
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
@@ -270,11 +270,25 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = D
     Shingles are compared by 48-bit hashes, sets by size and 64-bit hash.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
-        return _similar_sets(docs, k, num, den)
+        return _similar_sets(docs, k, num, den).drop("text_key", "root")
+
+
+def first_of_each(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, text_key) of the text that stays of each component: the smallest
+    doc_id (null last), then the smallest ``text_key`` (MD5 of the text).
+
+    Equal texts are in one component, so a pair belongs to one component only.
+    Texts without words are each their own component and all listed.
+    """
+    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+        rows = stage(_similar_sets(docs, k, num, den).select("doc_id", "text_key", "n_shingles", "root"), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
+    of_component = rows.where("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
+    return of_component.union(rows.where("n_shingles = 0").select("doc_id", "text_key").distinct())
 
 
 def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("text_key"), "text")
     sets = stage(rows.mapInPandas(lambda b: _sets(b, k), SETS), "sets")
     full = sets.where("n > 0")
     sketch = [f"s{i}" for i in range(_WORDS64)]
@@ -320,10 +334,10 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     known = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", "class_size", F.coalesce("root", "sid").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = stage(known.join(least, "root").select("sid", F.col("n").alias("class_n"), "component_id", "class_size"), "set-components")
-    out = sets.select("doc_id", "n", "sid").join(of_class.withColumnRenamed("sid", "class"), (F.col("sid") == F.col("class")) & (F.col("n") == F.col("class_n")), "left")
+    of_class = stage(known.join(least, "root").select("sid", F.col("n").alias("class_n"), "component_id", "class_size", "root"), "set-components")
+    out = sets.select("doc_id", "text_key", "n", "sid").join(of_class.withColumnRenamed("sid", "class"), (F.col("sid") == F.col("class")) & (F.col("n") == F.col("class_n")), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-                      F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
+                      F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "text_key", "root")
 
 
 def _with_listed(sets: DataFrame, frequent: np.ndarray, member: np.ndarray, num: int, den: int) -> DataFrame:

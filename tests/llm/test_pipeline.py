@@ -1,5 +1,6 @@
 """Each stage on its own input against a plain version, and the whole run."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -79,3 +80,19 @@ def test_tokens_are_those_of_the_mix(stages):
 
 def test_run(spark, stages):
     assert cp.ORACLE_SQL is None and sorted(map(str, cp.run(spark, SF).drop("shard").collect())) == sorted(map(str, stages[-1][2].drop("shard").collect()))
+
+
+def test_null_and_repeated_ids_are_no_copies(spark):
+    say = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (None, say("c") + " more"),  # the last two: one group
+            (7, say("d")), (7, say("e")), (7, say("e")),  # two texts of one id, one of them repeated
+            (3, say("f")), (None, say("f")), (None, say("f") + " more"), (9, say("f") + " more"),  # copies of document 3
+            (5, say("g")), (4, say("g") + " more"), (5, say("h")),  # 5 has a copy of 4, and another text
+            (None, ""), (None, None), (6, ""), (6, ""), (8, " ")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, row int")
+    done = cp.near_duplicates(spark, docs, SF)
+    assert done.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in done.collect()), key=str)
+    c = min((t for _, t in rows[2:4]), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [*rows[:2], (None, c), *rows[4:6], rows[7], *rows[12:14], (None, ""), (None, None), (6, ""), (8, " ")]
+    assert got == sorted(want, key=str)
