@@ -8,11 +8,15 @@ the lower, the more it reads like the target.
     P(w)     = (c(w) + 1) / (N + V + 1)
     P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)
 
-All counts are over all texts. The vocabulary is the words of at least
-``WORD_SHARE`` of all tokens, the bigrams those of at least ``PAIR_SHARE``;
-shares bound the model's size whatever the corpus (at most 1 / share
-entries), so it can go to every task. Rarer words are one unknown word,
-rarer bigrams have count 0 in both models.
+All counts are over all texts, and every word and bigram counts. Words of at
+least ``WORD_SHARE`` of all tokens and bigrams of at least ``PAIR_SHARE`` of
+them (at most 1 / share each) are few and go to every task with their counts;
+so hot keys are not shuffled. The tokens that need another count meet in one
+shuffle: rare words by word, rare bigrams of a frequent word by bigram. There
+they are counted and give their part of their document's loss, for
+    -log P(w | u) = log(c(u) + MU) - log(c(u, w) + MU P(w))
+needs c(u) where u is and the rest where w is. Rare words and bigrams are
+named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage
+from tarmac.llm.common import arrow_rows, join_small, stage, worker_cache
 
 WORD_SHARE, PAIR_SHARE, MU = 1e-5, 1e-6, 20.0
 #: Texts at once in a task, and counts that a task holds before it passes them on.
@@ -90,6 +94,7 @@ class Model:
     totals: np.ndarray  # (2,)
     keys: np.ndarray  # ascending pair keys
     bigrams: np.ndarray  # (2, number of keys)
+    words: int = 0  # different words, known or not
 
 
 def losses(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -139,10 +144,103 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, pair_share: float =
     # At most 1 / pair_share rows.
     often = seen.where(F.col("background") + F.col("target") >= max(1.0, pair_share * n)).toPandas().sort_values("pair")
     columns = ["background", "target"]
-    return Model(known, vocabulary[columns].to_numpy(float).T.copy(), totals, often["pair"].to_numpy(np.int64).copy(), often[columns].to_numpy(float).T.copy())
+    return Model(known, vocabulary[columns].to_numpy(float).T.copy(), totals, often["pair"].to_numpy(np.int64).copy(), often[columns].to_numpy(float).T.copy(), counts.count())
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+#: Flags of a token: in a target text, another token follows, the first of its text.
+TARGET, FOLLOWED, FIRST = 1, 2, 4
+TOKENS = "uid bigint, doc_id string, n_tokens int, background double, aim double, k1 bigint, k2 bigint, wid int, flags int"
+
+
+class _Hashes(dict):
+    """64-bit hashes of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 120_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _tokens(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per text with the part of its loss (a sum over tokens) that ``model`` knows, and one per token that needs other counts."""
+    ids_of, hashes, v = _Ids(model.known), worker_cache("lm-words", _Hashes), len(model.known)
+    size = (model.totals + model.words + 1)[:, None]
+    for pdf in batches:
+        heads, tails = [], []
+        for uid, doc_id, text, target in zip(pdf["uid"], pdf["doc_id"], pdf["text"], pdf["target"]):
+            said = words(text)
+            n = len(said)
+            loss = np.zeros(2)
+            if n:
+                ids = np.fromiter(map(ids_of.__getitem__, said), np.int64, n)
+                frequent = ids < v
+                key = pairs(ids, v)
+                at = np.minimum(np.searchsorted(model.keys, key), max(0, len(model.keys) - 1))
+                hot = model.keys[at] == key if len(model.keys) else np.zeros(n - 1, bool)
+                loss += np.log(model.unigrams[:, ids[:-1][frequent[:-1] & ~hot]] + MU).sum(1)
+                p = (model.unigrams[:, ids[1:][hot]] + 1) / size
+                loss -= np.log((model.bigrams[:, at[hot]] + MU * p) / (model.unigrams[:, ids[:-1][hot]] + MU)).sum(1)
+                if frequent[0]:
+                    loss -= np.log((model.unigrams[:, ids[0]] + 1) / size[:, 0])
+                left = np.concatenate([[not frequent[0]], ~hot])
+                if left.any():
+                    h = np.fromiter(map(hashes.__getitem__, said), np.uint64, n)
+                    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
+                    with np.errstate(over="ignore"):
+                        both = (h ^ (before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x85EBCA77))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                    both ^= both >> np.uint64(31)
+                    flags = np.full(n, TARGET * bool(target) + FOLLOWED, np.int32)
+                    flags[0] += FIRST
+                    flags[-1] -= FOLLOWED
+                    one = (np.where(frequent, both, h), np.where(frequent, 0, before), np.where(frequent, ids, -1), flags)
+                    tails.append((np.full(left.sum(), uid, np.int64), *(x[left] for x in one)))
+            heads.append((uid, doc_id, n, *loss.tolist(), uid, 0, -1, -1))
+        names = [x.split()[0] for x in TOKENS.split(", ")]
+        yield pd.DataFrame(heads, columns=names)
+        if tails:
+            uid, k1, k2, wid, flags = (np.concatenate(x) for x in zip(*tails))
+            none = {"doc_id": None, "n_tokens": np.int32(0), "background": 0.0, "aim": 0.0}
+            yield pd.DataFrame({"uid": uid, **none, "k1": k1.astype(np.uint64).view(np.int64), "k2": k2.astype(np.uint64).view(np.int64), "wid": wid, "flags": flags})[names]
+
+
+def _sums(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds up the losses of counted tokens, by text; once per text in a batch."""
+    size = (model.totals + model.words + 1)[:, None]
+    for pdf in batches:
+        wid, flags = pdf["wid"].to_numpy(), pdf["flags"].to_numpy()
+        loss, token = pdf[["background", "aim"]].to_numpy(float).T.copy(), flags >= 0
+        of_key, of_both = pdf[["c1_background", "c1_target"]].to_numpy(float).T, pdf[["c2_background", "c2_target"]].to_numpy(float).T
+        rare, first = token & (wid < 0), token & (flags & FIRST > 0)
+        c = of_key.copy()  # of the word; a frequent word's key is its bigram
+        c[:, token & ~rare] = model.unigrams[:, wid[token & ~rare]]
+        p = (c + 1) / size
+        last = np.where(first, p, of_both + MU * p)
+        loss[:, token] -= np.log(last[:, token])
+        ends = rare & (flags & FOLLOWED > 0)
+        loss[:, ends] += np.log(c[:, ends] + MU)
+        uids, at = np.unique(pdf["uid"].to_numpy(), return_inverse=True)
+        out = pd.DataFrame({"uid": uids, "doc_id": pd.Series([None] * len(uids), dtype=object)})
+        for name, x in (("n_tokens", pdf["n_tokens"].to_numpy()), ("background", loss[0]), ("aim", loss[1])):
+            out[name] = np.bincount(at, x, len(uids))
+        out.loc[at[~token], "doc_id"] = pdf["doc_id"].to_numpy()[~token]
+        yield out.astype({"n_tokens": "int64"})
+
+
+def whole_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, n_tokens, background, aim) of ``rows`` (uid, doc_id, text, target), by the counts of all words and bigrams in them."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    each = rows.mapInPandas(lambda b: _tokens(shared.value, b), TOKENS)
+    count = lambda of, *by: F.sum((F.col("flags").bitwiseAND(TARGET) == of).cast("long")).over(Window.partitionBy(*by))
+    each = each.withColumns({"c1_background": count(0, "k1"), "c1_target": count(1, "k1")})
+    each = each.withColumns({"c2_background": count(0, "k1", "k2"), "c2_target": count(1, "k1", "k2")})
+    sums = each.mapInPandas(lambda b: _sums(shared.value, b), "uid bigint, doc_id string, n_tokens bigint, background double, aim double")
+    return sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "background", "aim"))).drop("uid")
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: float | None = None, pair_share: float | None = None) -> DataFrame:
     """One row per row of ``docs`` (needs doc_id, text): doc_id, n_tokens, loss_target, loss_background, score.
 
     ``target`` has the doc_id of the documents that make the target model, all
@@ -150,14 +248,26 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: flo
     have no tokens, losses and score 0. Repeated rows count and are scored
     each. Without target documents the target model is uniform. An empty table
     gives an empty result.
+
+    With shares, words of less than ``word_share`` of all tokens are one
+    unknown word, and bigrams of less than ``pair_share`` have count 0.
     """
     spark = docs.sparkSession
     chosen = target.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("target_id")).distinct()
     chosen = stage(chosen.withColumn("target", F.lit(True)), "target-ids")
-    texts = join_small(docs.select("doc_id", F.col("text").cast("string").alias("text")), chosen, F.col("doc_id") == F.col("target_id"), "left", TARGET_ROWS)
-    texts = texts.select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    every = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("string").alias("text"))
+    texts = join_small(every, chosen, F.col("doc_id") == F.col("target_id"), "left", TARGET_ROWS)
+    texts = texts.select("uid", "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    whole = word_share is None and pair_share is None
     with arrow_rows(spark, TEXTS):
-        model = train(texts, word_share, pair_share)
+        model = train(texts.select("text", "target"), WORD_SHARE if word_share is None else word_share, PAIR_SHARE if pair_share is None else pair_share)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if whole:
+        n = F.greatest("n_tokens", F.lit(1))
+        with arrow_rows(spark, TEXTS):
+            sums = stage(whole_scores(texts.withColumn("doc_id", F.col("doc_id").cast("string")), model), "losses")
+        return sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", (F.col("aim") / n).alias("loss_target"),
+                           (F.col("background") / n).alias("loss_background"), ((F.col("aim") - F.col("background")) / n).alias("score"))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -173,7 +283,6 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: flo
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = slim.mapInPandas(run, "doc_id string, n_tokens bigint, loss_target double, loss_background double, score double")
     return scored.withColumn("doc_id", F.col("doc_id").cast(kind))

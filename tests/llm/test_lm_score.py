@@ -1,6 +1,7 @@
 """Losses against a plain computation, token by token."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -50,6 +51,22 @@ def test_losses_match(spark, shares):
     assert all(r.score == pytest.approx(r.loss_target - r.loss_background) for r in rows)
 
 
+@pytest.mark.parametrize("frequent", [(1e-5, 1e-6), (0.001, 0.0005), (0.5, 0.5)])
+def test_rare_words_and_bigrams_count(spark, monkeypatch, frequent):
+    """However many words and bigrams count as frequent, the losses are those of all."""
+    monkeypatch.setattr(lm, "WORD_SHARE", frequent[0])
+    monkeypatch.setattr(lm, "PAIR_SHARE", frequent[1])
+    rnd = random.Random(5)
+    filler = [(100 + i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 9000}" for _ in range(rnd.choice([1, 2, 300])))) for i in range(400)]
+    rows = TEXTS + filler + [(7, "cat " * 200_000)] + filler[:3]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    chosen = {1, 2, *range(100, 200)}
+    got = lm.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in chosen], "doc_id bigint")).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.loss_target, r.loss_background) for r in got), key=str)
+    for a, b in zip(got, plain(rows, chosen, 0, 0), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert lm.cross_entropy_difference(docs, docs).count() == 0
