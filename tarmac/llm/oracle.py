@@ -42,3 +42,18 @@ FROM running
 """
 
 SQL = {"op5_exact_dedup": _EXACT, "op7_source_mix": _MIX}
+
+_URLS = r"""
+WITH cut AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+     parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^?#]*') AS upto FROM cut),
+     named AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(upto, length(raw) + 1) AS path FROM parts),
+     rules(verdict, of, start) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+     best AS (SELECT n.page_id, n.host, n.path, max_by(r.of || r.start, length(r.of || r.start)) AS rule, max_by(r.verdict, length(r.of || r.start)) AS verdict
+              FROM (SELECT DISTINCT page_id, host, path FROM named) n
+              JOIN rules r ON (n.host = r.of OR ends_with(n.host, '.' || r.of)) AND starts_with(n.path, r.start) GROUP BY ALL)
+SELECT n.page_id, n.host, n.path, b.rule,
+       coalesce(b.verdict, CASE WHEN regexp_matches(n.host, '(^|\.)([^.]*-)?(ads|adult|bets|casino|pills|spam)(-[^.]*)?\.') THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n LEFT JOIN best b ON n.page_id IS NOT DISTINCT FROM b.page_id AND n.host = b.host AND n.path = b.path
+"""
+
+SQL |= {"op11_url_filter": _URLS}

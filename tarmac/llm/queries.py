@@ -78,6 +78,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(read(spark, sf_dir, "documents")).drop("class_size")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.url_filter import judge_urls
+
+    return judge_urls(read(spark, sf_dir, "pages")).drop("listed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
