@@ -35,7 +35,7 @@ def test_rules_and_list(spark, slice_words):
     assert sorted(got, key=key) == sorted([(i, *plain(url)) for i, url in URLS], key=key)
 
 
-@pytest.mark.parametrize(("first", "later", "slice_words"), [(0.7, 0.5, 80), (0.05, 0.1, u.SLICE_WORDS)])
+@pytest.mark.parametrize(("first", "later", "slice_words"), [(0.7, 0.5, 4), (0.05, 0.1, u.SLICE_WORDS)])
 def test_membership_is_exact(spark, first, later, slice_words):
     universe = spark.range(1000).select(F.concat(F.lit("host"), F.col("id")).alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     c = u.build(universe, first, later, slice_words)
