@@ -84,6 +84,12 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).drop("listed")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.periodic_runs import periodic_runs, planted
+
+    return periodic_runs(read(spark, sf_dir, "documents"), planted)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
