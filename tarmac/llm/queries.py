@@ -84,6 +84,13 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages")).drop("listed")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarmac.llm.conversation_repair import damaged, repair_report
+
+    conversations = read(spark, sf_dir, "conversations")
+    return repair_report(damaged(conversations), conversations)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarmac.llm.periodic_runs import periodic_runs, planted
 
