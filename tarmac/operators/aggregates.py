@@ -51,44 +51,54 @@ def exact_quantiles(df: DataFrame, value_cols: Sequence[str], probs: Sequence[fl
     """Exact, linearly interpolated quantiles of several columns (per ``keys``
     group): rows ``(*keys, measure, q)`` with ``q`` an array aligned with ``probs``.
 
-    Two steps, both distributed: a value histogram ``(keys, measure, value)
-    -> count`` (partial aggregation per task, shuffled by value), then
-    ``percentile(value, p, count)`` per group over at most one row per
-    distinct value. Calling ``percentile`` on the raw column instead would
-    merge every task's value map for a group in a single reducer, which at
-    100k tasks (or with one group holding a third of the rows) is the
-    bottleneck. All columns share one scan.
+    Read from a range-partitioned value histogram: no task holds all values
+    of a measure. All columns share one scan.
     """
-    items = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("_v")) for c in value_cols]
-    long = df.select(*[F.col(k) for k in keys], F.inline(F.array(*items))).filter(F.col("_v").isNotNull())
-    hist = long.groupBy(*keys, "measure", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    return hist.groupBy(*keys, "measure").agg(F.percentile("_v", list(probs), F.col("_n")).alias("q"))
+    from tarmac.operators.histogram import quantiles, value_histogram
+
+    return quantiles(value_histogram(df, value_cols, keys), probs, keys)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """Pearson correlation of every ordered pair, long form ``(col_a, col_b, corr)``.
 
-    One scan: each row's values become an array; two ``posexplode`` steps
-    emit the upper triangle ``(i, j, x, y)`` and a single ``corr`` is grouped
-    by pair, so partial aggregation sends one row per pair per task to the
-    shuffle. (21 ``corr`` columns in one ``agg`` would exceed
-    ``spark.sql.codegen.maxFields`` and run interpreted; one struct per pair
-    makes the generated code several times larger to compile.) ``corr`` is
-    the numerically stable co-moment form and skips a row only for the pairs
-    where it has a NULL (pairwise-complete). The diagonal is computed like
-    any pair (1, or NULL for a constant column); the triangle is mirrored.
+    One pass, one row in and none made: rows are grouped by which of their
+    values are present (usually a single group), and each group carries its
+    count, the sums of the values and of their products. A pair's sums are
+    those of the groups where both are present, so the matrix is
+    pairwise-complete. Values are shifted by those of one complete row first
+    (by 0 if no row is complete), which keeps the sums small beside the
+    deviations when the values are far from zero; that row is read by a
+    scalar subquery that stops at it. A constant column has no correlation
+    (NULL), also with itself.
     """
     cols = list(cols)
-    vals = F.array(*[F.col(c).cast("double") for c in cols])
+    k = range(len(cols))
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    complete = df.dropna("any", subset=cols).limit(1).select(F.array(*x).alias("typical")).scalar()
+    typical = [F.coalesce(complete[i], F.lit(0.0)) for i in k]
+    present = sum((F.when(v.isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, v in enumerate(x)), F.lit(0).cast("bigint"))
+    shifted = df.select(present.alias("present"), *[F.coalesce(v - t, F.lit(0.0)).alias(f"z{i}") for i, (v, t) in enumerate(zip(x, typical))])
+    pairs = [(i, j) for i in k for j in k if i <= j]
+    groups = shifted.groupBy("present").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(f"z{i}").alias(f"s{i}") for i in k], *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+
+    # From here on a row per group of rows, then a row per pair.
+    of_pair = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col("n"), F.col(f"s{i}").alias("sa"), F.col(f"s{j}").alias("sb"), F.col(f"p{i}_{i}").alias("aa"),
+                        F.col(f"p{j}_{j}").alias("bb"), F.col(f"p{i}_{j}").alias("ab"), (F.col("present").bitwiseAND((1 << i) | (1 << j)) == ((1 << i) | (1 << j))).alias("both")) for i, j in pairs]
+    both = lambda c: F.sum(F.when(F.col("both"), F.col(c))).alias(c)
+    tri = groups.select(F.inline(F.array(*of_pair))).groupBy("i", "j").agg(*[both(c) for c in ("n", "sa", "sb", "aa", "bb", "ab")])
+
+    def about_mean(product: str, a: str, b: str) -> Column:
+        return F.col(product) - F.col(a) * F.col(b) / F.col("n")
+
+    spread = F.sqrt(F.greatest(about_mean("aa", "sa", "sa"), F.lit(0.0))) * F.sqrt(F.greatest(about_mean("bb", "sb", "sb"), F.lit(0.0)))
+    corr = F.try_divide(about_mean("ab", "sa", "sb"), F.nullif(spread, F.lit(0.0)))
     names = F.array(*[F.lit(c) for c in cols])
-    first = df.select(F.posexplode(vals).alias("i", "x"), vals.alias("_v"))
-    pairs = first.select("i", "x", F.posexplode(F.slice("_v", F.col("i") + 1, len(cols))).alias("k", "y"))
-    tri = pairs.groupBy("i", "k").agg(rnd(F.corr("x", "y"), scale).alias("corr"))
-    a = F.element_at(names, F.col("i") + 1)
-    b = F.element_at(names, F.col("i") + F.col("k") + 1)
-    fwd = F.struct(a.alias("col_a"), b.alias("col_b"), F.col("corr"))
-    rev = F.struct(b.alias("col_a"), a.alias("col_b"), F.col("corr"))
-    return tri.select(F.inline(F.when(F.col("k") == 0, F.array(fwd)).otherwise(F.array(fwd, rev))))
+    a, b = F.element_at(names, F.col("i") + 1), F.element_at(names, F.col("j") + 1)
+    one = tri.withColumn("corr", rnd(F.when(corr > 1, F.lit(1.0)).when(corr < -1, F.lit(-1.0)).otherwise(corr), scale))
+    there, back = F.struct(a.alias("col_a"), b.alias("col_b"), F.col("corr")), F.struct(b.alias("col_a"), a.alias("col_b"), F.col("corr"))
+    return one.select(F.inline(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))))
 
 
 def column_means(df: DataFrame, cols: Sequence[str], label: str = "column", value: str = "mean") -> DataFrame:

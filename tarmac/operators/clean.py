@@ -51,11 +51,11 @@ def iqr_bounds(
 ) -> DataFrame:
     """One-row frame of ``{m}_q1, {m}_q3, {m}_lower, {m}_upper`` per measure.
 
-    Exact quantiles (linear interpolation, as pandas) come from a distributed
-    value histogram (``exact_quantiles``), which stays small for whole-minute
-    delays; for continuous measures with billions of distinct values use
-    ``approx=True`` (``percentile_approx``, a mergeable sketch). All measures
-    share one scan of the same pre-filter frame.
+    Exact quantiles (linear interpolation, as pandas) come from a
+    range-partitioned value histogram, of which only the parts that hold a
+    quartile are sorted; ``approx=True`` takes ``percentile_approx`` (a
+    mergeable sketch) instead. All measures share one scan of the same
+    pre-filter frame.
     """
     df = df.withColumns({m: nan_to_null(F.col(m)) for m, t in df.dtypes if m in measures and t in ("double", "float")})
     if approx:
@@ -67,13 +67,20 @@ def iqr_bounds(
     else:
         from tarmac.operators.aggregates import exact_quantiles
 
-        long = exact_quantiles(df, measures, [0.25, 0.75])
-        aggs = []
-        for m in measures:
-            mine = F.col("measure") == m
-            aggs += [F.max(F.when(mine, F.col("q")[0])).alias(f"{m}_q1"),
-                     F.max(F.when(mine, F.col("q")[1])).alias(f"{m}_q3")]
-        q = long.agg(*aggs)
+        return bounds_of(exact_quantiles(df, measures, [0.25, 0.75]), measures, k)
+    return _spread(q, measures, k)
+
+
+def bounds_of(quartiles: DataFrame, measures: Sequence[str], k: float = 1.5) -> DataFrame:
+    """The bounds from rows (measure, [q1, q3])."""
+    aggs = []
+    for m in measures:
+        mine = F.col("measure") == m
+        aggs += [F.max(F.when(mine, F.col("q")[0])).alias(f"{m}_q1"), F.max(F.when(mine, F.col("q")[1])).alias(f"{m}_q3")]
+    return _spread(quartiles.agg(*aggs), measures, k)
+
+
+def _spread(q: DataFrame, measures: Sequence[str], k: float) -> DataFrame:
     out = []
     for m in measures:
         q1, q3 = F.col(f"{m}_q1"), F.col(f"{m}_q3")

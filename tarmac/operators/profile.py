@@ -63,31 +63,17 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, interpolated), max.
 
-    One row per column, statistics rounded at ``scale``, all from one scan:
-    the columns are stacked into a value histogram ``(column, value) ->
-    count`` (distributed, partial aggregation per task), and every statistic
-    is read from it: moments with a two-pass (mean, then squared deviations)
-    formula over the distinct values, quartiles with ``percentile(value, p,
-    count)``. NULLs are kept in the histogram so a column with no values
+    One row per column, statistics rounded at ``scale``, all read from one
+    range-partitioned value histogram of one scan. A column without values
     still gets a row (count 0).
     """
-    from pyspark.sql import Window
-
-    items = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_v")) for c in cols]
-    hist = df.select(F.inline(F.array(*items))).groupBy("column_name", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    v, n = F.col("_v"), F.when(F.col("_v").isNotNull(), F.col("_n"))
-    w = Window.partitionBy("column_name")
-    h = hist.withColumn("_mean", F.try_divide(F.sum(v * n).over(w), F.sum(n).over(w)))
-    stats = h.groupBy("column_name").agg(
-        F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("count"),
-        F.max("_mean").alias("_m"),
-        F.sqrt(F.try_divide(F.sum(n * (v - F.col("_mean")) * (v - F.col("_mean"))), F.sum(n) - 1)).alias("_s"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, [0.25, 0.5, 0.75], F.col("_n")).alias("_q"),
-    )
-    return stats.select(
-        "column_name", "count", rnd("_m", scale).alias("mean"), rnd("_s", scale).alias("std"), "min",
-        *[rnd(F.col("_q")[i], scale).alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "max")
+    from tarmac.operators.histogram import moments, quantiles, value_histogram
+
+    hist = value_histogram(df, cols)
+    both = moments(hist).join(quantiles(hist, [0.25, 0.5, 0.75]), "measure", "left")
+    return both.select(
+        F.col("measure").alias("column_name"), "count", rnd("mean", scale).alias("mean"), rnd("std", scale).alias("std"), "min",
+        *[rnd(F.col("q")[i], scale).alias(name) for i, name in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -97,32 +83,32 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _long(wide, items, "column_name")
 
 
-def boxplot_stats(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """The numbers behind a box plot: quartiles, whisker ends (furthest data
-    point inside ``k``·IQR) and the outlier count.
+def boxplot_stats(df: DataFrame, cols: str | Sequence[str], k: float = 1.5) -> DataFrame:
+    """The numbers behind a box plot of each column: quartiles, whisker ends
+    (furthest data point inside ``k``·IQR) and the outlier count. One scan."""
+    from tarmac.operators.histogram import box_numbers, value_histogram
+
+    return box_numbers(value_histogram(df, [cols] if isinstance(cols, str) else cols), k).withColumnRenamed("measure", "column_name")
+
+
+def boxplot_stages(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
+    """``boxplot_stats`` of each column before and after the outlier filter over
+    all of them, with the column ``stage``, from one scan.
 
-    Quartiles come from a distributed value histogram and enter the second
-    pass as scalar subqueries (one-row plan, run once); both results are
-    single rows.
+    Rows are counted by their values in all columns together; the histograms
+    of both stages are sums of those counts, and the filter's bounds follow
+    from the first.
     """
-    from tarmac.operators.aggregates import exact_quantiles
-
-    x = F.col(col)
-    q = exact_quantiles(df, [col], [0.25, 0.5, 0.75]).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    q1, med, q3 = q.select("q1").scalar(), q.select("median").scalar(), q.select("q3").scalar()
-    lo = q1 - F.lit(k) * (q3 - q1)
-    hi = q3 + F.lit(k) * (q3 - q1)
-    inside = (x >= lo) & (x <= hi)
-    return df.agg(
-        F.lit(col).alias("column_name"),
-        q1.alias("q1"),
-        med.alias("median"),
-        q3.alias("q3"),
-        F.min(F.when(inside, x)).cast("double").alias("whisker_low"),
-        F.max(F.when(inside, x)).cast("double").alias("whisker_high"),
-        F.count_if(x.isNotNull() & ~inside).alias("outliers"),
-    )
+    from tarmac.operators.clean import bounds_of, iqr_filter_with
+    from tarmac.operators.histogram import box_numbers, quantiles, value_histogram
+    from tarmac.session import keep
+
+    cols = list(cols)
+    joint = keep(df.groupBy(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).agg(F.count(F.lit(1)).alias("_rows")))
+    before = value_histogram(joint, cols, weight="_rows")
+    inside = iqr_filter_with(joint, bounds_of(quantiles(before, [0.25, 0.75]), cols, k), cols)
+    stages = [box_numbers(h, k).withColumn("stage", F.lit(name)) for name, h in (("before", before), ("after", value_histogram(inside, cols, weight="_rows")))]
+    return stages[0].unionByName(stages[1]).withColumnRenamed("measure", "column_name")
 
 
 def head(df: DataFrame, n: int = 5, order: Sequence[str] | None = None) -> DataFrame:

@@ -83,16 +83,7 @@ def prof_minmax(spark, d):
 
 
 def prof_boxplot(spark, d):
-    p = prepare(spark, d)
-    parts = [
-        P.boxplot_stats(frame, m).withColumn("stage", F.lit(stage))
-        for stage, frame in (("before", p.flights0), ("after", p.flights))
-        for m in (ARR, DEP)
-    ]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
+    return P.boxplot_stages(_f0(spark, d), [ARR, DEP])
 
 
 def prof_head(spark, d):

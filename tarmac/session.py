@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+from collections import OrderedDict
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", app: str = "tarmac", shuffle_partitions: int | None = None,
@@ -73,3 +78,59 @@ def materialize(df, name: str = "stage"):
     path = f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+#: Kept frames at most; beyond, the one that was used least recently goes.
+KEPT_FRAMES = 64
+_KEPT: OrderedDict[tuple[str, int], DataFrame] = OrderedDict()
+_KEPT_LOCK = threading.RLock()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Have ``df`` computed once, by whichever query needs it first, for all
+    that read it: a small aggregate that several plans share.
+
+    Nothing runs here. The rows lie in the executors' storage (memory, then
+    their disks); those of a lost executor are computed again from the data.
+    An equal plan over the same files gets the frame that is kept already.
+    ``release`` gives the storage back; beyond ``KEPT_FRAMES`` the least
+    recently used frame is given back by itself.
+    """
+    key = (_application(df.sparkSession), df.semanticHash())
+    with _KEPT_LOCK:
+        held = _KEPT.get(key)
+        if held is not None and held.sameSemantics(df):
+            _KEPT.move_to_end(key)
+            return held
+        _KEPT[key] = df.persist(StorageLevel.MEMORY_AND_DISK)
+        while len(_KEPT) > KEPT_FRAMES:
+            _KEPT.popitem(last=False)[1].unpersist()
+        return df
+
+
+def _application(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
+def release(frames: list[DataFrame] | None = None) -> None:
+    """Give back the storage of kept frames (all of them by default)."""
+    with _KEPT_LOCK:
+        for key, df in list(_KEPT.items()):
+            if frames is None or any(df is f for f in frames):
+                del _KEPT[key]
+                df.unpersist()
+
+
+@contextmanager
+def keeping() -> Iterator[None]:
+    """Frames first kept inside are released at the end."""
+    with _KEPT_LOCK:
+        before = {id(f) for f in _KEPT.values()}
+    try:
+        yield
+    finally:
+        with _KEPT_LOCK:
+            release([f for f in _KEPT.values() if id(f) not in before])

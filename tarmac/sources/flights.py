@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarmac.operators.clean import iqr_bounds
-from tarmac.session import shared_dir
+from tarmac.session import keeping, shared_dir
 from tarmac.sources.tables import Tables
 from tarmac.spec import DEFAULT, FlightSpec
 
@@ -307,7 +307,8 @@ def prepare(spark: SparkSession, sf_dir: str, spec: FlightSpec = DEFAULT, rebuil
             attempt = uuid.uuid4().hex
             at = f"{root}/attempt-{attempt}"
             derive_flights0(spark, sf_dir).write.parquet(f"{at}/flights0")
-            iqr_bounds(spark.read.parquet(f"{at}/flights0"), spec.measures).write.parquet(f"{at}/bounds")
+            with keeping():
+                iqr_bounds(spark.read.parquet(f"{at}/flights0"), spec.measures).write.parquet(f"{at}/bounds")
             marker = spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("written"))
             marker.coalesce(1).write.parquet(f"{root}/done-{attempt}")
         else:

@@ -49,3 +49,16 @@ def frame(spark):
         return spark.createDataFrame([flight(**r) for r in rows], FLIGHT_SCHEMA)
 
     return make
+
+
+def counted(df):
+    """``df`` read through a counter, and how many times its rows have been read as a whole."""
+    spark = df.sparkSession
+    rows, seen = df.count(), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), lambda: seen.value / rows
