@@ -57,8 +57,12 @@ def q01_repeat_worst_routes(df: DataFrame, spec: FlightSpec = DEFAULT, top: int
 
 def q02_route_symmetry(df: DataFrame, spec: FlightSpec = DEFAULT, top: int | None = 20) -> DataFrame:
     """Each direction's mean delay against its reverse direction."""
+    return symmetry_layer(df.groupBy(spec.origin, spec.dest).agg(r2(F.avg(spec.arr)).alias("avg_delay")), spec, top)
+
+
+def symmetry_layer(route_avg: DataFrame, spec: FlightSpec = DEFAULT, top: int | None = 20) -> DataFrame:
+    """From (origin, dest, rounded mean): both directions side by side."""
     s = spec
-    route_avg = df.groupBy(s.origin, s.dest).agg(r2(F.avg(s.arr)).alias("avg_delay"))
     pairs = reverse_pairs(route_avg, s.origin, s.dest, ["avg_delay"])
     ab, ba = F.col("avg_delay_ab"), F.col("avg_delay_ba")
     out = pairs.select(
@@ -350,6 +354,11 @@ def q09_hour_risk(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
         r2(F.avg(s.arr)).alias("avg_arr_delay"),
         r2(F.avg(s.dep)).alias("avg_dep_delay"),
     )
+    return hour_layer(hours)
+
+
+def hour_layer(hours: DataFrame) -> DataFrame:
+    """Probabilities, ranks and labels from per-hour bucket counts and means."""
     tot = F.col("total_flights")
     probs = hours.select(
         "dep_hour", "total_flights", "avg_arr_delay", "avg_dep_delay",

@@ -6,16 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarmac.plans import analyses as Q
+from tarmac.plans.cells import all_cells, analyses
+from tarmac.session import keeping
 from tarmac.sources.flights import FLIGHT_COLUMNS, prepare, read_flights_csv
-from tarmac.sources.sinks import export_all, export_manifest, write_csv, write_table
-
-EXPORTED = [
-    "q01_repeat_worst_routes", "q02_route_symmetry", "q03_delay_recovery", "q04_airline_consistency",
-    "q05_airline_momentum", "q06_severity_profile", "q07_volume_vs_delay", "q08_dep_arr_profile",
-    "q09_hour_risk", "q10_monthly_rolling", "q11_cause_totals", "q12_dominant_cause",
-]
-
+from tarmac.sources.sinks import VersionedTable, export_all, export_manifest, write_csv
 
 def src_csv(spark: SparkSession, d: str) -> DataFrame:
     """The original (unfiltered) frame written as CSV, scanned back with the
@@ -44,19 +38,20 @@ def sink_csv(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sink_table(spark: SparkSession, d: str) -> DataFrame:
-    """Replace-load of the filtered frame into a catalog table."""
+    """Replace-load of the filtered frame behind one table name, twice; the
+    first version's reader stays valid, the second is current."""
     p = prepare(spark, d)
-    path = p.run_dir()
-    return write_table(p.flights, f"tarmac_airline_delays_{path.rsplit('/', 1)[-1]}", f"{path}/airline_delays")
+    table = VersionedTable(spark, "tarmac_airline_delays", f"{p.run_dir()}/airline_delays")
+    table.load(p.flights0)
+    return table.load(p.flights)
 
 
 def sink_query_exports(spark: SparkSession, d: str) -> DataFrame:
-    """One export per analysis; the manifest counts rows read back from each."""
+    """One export per analysis, all from one pass over the facts; the manifest
+    has the rows that were written."""
     p = prepare(spark, d)
-    f = p.flights
-    fns = {name: (lambda fn=getattr(Q, name): fn(f)) for name in EXPORTED}
-    paths = export_all(fns, f"{p.run_dir()}/exports")
-    return export_manifest(spark, paths)
+    with keeping():
+        return export_manifest(spark, export_all(analyses(*all_cells(p.flights)), f"{p.run_dir()}/exports"))
 
 
 IO_QUERIES = {

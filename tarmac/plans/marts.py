@@ -1,8 +1,10 @@
 """Report-layer tables (the reference's spreadsheet and dashboard feeds,
 whose files are not published; built from the prose description).
 
-All marts are compositions of the analyses: small aggregated frames joined
-or unioned on their keys, so their cost is the analyses' scans.
+All marts are compositions of the analyses' layers over counted facts
+(``tarmac.plans.cells``): one pass over the facts makes small cells, and all
+of a mart's parts, and all marts over the same facts, roll those up. Building
+a mart runs nothing.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.functions.labels import month_name, rag, route, time_of_day
+from tarmac.functions.labels import month_name, rag, time_of_day
 from tarmac.functions.numeric import r2
 from tarmac.operators.aggregates import pivot_mean
 from tarmac.operators.reshape import union_all
 from tarmac.plans import analyses as Q
-from tarmac.session import materialize
+from tarmac.plans import cells as C
 from tarmac.spec import DEFAULT, FlightSpec
 
 CONTROLLABLE = ("Late Aircraft Delay", "Carrier Delay")
@@ -35,24 +37,25 @@ def mart_controllable_pct(df: DataFrame, spec: FlightSpec = DEFAULT, causes=CONT
 def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABLE) -> DataFrame:
     """Headline KPIs as ``(metric, value)`` text rows, from ONE scan.
 
-    A single grouping-sets aggregate yields the per-month, per-carrier and
-    per-part-of-day means plus the global totals (about 40 rows); every KPI
+    The calendar cells give the per-month, per-carrier and per-part-of-day
+    means plus the global totals (about 40 rows, by grouping sets); every KPI
     is then read off those rows in one more single-row pass.
     ``avg_arrival_delay`` is the unweighted mean of the rounded monthly means
     (the README figure); ``avg_arrival_delay_rows`` is the row-level mean.
     Ties: "best"/"least" take the smallest key, "worst"/"most" the largest.
     """
+    return kpi_rows(C.calendar_cells(df, spec), spec, controllable)
+
+
+def kpi_rows(calendar: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABLE) -> DataFrame:
     s = spec
     labels = dict(s.causes)
-    base = df.select(
-        F.col(s.month).alias("m"), F.col(s.carrier).alias("c"), time_of_day(s.hour).alias("w"),
-        F.col(s.arr).alias("a"), *[F.col(c) for c in s.cause_cols],
-    )
+    base = calendar.withColumns({"m": F.col("month"), "c": F.col("airline"), "w": time_of_day("hour")})
     g = base.groupingSets([("m",), ("c",), ("w",), ()], "m", "c", "w").agg(
         F.grouping_id().alias("gid"),
-        F.count(F.lit(1)).alias("n"),
-        r2(F.avg("a")).alias("avg"),
-        *[F.sum(c).alias(c) for c in s.cause_cols],
+        C.flights().alias("n"),
+        C.mean("arr").alias("avg"),
+        *[F.sum(f"t{i}").alias(c) for i, c in enumerate(s.cause_cols)],
     )
     gid = F.col("gid")
     by_month, by_carrier, by_window, overall = gid == 3, gid == 5, gid == 6, gid == 7
@@ -61,7 +64,7 @@ def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABL
         return F.when(cond, col)
 
     k = g.agg(
-        F.max(at(overall, F.col("n"))).alias("total_flights"),
+        F.coalesce(F.max(at(overall, F.col("n"))), F.lit(0)).alias("total_flights"),
         r2(F.avg(at(by_month, F.col("avg")))).alias("avg_arrival_delay"),
         F.max(at(overall, F.col("avg"))).alias("avg_arrival_delay_rows"),
         *[F.max(at(overall, F.col(c))).alias(c) for c in s.cause_cols],
@@ -84,9 +87,13 @@ def mart_kpi(df: DataFrame, spec: FlightSpec = DEFAULT, controllable=CONTROLLABL
 
 def mart_monthly_trend(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """Q10 with best/worst month call-outs (ties: every tied month is flagged)."""
+    return month_rows(C.calendar_cells(df, spec), spec)
+
+
+def month_rows(calendar: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     from pyspark.sql import Window
 
-    m = Q.q10_monthly_rolling(df, spec)
+    m = Q.monthly_layer(C.months(calendar, spec), spec.month)
     w = Window.partitionBy()
     return m.withColumns({
         "is_best_month": F.col("avg_arr_delay") == F.min("avg_arr_delay").over(w),
@@ -95,7 +102,11 @@ def mart_monthly_trend(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
 
 
 def mart_cause_contribution(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    return Q.q11_cause_totals(df, spec).select(
+    return cause_rows(C.calendar_cells(df, spec), spec)
+
+
+def cause_rows(calendar: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
+    return Q.cause_attribution(C.causes(calendar, spec)).select(
         "impact_rank", "delay_cause", "total_minutes", "pct_of_total_minutes", "impact_label"
     )
 
@@ -103,32 +114,18 @@ def mart_cause_contribution(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFr
 def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100,
                              min_monthly_flights: int = 30) -> DataFrame:
     """One row per carrier: severity (all carriers) left-joined with
-    consistency, momentum and dominant cause.
+    consistency, momentum and dominant cause, all rolled up from the calendar cells."""
+    return airline_rows(C.calendar_cells(df, spec), spec, min_flights, min_monthly_flights)
 
-    One scan: a grouping-sets aggregate over (carrier) and (carrier, month)
-    computes every statistic the four analyses need. It is written once to
-    the shared checkpoint folder (a few hundred rows) because the four
-    layers prune different columns from it, which would otherwise plan four
-    different aggregates and four scans.
-    """
-    s = spec
-    g = df.groupingSets([(s.carrier,), (s.carrier, s.month)], s.carrier, s.month).agg(
-        F.grouping_id().alias("_gid"),
-        *Q.severity_aggs(spec),
-        r2(F.stddev_samp(s.arr)).alias("stddev_delay"),
-        *Q.cause_aggs(spec, False),
-    ).withColumnRenamed(s.carrier, "airline")
-    g = materialize(g, "airline_performance")
-    car = g.filter(F.col("_gid") == 1)
-    car_month = g.filter(F.col("_gid") == 0).select("airline", s.month, "avg_delay", "total_flights")
-
-    sev = Q.severity_layer(car).select(
+
+def airline_rows(calendar: DataFrame, spec: FlightSpec = DEFAULT, min_flights: int = 100, min_monthly_flights: int = 30) -> DataFrame:
+    sev = Q.severity_layer(C.severity_counts(calendar)).select(
         "airline", "total_flights", "avg_delay", "severity_rank", "severe_delay_rate", "severity_profile")
-    con = Q.consistency_layer(car.filter(F.col("total_flights") >= min_flights)).select(
+    con = Q.consistency_layer(C.carrier_spread(calendar, min_flights)).select(
         "airline", "consistency_rank", "stddev_delay", "consistency_label", "performance_profile")
-    mom = Q.momentum_layer(Q.monthly_change_layer(car_month, s.month, min_monthly_flights)).select(
+    mom = Q.momentum_layer(Q.monthly_change_layer(C.carrier_months(calendar, spec), spec.month, min_monthly_flights)).select(
         "airline", "avg_mom_change", "overall_trend")
-    dom = Q.dominant_layer(Q.cause_rank_layer(car, spec)).select(
+    dom = Q.dominant_layer(Q.cause_rank_layer(C.carrier_causes(calendar, spec), spec)).select(
         "airline", "dominant_cause", "dominant_pct", "concentration_label")
     # consistency and momentum have one row per carrier by construction; the
     # dominant-cause rows repeat only on a rank-2 tie and then agree on every
@@ -139,21 +136,12 @@ def mart_airline_performance(df: DataFrame, spec: FlightSpec = DEFAULT, min_flig
 
 
 def mart_routes(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """Repeat-worst routes and best/worst recovery routes in one list.
-
-    One scan: a grouping-sets aggregate over (route, month) and (route),
-    written once to the shared folder (a few rows per route), feeds both layers.
-    """
-    s = spec
-    g = df.groupingSets([(s.origin, s.dest, s.month), (s.origin, s.dest)], s.origin, s.dest, s.month).agg(
-        F.grouping_id().alias("_gid"), *Q.route_recovery_aggs(spec),
-    ).withColumn("route", route(s.origin, s.dest))
-    g = materialize(g, "routes")
-    monthly = g.filter(F.col("_gid") == 0).select("route", s.month, F.col("avg_arr_delay").alias("avg_delay"))
-    q1 = Q.repeat_worst_layer(monthly, s.month).select(
+    """Repeat-worst routes and best/worst recovery routes in one list, from the route cells."""
+    routes = C.route_cells(df, spec)
+    q1 = Q.repeat_worst_layer(C.route_months(routes, spec), spec.month).select(
         "route", F.lit("Repeat Worst").alias("list_name"), F.col("overall_avg_delay").alias("value"),
         F.col("months_in_top10"))
-    q3 = Q.recovery_layer(g.filter(F.col("_gid") == 1)).select(
+    q3 = Q.recovery_layer(C.route_gains(routes)).select(
         "route", F.col("category").alias("list_name"), F.col("avg_recovery").alias("value"),
         F.lit(None).cast("bigint").alias("months_in_top10"))
     return q1.unionByName(q3)
@@ -161,25 +149,14 @@ def mart_routes(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
 
 def mart_airport_profiles(df: DataFrame, spec: FlightSpec = DEFAULT, min_departures: int = 500) -> DataFrame:
     """Volume-versus-delay position and departure/arrival profile of every
-    qualifying airport (no top-30 cut).
-
-    One scan: a single endpoint aggregate carries both the two-ended volume
-    and the origin-side sums; it is written once to the shared folder (one
-    row per airport)
-    because the two layers prune different columns from it.
-    """
-    stats = airport_stats_checkpointed(df, spec)
+    qualifying airport (no top-30 cut), from the route cells."""
+    stats = C.airports(C.route_cells(df, spec))
     vol = Q.volume_layer(stats, min_departures, top=None)
-    per = stats.select("airport", F.col("departures").alias("total_flights"), "_sd", "_nd", "_sa", "_na")
-    prof = Q.profile_layer(per, min_departures).select(
+    prof = Q.profile_layer(C.departures_of(stats), min_departures).select(
         "airport", "avg_dep_delay", "avg_arr_delay", "dep_vs_global", "arr_vs_global", "delay_profile")
     return vol.join(prof, "airport", "inner").orderBy("volume_rank", "airport")
 
 
-def airport_stats_checkpointed(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    return materialize(Q.airport_endpoint_stats(df, spec, with_origin_sums=True), "airport_stats")
-
-
 def mart_rag_tier(df: DataFrame, spec: FlightSpec = DEFAULT, amber: float = 45.0, red: float = 55.0) -> DataFrame:
     """Red/Amber/Green tier of each carrier's mean arrival delay (cut-offs are parameters)."""
     s = spec
@@ -204,20 +181,31 @@ def _section(df: DataFrame, section: str, item: str, value: str, label: str) ->
 
 def mart_executive(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     """The executive dashboard in one long table ``(section, item, value,
-    label)``: months, causes, airlines and the controllable share."""
-    kpi = mart_controllable_pct(df, spec).select(F.lit("kpi").alias("section"), F.lit("controllable_pct").alias("item"), F.col("controllable_pct").alias("value"), F.lit(None).cast("string").alias("label"))
-    return union_all([
-        _section(mart_monthly_trend(df, spec), "month", "month_name", "avg_arr_delay", "mom_trend"),
-        _section(mart_cause_contribution(df, spec), "cause", "delay_cause", "pct_of_total_minutes", "impact_label"),
-        _section(Q.q06_severity_profile(df, spec), "airline", "airline", "avg_delay", "severity_profile"), kpi])
+    label)``: the nine KPIs (a number, or a name as label), months, causes and
+    the airline ranking with each airline's measures. One scan."""
+    calendar = C.calendar_cells(df, spec)
+    number = F.col("value").try_cast("double")
+    kpi = kpi_rows(calendar, spec).select(F.lit("kpi").alias("section"), F.col("metric").alias("item"), number.alias("value"), F.when(number.isNull(), F.col("value")).alias("label"))
+    share = F.regexp_replace("dominant_pct", "%", "").cast("double")
+    airline = airline_rows(calendar, spec).withColumn("dominant_share", share)
+    parts = [_section(airline, f"airline: {value}", "airline", value, label) for value, label in AIRLINE_MEASURES]
+    return union_all([kpi, _section(month_rows(calendar, spec), "month", "month_name", "avg_arr_delay", "mom_trend"),
+                      _section(cause_rows(calendar, spec), "cause", "delay_cause", "pct_of_total_minutes", "impact_label"), *parts])
+
+
+#: The airline ranking's measures, each with the label beside it.
+AIRLINE_MEASURES = [("severity_rank", "severity_profile"), ("total_flights", "performance_profile"), ("avg_delay", "severity_profile"), ("severe_delay_rate", "severity_profile"),
+                    ("consistency_rank", "performance_profile"), ("stddev_delay", "consistency_label"), ("avg_mom_change", "overall_trend"), ("dominant_share", "dominant_cause")]
 
 
 def mart_deep_dive(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
-    """The root-cause dashboard: hours by risk, each airline's dominant cause, routes that regain or lose time."""
-    routes = Q.q03_delay_recovery(df, spec)
+    """The root-cause dashboard: hours by risk, each airline's dominant cause,
+    routes that regain or lose time. One scan."""
+    of = C.analyses(*C.all_cells(df, spec), spec)
+    routes = of["q03_delay_recovery"]()
     return union_all([
-        _section(mart_dep_hour_risk(df, spec), "hour", "dep_hour", "major_delay_prob", "risk_label"),
-        _section(Q.q12_dominant_cause(df, spec), "dominant cause", "airline", "dominant_avg_mins", "dominant_cause"),
+        _section(of["q09_hour_risk"](), "hour", "dep_hour", "major_delay_prob", "risk_label"),
+        _section(of["q12_dominant_cause"](), "dominant cause", "airline", "dominant_avg_mins", "dominant_cause"),
         routes.select(F.col("category").alias("section"), F.col("route").alias("item"), F.col("avg_recovery").alias("value"), F.col("recovery_label").alias("label"))])
 
 
@@ -226,21 +214,3 @@ def mart_airport(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     both = mart_airport_profiles(df, spec)
     return union_all([_section(both, "volume and delay", "airport", "avg_delay", "airport_profile"),
                      _section(both, "departure and arrival", "airport", "dep_vs_global", "delay_profile")])
-
-
-def dashboards(df: DataFrame, spec: FlightSpec = DEFAULT) -> dict[str, dict[str, DataFrame]]:
-    """The tables behind the three dashboards (executive, deep dive, airports)."""
-    return {
-        "executive": {
-            "kpi": mart_kpi(df, spec),
-            "monthly_trend": mart_monthly_trend(df, spec),
-            "cause_contribution": mart_cause_contribution(df, spec),
-            "airline_performance": mart_airline_performance(df, spec),
-        },
-        "deep_dive": {
-            "hour_risk": mart_dep_hour_risk(df, spec),
-            "dominant_cause": Q.q12_dominant_cause(df, spec),
-            "recovery_routes": Q.q03_delay_recovery(df, spec),
-        },
-        "airport": {"airport_profiles": mart_airport_profiles(df, spec)},
-    }

@@ -410,12 +410,15 @@ SQL["mart_airport_profiles"] = f"""
 SELECT v.*, p.avg_dep_delay, p.avg_arr_delay, p.dep_vs_global, p.arr_vs_global, p.delay_profile
 FROM ({portable.text(portable.volume(top=None), f'{FLIGHTS0_CTES},{IQR_CTES}')}) v
 JOIN {_sub('q08_dep_arr_profile')} p ON v.airport = p.airport"""
+_AIRLINE_SECTIONS = {"severity_rank": "severity_profile", "total_flights": "performance_profile", "avg_delay": "severity_profile", "severe_delay_rate": "severity_profile",
+                     "consistency_rank": "performance_profile", "stddev_delay": "consistency_label", "avg_mom_change": "overall_trend"}
 SQL["mart_executive"] = f"""
-SELECT 'month' AS section, month_name AS item, avg_arr_delay AS value, mom_trend AS label FROM {_sub('q10_monthly_rolling')} a
+WITH kpis AS ({SQL['mart_kpi']}), ranking AS ({SQL['mart_airline_performance']})
+SELECT 'kpi' AS section, metric AS item, TRY_CAST(value AS DOUBLE) AS value, CASE WHEN TRY_CAST(value AS DOUBLE) IS NULL THEN value END AS label FROM kpis
+UNION ALL SELECT 'month', month_name, avg_arr_delay, mom_trend FROM {_sub('q10_monthly_rolling')} a
 UNION ALL SELECT 'cause', delay_cause, pct_of_total_minutes, impact_label FROM {_sub('q11_cause_totals')} b
-UNION ALL SELECT 'airline', airline, avg_delay, severity_profile FROM {_sub('q06_severity_profile')} c
-UNION ALL SELECT 'kpi', 'controllable_pct', {R2('SUM(pct_of_total_minutes)')}, NULL FROM {_sub('q11_cause_totals')} d
-          WHERE delay_cause IN ('Late Aircraft Delay', 'Carrier Delay')"""
+UNION ALL SELECT 'airline: dominant_share', airline, CAST(REPLACE(dominant_pct, '%', '') AS DOUBLE), dominant_cause FROM ranking
+""" + "\n".join(f"UNION ALL SELECT 'airline: {v}', airline, {v}, {label} FROM ranking" for v, label in _AIRLINE_SECTIONS.items())
 SQL["mart_deep_dive"] = f"""
 SELECT 'hour' AS section, CAST(dep_hour AS VARCHAR) AS item, major_delay_prob AS value, risk_label AS label FROM {_sub('q09_hour_risk')} a
 UNION ALL SELECT 'dominant cause', airline, dominant_avg_mins, dominant_cause FROM {_sub('q12_dominant_cause')} b

@@ -7,9 +7,12 @@ one task and is meant for report-sized results only.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,30 +49,87 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: Mapping[str, str
     df.write.mode(mode).jdbc(url, table, properties=props)
 
 
-def export_all(results: Mapping[str, Callable[[], DataFrame]], root: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write each named result under ``root/<name>``; returns name -> path.
+#: Exports written at the same time.
+WRITERS = 6
 
-    Each is written by its own job, a file per task.
+
+def export_all(results: Mapping[str, Callable[[], DataFrame]], root: str, fmt: str = "parquet") -> dict[str, tuple[str, int]]:
+    """Write each named result under ``root/<name>``; returns name -> (path, rows).
+
+    Each is written by its own job, a file per task, several jobs at a time;
+    rows are counted while they are written. Results that share kept
+    aggregates compute them once, whichever comes first.
+    """
+    def write(name: str) -> tuple[str, int]:
+        path, seen = f"{root.rstrip('/')}/{name}", Observation()
+        df = results[name]().observe(seen, F.count(F.lit(1)).alias("rows"))
+        (write_csv if fmt == "csv" else write_parquet)(df, path)
+        return path, seen.get["rows"]
+
+    names = list(results)
+    if not names:
+        return {}
+    first = {names[0]: write(names[0])}  # what the results share is ready after it
+    with ThreadPoolExecutor(WRITERS) as pool:
+        return first | dict(zip(names[1:], pool.map(write, names[1:])))
+
+
+def export_manifest(spark: SparkSession, written: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Row count of every export."""
+    return spark.createDataFrame([(name, rows) for name, (_, rows) in written.items()], "export_name string, rows bigint")
+
+
+class VersionedTable:
+    """A replace-loaded table behind one name.
+
+    Each load writes a new version in a folder of its own and then switches
+    the pointer, a small table of (version, written); the view of the table's
+    name follows. Who reads an older version goes on doing so until ``drop_old``
+    removes it, and a load that fails leaves the current version as it is.
     """
-    paths = {}
-    for name, build in results.items():
-        df = build()
-        path = f"{root.rstrip('/')}/{name}"
-        if fmt == "csv":
-            write_csv(df, path)
-        else:
-            write_parquet(df, path)
-        paths[name] = path
-    return paths
-
-
-def export_manifest(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parquet") -> DataFrame:
-    """Row count of every export, read back from the written files."""
-    frames = []
-    for name, path in paths.items():
-        r = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.parquet(path)
-        frames.append(r.agg(F.lit(name).alias("export_name"), F.count(F.lit(1)).alias("rows")))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+
+    def __init__(self, spark: SparkSession, name: str, root: str):
+        self.spark, self.name, self.root = spark, name, root.rstrip("/")
+
+    def versions(self) -> list[str]:
+        """All versions, the current one last."""
+        try:
+            rows = self.spark.read.schema("version string, written timestamp").parquet(f"{self.root}/pointer").orderBy("written", "version").collect()
+        except AnalysisException:  # nothing loaded yet
+            return []
+        gone = set(self._gone())
+        return [r["version"] for r in rows if r["version"] not in gone]
+
+    def load(self, df: DataFrame) -> DataFrame:
+        """Replace the table's rows; returns the new version."""
+        version = uuid.uuid4().hex
+        df.write.parquet(f"{self.root}/{version}")
+        switch = self.spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
+        switch.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer")
+        return self.current()
+
+    def current(self) -> DataFrame:
+        """The current version, also as the view of the table's name."""
+        df = self.read(self.versions()[-1])
+        df.createOrReplaceTempView(self.name)
+        return df
+
+    def read(self, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{version}")
+
+    def drop_old(self, keep: int = 1) -> list[str]:
+        """Remove the files of all but the newest ``keep`` versions; their readers must be done."""
+        old = self.versions()[:-keep]
+        for version in old:
+            # An empty overwrite: Spark removes the files in any store that it can write.
+            path = f"{self.root}/{version}"
+            self.spark.createDataFrame([], self.spark.read.parquet(path).schema).coalesce(1).write.mode("overwrite").parquet(path)
+        if old:
+            self.spark.createDataFrame([(v,) for v in old], "version string").coalesce(1).write.mode("append").parquet(f"{self.root}/gone")
+        return old
+
+    def _gone(self) -> list[str]:
+        try:
+            return [r["version"] for r in self.spark.read.schema("version string").parquet(f"{self.root}/gone").collect()]
+        except AnalysisException:
+            return []

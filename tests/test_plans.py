@@ -17,7 +17,7 @@ WRITE_KEYS = {"src_csv", "sink_csv", "sink_table", "sink_query_exports", "stream
               "pipeline_clean", "pipeline_original", "prof_invariants_raw"}
 
 #: Queries whose layers share one aggregate.
-ONE_PASS: list[str] = []
+ONE_PASS = [k for k in QUERIES if k.startswith("mart_")]
 
 
 def plan(df, mode="formatted"):
@@ -50,7 +50,7 @@ def passes(spark):
 
 
 @pytest.mark.parametrize("key", ["q07_volume_vs_delay", "q08_dep_arr_profile", "q11_cause_totals", "q12_dominant_cause",
-                                 "scope_total_airports", "eda_corr", "eda_extremes", "endpoint_explode", "mart_kpi",
+                                 "scope_total_airports", "eda_corr", "eda_extremes", "endpoint_explode",
                                  "q02_route_symmetry", "prof_describe", "prof_boxplot", "agg_quantile",
                                  *ONE_PASS])
 def test_one_pass_over_the_facts(spark, passes, key):
