@@ -1,9 +1,9 @@
 """Independent SQL (DuckDB dialect) for every registered query.
 
-The named analyses come from :mod:`tarmac.plans.portable`: they roll up
-moments from one table of cells, while the DataFrame plans aggregate the
-flights, so agreement between the two is evidence, not tautology. Both sides
-round through ``DECIMAL(38,10)`` and spell tiebreaks for every LIMIT.
+The named analyses come from :mod:`tarmac.plans.portable`; DuckDB runs them
+against the DataFrame plans, and against the same text in Spark SQL. The forms
+of SQL there have oracles of another derivation here. All sides round through
+``DECIMAL(38,10)`` and spell tiebreaks for every LIMIT.
 """
 
 from __future__ import annotations
@@ -90,14 +90,34 @@ ROUTE = "\"Origin\" || ' → ' || \"Dest\""
 SQL: dict[str, str] = {}
 
 # ---------------------------------------------------------------- scope and Q1-Q12
-def with_cells(ctes: str, select: str) -> str:
-    """The flights, the cells, then ``ctes`` and ``select``."""
-    return portable.text((ctes, select), f"{FLIGHTS0_CTES},{IQR_CTES}")
-
-
-for _key, (_ctes, _select) in (portable.STATEMENTS | portable.FORMS).items():
-    SQL[_key] = portable.text((_ctes, _select), f"{FLIGHTS0_CTES},{IQR_CTES}")
-SQL["q05_monthly_changes"] = with_cells(portable.monthly_changes(), """
+def with_ctes(ctes: str, select: str) -> str:
+    """The flights, then ``ctes`` and ``select``."""
+    return portable.duckdb(portable.text((ctes, select), f"{FLIGHTS0_CTES},{IQR_CTES}"))
+
+
+for _key, (_ctes, _select) in portable.STATEMENTS.items():
+    SQL[_key] = with_ctes(_ctes, _select)
+
+# Other derivations for the forms: windows over rows in place of chains of groups, and the calendar in place of lists of names.
+SQL["cte_chain"] = with_flights("", f"""
+SELECT airline, months, monthly_range, (SELECT COUNT(*) + 1 FROM (
+         SELECT DISTINCT "UniqueCarrier" AS other, MAX(v) OVER w - MIN(v) OVER w AS span
+         FROM (SELECT DISTINCT "UniqueCarrier", "Month", {R2('AVG("ArrDelay") OVER (PARTITION BY "UniqueCarrier", "Month")')} AS v FROM airline_delays) x
+         WINDOW w AS (PARTITION BY "UniqueCarrier")) y WHERE {R2('span')} > monthly_range) AS range_rank
+FROM (SELECT u AS airline, LEN(vs) AS months, {R2('LIST_MAX(vs) - LIST_MIN(vs)')} AS monthly_range
+      FROM (SELECT u, LIST(v) AS vs FROM (SELECT "UniqueCarrier" AS u, "Month", {R2('SUM("ArrDelay") / COUNT("ArrDelay")')} AS v FROM airline_delays GROUP BY ALL) a GROUP BY u) b) c""")
+SQL["subquery_from"] = with_flights("", """
+SELECT "Month", MAX(per_hour) AS flights_in_busiest_hour, COUNT(DISTINCT "DepHour") AS hours_flown
+FROM (SELECT "Month", "DepHour", COUNT(*) OVER (PARTITION BY "Month", "DepHour") AS per_hour FROM airline_delays) f GROUP BY 1""")
+SQL["subquery_scalar"] = with_flights("", f"""
+SELECT DISTINCT "UniqueCarrier" AS airline, {R2('own')} AS avg_delay
+FROM (SELECT "UniqueCarrier", AVG("ArrDelay") OVER (PARTITION BY "UniqueCarrier") AS own, AVG("ArrDelay") OVER () AS overall FROM airline_delays) f
+WHERE own > overall""")
+SQL["udf_apply"] = with_flights("", """
+SELECT "Month", MONTHNAME(MAKE_DATE(2008, CAST("Month" AS INT), 1)) AS month_name,
+       ['Winter', 'Spring', 'Summer', 'Fall'][CAST("Month" % 12 // 3 + 1 AS INT)] AS season, COUNT(*) AS total_flights
+FROM airline_delays GROUP BY 1""")
+SQL["q05_monthly_changes"] = with_ctes(portable.monthly_changes(), """
 SELECT airline, Month, avg_delay, total_flights, prev_month_avg, mom_change, trend_label FROM changes_named""")
 
 
@@ -111,7 +131,7 @@ FROM airline_delays WHERE "{key}" IS NOT NULL GROUP BY "{key}" ORDER BY 2 DESC""
 SQL["eda_airline_means"] = _means("UniqueCarrier")
 SQL["eda_month_means"] = with_flights("", f"""
 SELECT "Month", {R('AVG("ArrDelay")', 6)} AS "ArrDelay", {R('AVG("DepDelay")', 6)} AS "DepDelay",
-       {portable.at(portable.MONTH_NAMES, '"Month"')} AS "Month_Name"
+       {portable.month_name('"Month"')} AS "Month_Name"
 FROM airline_delays WHERE "Month" IS NOT NULL GROUP BY "Month" ORDER BY 2 DESC""")
 SQL["eda_origin_means"] = _means("Origin")
 SQL["eda_dest_means"] = _means("Dest")

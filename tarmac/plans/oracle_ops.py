@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tarmac.plans import portable
-from tarmac.plans.oracle import CAUSES, FLIGHTS0_CTES, IQR_CTES, PCT, R, R2, ROUTE, with_cells, with_flights
+from tarmac.plans.oracle import CAUSES, FLIGHTS0_CTES, IQR_CTES, PCT, R, R2, ROUTE, with_ctes, with_flights
 
 COLS = [
     ("Month", "bigint"), ("DepHour", "bigint"), ("UniqueCarrier", "string"), ("Origin", "string"),
@@ -88,7 +88,7 @@ SQL["clean_override_hour"] = q('SELECT "UniqueCarrier", "CRSDepTime", CAST(FLOOR
 SQL["proj_columns"] = q(f'SELECT {ROUTE} AS route, "Month" AS month, "ArrDelay" AS delay FROM airline_delays')
 SQL["filter_range"] = q('SELECT "UniqueCarrier", "Origin", "Dest", "ArrDelay" FROM airline_delays WHERE "ArrDelay" BETWEEN 31 AND 60')
 SQL["filter_in"] = q('SELECT "Month", "UniqueCarrier", "ArrDelay" FROM airline_delays WHERE "Month" IN (12, 1, 2)')
-SQL["filter_null"] = with_cells(portable.monthly_changes(), "SELECT airline, Month, avg_delay FROM changes_named WHERE mom_change IS NULL")
+SQL["filter_null"] = with_ctes(portable.monthly_changes(), "SELECT airline, Month, avg_delay FROM changes_named WHERE mom_change IS NULL")
 SQL["filter_compare"] = q('SELECT "Origin", "Dest", "ArrDelay", "DepDelay" FROM airline_delays '
                           'WHERE "Origin" < "Dest" AND "ArrDelay" > "DepDelay"')
 SQL["filter_having"] = q(f'SELECT {ROUTE} AS route, COUNT(*) AS flights FROM airline_delays GROUP BY "Origin", "Dest" '
@@ -189,7 +189,7 @@ SELECT *, delay_rank - volume_rank AS rank_difference,
             WHEN volume_rank > 5 AND delay_rank <= 5 THEN 'Quiet but Chaotic' ELSE 'Standard' END AS profile
 FROM (SELECT *, RANK() OVER (ORDER BY flights DESC) AS volume_rank, RANK() OVER (ORDER BY avg_delay DESC) AS delay_rank
       FROM g)""", f'g AS (SELECT "UniqueCarrier" AS airline, COUNT(*) AS flights, {R2("AVG(\"ArrDelay\")")} AS avg_delay {BYC})')
-SQL["win_conditional_rank"] = with_cells(portable.severity()[0], """
+SQL["win_conditional_rank"] = with_ctes(portable.severity()[0], """
 SELECT airline, severity_profile, severe_delay_rate,
        CASE WHEN severity_profile = 'High Severity'
             THEN RANK() OVER (PARTITION BY severity_profile ORDER BY severe_delay_rate DESC NULLS FIRST) END AS profile_rank
@@ -288,7 +288,7 @@ FROM (SELECT "UniqueCarrier" AS airline, {R2('AVG("ArrDelay")')} AS avg_arr, {R2
 AS_ = f"""ast AS (SELECT "Origin" AS airport, COUNT(*) AS flights, {R2('AVG("ArrDelay")')} AS avg_delay,
   {R2('STDDEV_SAMP("ArrDelay")')} AS stddev_delay, {R2('AVG("DepDelay" - "ArrDelay")')} AS avg_recovery,
   {PCT('COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END)', 'COUNT(*)')} AS severe_rate FROM airline_delays GROUP BY 1)"""
-SQL["lbl_symmetry"] = with_cells(portable.symmetry()[0], "SELECT route_ab, delay_difference, symmetry_label FROM leg_pairs")
+SQL["lbl_symmetry"] = with_ctes(portable.symmetry()[0], "SELECT route_ab, delay_difference, symmetry_label FROM leg_pairs")
 SQL["lbl_recovery"] = q("""SELECT airport, avg_recovery, CASE WHEN avg_recovery >= 10 THEN 'Strong Recovery'
   WHEN avg_recovery >= 0 THEN 'Slight Recovery' WHEN avg_recovery >= -10 THEN 'Slight Worsening'
   ELSE 'Strong Worsening' END AS recovery_label FROM ast""", AS_)
@@ -300,7 +300,7 @@ SQL["lbl_performance"] = q("""SELECT airport, consistency_rank, avg_delay_rank,
        ELSE 'Standard' END AS performance_profile
 FROM (SELECT *, RANK() OVER (ORDER BY stddev_delay ASC NULLS LAST) AS consistency_rank,
              RANK() OVER (ORDER BY avg_delay ASC NULLS LAST) AS avg_delay_rank FROM ast)""", AS_)
-SQL["lbl_airline_trend"] = with_cells(portable.monthly_changes(1), "SELECT airline, Month, mom_change, trend_label FROM changes_named")
+SQL["lbl_airline_trend"] = with_ctes(portable.monthly_changes(1), "SELECT airline, Month, mom_change, trend_label FROM changes_named")
 OM = f"""om AS (SELECT airport, "Month", avg_delay,
   {R2('avg_delay - LAG(avg_delay) OVER (PARTITION BY airport ORDER BY "Month")')} AS mom_change
   FROM (SELECT "Origin" AS airport, "Month", {R2('AVG("ArrDelay")')} AS avg_delay FROM airline_delays GROUP BY 1, 2))"""
@@ -314,8 +314,8 @@ SQL["lbl_severity"] = q("""SELECT airport, severe_rate, CASE WHEN severe_rate >=
 SQL["bucket_delay"] = q("""SELECT "DepHour" AS dep_hour, COUNT(CASE WHEN "ArrDelay" BETWEEN 15 AND 30 THEN 1 END) AS mild,
   COUNT(CASE WHEN "ArrDelay" BETWEEN 31 AND 60 THEN 1 END) AS moderate, COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END) AS severe,
   COUNT(*) AS flights FROM airline_delays GROUP BY 1""")
-SQL["lbl_airport_profile"] = with_cells(portable.volume()[0], "SELECT airport, volume_rank, delay_rank, airport_profile FROM busy_named")
-SQL["lbl_delay_profile"] = with_cells(portable.profile(1)[0], "SELECT airport, delay_profile, ground_ops_rank FROM profiled")
+SQL["lbl_airport_profile"] = with_ctes(portable.volume()[0], "SELECT airport, volume_rank, delay_rank, airport_profile FROM busy_named")
+SQL["lbl_delay_profile"] = with_ctes(portable.profile(1)[0], "SELECT airport, delay_profile, ground_ops_rank FROM profiled")
 SQL["lbl_hour_risk"] = q(f"""SELECT airline, major_delay_prob, CASE WHEN major_delay_prob >= 40 THEN 'Very High Risk'
   WHEN major_delay_prob >= 30 THEN 'High Risk' WHEN major_delay_prob >= 20 THEN 'Moderate Risk' ELSE 'Low Risk' END AS risk_label
 FROM (SELECT "UniqueCarrier" AS airline, {PCT('COUNT(CASE WHEN "ArrDelay" > 60 THEN 1 END)', 'COUNT(*)')} AS major_delay_prob {BYC})""")
@@ -373,7 +373,7 @@ SQL["mart_controllable_pct"] = (
 _WINDOW = """CASE WHEN "DepHour" BETWEEN 5 AND 8 THEN 'Early Morning' WHEN "DepHour" BETWEEN 9 AND 11 THEN 'Mid Morning'
   WHEN "DepHour" BETWEEN 12 AND 14 THEN 'Afternoon' WHEN "DepHour" BETWEEN 15 AND 17 THEN 'Peak Hours'
   WHEN "DepHour" BETWEEN 18 AND 20 THEN 'Evening' ELSE 'Night / Red Eye' END"""
-SQL["mart_kpi"] = with_cells(portable.monthly()[0] + "," + portable.causes()[0] + f""",
+SQL["mart_kpi"] = with_ctes(portable.monthly()[0] + "," + portable.causes()[0] + f""",
 cr AS (SELECT "UniqueCarrier" AS c, {R2('AVG("ArrDelay")')} AS v FROM airline_delays GROUP BY 1),
 tw AS (SELECT {_WINDOW} AS w, {R2('AVG("ArrDelay")')} AS v FROM airline_delays GROUP BY 1)""", f"""
 SELECT 'total_flights' AS metric, CAST((SELECT COUNT(*) FROM airline_delays) AS VARCHAR) AS value
@@ -408,7 +408,7 @@ UNION ALL
 SELECT route, category, avg_recovery, CAST(NULL AS BIGINT) FROM {_sub('q03_delay_recovery')} b"""
 SQL["mart_airport_profiles"] = f"""
 SELECT v.*, p.avg_dep_delay, p.avg_arr_delay, p.dep_vs_global, p.arr_vs_global, p.delay_profile
-FROM ({portable.text(portable.volume(top=None), f'{FLIGHTS0_CTES},{IQR_CTES}')}) v
+FROM ({with_ctes(*portable.volume(top=None))}) v
 JOIN {_sub('q08_dep_arr_profile')} p ON v.airport = p.airport"""
 _AIRLINE_SECTIONS = {"severity_rank": "severity_profile", "total_flights": "performance_profile", "avg_delay": "severity_profile", "severe_delay_rate": "severity_profile",
                      "consistency_rank": "performance_profile", "stddev_delay": "consistency_label", "avg_mom_change": "overall_trend"}

@@ -7,12 +7,12 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as ENTRY
 from conftest import SF_SMALL
+from tarmac.plans import catalog
 from tarmac.sources.tables import TABLES, table_path
 
-QUERIES = ENTRY.queries()
-ORACLE = ENTRY.oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
