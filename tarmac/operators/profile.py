@@ -60,6 +60,13 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col)).distinct()
 
 
+def distinct_of_each(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``unique()`` of several columns as (column_name, value) rows, from one
+    scan: values are combined per column in each task before the shuffle."""
+    items = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in cols]
+    return df.select(F.inline(F.array(*items))).distinct()
+
+
 def describe(df: DataFrame, cols: Sequence[str], scale: int = 4) -> DataFrame:
     """count, mean, sample std, min, 25/50/75 % (exact, interpolated), max.
 

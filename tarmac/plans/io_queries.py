@@ -5,10 +5,12 @@ the round trip itself is what gets compared."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarmac.plans.cells import all_cells, analyses
 from tarmac.session import keeping
 from tarmac.sources.flights import FLIGHT_COLUMNS, prepare, read_flights_csv
+from tarmac.sources.landing import Load, load_csv
 from tarmac.sources.sinks import VersionedTable, export_all, export_manifest, write_csv
 
 def src_csv(spark: SparkSession, d: str) -> DataFrame:
@@ -91,22 +93,40 @@ def src_csv_raw(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, _raw_csv(spark, d))
 
 
-_CLEANED: dict[str, str] = {}
+_LOADED: dict[str, Load] = {}
 
 
-def _cleaned(spark: SparkSession, d: str) -> DataFrame:
-    """The cleaned raw file as Parquet: each folder's CSV is parsed once in a
-    session, and the bounds, the filter and the checks read the table."""
-    from tarmac.sources.flights import read_flights_csv as read
-    from tarmac.streaming.ingest import clean_rows
-
+def _load(spark: SparkSession, d: str) -> Load:
+    """The raw file loaded once in a session: each folder's CSV is parsed one
+    time, and the bounds, the filter, the checks and the rejects read what that wrote."""
     p = prepare(spark, d)
     key = f"{spark.sparkContext.applicationId}|{p.root}"
-    if key not in _CLEANED:
-        path = f"{p.run_dir()}/cleaned"
-        clean_rows(read(spark, _raw_csv(spark, d))).write.parquet(path)
-        _CLEANED[key] = path
-    return spark.read.parquet(_CLEANED[key])
+    if key not in _LOADED:
+        _LOADED[key] = load_csv(spark, _raw_csv(spark, d), f"{p.run_dir()}/load")
+    return _LOADED[key]
+
+
+def _cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return _load(spark, d).table
+
+
+def pipeline_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """What the load of the raw file counted: rows read, kept, dropped as
+    incomplete, with bad tokens; and the bad tokens of each numeric column."""
+    return _load(spark, d).report()
+
+
+def pipeline_rejected_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each bad token of the raw file with its row's number, column and text."""
+    one = _load(spark, d).rejects.select(F.col("`Unnamed: 0`").alias("row_number"), F.inline("rejected"))
+    return one.select("row_number", "column", "token")
+
+
+def prof_distinct_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct values, NULL included, of the raw file's flag columns."""
+    from tarmac.operators.profile import distinct_of_each
+
+    return distinct_of_each(src_csv_raw(spark, d), ["CancellationCode", "Diverted", "Cancelled"])
 
 
 def pipeline_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +144,8 @@ def pipeline_original(spark: SparkSession, d: str) -> DataFrame:
 
 
 IO_QUERIES.update({"src_csv_raw": src_csv_raw, "pipeline_clean": pipeline_clean,
-                   "pipeline_original": pipeline_original})
+                   "pipeline_original": pipeline_original,
+                   "pipeline_rejects": pipeline_rejects, "pipeline_rejected_rows": pipeline_rejected_rows, "prof_distinct_flags": prof_distinct_flags})
 
 
 def prof_invariants_raw(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tarmac.plans import portable
+from tarmac.sources.flights import RAW_COLUMNS
 from tarmac.plans.oracle import CAUSES, FLIGHTS0_CTES, IQR_CTES, PCT, R, R2, ROUTE, with_ctes, with_flights
 
 COLS = [
@@ -470,8 +471,11 @@ raw AS (
          CAST(75 + arr - dep AS DOUBLE) AS "AirTime", CAST(arr AS DOUBLE) AS "ArrDelay", CAST(dep AS DOUBLE) AS "DepDelay",
          CASE WHEN ok % 13 = 1 THEN chr(9) || origin ELSE origin END AS "Origin",
          CASE WHEN ok % 17 = 2 THEN dest || ' ' ELSE dest END AS "Dest",
-         ok % 2200 + 300 AS "Distance", CAST(ok % 10 + 5 AS DOUBLE) AS "TaxiIn", CAST(ok % 15 + 10 AS DOUBLE) AS "TaxiOut",
-         CAST(0 AS INTEGER) AS "Cancelled", 'N' AS "CancellationCode", CAST(0 AS INTEGER) AS "Diverted",
+         CASE WHEN ok % 211 = 1 THEN NULL ELSE ok % 2200 + 300 END AS "Distance",
+         CASE WHEN ok % 199 = 3 THEN NULL ELSE CAST(ok % 10 + 5 AS DOUBLE) END AS "TaxiIn", CAST(ok % 15 + 10 AS DOUBLE) AS "TaxiOut",
+         CAST(ok % 37 = 0 AND ok % 2 = 0 AS INTEGER) AS "Cancelled",
+         CASE WHEN ok % 37 > 0 THEN 'N' WHEN ok % 2 = 0 THEN ['A', 'B', 'C'][CAST(ok % 3 + 1 AS INT)] END AS "CancellationCode",
+         CAST(ok % 37 = 0 AND ok % 2 = 1 AS INTEGER) AS "Diverted",
          CASE WHEN ok % 23 = 0 THEN NULL ELSE CAST(car AS DOUBLE) END AS "CarrierDelay",
          CASE WHEN ok % 29 = 0 THEN NULL ELSE CAST(wx AS DOUBLE) END AS "WeatherDelay",
          CASE WHEN ok % 31 = 0 THEN NULL ELSE CAST(nas AS DOUBLE) END AS "NASDelay",
@@ -505,3 +509,15 @@ UNION ALL SELECT 'Diverted_is_zero', COUNT(CASE WHEN "Diverted" <> 0 THEN 1 END)
 UNION ALL SELECT 'causes_sum_to_arr_delay', COUNT(CASE WHEN COALESCE("CarrierDelay", 0) + COALESCE("WeatherDelay", 0)
        + COALESCE("NASDelay", 0) + COALESCE("SecurityDelay", 0) + COALESCE("LateAircraftDelay", 0) <> "ArrDelay"
        THEN 1 END) FROM orig""", _ORIG)
+SQL["prof_distinct_flags"] = q("""
+SELECT DISTINCT 'CancellationCode' AS column_name, "CancellationCode" AS value FROM raw
+UNION ALL SELECT DISTINCT 'Diverted', CAST("Diverted" AS VARCHAR) FROM raw
+UNION ALL SELECT DISTINCT 'Cancelled', CAST("Cancelled" AS VARCHAR) FROM raw""", _RAW)
+SQL["pipeline_rejected_rows"] = q("""
+SELECT ok * 8 + ln AS row_number, 'Distance' AS column, 'far' AS token FROM r WHERE ok % 211 = 1
+UNION ALL SELECT ok * 8 + ln, 'TaxiIn', '12min' FROM r WHERE ok % 199 = 3""")
+_BAD = {"Distance": "ok % 211 = 1", "TaxiIn": "ok % 199 = 3"}
+SQL["pipeline_rejects"] = q("\nUNION ALL ".join([
+    "SELECT 'rows_read' AS counted, COUNT(*) AS rows FROM raw", "SELECT 'rows_kept', COUNT(*) FROM orig",
+    "SELECT 'rows_incomplete', (SELECT COUNT(*) FROM raw) - COUNT(*) FROM orig", "SELECT 'rows_rejected', COUNT(*) FROM r WHERE ok % 211 = 1 OR ok % 199 = 3",
+    *(f"SELECT 'bad_{n}', COUNT(*) FROM r WHERE {_BAD.get(n, 'false')}" for n, t in RAW_COLUMNS if t != "string")]), _ORIG)

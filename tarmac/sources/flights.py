@@ -77,8 +77,8 @@ def _typed(raw: Column, typ: str) -> tuple[Column, Column]:
     return (d if typ == "double" else F.coalesce(number.try_cast(typ), d.try_cast(typ))), bad
 
 
-def typed_from_strings(df: DataFrame, cols, on_reject: str = "null") -> DataFrame:
-    """Missing-value tokens and NaN -> NULL, then casts.
+def typed_from_strings(df: DataFrame, cols, on_reject: str = "null", keep=()) -> DataFrame:
+    """Missing-value tokens and NaN -> NULL, then casts; ``keep`` names columns that stay as they are.
 
     A malformed number becomes NULL (``on_reject="null"``; ``reject_counts``
     counts them) or fails the job (``"fail"``).
@@ -91,7 +91,7 @@ def typed_from_strings(df: DataFrame, cols, on_reject: str = "null") -> DataFram
         if on_reject == "fail" and typ != "string":
             v = F.when(bad, F.raise_error(F.concat(F.lit(f"column {name}: not a number: "), F.col(f"`{name}`")))).otherwise(v)
         out.append(v.alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def text_frame(spark: SparkSession, path: str, cols) -> DataFrame:
@@ -99,20 +99,35 @@ def text_frame(spark: SparkSession, path: str, cols) -> DataFrame:
 
     Files of one folder must have one header; another one fails the read.
     """
-    return spark.read.schema(header_schema(spark, path, cols)).option("header", True).option("enforceSchema", False).csv(path).select(
+    schema = header_schema(spark, path, cols)
+    return named(spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)).select(
         *[F.col(f"`{n}`") for n, _ in cols])
 
 
 def header_schema(spark: SparkSession, path: str, cols) -> T.StructType:
-    """A text schema in the order of the file's header. A blank name is the
-    unnamed row number that the layout may begin with."""
+    """A text schema in the order of the file's header. A blank name (pandas
+    writes its row number under one) stays blank, as the files have it;
+    ``named`` gives such columns the names that pandas reads."""
     names = spark.read.option("header", True).csv(path).columns
-    missing = [n for n, _ in cols if n not in names]
+    unnamed = [i for i, n in enumerate(names) if n == f"_c{i}"]
+    if unnamed:  # Spark's names for blank ones, unless the file has just these
+        first = spark.read.option("header", False).csv(path).first()
+        names = ["" if i in unnamed and not (first[i] or "").strip() else n for i, n in enumerate(names)]
+    missing = [n for n, _ in cols if n not in map(_pandas_name, range(len(names)), names)]
     if missing:
         raise ValueError(f"{path}: the header lacks {', '.join(missing)}")
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
+def _pandas_name(place: int, name: str) -> str:
+    return name or f"Unnamed: {place}"
+
+
+def named(df: DataFrame) -> DataFrame:
+    """Blank column names as pandas reads them: ``Unnamed: <place>``."""
+    return df if all(df.columns) else df.toDF(*map(_pandas_name, range(len(df.columns)), df.columns))
+
+
 def read_flights_csv(spark: SparkSession, path: str, columns=None, on_reject: str = "null") -> DataFrame:
     """CSV scan by column name, with pandas' missing-value tokens.
 
@@ -123,6 +138,12 @@ def read_flights_csv(spark: SparkSession, path: str, columns=None, on_reject: st
     return typed_from_strings(text_frame(spark, path, cols), cols, on_reject)
 
 
+def bad_tokens(cols) -> Column:
+    """Array of (column, token) of a text row's present tokens that are no value of their column's type."""
+    found = [F.when(_typed(F.col(f"`{n}`"), t)[1], F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").alias("token"))) for n, t in cols if t != "string"]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
 def reject_counts(spark: SparkSession, path: str, columns=None) -> DataFrame:
     """(column, rejected): how many present tokens of each numeric column are no number, in one pass."""
     cols = [(n, t) for n, t in columns or RAW_COLUMNS if t != "string"]

@@ -10,7 +10,9 @@ input that grows with the tables:
   by the null check),
 * carriers padded with spaces, origins with a tab, destinations with a
   trailing space (trimmed),
-* actual clock times as floats (``1955.0``), midnight written ``2400.0``.
+* actual clock times as floats (``1955.0``), midnight written ``2400.0``,
+* flights that never arrived are cancelled, with a code, or diverted,
+* some distances and taxi times are no numbers.
 
 Every rule is a function of integer keys, so the SQL oracle reproduces it.
 """
@@ -37,6 +39,8 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     carrier = F.concat(F.lit("C"), F.lpad(F.col("ci").cast("string"), 2, "0"))
     late = arr - F.col("wx") - F.col("sec") - F.col("nas") - F.col("car")
 
+    lost = ok % 37 == 0  # no arrival time
+
     def num(c: Column) -> Column:
         return c.cast("double").cast("string")
 
@@ -63,12 +67,12 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "DepDelay": num(dep),
         "Origin": F.when(ok % 13 == 1, F.concat(F.lit("\t"), F.col("origin"))).otherwise(F.col("origin")),
         "Dest": F.when(ok % 17 == 2, F.concat(F.col("dest"), F.lit(" "))).otherwise(F.col("dest")),
-        "Distance": (ok % 2200 + 300).cast("string"),
-        "TaxiIn": num(ok % 10 + 5),
+        "Distance": token(ok % 211 == 1, "far", (ok % 2200 + 300).cast("string")),
+        "TaxiIn": token(ok % 199 == 3, "12min", num(ok % 10 + 5)),
         "TaxiOut": num(ok % 15 + 10),
-        "Cancelled": F.lit("0"),
-        "CancellationCode": F.lit("N"),
-        "Diverted": F.lit("0"),
+        "Cancelled": F.when(lost & (ok % 2 == 0), F.lit("1")).otherwise(F.lit("0")),
+        "CancellationCode": F.when(lost & (ok % 2 == 0), F.element_at(F.array(*map(F.lit, "ABC")), (ok % 3 + 1).cast("int"))).when(lost, F.lit("NA")).otherwise(F.lit("N")),
+        "Diverted": F.when(lost & (ok % 2 == 1), F.lit("1")).otherwise(F.lit("0")),
         "CarrierDelay": token(ok % 23 == 0, "NA", num(F.col("car"))),
         "WeatherDelay": token(ok % 29 == 0, "", num(F.col("wx"))),
         "NASDelay": token(ok % 31 == 0, "NaN", num(F.col("nas"))),
@@ -80,7 +84,8 @@ def derive_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_raw_csv(df: DataFrame, path: str) -> str:
     """CSV that keeps leading/trailing whitespace inside fields (Spark trims
-    it on write by default)."""
-    (df.write.mode("overwrite").option("header", True)
+    it on write by default), with the row number under a blank name, as pandas
+    writes its index."""
+    (df.withColumnRenamed("Unnamed: 0", "").write.mode("overwrite").option("header", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return path

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tarmac.operators.clean import DROP_COLUMNS, KEY_COLUMNS, NULL_CHECK_COLUMNS, add_hours, cast_int, drop_columns
 from tarmac.operators.clean import drop_null_rows, strip
-from tarmac.sources.flights import RAW_COLUMNS, _string_schema, header_schema, typed_from_strings
+from tarmac.sources.flights import RAW_COLUMNS, _string_schema, header_schema, named, typed_from_strings
 
 
 def clean_rows(df: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def raw_stream(spark: SparkSession, landing_dir: str, columns=None, max_files_pe
     r = spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return typed_from_strings(r.csv(landing_dir), cols)
+    return typed_from_strings(named(r.csv(landing_dir)), cols)
 
 
 def start_ingest(

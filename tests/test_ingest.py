@@ -8,7 +8,8 @@ import pytest
 from tarmac.operators.clean import iqr_bounds
 from tarmac.plans import marts as M
 from tarmac.plans.catalog import queries
-from tarmac.sources.flights import prepare, read_flights_csv, reject_counts
+from tarmac.sources.flights import RAW_COLUMNS, prepare, read_flights_csv, reject_counts
+from tarmac.sources.landing import load_csv
 
 from conftest import SF_SMALL, flight, FLIGHT_SCHEMA
 
@@ -86,3 +87,34 @@ def test_kpi_agrees_with_its_mart(spark, causes):
     kpi = {r.metric: r.value for r in M.mart_kpi(df).collect()}["controllable_pct"]
     mart = M.mart_controllable_pct(df).first()[0]
     assert (None if kpi is None else float(kpi)) == mart
+
+
+def test_pandas_index_under_a_blank_name(spark, tmp_path):
+    cols = [("Unnamed: 0", "bigint"), *COLS]
+    p = write(tmp_path / "a", ",DepDelay,ArrDelay,Flights", "0,1.0,2.0,3", "1,NA,4.0,5")
+    assert [tuple(r) for r in read_flights_csv(spark, p, cols).collect()] == [(0, 1.0, 2.0, 3), (1, None, 4.0, 5)]
+    assert read_flights_csv(spark, p, COLS).count() == 2  # and it may be left out
+    kept = read_flights_csv(spark, write(tmp_path / "b", "_c0,DepDelay,ArrDelay,Flights", "7,1.0,2.0,3"), [("_c0", "bigint"), *COLS]).first()
+    assert kept["_c0"] == 7
+
+
+def test_the_reference_header_loads(spark, tmp_path):
+    header = ["", *[n for n, _ in RAW_COLUMNS[1:]]]
+    p = write(tmp_path / "a", ",".join(header), ",".join(str(i) for i in range(len(header))))
+    r = read_flights_csv(spark, p).first()
+    assert r["Unnamed: 0"] == 0 and r["LateAircraftDelay"] == len(header) - 1
+
+
+def test_load_counts_rejects_in_its_pass(spark, tmp_path):
+    p = write(tmp_path / "a", "DepDelay,ArrDelay,Flights", "1,2,3", "x,2,3", "1,y,z", "1,NA,3", "NaN,5,12.0")
+    load = load_csv(spark, p, f"file://{tmp_path}/out", COLS)
+    assert load.counts == {"rows_read": 5, "rows_kept": 3, "rows_incomplete": 2, "rows_rejected": 2, "bad_DepDelay": 1, "bad_ArrDelay": 1, "bad_Flights": 1}
+    assert sorted(map(str, map(tuple, load.table.collect()))) == sorted(map(str, [(1.0, 2.0, 3), (None, 2.0, 3), (None, 5.0, 12)]))
+    found = sorted((x["column"], x["token"]) for r in load.rejects.collect() for x in r["rejected"])
+    assert found == [("ArrDelay", "y"), ("DepDelay", "x"), ("Flights", "z")]
+    assert {r["counted"]: r["rows"] for r in load.report().collect()} == load.counts
+
+
+def test_load_without_rows(spark, tmp_path):
+    load = load_csv(spark, write(tmp_path / "a", "DepDelay,ArrDelay,Flights"), f"file://{tmp_path}/out", COLS)
+    assert load.counts["rows_read"] == 0 and load.table.count() == 0 and load.rejects.count() == 0

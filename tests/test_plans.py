@@ -14,7 +14,7 @@ from tarmac.session import keeping
 
 QUERIES = catalog.queries()
 WRITE_KEYS = {"src_csv", "sink_csv", "sink_table", "sink_query_exports", "stream_ingest", "src_csv_raw",
-              "pipeline_clean", "pipeline_original", "prof_invariants_raw"}
+              "pipeline_clean", "pipeline_original", "prof_invariants_raw", "pipeline_rejects", "pipeline_rejected_rows", "prof_distinct_flags"}
 
 #: Queries whose layers share one aggregate.
 ONE_PASS = [k for k in QUERIES if k.startswith("mart_")]
