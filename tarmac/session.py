@@ -67,17 +67,60 @@ def shared_dir(spark: SparkSession) -> str:
         return d
 
 
+#: Spark removes the shuffle files of a finished execution when this is set.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SCOPES: list[list[DataFrame]] = []
+
+
 def materialize(df, name: str = "stage"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader: cuts the lineage (lost executors re-read the files) and,
     unlike ``DataFrame.checkpoint`` on an unpersisted plan, computes the input
-    only once. Meant for small intermediate results shared by several plans."""
+    only once. The write's shuffle files go when it is done; the table stays
+    until it is discarded (see ``discard`` and ``scratch``)."""
     import uuid
 
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    table = spark.read.parquet(path)
+    table._staged = path
+    if _SCOPES:
+        _SCOPES[-1].append(table)
+    return table
+
+
+def discard(*tables) -> None:
+    """Remove the files of staged tables that nothing reads any more."""
+    for table in tables:
+        path = getattr(table, "_staged", None)
+        sc = table.sparkSession.sparkContext
+        if path:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            table._staged = None
+
+
+@contextmanager
+def scratch() -> Iterator[list]:
+    """Tables staged inside are discarded at the end, but for those appended to the list that this gives."""
+    stay: list[DataFrame] = []
+    _SCOPES.append([])
+    try:
+        yield stay
+    finally:
+        made = _SCOPES.pop()
+        discard(*[t for t in made if not any(t is s for s in stay)])
+        if _SCOPES:
+            _SCOPES[-1].extend(stay)
 
 
 #: Kept frames at most; beyond, the one that was used least recently goes.
