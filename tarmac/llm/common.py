@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.session import materialize, shared_dir
+from tarmac.session import discard, materialize, scratch, shared_dir  # noqa: F401
 
 #: White space that separates words, as a character class body.
 WORD_RE = r"[^\x20\x09-\x0D]+"

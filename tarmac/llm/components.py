@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stage
+from tarmac.llm.common import discard, stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = stage(_small_star(_large_star(now)), "stars")
+        before, now = now, stage(_small_star(_large_star(now)), "stars")
+        discard(before)
         last, state = state, _state(now)
         if state == last:
             break

@@ -16,11 +16,14 @@ each other and their symmetric difference: |A ^ B| * (DEN + NUM) <=
   write, against list entries that the heavy sets would meet.
 
 Pairs within a list are not enumerated: every set is first compared with one
-that is the smallest member of most of its lists. Only members that are in different components
-after that are compared with each other, and of those only the pairs whose
-sizes and parity sketches allow a link (the popcount of the sketches' xor
-never exceeds |A ^ B|, so no link is lost). Every link used is verified on
-the full sets.
+that is the smallest member of most of its lists. Lists whose members are in
+different components after that get pivots, a few drawn members each, in
+rounds: whoever links with a pivot joins its component, and components that
+have joined are not compared again. The rounds end when they join little any
+more. Only what is then still in different components is compared pair by
+pair, and of those only the pairs whose sizes and parity sketches allow a link
+(the popcount of the sketches' xor never exceeds |A ^ B|, so no link is lost).
+Every link used is verified on the full sets.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage, text_of, worker_cache
+from tarmac.llm.common import arrow_rows, discard, join_small, scratch, stage, text_of, worker_cache
 from tarmac.llm.components import components
 
 SHINGLE, NUM, DEN = 3, 90, 100
@@ -43,11 +46,14 @@ LONG_LIST = 64
 MAX_LIGHT = 29
 #: Bits of the fixed-size sketch of frequent elements (it only steers the order), and of a set's parity sketch.
 FREQUENT_BITS, PARITY_BITS = 26, 512
-ELEMENT_BYTES = 6
+ELEMENT_BYTES = 8
+#: Pivots of a long list in a round, members from which on a list is long, and the share of its components that a round must join for another one.
+PIVOTS, LONG_SPLIT, WORTH = 4, 16, 0.1
 SLIM_ROWS = 1_000_000
 ARROW_ROWS = 500
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+_LOW = (1 << 64) - 1
 _LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
 
@@ -70,7 +76,7 @@ class _Words(dict):
 
 
 def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's k-word shingles, ascending; ELEMENT_BYTES bytes each."""
+    """The distinct 64-bit hashes of a text's k-word shingles, ascending."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
@@ -80,19 +86,16 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
         all_of = np.full(n, min(len(h), k), np.uint64)
         for i in range(min(len(h), k)):
             all_of = mix(all_of * _C[0] + h[i:i + n] * _C[1] + _C[2])
-    return np.unique(all_of >> np.uint64(64 - 8 * ELEMENT_BYTES))
+    return np.unique(all_of)
 
 
 def pack(elements: np.ndarray) -> bytes:
     """Ascending elements as byte planes, which compress."""
-    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :ELEMENT_BYTES].T).tobytes()
+    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, ELEMENT_BYTES).T).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(ELEMENT_BYTES, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :ELEMENT_BYTES] = planes.T
-    return out.reshape(-1).view("<u8")
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(ELEMENT_BYTES, -1).T).reshape(-1).view("<u8")
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def parity(elements: np.ndarray) -> np.ndarray:
 
 
 _WORDS64 = PARITY_BITS // 64
-SETS = "uid bigint, doc_id bigint, text_key string, n int, sid bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", wide binary, elements binary"
+SETS = "uid bigint, doc_id bigint, text_key string, n int, sid bigint, proof bigint, " + ", ".join(f"s{i} bigint" for i in range(_WORDS64)) + ", wide binary, elements binary"
 
 
 def wide_parity(elements: np.ndarray) -> bytes:
@@ -116,7 +119,7 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
-def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame], k: int, seed: int) -> Iterator[pd.DataFrame]:
     import xxhash
 
     names = [x.split()[0] for x in SETS.split(", ")]
@@ -125,8 +128,9 @@ def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
         for uid, doc_id, key, text in pdf[["uid", "doc_id", "text_key", "text"]].itertuples(index=False):
             e = shingles(text, k)
             data = pack(e)
-            sid = xxhash.xxh3_64_intdigest(data, seed=len(e)) - (1 << 63)
-            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), key, len(e), sid, *parity(e).tolist(), wide_parity(e), data))
+            name = xxhash.xxh3_128_intdigest(data, seed=seed)
+            sid, proof = (name & _LOW) - (1 << 63), (name >> 64) - (1 << 63)
+            rows.append((uid, None if pd.isna(doc_id) else int(doc_id), key, len(e), sid, proof, *parity(e).tolist(), wide_parity(e), data))
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
@@ -254,7 +258,9 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, de
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    return stage(left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "verified")
+    found = stage(left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "verified")
+    discard(pairs, seconds)
+    return found
 
 
 def similar_sets(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -267,7 +273,9 @@ def similar_sets(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = D
     null. An empty table gives an empty result. ``class_size`` is the number
     of rows with the same set.
 
-    Shingles are compared by 48-bit hashes, sets by size and 64-bit hash.
+    Shingles are compared by 64-bit hashes. Sets are named by 64 bits, and
+    other 64 bits prove that no two different sets have one name (else all are
+    named anew).
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS):
         return _similar_sets(docs, k, num, den).drop("text_key", "root")
@@ -280,8 +288,9 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     Equal texts are in one component, so a pair belongs to one component only.
     Texts without words are each their own component and all listed.
     """
-    with arrow_rows(docs.sparkSession, ARROW_ROWS):
+    with arrow_rows(docs.sparkSession, ARROW_ROWS), scratch() as stay:
         rows = stage(_similar_sets(docs, k, num, den).select("doc_id", "text_key", "n_shingles", "root"), "components")
+        stay.append(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     of_component = rows.where("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
     return of_component.union(rows.where("n_shingles = 0").select("doc_id", "text_key").distinct())
@@ -289,11 +298,16 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
 
 def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("text_key"), "text")
-    sets = stage(rows.mapInPandas(lambda b: _sets(b, k), SETS), "sets")
-    full = sets.where("n > 0")
     sketch = [f"s{i}" for i in range(_WORDS64)]
-    classes = stage(full.groupBy("sid", "n").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
-                                                 *(F.min(s).alias(s) for s in sketch), F.min("wide").alias("wide")), "set-classes")
+    seed = 0
+    while True:
+        sets = stage(rows.mapInPandas(lambda b: _sets(b, k, seed), SETS), "sets")
+        full = sets.where("n > 0")
+        classes = stage(full.groupBy("sid").agg(F.min("n").alias("n"), F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
+                                                (F.min("proof") == F.max("proof")).alias("proven"), *(F.min(s).alias(s) for s in sketch), F.min("wide").alias("wide")), "set-classes")
+        if classes.where("NOT proven").isEmpty():
+            break
+        seed += 1  # two different sets under one name: once in a long time
 
     # The order of elements: frequent ones last. Copies count here, which moves elements back but loses nothing.
     counts = stage(postings(full, None, 1, num, den).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
@@ -306,6 +320,7 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         more = postings(inside, None, 1, num, den, whole=True).groupBy("key").agg(F.countDistinct("sid").alias("c")).where(F.col("c") > LONG_LIST)
         frequent = frequent | frequent_sketch(stage(more.select("key"), "group-elements"))
 
+    discard(still)
     length = counts.agg((F.sum(F.col("c") * F.least("c", F.lit(LONG_LIST))) / F.sum("c")).alias("l")).first()["l"] or 1.0
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= MAX_LIGHT + 1).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(sizes, float(length), num, den)
@@ -322,15 +337,28 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     near = stars.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(may_link("x", "y", num, den)).select("a", "b")
     links = verified(near, sets, classes, num, den)
     roots = components(links)
+    discard(counts, entries)
+
+    # Lists whose members are in different components after that.
+    left = stage(_still_split(sided(shared.select("key", "sid"), "sid"), roots), "unlinked")
+    discard(shared)
+    turn, before = 0, _long_components(left)
+    while before:
+        found = verified(_pivot_pairs(left, sketch, turn, num, den), sets, classes, num, den)
+        links = links.union(found)
+        roots = components(links)
+        last, left = left, stage(_still_split(left.drop("root"), roots), "unlinked")
+        discard(last)
+        turn, now = turn + 1, _long_components(left)
+        if now > (1 - WORTH) * before:
+            break
+        before = now
 
-    # Lists whose members are in different components after that: compare across components.
-    placed = shared.join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = stage(sided(placed.join(split, "key"), "sid"), "unlinked")
     across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
     cross = across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
     found = verified(cross, sets, classes, num, den)
     roots = components(links.union(found))
+    discard(left)
 
     known = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", "class_size", F.coalesce("root", "sid").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -340,6 +368,30 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                       F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "text_key", "root")
 
 
+def _still_split(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``lists`` (key, sid, ...) with each set's root, of lists with several roots."""
+    placed = lists.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    return placed.join(split, "key")
+
+
+def _long_components(left: DataFrame) -> int:
+    """How many components meet in long lists, over all of those lists."""
+    long = left.groupBy("key").agg(F.count("*").alias("c"), F.approx_count_distinct("root").alias("roots")).where(F.col("c") >= LONG_SPLIT)
+    return long.agg(F.coalesce(F.sum("roots"), F.lit(0))).first()[0]
+
+
+def _pivot_pairs(left: DataFrame, sketch: list[str], turn: int, num: int, den: int) -> DataFrame:
+    """(a, b): each member of a long list with the list's pivots of this round, where a link is possible."""
+    member = F.struct("sid", "root", "n", *sketch)
+    drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(turn * PIVOTS + i)).alias("draw"), member.alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
+    pivots = left.groupBy("key").agg(F.count("*").alias("c"), *drawn).where(F.col("c") >= LONG_SPLIT)
+    each = pivots.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.m" for i in range(PIVOTS)]))).alias("m")).select("key", "m.*")
+    x, y = left.alias("x"), each.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
+    return met.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+
+
 def _with_listed(sets: DataFrame, frequent: np.ndarray, member: np.ndarray, num: int, den: int) -> DataFrame:
     """The sets with a listed element in the sketch ``member``."""
     spark = sets.sparkSession
