@@ -52,6 +52,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tarmac/stages/{name}-{uuid.uuid4().hex}"
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` as the columns ``needed`` and ``_row``, a struct of all of its columns: whatever those are called, no name clashes."""
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    return df.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
+
+
 _held: dict[str, object] = {}
 
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage, text_of, worker_cache
+from tarmac.llm.common import arrow_rows, join_small, packed, stage, text_of, unpacked, worker_cache
 
 #: Masks of weight 7 over 11 places. Together they hit every aligned stretch of 13 places with at most two
 #: substitutions, wherever those are (a test goes through all of them).
@@ -216,4 +216,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item."""
     bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
     bad = stage(bad.distinct(), "contaminated")
-    return join_small(docs, bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(text_of()) == F.col("_key")), "left_anti")
+    kept = join_small(packed(docs, "doc_id", "text"), bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.md5(text_of()) == F.col("_key")), "left_anti")
+    return unpacked(kept, docs)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage, text_of
+from tarmac.llm.common import arrow_rows, join_small, packed, stage, text_of, unpacked
 from tarmac.llm.components import components
 
 #: Edits that linked lines may differ by; shorter lines are only compared for equality.
@@ -239,11 +239,10 @@ def line_report(docs: DataFrame, tau: int = TAU) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """``docs`` without the repeated lines in ``text``. Rows repeated with doc_id and text keep their lines once."""
-    keyed = docs.withColumn("_key", F.md5(text_of()))
+    keyed = packed(docs, "doc_id", "text").withColumn("_key", F.md5(text_of()))
     plan = line_report(keyed.groupBy("doc_id", "_key").agg(F.first("text").alias("text")).select("doc_id", "text"), tau)
     plan = stage(plan.where("n_dropped > 0").select(F.col("doc_id").alias("_id"), F.split("dropped", ",").alias("_gone"), "n_lines"), "dropped-lines")
     lines_of = F.split("text", "\n", -1)
     kept = F.array_join(F.filter(lines_of, lambda x, i: ~F.array_contains("_gone", i.cast("string"))), "\n")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.size(lines_of) == F.col("n_lines"))
-    done = keyed.join(plan, same, "left").withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
-    return done.select(*docs.columns)
+    return unpacked(keyed.join(plan, same, "left"), docs, text=F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))

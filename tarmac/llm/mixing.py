@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import WORD_RE, join_small, shuffle_partitions, stage, text_of
+from tarmac.llm.common import WORD_RE, join_small, packed, shuffle_partitions, stage, text_of, unpacked
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -80,20 +80,25 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as it is taken, its last
     copy cut after the words that the budget still takes. ``n_chars`` follows
     the text. Rows of size 0 are taken as they are, once, if their source
-    takes anything: they cost no words."""
-    cols = docs.columns
-    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"), (F.col("target") > 0).alias("_any")).distinct()
-    # Rows repeated in full differ only in what the cut takes of them: one plan row each, in any order.
-    number = Window.partitionBy("_id", "_source", "_key").orderBy(F.desc("_taken"))
+    takes anything: they cost no words. Rows repeated with id, source and
+    text take together what each of them takes; where they differ in other
+    columns, the copies have the least one's."""
+    plan = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), "taken", "target")
+    # Rows repeated with id, source and text take together what each of them takes: whole copies, and the rest in a last one.
+    plan = plan.groupBy("_id", "_source", "_key").agg(F.max("_size").alias("_size"), F.sum("taken").alias("_taken"), (F.max("target") > 0).alias("_any"), F.count("*").alias("_rows"))
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_key") == F.md5(text_of()))
-    plan = plan.withColumn("_n", F.row_number().over(number)).where("_n = 1")
-    copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(F.col("_any").cast("long")).cast("int")
-    each = docs.join(plan, same).withColumn("_copies", copies).where("_copies > 0")
+    each = packed(docs, "doc_id", "source", "text").join(plan, same)
+    own = ["_id", "_source", "_key", "_size", "_taken", "_any", "_rows"]
+    repeated = each.where("_rows > 1").groupBy(*own).agg(F.min("_row").alias("_row")).withColumn("text", F.col("_row")["text"])
+    each = each.where("_rows = 1").select(*own, "_row", "text").unionByName(repeated)
+    copies = F.when(F.col("_size") > 0, F.ceil(F.col("_taken") / F.col("_size"))).otherwise(F.col("_any").cast("long") * F.col("_rows")).cast("int")
+    each = each.withColumn("_copies", copies).where("_copies > 0")
     each = each.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    words = F.col("_taken") - F.col("_size") * (F.col("_copy") - 1)
+    each = each.withColumn("_words", F.col("_taken") - F.col("_size") * (F.col("_copy") - 1))
     # The first k words with the white space between them; (k - 1) pairs of word and space, iterated possessively.
     head = F.expr(r"regexp_extract(text, concat('^[\\x20\\x09-\\x0D]*+(?:[^\\x20\\x09-\\x0D]++[\\x20\\x09-\\x0D]*+){0,', cast(_words as string), '}+'), 0)")
-    each = each.withColumn("_words", words).withColumn("text", F.when((F.col("_size") > 0) & (F.col("_words") < F.col("_size")), head).otherwise(F.col("text")))
-    if "n_chars" in cols:
-        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return each.select(*cols)
+    text = F.when((F.col("_size") > 0) & (F.col("_words") < F.col("_size")), head).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unpacked(each, docs, **changed)

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import stage, text_of
+from tarmac.llm.common import packed, stage, text_of, unpacked
 
 #: The patterns of the result's definition, anchored so that a search never starts twice in one run.
 PATTERNS = {
@@ -155,9 +155,9 @@ def sanitise(docs: DataFrame) -> DataFrame:
     new = F.when(F.col("kind") != "term", F.concat(F.lit("["), F.upper("kind"), F.lit("]"))).when(F.col("share") >= REMOVE, "").otherwise("[TERM]")
     plan = free.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end", new.alias("new")))).alias("_spans")).join(rows, "uid")
     plan = plan.groupBy("doc_id", "text_key").agg(F.first("_spans").alias("_spans")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_spans")
-    done = docs.join(plan, F.col("_id").eqNullSafe(docs["doc_id"]) & (F.col("_key") == F.md5(text_of())), "left")
+    done = packed(docs, "doc_id", "text").join(plan, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.md5(text_of())), "left")
     s = F.col("_spans")
     parts = F.transform("_spans", lambda x, i: F.concat(F.substring("text", F.coalesce(F.get(s, i - 1)["end"], F.lit(0)) + 1, x["start"] - F.coalesce(F.get(s, i - 1)["end"], F.lit(0))), x["new"]))
     tail = F.substring("text", F.element_at(s, -1)["end"] + 1, F.length("text"))
     text = F.when(s.isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), tail))
-    return done.withColumn("text", text).select(*docs.columns)
+    return unpacked(done, docs, text=text)
