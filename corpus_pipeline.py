@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import WORD_RE, read, stage, text_of
+from tarmac.llm.common import WORD_RE, packed, read, stage, text_of, unpacked
 from tarmac.llm.decontaminate import clean_documents
 from tarmac.llm.mixing import mix, mixed_documents
 from tarmac.llm.ngram_join import first_of_each
@@ -34,9 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated with their id."""
     first = stage(first_of_each(docs, WORDS, NUM, DEN).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_first")), "kept-texts")
     nameless = F.col("doc_id").isNull() & ~text_of().rlike(WORD_RE)  # nothing says that two of these are one document
-    keyed = docs.where(~nameless).withColumn("_key", F.md5(text_of()))
+    keyed = packed(docs.where(~nameless), "doc_id", "text").withColumn("_key", F.md5(text_of()))
     kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).drop("_key").union(docs.where(nameless))
+    return unpacked(kept.dropDuplicates(["doc_id", "_key"]), docs).union(docs.where(nameless))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
