@@ -18,7 +18,7 @@ each other and their symmetric difference: |A ^ B| * (DEN + NUM) <=
 Pairs within a list are not enumerated: every set is first compared with one
 that is the smallest member of most of its lists. Lists whose members are in
 different components after that get pivots, a few drawn members each, in
-rounds: whoever links with a pivot joins its component, and components that
+rounds (where they hold many pairs): whoever links with a pivot joins its component, and components that
 have joined are not compared again. The rounds end when they join little any
 more. Only what is then still in different components is compared pair by
 pair, and of those only the pairs whose sizes and parity sketches allow a link
@@ -47,8 +47,9 @@ MAX_LIGHT = 29
 #: Bits of the fixed-size sketch of frequent elements (it only steers the order), and of a set's parity sketch.
 FREQUENT_BITS, PARITY_BITS = 26, 512
 ELEMENT_BYTES = 8
-#: Pivots of a long list in a round, members from which on a list is long, and the share of its components that a round must join for another one.
-PIVOTS, LONG_SPLIT, WORTH = 4, 16, 0.1
+#: Pivots of a long list in a round, members from which on a list is long, pairs in long lists for each row of all lists from which on rounds cost less,
+#: and the share of the lists' components that a round must join for another one.
+PIVOTS, LONG_SPLIT, PAIRS_EACH, WORTH = 4, 16, 16, 0.1
 SLIM_ROWS = 1_000_000
 ARROW_ROWS = 500
 
@@ -342,17 +343,22 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     # Lists whose members are in different components after that.
     left = stage(_still_split(sided(shared.select("key", "sid"), "sid"), roots), "unlinked")
     discard(shared)
-    turn, before = 0, _long_components(left)
-    while before:
-        found = verified(_pivot_pairs(left, sketch, turn, num, den), sets, classes, num, den)
-        links = links.union(found)
-        roots = components(links)
+    long = left.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= LONG_SPLIT)
+    pairs = long.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0))).first()[0]
+    if pairs > PAIRS_EACH * left.count():  # else comparing pairs costs less than rounds
+        hard = stage(left.join(long.select("key"), "key"), "long-lists")
+        turn, before = 0, _list_components(hard)
+        while before:
+            links = links.union(verified(_pivot_pairs(hard, sketch, turn, num, den), sets, classes, num, den))
+            roots = components(links)
+            last, hard = hard, stage(_still_split(hard.drop("root"), roots), "long-lists")
+            discard(last)
+            turn, now = turn + 1, _list_components(hard)
+            if now > (1 - WORTH) * before:
+                break
+            before = now
         last, left = left, stage(_still_split(left.drop("root"), roots), "unlinked")
-        discard(last)
-        turn, now = turn + 1, _long_components(left)
-        if now > (1 - WORTH) * before:
-            break
-        before = now
+        discard(last, hard)
 
     across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
     cross = across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
@@ -375,17 +381,17 @@ def _still_split(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return placed.join(split, "key")
 
 
-def _long_components(left: DataFrame) -> int:
-    """How many components meet in long lists, over all of those lists."""
-    long = left.groupBy("key").agg(F.count("*").alias("c"), F.approx_count_distinct("root").alias("roots")).where(F.col("c") >= LONG_SPLIT)
-    return long.agg(F.coalesce(F.sum("roots"), F.lit(0))).first()[0]
+def _list_components(lists: DataFrame) -> int:
+    """How many components meet in lists, over all of the lists."""
+    each = lists.groupBy("key").agg(F.approx_count_distinct("root").alias("roots"))
+    return each.agg(F.coalesce(F.sum("roots"), F.lit(0))).first()[0]
 
 
 def _pivot_pairs(left: DataFrame, sketch: list[str], turn: int, num: int, den: int) -> DataFrame:
-    """(a, b): each member of a long list with the list's pivots of this round, where a link is possible."""
+    """(a, b): each member of a list with the list's pivots of this round, where a link is possible."""
     member = F.struct("sid", "root", "n", *sketch)
     drawn = [F.min(F.struct(F.xxhash64("sid", F.lit(turn * PIVOTS + i)).alias("draw"), member.alias("m"))).alias(f"p{i}") for i in range(PIVOTS)]
-    pivots = left.groupBy("key").agg(F.count("*").alias("c"), *drawn).where(F.col("c") >= LONG_SPLIT)
+    pivots = left.groupBy("key").agg(*drawn)
     each = pivots.select("key", F.explode(F.array_distinct(F.array(*[f"p{i}.m" for i in range(PIVOTS)]))).alias("m")).select("key", "m.*")
     x, y = left.alias("x"), each.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))

@@ -98,3 +98,31 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300)] + [(1000, 1001), (5, 5)], "a bigint, b bigint")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 301)}, 1001: 1000}
+
+
+def test_rounds_of_pivots_give_the_same_components(spark, monkeypatch):
+    """A group whose members mostly link with others than the smallest; with rounds, few pairs are left to compare."""
+    rnd = random.Random(11)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rnd.choice([2, 2, 3])):
+            w[rnd.randrange(90)] = f"x{rnd.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += corpus(3, 60)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    compared = []
+    verify = nj.verified
+
+    def counting(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(nj, "verified", counting)
+    monkeypatch.setattr(nj, "PAIRS_EACH", 10**9)
+    plainly, by_pairs = got(spark, rows), compared[-1]
+    compared.clear()
+    monkeypatch.setattr(nj, "PAIRS_EACH", 0)
+    assert got(spark, rows) == plainly == plain(rows)
+    assert len(compared) > 2 and sum(compared[1:]) < max(by_pairs, 200)
