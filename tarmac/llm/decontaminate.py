@@ -8,13 +8,12 @@ hit: it aligns document and item, and the overlap is verified around it on
 the tokens themselves, counting substitutions.
 
 The benchmark is the stated query set: its windows go to the tasks in blocks
-of at most ``BLOCK_TOKENS`` tokens; a larger benchmark takes more passes over
-the documents, each on all rows.
+of at most ``BLOCK_TOKENS`` tokens (16 bytes for each window and mask); a
+larger benchmark takes more passes over the documents, each on all rows.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,9 +24,12 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import arrow_rows, join_small, packed, stage, text_of, unpacked, worker_cache
 
-#: Masks of weight 7 over 11 places. Together they hit every aligned stretch of 13 places with at most two
-#: substitutions, wherever those are (a test goes through all of them).
-MASKS = ("11011011001", "10101001111", "11001101011", "10011111001")
+#: Masks for items of at least 11 words, and for items of 5 to 10. Together they hit every aligned stretch of 11 places or more (of 5 or more, for short
+#: items) of which 80 % are equal, wherever the others are (a test proves it for every length: the fewest substitutions that keep all masks from hitting
+#: are more than 80 % allows). Items of fewer words must be there as they are, and are hashed whole.
+MASKS = ("1101001011", "111111", "11010111", "1101000111")
+SHORT_MASKS = ("10111", "11101", "11011", "1111")
+LONG_ITEM, SHORT_ITEM = 11, 5
 #: An overlap has at least this many aligned places (or the whole item, if it is shorter), this share of them equal.
 MIN_OVERLAP, MIN_EQUAL = 13, 0.8
 BLOCK_TOKENS = 2_000_000
@@ -96,50 +98,63 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, least: int, equa
     return best and (lo + best[0], lo + best[1], best[2])
 
 
+class Index:
+    """The windows of some items under one mask, as sorted arrays."""
+
+    def __init__(self, mask: str, items: list[tuple[int, np.ndarray]]):
+        self.mask = mask
+        each = [(k, seeds(t, mask)) for k, t in items]
+        h = np.concatenate([np.empty(0, np.uint64), *(x for _, x in each)])
+        order = np.argsort(h, kind="stable")
+        self.hashes = h[order]
+        self.items = np.concatenate([np.empty(0, np.int32), *(np.full(len(x), k, np.int32) for k, x in each)])[order]
+        self.places = np.concatenate([np.empty(0, np.int32), *(np.arange(len(x), dtype=np.int32) for _, x in each)])[order]
+        # Most windows of documents are ruled out by one bit of their hash.
+        self.drop = np.uint64(64 - max(16, int(4 * len(h)).bit_length()))
+        self.seen = np.zeros(1 << int(64 - self.drop), bool)
+        self.seen[self.hashes >> self.drop] = True
+
+    def hits(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in t, item, place in the item) of all shared windows."""
+        h = seeds(t, self.mask)
+        at = np.flatnonzero(self.seen[h >> self.drop])
+        low = np.searchsorted(self.hashes, h[at], side="left")
+        many = np.searchsorted(self.hashes, h[at], side="right") - low
+        every = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(at, many), self.items[every], self.places[every]
+
+
 class Block:
-    """The windows of some benchmark items, ready to be searched."""
+    """Some benchmark items, ready to be searched."""
 
     def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], least: int, equal: float):
-        self.masks, self.least, self.equal = masks, least, equal
+        self.least, self.equal = least, equal
         self.items = [(i, t) for i, t in ((i, tokens(x)) for i, x in items) if len(t)]
-        self.index, self.hashes = [], []
-        for mask in masks:
-            at = defaultdict(list)
-            for k, (_, t) in enumerate(self.items):
-                for place, h in enumerate(seeds(t, mask).tolist()):
-                    at[h].append((k, place))
-            self.index.append(dict(at))
-            self.hashes.append(np.sort(np.fromiter(at, np.uint64, len(at))))
-        # Items shorter than every mask have no window: they are looked up whole.
-        shortest = min(map(len, masks))
-        self.short = defaultdict(dict)
-        for k, (_, t) in enumerate(self.items):
-            if len(t) < shortest:
-                self.short[len(t)].setdefault(t.tobytes(), k)
-
-    def search(self, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, equal places): the best overlap with each item."""
-        shifts = set()
-        for mask, index, hashes in zip(self.masks, self.index, self.hashes):
-            h = seeds(doc, mask)
-            if not len(h) or not len(hashes):
-                continue
-            at = np.searchsorted(hashes, h)
-            at[at == len(hashes)] = 0
-            for p in np.flatnonzero(hashes[at] == h).tolist():
-                shifts.update((k, p - q) for k, q in index[int(h[p])])
-        found = {}
-        for k, shift in shifts:
+        of = lambda few, many: [(k, t) for k, (_, t) in enumerate(self.items) if few <= len(t) < many]
+        kinds = [(m, of(LONG_ITEM, 1 << 60)) for m in masks] + [(m, of(SHORT_ITEM, LONG_ITEM)) for m in SHORT_MASKS]
+        kinds += [("1" * n, of(n, n + 1)) for n in range(1, SHORT_ITEM)]
+        self.indexes = [Index(mask, mine) for mask, mine in kinds if mine]
+
+    def search(self, docs: list[np.ndarray]) -> list[list[tuple[int, int, int, int]]]:
+        """(item_id, start, end, equal places) of each document's best overlap with each item."""
+        found: list[dict[int, tuple]] = [{} for _ in docs]
+        sizes = np.array([len(d) for d in docs], np.int64)
+        ends = np.cumsum(sizes)
+        whole = np.concatenate([np.empty(0, np.uint64), *docs])
+        aligned = [np.empty((0, 3), np.int64)]
+        for index in self.indexes:
+            at, item, place = index.hits(whole)
+            doc = np.searchsorted(ends, at, side="right")
+            inside = at + len(index.mask) <= ends[doc] if len(at) else np.zeros(0, bool)
+            start = ends[doc] - sizes[doc] if len(at) else at
+            aligned.append(np.unique(np.stack((doc, item, at - start - place), 1)[inside], axis=0))
+        for doc, k, shift in np.unique(np.concatenate(aligned), axis=0).tolist():
             item_id, item = self.items[k]
-            got = best_overlap(doc, item, shift, min(self.least, len(item)), self.equal)
-            if got and (k not in found or (got[0] - got[1], got[0]) < (found[k][1] - found[k][2], found[k][1])):
-                found[k] = (item_id, *got)
-        for n, whole in self.short.items():
-            for p in range(len(doc) - n + 1):
-                k = whole.get(doc[p:p + n].tobytes())
-                if k is not None and k not in found:
-                    found[k] = (self.items[k][0], p, p + n, n)
-        return list(found.values())
+            got = best_overlap(docs[doc], item, shift, min(self.least, len(item)), self.equal)
+            held = found[doc].get(k)
+            if got and (held is None or (got[0] - got[1], got[0]) < (held[1] - held[2], held[1])):
+                found[doc][k] = (item_id, *got)
+        return [list(f.values()) for f in found]
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[list[tuple[int, str]]]:
@@ -194,8 +209,8 @@ def _per_row(rows: DataFrame, benchmark: DataFrame, masks, least, equal, block_t
             block = Block(shared.value, masks, least, equal)
             for pdf in batches:
                 lines = []
-                for uid, doc_id, text, key in zip(pdf["uid"], pdf["doc_id"], pdf["text"], pdf["text_key"]):
-                    hits = sorted((h[1] - h[2], h[0] is None, h[0] or 0, h[1], h) for h in block.search(tokens(text)))
+                for uid, doc_id, all_of, key in zip(pdf["uid"], pdf["doc_id"], block.search([tokens(x) for x in pdf["text"]]), pdf["text_key"]):
+                    hits = sorted((h[1] - h[2], h[0] is None, h[0] or 0, h[1], h) for h in all_of)
                     lines.append((uid, None if pd.isna(doc_id) else doc_id, key, len(hits), *(hits[0][-1] if hits else (None,) * 4)))
                 yield pd.DataFrame(lines, columns=names).astype(types)
 

@@ -1,7 +1,6 @@
 """Spaced-seed overlaps against a scan of every alignment."""
 
 import random
-from itertools import combinations
 
 from tarmac.llm import decontaminate as d
 
@@ -58,10 +57,51 @@ def test_matches_every_alignment(spark):
     assert got == plain(docs, items) and 10 < sum(got.values()) < 50
 
 
-def test_masks_hit_all_pairs_of_substitutions():
-    for n in (0, 1, 2):
-        for gone in combinations(range(13), n):
-            assert any(all(p - at not in d._offsets(m) for p in gone) for m in d.MASKS for at in range(13 - len(m) + 1))
+def fewest_that_block(masks, longest):
+    """For each length, the fewest substitutions of an aligned stretch that keep every mask from hitting it.
+
+    The state is what the last places were; a step appends an equal or a substituted one."""
+    span = max(map(len, masks))
+    states = {(0,) * (span - 1): 0}  # before the stretch nothing is equal
+    out = []
+    for _ in range(longest):
+        ahead = {}
+        for last, cost in states.items():
+            for equal in (0, 1):
+                window = (*last, equal)
+                if equal and any(m[-1] == "1" and all(window[span - len(m) + i] for i, c in enumerate(m) if c == "1") for m in masks):
+                    continue
+                c = cost + 1 - equal
+                if c < ahead.get(window[1:], 99):
+                    ahead[window[1:]] = c
+        states = ahead
+        out.append(min(states.values()))
+    return out
+
+
+def test_masks_reach_what_they_state():
+    """No pattern of substitutions that the share of equal places allows hides from all masks, at any length."""
+    allowed = lambda n: int(n * (1 - d.MIN_EQUAL) + 1e-9)
+    for masks, lengths in ((d.MASKS, range(d.LONG_ITEM, 120)), (d.SHORT_MASKS, range(d.SHORT_ITEM, d.LONG_ITEM))):
+        blocked = fewest_that_block(masks, lengths[-1])
+        assert [n for n in lengths if blocked[n - 1] <= allowed(n)] == []
+
+
+def test_search_finds_every_overlap_that_a_scan_finds():
+    rnd = random.Random(8)
+    items = [(i, " ".join(rnd.choice(WORDS) for _ in range(rnd.choice([1, 2, 4, 5, 6, 9, 10, 11, 12, 13, 15, 16, 20, 31])))) for i in range(60)]
+    docs = []
+    for i in range(400):
+        w = [rnd.choice(WORDS) for _ in range(rnd.randrange(0, 25))]
+        part = words(items[rnd.randrange(60)][1])
+        inner = range(1, len(part) - 1)
+        for at in rnd.sample(inner, min(len(inner), rnd.randrange(0, len(part) // 4 + 1))):
+            part[at] = "other"
+        at = rnd.randrange(len(w) + 1)
+        docs.append((i, " ".join(w[:at] + part + w[at:])))
+    block = d.Block(items, d.MASKS, d.MIN_OVERLAP, d.MIN_EQUAL)
+    got = {i: bool(f) for (i, _), f in zip(docs, block.search([d.tokens(t) for _, t in docs]))}
+    assert got == plain(docs, items) and sum(got.values()) > 200
 
 
 def test_blocks_give_the_same(spark):
