@@ -2,15 +2,17 @@
 
 Direct identifiers (email, ip, card, phone) are found by pattern. Each
 distinct identifier is a protected entity e. The corpus says how strongly a
-term t near e reveals it: with document frequencies over all documents,
+term t reveals it by where both are said: with document frequencies over all
+documents,
 
     IC(e) = -log2 p(e)      PMI(e, t) = log2 p(e, t) / (p(e) p(t))
 
 and the share PMI / IC is how much of e's information t gives away (1: t
-occurs only with e and e can be told from it). Terms that reach
-``GENERALISE`` are generalised to a placeholder, from ``REMOVE`` on they are
-removed. A term must stand with e in ``SUPPORT`` different contexts, so
-copies of one document do not make their words revealing.
+is said only where e is, and e can be told from it). Wherever it stands, a
+mention of a term that reaches ``GENERALISE`` is generalised to a placeholder,
+from ``REMOVE`` on it is removed. A term must be said together with e in
+``SUPPORT`` different texts, so copies of one document do not make their words
+revealing.
 
 Only DataFrame functions are used. Positions are code points: between two
 matches lies the piece that splitting by the same pattern gives, so starts
@@ -24,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import packed, stage, text_of, unpacked
+from tarmac.llm.common import join_small, packed, stage, text_of, unpacked
 
 #: The patterns of the result's definition, anchored so that a search never starts twice in one run.
 PATTERNS = {
@@ -36,10 +38,9 @@ PATTERNS = {
 #: Cheap conditions without which a pattern cannot match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ORDER = {k: i for i, k in enumerate([*PATTERNS, "term"])}
-CONTEXT_CHARS = 60
 TERM = r"(?<!\S)\p{L}{4,}(?=[,.;:!?]*(?:\s|$))"
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
-HITS = "array<struct<kind string, i int, gap int, value string, left string, right string>>"
+HITS = "array<struct<kind string, i int, gap int, value string>>"
 
 
 def _digits(value: Column) -> Column:
@@ -59,7 +60,7 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def _hits(docs: DataFrame) -> DataFrame:
-    """(uid, doc_id, text_key, hits) per row: every match with the length of the text before it and its context."""
+    """(uid, doc_id, text_key, hits) per row: every match with the length of the text before it."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", text_of().alias("text"))
     for kind, pattern in PATTERNS.items():
         need = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("text").rlike("[0-9](?:[ -]?[0-9]){13}")
@@ -70,53 +71,67 @@ def _hits(docs: DataFrame) -> DataFrame:
     def of(kind: str) -> Column:
         p = F.col(f"p_{kind}")
         each = F.transform(f"m_{kind}", lambda m, i: F.struct(
-            F.lit(kind).alias("kind"), i.alias("i"), F.length(p[i]).alias("gap"), m.alias("value"),
-            F.right(p[i], F.lit(CONTEXT_CHARS)).alias("left"), F.left(p[i + 1], F.lit(CONTEXT_CHARS)).alias("right")))
+            F.lit(kind).alias("kind"), i.alias("i"), F.length(p[i]).alias("gap"), m.alias("value")))
         return F.when(F.size(f"m_{kind}") > 0, each).otherwise(F.array().cast(HITS))
 
     return rows.select("uid", "doc_id", F.md5("text").alias("text_key"), F.concat(*map(of, PATTERNS)).alias("hits"))
 
 
-def _context_terms(spans: DataFrame) -> DataFrame:
-    """(uid, entity, context, term, start, end): the words beside each entity, with their places in the text."""
-    def words(side: Column, at: Column) -> Column:
-        m, p = F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), F.split(side, TERM, -1)
-        before = lambda i: F.aggregate(F.transform(F.slice(p, 1, i + 1), F.length), F.lit(0), lambda a, v: a + v) + F.aggregate(
-            F.transform(F.slice(m, 1, i), F.length), F.lit(0), lambda a, v: a + v)
-        return F.transform(m, lambda w, i: F.struct(F.lower(w).alias("term"), (at + before(i)).alias("start"), (at + before(i) + F.length(w)).alias("end")))
-
-    # A word that the context's edge cuts is none: the first of a full left side, the last of a full right side.
-    whole = spans.withColumn("l", F.when(F.length("left") == CONTEXT_CHARS, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left")))
-    whole = whole.withColumn("r", F.when(F.length("right") == CONTEXT_CHARS, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right")))
-    whole = whole.withColumn("at", F.col("start") - F.length("l"))
-    both = F.concat(words(F.col("l"), F.col("at")), words(F.col("r"), F.col("end")))
-    return whole.select("uid", "entity", F.xxhash64("left", "right").alias("context"), F.explode(both).alias("t")).select("uid", "entity", "context", "t.*")
-
-
-def _revealing(near: DataFrame, spans: DataFrame, docs: DataFrame, total: int) -> DataFrame:
-    """(entity, term, share) of the terms that reach the lower threshold."""
-    joint = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("uid").alias("both")).where(F.col("contexts") >= SUPPORT)
-    joint = stage(joint, "pii-joint")
-    entities = spans.groupBy("entity").agg(F.countDistinct("uid").alias("with_entity"))
-    said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_of()), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = said.groupBy("term").agg(F.count("*").alias("with_term")).join(joint.select("term").distinct(), "term")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.md5(text_of()).alias("text_key"), text_of().alias("text"))
+
+
+def _of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_key, text): the texts of ``docs`` whose key is in ``keys`` (key), once each."""
+    return join_small(_texts(docs), keys, F.col("text_key") == F.col("key"), "left_semi").dropDuplicates(["text_key"])
+
+
+def _said(texts: DataFrame) -> DataFrame:
+    """(text_key, term): the different words of each row."""
+    return texts.select("text_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
+def _mentions(texts: DataFrame) -> DataFrame:
+    """(text_key, term, start, end): every word with its place."""
+    m = F.col("m")
+    cut = texts.select("text_key", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
+    each = cut.where(F.size("m") > 0).select("text_key", F.posexplode(F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("gap"), m.alias("word"))).alias("i", "x"))
+    run = Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = each.withColumn("end", F.sum(F.length("x.gap") + F.length("x.word")).over(run))
+    return placed.select("text_key", F.lower("x.word").alias("term"), (F.col("end") - F.length("x.word")).alias("start"), "end")
+
+
+def _revealing(docs: DataFrame, spans: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, share) of the terms that reach the lower threshold, and (text_key, term): who says a term that was in question."""
+    # One row per text and entity, with the number of documents that have the text.
+    texts = spans.select("text_key", "entity", "uid").distinct().groupBy("text_key", "entity").agg(F.count("*").alias("copies"))
+    entities = texts.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity")).where(F.col("texts") >= SUPPORT)
+    protected = stage(texts.join(entities.drop("texts"), "entity"), "pii-entities")
+    own = _said(_of_keys(docs, protected.select(F.col("text_key").alias("key")).distinct()))
+    joint = protected.join(own, "text_key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both"), F.max("with_entity").alias("with_entity"))
+    joint = stage(joint.where(F.col("texts") >= SUPPORT), "pii-joint")
+    asked = stage(joint.select(F.col("term").alias("asked")).distinct(), "pii-terms")
+    said = stage(join_small(_said(_texts(docs)), asked, F.col("term") == F.col("asked"), "left_semi"), "pii-said")
+    terms = said.groupBy("term").agg(F.count("*").alias("with_term"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
-    share = pmi / -F.log2(F.col("with_entity") / F.lit(float(total)))
-    return joint.join(terms, "term").join(entities, "entity").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
+    share = F.try_divide(pmi, -F.log2(F.col("with_entity") / F.lit(float(total))))
+    return joint.join(terms, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE), said
 
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (uid, doc_id, text_key) and their spans (uid, kind, start, end, share; share is null for direct identifiers)."""
     hits = stage(_hits(docs), "pii-hits")
     rows = hits.select("uid", "doc_id", "text_key")
-    each = hits.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.*")
+    each = hits.where(F.size("hits") > 0).select("uid", "text_key", F.explode("hits").alias("h")).select("uid", "text_key", "h.*")
     order = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(order)).withColumn("start", F.col("end") - F.length("value"))
     each = each.where(valid(F.col("kind"), F.col("value"))).withColumn("entity", F.concat_ws(":", "kind", F.lower("value")))
-    spans = stage(each.select("uid", "kind", "start", "end", "entity", "left", "right"), "pii-spans")
-    near = stage(_context_terms(spans), "pii-terms")
-    share = stage(_revealing(near, spans, docs, rows.count()), "pii-shares")
-    terms = near.join(share, ["entity", "term"]).groupBy("uid", "start", "end").agg(F.max("share").alias("share"))
+    spans = stage(each.select("uid", "text_key", "kind", "start", "end", "entity"), "pii-spans")
+    share, said = _revealing(docs, spans, rows.count())
+    share = stage(share.groupBy(F.col("term").alias("reveals")).agg(F.max("share").alias("share")), "pii-shares")
+    keys = stage(join_small(said, share, F.col("term") == F.col("reveals"), "left_semi").select(F.col("text_key").alias("key")).distinct(), "pii-keys")
+    found = join_small(_mentions(_of_keys(docs, keys)), share, F.col("term") == F.col("reveals"), "inner").select(F.col("text_key").alias("key"), "start", "end", "share")
+    terms = join_small(rows, stage(found, "pii-mentions"), F.col("text_key") == F.col("key"), "inner")
     direct = spans.select("uid", "kind", "start", "end", F.lit(None).cast("double").alias("share"))
     return rows, direct.unionByName(terms.select("uid", F.lit("term").alias("kind"), "start", "end", "share"))
 

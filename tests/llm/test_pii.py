@@ -1,6 +1,8 @@
 """Personal data spans against a plain scan of every text."""
 
 import hashlib
+import math
+import random
 import re
 
 import pytest
@@ -82,6 +84,42 @@ def test_revealing_terms_are_spans(linked):
     assert got[0].n_email == 1 and got[0].n_term >= 1
 
 
+WORD = re.compile(r"(?<!\S)[^\W\d_]{4,}(?=[,.;:!?]*(?:\s|$))")
+
+
+def plain_terms(rows):
+    """doc_id -> term spans, by counting documents for every identifier and word."""
+    said = {i: {m[0].lower() for m in WORD.finditer(t or "")} for i, t in rows}
+    named = {i: {f"{k}:{(t or '')[s:e].lower()}" for s, _, k, e in [(m.start(), 0, kind, m.end()) for kind, p in KINDS.items() for m in re.finditer(p, t or "") if holds(kind, m[0])]}
+             for i, t in rows}
+    text, n, found = dict(rows), len(rows), set()
+    for e in set().union(*named.values()):
+        docs = [i for i in named if e in named[i]]
+        for term in set().union(*(said[i] for i in docs)):
+            both = [i for i in docs if term in said[i]]
+            if len({text[i] for i in both}) < 3 or len(docs) == n:
+                continue
+            with_term = sum(term in w for w in said.values())
+            if math.log2(len(both) * n / (len(docs) * with_term)) / -math.log2(len(docs) / n) >= 0.8:
+                found.add(term)
+    return {i: [f"term:{m.start()}:{m.end()}" for m in WORD.finditer(t or "") if m[0].lower() in found] for i, t in rows}
+
+
+def test_terms_match_counting(spark):
+    """Words far from the identifier, mentions in documents without it, copies, and words that are said everywhere."""
+    rnd = random.Random(2)
+    common = [f"word{chr(97 + i)}" for i in range(20)]
+    fill = lambda n: " ".join(rnd.choice(common) for _ in range(n))
+    rows = [(i, f"{fill(30)} Zanthippe, {fill(40)} mail zan@x.org {fill(20)} quietly {fill(3)}") for i in range(6)]
+    rows += [(10 + i, f"{fill(5)} +1 555 123 4567 {fill(30)} Holdernesse {fill(2)}.") for i in range(4)]
+    rows += [(20 + i, f"same mail bob@y.net text Copyword {fill(0)}") for i in range(5)]
+    rows += [(30, f"{fill(9)} zanthippe! {fill(3)} ZANTHIPPE {fill(2)}"), (31, None), (32, "")] + [(40 + i, fill(25) + (" quietly" if i % 2 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("term:")] for r in pii_report(docs).collect()}
+    assert got == plain_terms(rows)
+    assert len(got[30]) == 2 and all(got[i] for i in (*range(6), *range(10, 14))) and not any(got[20 + i] for i in range(5))
+
+
 def test_copies_do_not_make_terms_revealing(spark):
     rows = [(i, "Holder Zanthippe writes zan@x.org today.") for i in range(20)] + [(50 + i, "other text") for i in range(50)]
     assert all(r.n_term == 0 for r in pii_report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
