@@ -69,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark removes the shuffle files of a finished execution when this is set.
 _SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a row group of staged tables: a task holds one while it writes, which with wide rows should not be the default's 128 MB.
+ROW_GROUP = 16 << 20
 _SCOPES: list[list[DataFrame]] = []
 
 
@@ -85,7 +87,7 @@ def materialize(df, name: str = "stage"):
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_SHUFFLE_CLEANUP)
