@@ -91,12 +91,14 @@ def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
 
 
 def pack(elements: np.ndarray) -> bytes:
-    """Ascending elements as byte planes, which compress."""
-    return np.ascontiguousarray(elements.astype("<u8").view(np.uint8).reshape(-1, ELEMENT_BYTES).T).tobytes()
+    """Ascending elements as byte planes of their differences, whose high planes compress."""
+    gaps = np.diff(elements, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, ELEMENT_BYTES).T).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(ELEMENT_BYTES, -1).T).reshape(-1).view("<u8")
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(ELEMENT_BYTES, -1).T).reshape(-1).view("<u8")
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def parity(elements: np.ndarray) -> np.ndarray:
