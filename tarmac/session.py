@@ -87,7 +87,7 @@ def materialize(df, name: str = "stage"):
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_SHUFFLE_CLEANUP)
