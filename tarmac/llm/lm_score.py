@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarmac.llm.common import arrow_rows, join_small, stage, worker_cache
@@ -142,14 +142,15 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, pair_share: float =
     seen = texts.mapInPandas(count_pairs, "pair bigint, background bigint, target bigint").groupBy("pair").agg(
         F.sum("background").alias("background"), F.sum("target").alias("target"))
     # At most 1 / pair_share rows.
-    often = seen.where(F.col("background") + F.col("target") >= max(1.0, pair_share * n)).toPandas().sort_values("pair")
+    often = stage(seen.where(F.col("background") + F.col("target") >= max(1.0, pair_share * n)), "frequent-pairs").toPandas().sort_values("pair")
     columns = ["background", "target"]
     return Model(known, vocabulary[columns].to_numpy(float).T.copy(), totals, often["pair"].to_numpy(np.int64).copy(), often[columns].to_numpy(float).T.copy(), counts.count())
 
 
-#: Flags of a token: in a target text, another token follows, the first of its text.
-TARGET, FOLLOWED, FIRST = 1, 2, 4
-TOKENS = "uid bigint, doc_id string, n_tokens int, background double, aim double, k1 bigint, k2 bigint, wid int, flags int"
+#: Flags of a token, above which its frequent word's id (or none) stands: in a target text, another token follows, the first of its text.
+TARGET, FOLLOWED, FIRST, FLAG_BITS = 1, 2, 4, 3
+#: What varies from token to token comes last: rows that are alike but for that take little room in a shuffle.
+TOKENS = "uid bigint, doc_id string, n_tokens int, background double, aim double, k2 bigint, k1 bigint, word int"
 
 
 class _Hashes(dict):
@@ -165,9 +166,10 @@ class _Hashes(dict):
 
 
 def _tokens(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per text with the part of its loss (a sum over tokens) that ``model`` knows, and one per token that needs other counts."""
+    """A row per text with the part of its losses (sums over tokens) that ``model`` knows, and one (``n_tokens`` is null) per token that needs other counts: ``k1`` is its bigram and ``word`` its id and flags, or for a rare word ``k1`` is the word and ``k2`` the bigram."""
     ids_of, hashes, v = _Ids(model.known), worker_cache("lm-words", _Hashes), len(model.known)
     size = (model.totals + model.words + 1)[:, None]
+    names = [x.split()[0] for x in TOKENS.split(", ")]
     for pdf in batches:
         heads, tails = [], []
         for uid, doc_id, text, target in zip(pdf["uid"], pdf["doc_id"], pdf["text"], pdf["target"]):
@@ -192,52 +194,45 @@ def _tokens(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
                     with np.errstate(over="ignore"):
                         both = (h ^ (before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x85EBCA77))) * np.uint64(0xC2B2AE3D27D4EB4F)
                     both ^= both >> np.uint64(31)
-                    flags = np.full(n, TARGET * bool(target) + FOLLOWED, np.int32)
+                    flags = np.full(n, TARGET * bool(target) + FOLLOWED, np.int64)
                     flags[0] += FIRST
                     flags[-1] -= FOLLOWED
-                    one = (np.where(frequent, both, h), np.where(frequent, 0, before), np.where(frequent, ids, -1), flags)
-                    tails.append((np.full(left.sum(), uid, np.int64), *(x[left] for x in one)))
-            heads.append((uid, doc_id, n, *loss.tolist(), uid, 0, -1, -1))
-        names = [x.split()[0] for x in TOKENS.split(", ")]
+                    word = (np.where(frequent, ids, -1) << FLAG_BITS) + flags
+                    tails.append((np.full(left.sum(), uid, np.int64), *(x[left] for x in (np.where(frequent, 0, both), np.where(frequent, both, h), word))))
+            heads.append((uid, doc_id, n, *loss.tolist(), 0, uid, 0))
         yield pd.DataFrame(heads, columns=names)
         if tails:
-            uid, k1, k2, wid, flags = (np.concatenate(x) for x in zip(*tails))
-            none = {"doc_id": None, "n_tokens": np.int32(0), "background": 0.0, "aim": 0.0}
-            yield pd.DataFrame({"uid": uid, **none, "k1": k1.astype(np.uint64).view(np.int64), "k2": k2.astype(np.uint64).view(np.int64), "wid": wid, "flags": flags})[names]
-
-
-def _sums(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds up the losses of counted tokens, by text; once per text in a batch."""
-    size = (model.totals + model.words + 1)[:, None]
-    for pdf in batches:
-        wid, flags = pdf["wid"].to_numpy(), pdf["flags"].to_numpy()
-        loss, token = pdf[["background", "aim"]].to_numpy(float).T.copy(), flags >= 0
-        of_key, of_both = pdf[["c1_background", "c1_target"]].to_numpy(float).T, pdf[["c2_background", "c2_target"]].to_numpy(float).T
-        rare, first = token & (wid < 0), token & (flags & FIRST > 0)
-        c = of_key.copy()  # of the word; a frequent word's key is its bigram
-        c[:, token & ~rare] = model.unigrams[:, wid[token & ~rare]]
-        p = (c + 1) / size
-        last = np.where(first, p, of_both + MU * p)
-        loss[:, token] -= np.log(last[:, token])
-        ends = rare & (flags & FOLLOWED > 0)
-        loss[:, ends] += np.log(c[:, ends] + MU)
-        uids, at = np.unique(pdf["uid"].to_numpy(), return_inverse=True)
-        out = pd.DataFrame({"uid": uids, "doc_id": pd.Series([None] * len(uids), dtype=object)})
-        for name, x in (("n_tokens", pdf["n_tokens"].to_numpy()), ("background", loss[0]), ("aim", loss[1])):
-            out[name] = np.bincount(at, x, len(uids))
-        out.loc[at[~token], "doc_id"] = pdf["doc_id"].to_numpy()[~token]
-        yield out.astype({"n_tokens": "int64"})
+            uid, k2, k1, word = (np.concatenate(x) for x in zip(*tails))
+            bits = lambda x: x.astype(np.uint64).view(np.int64)
+            none = {"doc_id": None, "n_tokens": pd.arrays.IntegerArray(np.zeros(len(uid), np.int32), np.ones(len(uid), bool)), "background": None, "aim": None}
+            yield pd.DataFrame({"uid": uid, **none, "k2": bits(k2), "k1": bits(k1), "word": word.astype(np.int32)})[names]
 
 
 def whole_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, background, aim) of ``rows`` (uid, doc_id, text, target), by the counts of all words and bigrams in them."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    each = rows.mapInPandas(lambda b: _tokens(shared.value, b), TOKENS)
-    count = lambda of, *by: F.sum((F.col("flags").bitwiseAND(TARGET) == of).cast("long")).over(Window.partitionBy(*by))
-    each = each.withColumns({"c1_background": count(0, "k1"), "c1_target": count(1, "k1")})
-    each = each.withColumns({"c2_background": count(0, "k1", "k2"), "c2_target": count(1, "k1", "k2")})
-    sums = each.mapInPandas(lambda b: _sums(shared.value, b), "uid bigint, doc_id string, n_tokens bigint, background double, aim double")
-    return sums.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "background", "aim"))).drop("uid")
+    """(doc_id, n_tokens, background, aim) of ``rows`` (uid, doc_id, text, target), by the counts of all words and bigrams in them.
+
+    The tokens that need other counts meet by key; their counts and losses are column functions."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    tokens = rows.mapInPandas(lambda b: _tokens(shared.value, b), TOKENS)
+    one = F.col("n_tokens").isNull()
+    v = len(model.known)  # at most 1 / share rows
+    frequent = spark.createDataFrame(pd.DataFrame({"wid": np.arange(v, dtype=np.int32), "w_background": model.unigrams[0], "w_target": model.unigrams[1]}), "wid int, w_background double, w_target double")
+    has = lambda flag: F.col("word").bitwiseAND(flag) != 0
+    count = lambda of, *by: F.count_if(one & (has(TARGET) == F.lit(of))).over(Window.partitionBy(*by))
+    counted = tokens.withColumns({f"{c}_{name}": count(of, *by) for c, by in (("c1", ["k1"]), ("c2", ["k1", "k2"])) for of, name in ((False, "background"), (True, "target"))})
+    known = counted.join(F.broadcast(frequent), F.shiftright("word", FLAG_BITS) == F.col("wid"), "left")
+    rare = F.col("wid").isNull()
+
+    def loss(name: str, k: int, start: str) -> Column:
+        c = F.when(rare, F.col(f"c1_{name}").cast("double")).otherwise(F.col(f"w_{name}"))
+        p = (c + 1) / F.lit(float(model.totals[k] + model.words + 1))
+        last = F.when(has(FIRST), p).otherwise(F.col(f"c2_{name}") + F.lit(MU) * p)
+        of_token = F.when(rare & has(FOLLOWED), F.log(c + F.lit(MU))).otherwise(F.lit(0.0)) - F.log(last)
+        return F.sum(F.when(one, of_token).otherwise(F.col(start)))
+
+    sums = known.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), loss("background", 0, "background").alias("background"), loss("target", 1, "aim").alias("aim"))
+    return sums.drop("uid")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: float | None = None, pair_share: float | None = None) -> DataFrame:
