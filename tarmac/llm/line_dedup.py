@@ -49,39 +49,82 @@ def line_id(codes: bytes) -> int:
     return xxhash.xxh3_64_intdigest(codes, seed=len(codes)) - (1 << 63)
 
 
-def segments(n: int, tau: int) -> list[tuple[int, int]]:
-    """(start, length) of the tau + 1 segments of a line of length n, the longer ones last."""
-    short, longer = divmod(n, tau + 1)
-    out, at = [], 0
-    for i in range(tau + 1):
-        size = short + (i >= tau + 1 - longer)
-        out.append((at, size))
-        at += size
-    return out
-
-
-def keys(codes: bytes, tau: int) -> tuple[list[int], int]:
-    """The keys of every index entry that a line of UTF-32 ``codes`` is in or probes, and how many it is in, the first."""
-    import xxhash
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _PRIME
+    h = (h ^ (h >> np.uint64(29))) * _BASE
+    return h ^ (h >> np.uint64(32))
+
 
-    n, own, probed = len(codes) // 4, {}, {}
-    for l in range(max(SHORT, n - tau), n + 1):  # noqa: E741
-        more = n - l
-        for i, (p, size) in enumerate(segments(l, tau)):
-            lo = max(0, p - i, p + more - (tau - i))
-            hi = min(n - size, p + i, p + more + (tau - i))
-            for at in range(lo, hi + 1):
-                k = xxhash.xxh3_64_intdigest(codes[4 * at:4 * (at + size)], seed=l * (tau + 1) + i) - (1 << 63)
-                (own if more == 0 and at == p else probed)[k] = None
-    return [*own, *(k for k in probed if k not in own)], len(own)
+class Codes:
+    """Many lines as one array of code points, with prefix sums from which the hash of any substring follows."""
 
+    def __init__(self, lines: list[bytes]):
+        self.sizes = np.array([len(x) // 4 for x in lines], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.points = np.frombuffer(b"".join(lines), "<u4").astype(np.uint64)
+        n = len(self.points)
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE))))
+            self.back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, _INVERSE))))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(self.points + np.uint64(1)) * power[:-1], dtype=np.uint64)))
 
-def sketch(codes: bytes) -> list[int]:
-    """The parities of the bigrams' counts, by hash."""
-    c = np.frombuffer(codes, "<u4").astype(np.uint64)
-    h = (c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
-    odd = np.bincount((h % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+    def hashes(self, line: np.ndarray, at: np.ndarray, size: np.ndarray, seed: np.ndarray) -> np.ndarray:
+        """Of each line's substring at ``at`` of ``size`` points: equal substrings and seeds, equal hashes, wherever they are."""
+        first = self.starts[line] + at
+        with np.errstate(over="ignore"):
+            return _mix((self.sums[first + size] - self.sums[first]) * self.back[first] + seed.astype(np.uint64) * _PRIME)
+
+
+def keys(codes: Codes, tau: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, own): the index entries that each line is in (own) or probes, ordered by line, its own first.
+
+    A line of l points has tau + 1 segments, the longer ones last. A line of n
+    probes the segments of lengths n - tau to n at the places where an
+    alignment with at most tau edits can put them.
+    """
+    n, found = codes.sizes, []
+    for more in range(tau + 1):
+        l = n - more  # noqa: E741
+        short, longer = np.divmod(l, tau + 1)
+        for i in range(tau + 1):
+            late = np.maximum(0, i - (tau + 1 - longer))  # longer segments before this one
+            p, size = i * short + late, short + (i >= tau + 1 - longer)
+            lo = np.maximum(np.maximum(0, p - i), p + more - (tau - i))
+            hi = np.minimum(np.minimum(n - size, p + i), p + more + (tau - i))
+            for off in range(2 * tau + 1):
+                line = np.flatnonzero((l >= SHORT) & (lo + off <= hi))
+                if len(line):
+                    at = (lo + off)[line]
+                    found.append((line, codes.hashes(line, at, size[line], l[line] * (tau + 1) + i), (at == p[line]) & (more == 0)))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool)
+    line, key, own = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((~own, line))
+    return line[order], key[order], own[order]
+
+
+def sketches(codes: Codes) -> np.ndarray:
+    """A row per line: the parities of the counts of its bigrams, by hash."""
+    out = np.zeros((len(codes.sizes), _G), np.uint64)
+    c = codes.points
+    if len(c) < 2:
+        return out.view(np.int64)
+    h = ((c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(SKETCH_BITS)
+    bits = np.uint64(1) << (h & np.uint64(63))
+    ends = codes.starts + codes.sizes
+    bits[ends[ends < len(c)] - 1] = 0  # a pair of two lines' points is no bigram
+    some = np.flatnonzero(codes.sizes > 1)
+    if len(some):
+        last = len(bits)
+        for g in range(_G):
+            own = np.where(h >> np.uint64(6) == g, bits, np.uint64(0))
+            out[some, g] = np.bitwise_xor.reduceat(np.append(own, np.uint64(0)), np.minimum(codes.starts[some], last))
+    return out.view(np.int64)
 
 
 def edit_distance(x: str, y: str, most: int) -> int | None:
@@ -120,27 +163,34 @@ def edit_distance(x: str, y: str, most: int) -> int | None:
 
 
 def _rows(batches: Iterator[pd.DataFrame], tau: int) -> Iterator[pd.DataFrame]:
-    """A row per line; for each different line that a task meets, one of them has its keys."""
+    """A row per line; for each different line that a task meets, one of them has its keys and its sketch."""
     seen: set[int] = set()
     for pdf in batches:
-        where, own, sketches, own_keys = [], [], [], []
+        where, own, new, new_at = [], [], [], []
         for uid, doc_id, text in zip(pdf["uid"], pdf["doc_id"], pdf["text"]):
             doc_id = None if pd.isna(doc_id) else int(doc_id)
             for no, line in enumerate(lines(text)):
-                codes, n, found = line.encode("utf-32-le", "surrogatepass"), len(line), ([], 0)
+                codes, n = line.encode("utf-32-le", "surrogatepass"), len(line)
                 lid = line_id(codes)
                 if n >= SHORT and lid not in seen:
                     seen.add(lid)
-                    found = keys(codes, tau)
+                    new.append(codes)
+                    new_at.append(len(own))
                 where.append((uid, doc_id))
-                own.append((no, lid, n, found[1]))
-                sketches.append(sketch(codes) if n >= SHORT else (0,) * _G)
-                own_keys.append(found[0])
-            if len(seen) > SEEN:
-                seen.clear()
-        own_of, g = np.array(own, np.int64).reshape(-1, 4), np.array(sketches, np.int64).reshape(-1, _G)
+                own.append((no, lid, n))
+        if len(seen) > SEEN:
+            seen.clear()
+        own_of, g = np.array(own, np.int64).reshape(-1, 3), np.zeros((len(own), _G), np.int64)
+        own_keys, indexed = [[]] * len(own), np.zeros(len(own), np.int64)
+        if new:
+            codes = Codes(new)
+            g[new_at] = sketches(codes)
+            line, key, of_own = keys(codes, tau)
+            indexed[new_at] = np.bincount(line[of_own], minlength=len(new))
+            for at, part in zip(new_at, np.split(key.view(np.int64), np.cumsum(np.bincount(line, minlength=len(new)))[:-1])):
+                own_keys[at] = part
         yield pd.DataFrame({"uid": [x[0] for x in where], "doc_id": pd.array([x[1] for x in where], "Int64"), "line": own_of[:, 0], "lid": own_of[:, 1], "n": own_of[:, 2],
-                            **{f"g{i}": g[:, i] for i in range(_G)}, "keys": own_keys, "indexed": own_of[:, 3]})
+                            **{f"g{i}": g[:, i] for i in range(_G)}, "keys": own_keys, "indexed": indexed})
 
 
 def _texts(docs: DataFrame, every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,7 +245,7 @@ def _line_classes(docs: DataFrame, tau: int) -> DataFrame:
     met = stage(met.where("lo != hi AND first IS NOT NULL").select(F.col("key").alias("met"), "first"), "shared-segments")
     shared = stage(join_small(entries, met, F.col("key") == F.col("met"), "inner", SLIM_ROWS).select("key", "lid", "indexed", "first").distinct(), "segment-members")
     of_line = [F.min("n").alias("n"), *(F.min(f"g{i}").alias(f"g{i}") for i in range(_G))]
-    nodes = stage(every.join(shared.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(*of_line), "line-nodes")
+    nodes = stage(rows.where("indexed > 0").join(shared.select("lid").distinct(), "lid", "left_semi").groupBy("lid").agg(*of_line), "line-nodes")
 
     x, y = nodes.alias("x"), nodes.alias("y")
     stars = shared.where("lid != first").select(F.col("lid").alias("a"), F.col("first").alias("b")).distinct()

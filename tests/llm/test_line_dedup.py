@@ -89,3 +89,30 @@ def test_dedup_lines(spark):
     docs = [(1, "Alpha beta gamma delta epsilon\nkeep me please"), (2, "alpha beta gamma delta epsilom\nother line"), (2, "alpha beta gamma delta epsilom\nother line")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     assert sorted(r.text for r in ld.dedup_lines(df).collect()) == ["Alpha beta gamma delta epsilon\nkeep me please", "other line", "other line"]
+
+
+def test_keys_and_sketches_of_many_lines_are_those_of_each():
+    """Keys stand for (length, segment, substring); sketches for the bigrams' parities."""
+    rnd = random.Random(5)
+    said = ["".join(rnd.choice("abcdé 😀") for _ in range(rnd.randrange(1, 60))) for _ in range(150)] + ["a" * 40, "a" * 41, ""]
+    tau, want = 2, []
+    for k, x in enumerate(said):
+        for size in range(max(ld.SHORT, len(x) - tau), len(x) + 1):
+            more, at = len(x) - size, 0
+            for i in range(tau + 1):
+                part = size // (tau + 1) + (i >= tau + 1 - size % (tau + 1))
+                for p in range(max(0, at - i, at + more - (tau - i)), min(len(x) - part, at + i, at + more + (tau - i)) + 1):
+                    want.append((k, (size, i, x[p:p + part]), more == 0 and p == at))
+                at += part
+    codes = ld.Codes([x.encode("utf-32-le") for x in said])
+    line, key, own = ld.keys(codes, tau)
+    assert sorted((k, o) for k, _, o in want) == sorted(zip(line.tolist(), own.tolist()))
+    names = {}  # one key for each (length, segment, substring), and the other way round
+    for k in range(len(said)):
+        mine = sorted(key[line == k].tolist())
+        count = lambda values: sorted(values.count(v) for v in set(values))
+        assert count(mine) == count([s for q, s, _ in want if q == k])
+        names.setdefault(k, mine)
+    assert len(set(key.tolist())) == len({s for _, s, _ in want})
+    one = [ld.sketches(ld.Codes([x.encode("utf-32-le")]))[0].tolist() for x in said]
+    assert ld.sketches(codes).tolist() == one
