@@ -13,7 +13,7 @@ A conversation may hold any share of all rows, so it is aligned in pieces:
 
 * turns are range-partitioned and sorted by (conv_id, turn, ...), numbered,
   and coded by one letter each (role, and its first fault);
-* up to ``SEGMENT`` successive letters make a segment, aligned by itself from
+* up to 1,024 successive letters make a segment, aligned by itself from
   every state (what the last kept turn was) to every state, in pieces of
   ``PIECE`` turns;
 * the segments' tables, not the turns, meet per conversation, where the
@@ -40,8 +40,8 @@ from tarmac.llm.common import join_small, shuffle_partitions, stage
 
 #: Edits and their costs; a truncated turn that is not deleted costs one more.
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 2, 3, 2, 1
-#: Turns of a segment (a power of two), turns aligned in one table, and tables kept in a worker.
-SEGMENT, PIECE, TABLES_KEPT = 1024, 32, 50_000
+#: Bits of a turn's number within its segment, turns aligned in one table, and tables kept in a worker.
+SEGMENT_BITS, PIECE, TABLES_KEPT = 10, 32, 50_000
 #: Characters of a conversation's repaired text held at once.
 TEXT_CHARS = 1 << 20
 #: States: nothing yet, after the system turn, after a user turn, after an assistant turn.
@@ -304,7 +304,7 @@ def _plan(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = marked.repartitionByRange(shuffle_partitions(spark), *by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id())
     ordered = stage(ordered, "ordered-turns")  # the numbers are fixed by being written
     codes = F.expr("array_join(transform(array_sort(collect_list(struct(at, code))), x -> x.code), '')")
-    segments = ordered.groupBy("conv_id", F.floor(F.col("at") / SEGMENT).alias("seg")).agg(F.min("at").alias("first"), codes.alias("codes"))
+    segments = ordered.groupBy("conv_id", F.shiftright("at", SEGMENT_BITS).alias("seg")).agg(F.min("at").alias("first"), codes.alias("codes"))
     aligned = stage(segments.mapInPandas(_align_segments, f"conv_id bigint, seg bigint, first bigint, codes string, found {_TABLE}"), "aligned-segments")
     picked = aligned.repartition(shuffle_partitions(spark), "conv_id").sortWithinPartitions("conv_id", "seg").mapInPandas(_pick, _PICKED)
     return ordered, stage(picked, "segment-edits")

@@ -49,7 +49,7 @@ FREQUENT_BITS, PARITY_BITS = 26, 512
 ELEMENT_BYTES = 8
 #: Pivots of a long list in a round, members from which on a list is long, pairs in long lists for each row of all lists from which on rounds cost less,
 #: and the share of the lists' components that a round must join for another one.
-PIVOTS, LONG_SPLIT, PAIRS_EACH, WORTH = 4, 16, 16, 0.1
+PIVOTS, LONG_SPLIT, PAIRS_EACH, WORTH = 16, 16, 16, 0.5
 SLIM_ROWS = 1_000_000
 ARROW_ROWS = 500
 
