@@ -29,7 +29,7 @@ Every link used is verified on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
@@ -76,18 +76,32 @@ class _Words(dict):
 
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """The distinct 64-bit hashes of a text's k-word shingles, ascending."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(worker_cache("shingles", _Words).__getitem__, words), np.uint64, len(words))
-    n = max(1, len(h) - k + 1)
+def many_shingles(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the distinct 64-bit hashes of its k-word shingles, ascending; hashed together."""
+    words = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER).split() for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = np.fromiter(map(worker_cache("shingles", _Words).__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+    ends = np.cumsum(sizes)
+    whole = _hashed(h, k, k) if len(h) >= k else h[:0]
+    out = []
+    for end, n in zip(ends.tolist(), sizes.tolist()):
+        # A text of fewer words is one shingle; windows that reach into the next text are left out.
+        out.append(np.unique(whole[end - n:end - k + 1] if n >= k else _hashed(h[end - n:end], max(n, 1), n)[:n and 1]))
+    return out
+
+
+def _hashed(h: np.ndarray, k: int, length: int) -> np.ndarray:
+    """The hash of the k words at each place."""
+    n = max(0, len(h) - k + 1)
     with np.errstate(over="ignore"):
-        all_of = np.full(n, min(len(h), k), np.uint64)
-        for i in range(min(len(h), k)):
+        all_of = np.full(n, length, np.uint64)
+        for i in range(k):
             all_of = mix(all_of * _C[0] + h[i:i + n] * _C[1] + _C[2])
-    return np.unique(all_of)
+    return all_of
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    return many_shingles([text], k)[0]
 
 
 def pack(elements: np.ndarray) -> bytes:
@@ -128,8 +142,7 @@ def _sets(batches: Iterator[pd.DataFrame], k: int, seed: int) -> Iterator[pd.Dat
     names = [x.split()[0] for x in SETS.split(", ")]
     for pdf in batches:
         rows = []
-        for uid, doc_id, key, text in pdf[["uid", "doc_id", "text_key", "text"]].itertuples(index=False):
-            e = shingles(text, k)
+        for uid, doc_id, key, e in zip(pdf["uid"], pdf["doc_id"], pdf["text_key"], many_shingles(pdf["text"].tolist(), k)):
             data = pack(e)
             name = xxhash.xxh3_128_intdigest(data, seed=seed)
             sid, proof = (name & _LOW) - (1 << 63), (name >> 64) - (1 << 63)
