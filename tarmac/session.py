@@ -74,7 +74,7 @@ ROW_GROUP = 16 << 20
 _SCOPES: list[list[DataFrame]] = []
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", compression: str = "snappy"):
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     return a reader: cuts the lineage (lost executors re-read the files) and,
     unlike ``DataFrame.checkpoint`` on an unpersisted plan, computes the input
@@ -87,7 +87,7 @@ def materialize(df, name: str = "stage"):
     before = spark.conf.get(_SHUFFLE_CLEANUP, None)
     spark.conf.set(_SHUFFLE_CLEANUP, "true")
     try:
-        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).option("compression", compression).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_SHUFFLE_CLEANUP)
