@@ -317,7 +317,7 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sketch = [f"s{i}" for i in range(_WORDS64)]
     seed = 0
     while True:
-        sets = stage(rows.mapInPandas(lambda b: _sets(b, k, seed), SETS), "sets")
+        sets = stage(rows.mapInPandas(lambda b: _sets(b, k, seed), SETS), "sets", "zstd")
         full = sets.where("n > 0")
         classes = stage(full.groupBy("sid").agg(F.min("n").alias("n"), F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
                                                 (F.min("proof") == F.max("proof")).alias("proven"), *(F.min(s).alias(s) for s in sketch), F.min("wide").alias("wide")), "set-classes")
