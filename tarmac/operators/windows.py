@@ -56,8 +56,3 @@ def share_of_total(value: Column | str, partition: Sequence[str] | None = None)
     """``100 * x / SUM(x) OVER (PARTITION BY ...)`` (unrounded, NULL on a zero total)."""
     w = Window.partitionBy(*partition) if partition else Window.partitionBy()
     return F.try_divide(F.lit(100.0) * as_col(value), F.sum(as_col(value)).over(w))
-
-
-def with_ranks(df: DataFrame, ranks: dict[str, Sequence[Column] | Column], partition=None) -> DataFrame:
-    """Add several rank columns at once; identical specs share one Window node."""
-    return df.withColumns({name: rank_over(order, partition) for name, order in ranks.items()})

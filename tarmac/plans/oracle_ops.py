@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tarmac.plans import portable
 from tarmac.sources.flights import RAW_COLUMNS
-from tarmac.plans.oracle import CAUSES, FLIGHTS0_CTES, IQR_CTES, PCT, R, R2, ROUTE, with_ctes, with_flights
+from tarmac.plans.oracle import CAUSES, PCT, R, R2, ROUTE, with_ctes, with_flights
 
 COLS = [
     ("Month", "bigint"), ("DepHour", "bigint"), ("UniqueCarrier", "string"), ("Origin", "string"),
