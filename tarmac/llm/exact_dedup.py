@@ -73,8 +73,3 @@ def exact_dedup(docs: DataFrame, hash_of=chunk_id) -> DataFrame:
     return rows.join(groups, ["recipe", "ordinals"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256", F.size("recipe").cast("long").alias("n_chunks"))
-
-
-def survivors(docs: DataFrame) -> DataFrame:
-    """The (doc_id, text_sha256) of the rows that stay."""
-    return exact_dedup(docs).where("kept").select("doc_id", "text_sha256")
