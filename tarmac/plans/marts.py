@@ -188,9 +188,11 @@ def mart_executive(df: DataFrame, spec: FlightSpec = DEFAULT) -> DataFrame:
     kpi = kpi_rows(calendar, spec).select(F.lit("kpi").alias("section"), F.col("metric").alias("item"), number.alias("value"), F.when(number.isNull(), F.col("value")).alias("label"))
     share = F.regexp_replace("dominant_pct", "%", "").cast("double")
     airline = airline_rows(calendar, spec).withColumn("dominant_share", share)
-    parts = [_section(airline, f"airline: {value}", "airline", value, label) for value, label in AIRLINE_MEASURES]
+    measures = [F.struct(F.lit(f"airline: {value}").alias("section"), F.col("airline").cast("string").alias("item"), F.col(value).cast("double").alias("value"),
+                         F.col(label).alias("label")) for value, label in AIRLINE_MEASURES]
     return union_all([kpi, _section(month_rows(calendar, spec), "month", "month_name", "avg_arr_delay", "mom_trend"),
-                      _section(cause_rows(calendar, spec), "cause", "delay_cause", "pct_of_total_minutes", "impact_label"), *parts])
+                      _section(cause_rows(calendar, spec), "cause", "delay_cause", "pct_of_total_minutes", "impact_label"),
+                      airline.select(F.inline(F.array(*measures)))])
 
 
 #: The airline ranking's measures, each with the label beside it.
