@@ -92,9 +92,9 @@ def _said(texts: DataFrame) -> DataFrame:
 
 
 def _mentions(texts: DataFrame) -> DataFrame:
-    """(text_key, term, start, end): every word with its place."""
-    m = F.col("m")
-    cut = texts.select("text_key", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("m"), F.split("text", TERM, -1).alias("p"))
+    """(text_key, term, start, end): the places of the words that ``pattern`` finds in each text."""
+    m, pattern = F.col("m"), F.col("pattern")
+    cut = texts.select("text_key", F.regexp_extract_all("text", pattern, F.lit(0)).alias("m"), F.split("text", pattern, -1).alias("p"))
     each = cut.where(F.size("m") > 0).select("text_key", F.posexplode(F.arrays_zip(F.slice("p", F.lit(1), F.size("m")).alias("gap"), m.alias("word"))).alias("i", "x"))
     run = Window.partitionBy("text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = each.withColumn("end", F.sum(F.length("x.gap") + F.length("x.word")).over(run))
@@ -129,8 +129,12 @@ def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = stage(each.select("uid", "text_key", "kind", "start", "end", "entity"), "pii-spans")
     share, said = _revealing(docs, spans, rows.count())
     share = stage(share.groupBy(F.col("term").alias("reveals")).agg(F.max("share").alias("share")), "pii-shares")
-    keys = stage(join_small(said, share, F.col("term") == F.col("reveals"), "left_semi").select(F.col("text_key").alias("key")).distinct(), "pii-keys")
-    found = join_small(_mentions(_of_keys(docs, keys)), share, F.col("term") == F.col("reveals"), "inner").select(F.col("text_key").alias("key"), "start", "end", "share")
+    # Terms are letters only, so they stand for themselves in a pattern.
+    own = join_small(said, share, F.col("term") == F.col("reveals"), "inner").groupBy(F.col("text_key").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("all"))
+    any_of = F.concat(F.lit(r"(?iu)(?<!\S)(?:"), F.col("all"), F.lit(r")(?=[,.;:!?]*(?:\s|$))"))
+    keys = stage(own.select("key", any_of.alias("pattern")), "pii-keys")
+    saying = join_small(_texts(docs), keys, F.col("text_key") == F.col("key"), "inner").dropDuplicates(["text_key"])
+    found = join_small(_mentions(saying), share, F.col("term") == F.col("reveals"), "inner").select(F.col("text_key").alias("key"), "start", "end", "share")
     terms = join_small(rows, stage(found, "pii-mentions"), F.col("text_key") == F.col("key"), "inner")
     direct = spans.select("uid", "kind", "start", "end", F.lit(None).cast("double").alias("share"))
     return rows, direct.unionByName(terms.select("uid", F.lit("term").alias("kind"), "start", "end", "share"))
