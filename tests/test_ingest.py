@@ -1,6 +1,7 @@
 """CSV by name, rejected tokens, NaN, input changes, and writers that keep out of each other's way."""
 
 import os
+import re
 import shutil
 
 import pytest
@@ -118,3 +119,48 @@ def test_load_counts_rejects_in_its_pass(spark, tmp_path):
 def test_load_without_rows(spark, tmp_path):
     load = load_csv(spark, write(tmp_path / "a", "DepDelay,ArrDelay,Flights"), f"file://{tmp_path}/out", COLS)
     assert load.counts["rows_read"] == 0 and load.table.count() == 0 and load.rejects.count() == 0
+
+
+def code_bytes(df, capsys):
+    """The largest generated method of a plan."""
+    df.explain("codegen")
+    return max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)), default=0)
+
+
+def test_typing_stays_below_what_the_jvm_compiles(spark, tmp_path, capsys):
+    names = [n for n, _ in RAW_COLUMNS]
+    p = write(tmp_path / "a", ",".join(names), ",".join(str(i) for i in range(len(names))))
+    assert code_bytes(read_flights_csv(spark, p), capsys) < 8000
+
+
+def test_a_loaded_row_is_stored_once(spark, tmp_path):
+    p = write(tmp_path / "a", "DepDelay,ArrDelay,Flights", "1,2,3", "x,2,3", "1,NA,3", '1," y ",3', '" 7 ",5,"\t8"')
+    load = load_csv(spark, p, f"file://{tmp_path}/out", COLS)
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4  # all but the incomplete row without a bad token
+    assert sorted(map(str, map(tuple, load.table.collect()))) == sorted(map(str, [(1.0, 2.0, 3), (None, 2.0, 3), (7.0, 5.0, 8)]))
+    assert sorted((x["column"], x["token"]) for r in load.rejects.collect() for x in r["rejected"]) == [("ArrDelay", " y "), ("DepDelay", "x")]
+    assert load.counts["rows_read"] == 5 and load.counts["rows_kept"] == 3 and load.counts["rows_rejected"] == 2
+
+
+def test_writes_of_wide_rows_are_compiled(spark, tmp_path, monkeypatch):
+    from tarmac.sources import raw
+
+    seen, limit = [], "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit, None)
+    frame = spark.range(1).selectExpr("'0' AS `Unnamed: 0`")
+    rename = type(frame).withColumnRenamed
+    monkeypatch.setattr(type(frame), "withColumnRenamed", lambda *a: seen.append(spark.conf.get(limit)) or rename(*a))
+    raw.write_raw_csv(frame, f"file://{tmp_path}/raw")
+    assert seen == ["8000"] and spark.conf.get(limit, None) == before
+
+
+def test_the_raw_file_needs_no_prepared_facts(spark, tmp_path):
+    from tarmac.sources import flights as source
+
+    d = tmp_path / "sf"
+    shutil.copytree(SF_SMALL, d)
+    q = queries()
+    assert q["src_csv_raw"](spark, str(d)).count() > q["pipeline_original"](spark, str(d)).count() > 0
+    root = source.folder(spark, str(d))
+    assert not [k for k in source._MEMO if k[1] == root]
+    assert source.prepare(spark, str(d)).root == root
