@@ -133,6 +133,21 @@ def test_typing_stays_below_what_the_jvm_compiles(spark, tmp_path, capsys):
     assert code_bytes(read_flights_csv(spark, p), capsys) < 8000
 
 
+def test_numbers_are_not_looked_up_among_the_missing_tokens(spark, tmp_path):
+    p = write(tmp_path / "a", "DepDelay,ArrDelay,Flights", "1,2,3")
+    plan = read_flights_csv(spark, p, COLS)._jdf.queryExecution().analyzed().toString()
+    assert " IN (" not in plan and "btrim" not in plan
+
+
+def test_odd_tokens_of_a_number(spark, tmp_path):
+    tokens = ["7", " 8 ", "12.0", "1e3", "NaN", "-nan", " NaN ", " NA ", "1.#IND", "x", "9223372036854775808"]
+    p = write(tmp_path / "a", "DepDelay,ArrDelay,Flights", *[f"1,2,{t}" for t in tokens])
+    want = [7, 8, 12, 1000, None, None, None, None, None, None]
+    assert [r["Flights"] for r in read_flights_csv(spark, p, COLS).collect()][:-1] == want
+    load = load_csv(spark, p, f"file://{tmp_path}/out", COLS)
+    assert [x["token"] for r in load.rejects.collect() for x in r["rejected"]] == ["x"] and load.counts["rows_kept"] == len(tokens)
+
+
 def test_a_loaded_row_is_stored_once(spark, tmp_path):
     p = write(tmp_path / "a", "DepDelay,ArrDelay,Flights", "1,2,3", "x,2,3", "1,NA,3", '1," y ",3', '" 7 ",5,"\t8"')
     load = load_csv(spark, p, f"file://{tmp_path}/out", COLS)
