@@ -35,12 +35,17 @@ ARROW_ROWS, SEEN = 1_000, 300_000
 
 _G = SKETCH_BITS // 64
 ROWS = "uid bigint, doc_id bigint, line int, lid bigint, n int, " + ", ".join(f"g{i} bigint" for i in range(_G)) + ", keys array<bigint>, indexed int"
-_low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_LOWER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+
+
+def _lower(text: str) -> str:
+    """A-Z in lower case. Bytes are translated at once, where ``str`` looks every character up."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
 
 
 def lines(text: str | None) -> list[str]:
     """The lines of a text, A-Z in lower case, white space trimmed and single; blank lines are ""."""
-    return [" ".join(x.split()) for x in (text or "").translate(_low).split("\n")]
+    return [" ".join(x.split()) for x in _lower(text or "").split("\n")]
 
 
 def line_id(codes: bytes) -> int:
@@ -114,16 +119,16 @@ def sketches(codes: Codes) -> np.ndarray:
     c = codes.points
     if len(c) < 2:
         return out.view(np.int64)
-    h = ((c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) % np.uint64(SKETCH_BITS)
+    h = ((c[:-1] * np.uint64(0x9E3779B1) + c[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)) & np.uint64(SKETCH_BITS - 1)
     bits = np.uint64(1) << (h & np.uint64(63))
     ends = codes.starts + codes.sizes
     bits[ends[ends < len(c)] - 1] = 0  # a pair of two lines' points is no bigram
     some = np.flatnonzero(codes.sizes > 1)
     if len(some):
-        last = len(bits)
+        own, word, first = np.zeros(len(bits) + 1, np.uint64), (h >> np.uint64(6)).astype(np.uint8), np.minimum(codes.starts[some], len(bits))
         for g in range(_G):
-            own = np.where(h >> np.uint64(6) == g, bits, np.uint64(0))
-            out[some, g] = np.bitwise_xor.reduceat(np.append(own, np.uint64(0)), np.minimum(codes.starts[some], last))
+            np.multiply(bits, word == g, out=own[:-1])
+            out[some, g] = np.bitwise_xor.reduceat(own, first)
     return out.view(np.int64)
 
 

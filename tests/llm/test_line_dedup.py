@@ -116,3 +116,25 @@ def test_keys_and_sketches_of_many_lines_are_those_of_each():
     assert len(set(key.tolist())) == len({s for _, s, _ in want})
     one = [ld.sketches(ld.Codes([x.encode("utf-32-le")]))[0].tolist() for x in said]
     assert ld.sketches(codes).tolist() == one
+
+
+def test_lines_fold_only_ascii_letters():
+    assert ld.lines("AbZ  É\tİΣß\ud800😀\n\x85Q ") == ["abz É İΣß\ud800😀", "q"]
+    assert ld.lines("@[AZ`{") == ["@[az`{"] and ld.lines(None) == [""]
+
+
+def test_lines_are_taken_faster_than_characters_are_looked_up():
+    import time
+
+    text = "Some words of É line\n" * 20_000
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def took(f):
+        times = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    assert took(lambda: ld.lines(text)) < took(lambda: text.translate(table))
