@@ -8,33 +8,38 @@ the lower, the more it reads like the target.
     P(w)     = (c(w) + 1) / (N + V + 1)
     P(w | u) = (c(u, w) + MU P(w)) / (c(u) + MU)
 
-All counts are over all texts, and every word and bigram counts. Words of at
-least ``WORD_SHARE`` of all tokens and bigrams of at least ``PAIR_SHARE`` of
-them (at most 1 / share each) are few and go to every task with their counts;
-so hot keys are not shuffled. The tokens that need another count meet in one
-shuffle: rare words by word, rare bigrams of a frequent word by bigram. There
-they are counted and give their part of their document's loss, for
-    -log P(w | u) = log(c(u) + MU) - log(c(u, w) + MU P(w))
-needs c(u) where u is and the rest where w is. Rare words and bigrams are
-named by 64-bit hashes.
+All counts are over all texts, and every word and bigram counts. The texts are
+taken in batches. A batch names each of its words and bigrams once, by a 64-bit
+hash, with how often it has it; what batches have of one range of hashes meets
+in one place, is summed there, and each batch gets the sums of what it named.
+So a word that every text has makes one entry a batch, and the losses come
+from the batch's places of its words and bigrams, without the texts.
+
+With shares, words of at least ``word_share`` of all tokens and bigrams of at
+least ``pair_share`` of them (at most 1 / share each) go to every task.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import arrow_rows, join_small, stage, worker_cache
+from tarmac.llm.common import arrow_rows, discard, join_small, shuffle_partitions, stage, worker_cache
+from tarmac.llm.ngram_join import pack, unpack
+from tarmac.llm.token_output import from_planes, to_planes
 
 WORD_SHARE, PAIR_SHARE, MU = 1e-5, 1e-6, 20.0
 #: Texts at once in a task, and counts that a task holds before it passes them on.
 TEXTS, HELD = 2_000, 400_000
+#: Tokens from which on a batch is closed, and texts; at least so many ranges of hashes; rows of batches at once in a task.
+BATCH_TOKENS, BATCH_TEXTS, BUCKETS, BLOCK_ROWS = 1 << 20, 50_000, 511, 256
 #: Target ids that may go to every task; more are joined by a shuffle.
 TARGET_ROWS = 1_000_000
 
@@ -94,7 +99,6 @@ class Model:
     totals: np.ndarray  # (2,)
     keys: np.ndarray  # ascending pair keys
     bigrams: np.ndarray  # (2, number of keys)
-    words: int = 0  # different words, known or not
 
 
 def losses(model: Model, ids: np.ndarray) -> np.ndarray:
@@ -144,13 +148,13 @@ def train(texts: DataFrame, word_share: float = WORD_SHARE, pair_share: float =
     # At most 1 / pair_share rows.
     often = stage(seen.where(F.col("background") + F.col("target") >= max(1.0, pair_share * n)), "frequent-pairs").toPandas().sort_values("pair")
     columns = ["background", "target"]
-    return Model(known, vocabulary[columns].to_numpy(float).T.copy(), totals, often["pair"].to_numpy(np.int64).copy(), often[columns].to_numpy(float).T.copy(), counts.count())
+    return Model(known, vocabulary[columns].to_numpy(float).T.copy(), totals, often["pair"].to_numpy(np.int64).copy(), often[columns].to_numpy(float).T.copy())
 
 
-#: Flags of a token, above which its frequent word's id (or none) stands: in a target text, another token follows, the first of its text.
-TARGET, FOLLOWED, FIRST, FLAG_BITS = 1, 2, 4, 3
-#: What varies from token to token comes last: rows that are alike but for that take little room in a shuffle.
-TOKENS = "uid bigint, doc_id string, n_tokens int, background double, aim double, k2 bigint, k1 bigint, word int"
+#: A batch: its rows are its texts, the places of their words among its different words, and those words' hashes (``HEAD``), and blocks of what it named of one range of hashes.
+HEAD, WORDS, PAIRS, SEEN = range(4)
+BLOCKS = "batch bigint, kind int, bucket int, keys binary, counts binary, doc_ids array<string>, sizes array<int>, targets bigint, places array<binary>"
+_NAMES = [x.split()[0] for x in BLOCKS.split(", ")]
 
 
 class _Hashes(dict):
@@ -165,74 +169,161 @@ class _Hashes(dict):
         return h
 
 
-def _tokens(model: Model, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per text with the part of its losses (sums over tokens) that ``model`` knows, and one (``n_tokens`` is null) per token that needs other counts: ``k1`` is its bigram and ``word`` its id and flags, or for a rare word ``k1`` is the word and ``k2`` the bigram."""
-    ids_of, hashes, v = _Ids(model.known), worker_cache("lm-words", _Hashes), len(model.known)
-    size = (model.totals + model.words + 1)[:, None]
-    names = [x.split()[0] for x in TOKENS.split(", ")]
+def _keys(x: np.ndarray) -> bytes:
+    """Ascending hashes, compressed."""
+    import zstandard
+
+    return zstandard.compress(pack(x), 1)
+
+
+def _from_keys(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return unpack(zstandard.decompress(data))
+
+
+def _counts(x: np.ndarray) -> bytes:
+    """Rows of 64-bit counts as compressed byte planes: most counts are small."""
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x.astype("<i8").reshape(-1).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _from_counts(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8").reshape(2, -1)
+
+
+def _rows(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"batch": "Int64", "targets": "Int64"})
+
+
+def _pair_hashes(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        both = (h[1:] ^ (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x85EBCA77))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return both ^ (both >> np.uint64(31))
+
+
+def _named(batches: Iterator[pd.DataFrame], bits: int) -> Iterator[pd.DataFrame]:
+    """The rows of each batch; the upper ``bits`` of a hash are its bucket."""
+    hashes = worker_cache("lm-words", _Hashes)
+    texts, held = [], 0  # of the open batch: (uid, doc_id, target, words' hashes), tokens
+
+    def closed() -> pd.DataFrame:
+        nonlocal texts, held
+        batch, sizes = texts[0][0], np.array([len(t[3]) for t in texts], np.int32)
+        h, aim = np.concatenate([t[3] for t in texts]), np.repeat([t[2] for t in texts], sizes)
+        later = np.ones(len(h), bool)
+        later[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+        rows = []
+        for kind, seen, target in ((WORDS, h, aim), (PAIRS, _pair_hashes(h)[later[1:]], aim[later])):
+            keys, place, counts = np.unique(seen, return_inverse=True, return_counts=True)
+            if kind == WORDS:  # the bigrams' places follow from the words'
+                places = [*to_planes(place), _keys(keys)]
+            of_target = np.bincount(place[target], minlength=len(keys))
+            bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+                rows.append((batch, kind, int(bucket[i]), _keys(keys[i:j]), _counts(np.stack([counts[i:j] - of_target[i:j], of_target[i:j]])), None, None, None, None))
+        rows.append((batch, HEAD, zlib.crc32(b"%d" % batch) >> (32 - bits), None, None, [t[1] for t in texts], sizes, int(aim.sum()), places))
+        texts, held = [], 0
+        return _rows(rows)
+
     for pdf in batches:
-        heads, tails = [], []
         for uid, doc_id, text, target in zip(pdf["uid"], pdf["doc_id"], pdf["text"], pdf["target"]):
             said = words(text)
-            n = len(said)
-            loss = np.zeros(2)
-            if n:
-                ids = np.fromiter(map(ids_of.__getitem__, said), np.int64, n)
-                frequent = ids < v
-                key = pairs(ids, v)
-                at = np.minimum(np.searchsorted(model.keys, key), max(0, len(model.keys) - 1))
-                hot = model.keys[at] == key if len(model.keys) else np.zeros(n - 1, bool)
-                loss += np.log(model.unigrams[:, ids[:-1][frequent[:-1] & ~hot]] + MU).sum(1)
-                p = (model.unigrams[:, ids[1:][hot]] + 1) / size
-                loss -= np.log((model.bigrams[:, at[hot]] + MU * p) / (model.unigrams[:, ids[:-1][hot]] + MU)).sum(1)
-                if frequent[0]:
-                    loss -= np.log((model.unigrams[:, ids[0]] + 1) / size[:, 0])
-                left = np.concatenate([[not frequent[0]], ~hot])
-                if left.any():
-                    h = np.fromiter(map(hashes.__getitem__, said), np.uint64, n)
-                    before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])
-                    with np.errstate(over="ignore"):
-                        both = (h ^ (before * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x85EBCA77))) * np.uint64(0xC2B2AE3D27D4EB4F)
-                    both ^= both >> np.uint64(31)
-                    flags = np.full(n, TARGET * bool(target) + FOLLOWED, np.int64)
-                    flags[0] += FIRST
-                    flags[-1] -= FOLLOWED
-                    word = (np.where(frequent, ids, -1) << FLAG_BITS) + flags
-                    tails.append((np.full(left.sum(), uid, np.int64), *(x[left] for x in (np.where(frequent, 0, both), np.where(frequent, both, h), word))))
-            heads.append((uid, doc_id, n, *loss.tolist(), 0, uid, 0))
-        yield pd.DataFrame(heads, columns=names)
-        if tails:
-            uid, k2, k1, word = (np.concatenate(x) for x in zip(*tails))
-            bits = lambda x: x.astype(np.uint64).view(np.int64)
-            none = {"doc_id": None, "n_tokens": pd.arrays.IntegerArray(np.zeros(len(uid), np.int32), np.ones(len(uid), bool)), "background": None, "aim": None}
-            yield pd.DataFrame({"uid": uid, **none, "k2": bits(k2), "k1": bits(k1), "word": word.astype(np.int32)})[names]
-
-
-def whole_scores(rows: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, n_tokens, background, aim) of ``rows`` (uid, doc_id, text, target), by the counts of all words and bigrams in them.
-
-    The tokens that need other counts meet by key; their counts and losses are column functions."""
+            texts.append((uid, doc_id, bool(target), np.fromiter(map(hashes.__getitem__, said), np.uint64, len(said))))
+            held += len(said)
+            if held >= BATCH_TOKENS or len(texts) >= BATCH_TEXTS:
+                yield closed()
+    if texts:
+        yield closed()
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows in the order of buckets and kinds: blocks with the sums over all blocks of the bucket, what is in a batch's head, and
+    one row with the number of different words of a bucket (``SEEN``)."""
+    blocks, at = [], None
+
+    def closed() -> pd.DataFrame:
+        keys = [_from_keys(k) for _, k, _ in blocks]
+        every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([_from_counts(c) for _, _, c in blocks], axis=1)
+        sums = np.stack([np.bincount(place, weights=c, minlength=len(every)).astype(np.int64) for c in counts])
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        rows = [(batch, at[1], at[0], None, _counts(sums[:, p]), None, None, None, None) for (batch, _, _), p in zip(blocks, np.split(place, ends))]
+        if at[1] == WORDS:
+            rows.append((None, SEEN, at[0], None, None, None, None, len(every), None))
+        blocks.clear()
+        return _rows(rows)
+
+    for pdf in batches:
+        heads = pdf[pdf["kind"] == HEAD]
+        if len(heads):
+            yield heads
+        for row in pdf[pdf["kind"] != HEAD].itertuples(index=False):
+            if at != (row.bucket, row.kind) and blocks:
+                yield closed()
+            at = row.bucket, row.kind
+            blocks.append((row.batch, row.keys, row.counts))
+    if blocks:
+        yield closed()
+
+
+def _batch_losses(batches: Iterator[pd.DataFrame], totals: np.ndarray, seen: int) -> Iterator[pd.DataFrame]:
+    """(doc_id, n_tokens, background, aim) of each text, from a batch's head and its blocks in the order of kinds and buckets."""
+    head, counts = None, {}
+
+    def closed() -> pd.DataFrame:
+        sizes = np.asarray(head.sizes, np.int64)
+        n, planes = sizes.sum(), list(head.places)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.zeros(n, bool)
+        first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        said = from_planes(planes[:4], n)
+        both = np.unique(_pair_hashes(_from_keys(planes[4])[said])[~first[1:]], return_inverse=True)[1]
+        out = {"doc_id": list(head.doc_ids), "n_tokens": sizes}
+        none = np.zeros((2, 0), np.int64)
+        for k, name in enumerate(("background", "aim")):
+            c = (np.concatenate([x[k] for x in counts.get(WORDS, [none])])[said]).astype(float)
+            p = (c + 1) / (totals[k] + seen + 1)
+            pair = np.concatenate([x[k] for x in counts.get(PAIRS, [none])])[both]
+            p[~first] = (pair + MU * p[~first]) / (c[:-1][~first[1:]] + MU)
+            out[name] = np.bincount(of, weights=-np.log(p), minlength=len(sizes))
+        return pd.DataFrame(out)
+
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            if row.kind == HEAD:
+                if head is not None:
+                    yield closed()
+                head, counts = row, {}
+            else:
+                counts.setdefault(row.kind, []).append(_from_counts(row.counts))
+    if head is not None:
+        yield closed()
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``BLOCKS`` of ``rows`` (uid, doc_id, text, target)."""
+    bits = max(BUCKETS, shuffle_partitions(rows.sparkSession) - 1).bit_length()
+    return rows.mapInPandas(lambda b: _named(b, bits), BLOCKS)
+
+
+def whole_scores(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, background, aim) of ``rows`` (uid, doc_id, text, target), by the counts of all words and bigrams in them."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    tokens = rows.mapInPandas(lambda b: _tokens(shared.value, b), TOKENS)
-    one = F.col("n_tokens").isNull()
-    v = len(model.known)  # at most 1 / share rows
-    frequent = spark.createDataFrame(pd.DataFrame({"wid": np.arange(v, dtype=np.int32), "w_background": model.unigrams[0], "w_target": model.unigrams[1]}), "wid int, w_background double, w_target double")
-    has = lambda flag: F.col("word").bitwiseAND(flag) != 0
-    count = lambda of, *by: F.count_if(one & (has(TARGET) == F.lit(of))).over(Window.partitionBy(*by))
-    counted = tokens.withColumns({f"{c}_{name}": count(of, *by) for c, by in (("c1", ["k1"]), ("c2", ["k1", "k2"])) for of, name in ((False, "background"), (True, "target"))})
-    known = counted.join(F.broadcast(frequent), F.shiftright("word", FLAG_BITS) == F.col("wid"), "left")
-    rare = F.col("wid").isNull()
-
-    def loss(name: str, k: int, start: str) -> Column:
-        c = F.when(rare, F.col(f"c1_{name}").cast("double")).otherwise(F.col(f"w_{name}"))
-        p = (c + 1) / F.lit(float(model.totals[k] + model.words + 1))
-        last = F.when(has(FIRST), p).otherwise(F.col(f"c2_{name}") + F.lit(MU) * p)
-        of_token = F.when(rare & has(FOLLOWED), F.log(c + F.lit(MU))).otherwise(F.lit(0.0)) - F.log(last)
-        return F.sum(F.when(one, of_token).otherwise(F.col(start)))
-
-    sums = known.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), loss("background", 0, "background").alias("background"), loss("target", 1, "aim").alias("aim"))
-    return sums.drop("uid")
+    with arrow_rows(spark, BLOCK_ROWS):
+        summed = stage(named(rows).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInPandas(_summed, BLOCKS), "sums")
+        n = F.coalesce(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))
+        r = summed.agg(n.alias("n"), *(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("targets"))), F.lit(0)).alias(name) for k, name in ((HEAD, "aim"), (SEEN, "seen")))).first()
+        totals, seen = np.array([r["n"] - r["aim"], r["aim"]], float), r["seen"]
+        each = summed.where(F.col("kind") != SEEN).repartition("batch").sortWithinPartitions("batch", "kind", "bucket")
+        out = stage(each.mapInPandas(lambda b: _batch_losses(b, totals, seen), "doc_id string, n_tokens bigint, background double, aim double"), "losses")
+    discard(summed)
+    return out
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: float | None = None, pair_share: float | None = None) -> DataFrame:
@@ -254,15 +345,14 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, word_share: flo
     texts = join_small(every, chosen, F.col("doc_id") == F.col("target_id"), "left", TARGET_ROWS)
     texts = texts.select("uid", "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
     whole = word_share is None and pair_share is None
-    with arrow_rows(spark, TEXTS):
-        model = train(texts.select("text", "target"), WORD_SHARE if word_share is None else word_share, PAIR_SHARE if pair_share is None else pair_share)
     kind = docs.schema["doc_id"].dataType.simpleString()
     if whole:
         n = F.greatest("n_tokens", F.lit(1))
-        with arrow_rows(spark, TEXTS):
-            sums = stage(whole_scores(texts.withColumn("doc_id", F.col("doc_id").cast("string")), model), "losses")
+        sums = whole_scores(texts.withColumn("doc_id", F.col("doc_id").cast("string")))
         return sums.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_tokens", (F.col("aim") / n).alias("loss_target"),
                            (F.col("background") / n).alias("loss_background"), ((F.col("aim") - F.col("background")) / n).alias("score"))
+    with arrow_rows(spark, TEXTS):
+        model = train(texts.select("text", "target"), WORD_SHARE if word_share is None else word_share, PAIR_SHARE if pair_share is None else pair_share)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -82,3 +82,18 @@ def test_target_text_scores_lower(spark):
     de = sorted(scores[i] for i, x in langs.items() if x == "de")
     rest = sorted(scores[i] for i, x in langs.items() if x != "de")
     assert de[int(len(de) * 0.9)] < rest[int(len(rest) * 0.1)]
+
+
+def test_batches_meet_by_range_of_hashes(spark, monkeypatch):
+    """What tasks exchange does not grow with how often a batch says a word; the losses are those of all texts, however they are batched."""
+    monkeypatch.setattr(lm, "BATCH_TOKENS", 70)
+    monkeypatch.setattr(lm, "BUCKETS", 3)
+    rnd = random.Random(6)
+    rows = TEXTS + [(100 + i, " ".join(f"w{int(rnd.paretovariate(0.6)) % 500}" for _ in range(rnd.choice([0, 1, 2, 90])))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = lm.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in range(100, 200)], "doc_id bigint")).collect()
+    got = sorted(((r.doc_id, r.n_tokens, r.loss_target, r.loss_background) for r in got), key=str)
+    for a, b in zip(got, plain(rows, set(range(100, 200)), 0, 0), strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-9)
+    loud = spark.createDataFrame([(1, "1", "cat dog " * 100_000, False)], "uid bigint, doc_id string, text string, target boolean")
+    assert lm.named(loud).count() <= 1 + 2 + 2  # a head, and two words and two bigrams in a block each at most
