@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import discard, stage
+from tarmac.llm.common import discard, shuffle_partitions, stage
+
+#: Edges that one task writes at most while all partitions are not in use.
+TASK_EDGES = 100_000
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        before, now = now, stage(_small_star(_large_star(now)), "stars")
+        stars, parts = _small_star(_large_star(now)), 1 + state[0] // TASK_EDGES
+        if parts < shuffle_partitions(edges.sparkSession):  # few edges: no file for every partition in every round
+            stars = stars.coalesce(parts)
+        before, now = now, stage(stars, "stars")
         discard(before)
         last, state = state, _state(now)
         if state == last:
