@@ -41,8 +41,8 @@ from tarmac.llm.common import arrow_rows, shared_path, shuffle_partitions, text_
 BLOCK_IDS = 65_536
 END_ID = 0
 ZSTD_LEVEL = 3
-#: Texts encoded at once, and pieces kept with their ids in a worker.
-BATCH_TEXTS, CACHE_PIECES = 400, 250_000
+#: Characters from which on texts are encoded, at once, words encoded as the lines of one text, and other pieces kept with their ids in a worker.
+BATCH_CHARS, LINE_WORDS, CACHE_PIECES = 8_000_000, 100, 250_000
 ARROW_ROWS = 400
 
 BLOCKS = ("shard int, block int, first bigint, n_ids int, planes array<binary>, doc_seq bigint, "
@@ -52,13 +52,15 @@ PIECES = "shard int, doc_seq bigint, doc_id bigint, piece_no int, at bigint, n i
 _two_spaces = re.compile(r"\s\s")
 _marks = frozenset(".,")
 _before_word = re.compile(r"(?<=\S)(?= \S)")
+#: Words with a letter, digit, mark or symbol at both ends: as lines of one text they have the ids that they have alone.
+_clear_ends = r"(?s)^[\p{L}\p{N}\p{P}\p{S}](?:.*[\p{L}\p{N}\p{P}\p{S}])?$"
 
 
 class Pieces:
     """The ids of pieces of text as little-endian bytes, encoded once each."""
 
-    def __init__(self, tokenizer, before: str = ""):
-        self.tokenizer, self.before, self.ids = tokenizer, before, {}
+    def __init__(self, tokenizer):
+        self.tokenizer, self.ids = tokenizer, {}
         self.marks = {c: array("I", tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
     def of(self, pieces: list[str]) -> list[bytes]:
@@ -77,12 +79,12 @@ class Pieces:
     def _encode(self, new: list[str]) -> None:
         for k in range(0, len(new), 10_000):
             some = new[k:k + 10_000]
-            found = self.tokenizer.encode_batch_fast([self.before + p for p in some], add_special_tokens=False)
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             self.ids.update(zip(some, [array("I", e.ids).tobytes() for e in found]))
 
 
 class Encoder:
-    """Encodes whole texts; what stands between single spaces is encoded once.
+    """Encodes whole texts; of those encoded together, what stands between single spaces is encoded once.
 
     The byte-level pre-tokeniser always starts a new token at a single space
     or line feed between two characters other than white space (a space
@@ -96,8 +98,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.later, self.other = Pieces(self.tokenizer), Pieces(self.tokenizer, " "), Pieces(self.tokenizer)
-        self.line_feed = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
+        self.pieces = Pieces(self.tokenizer)
+        self.feed = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4")
+        if len(self.feed) != 1:
+            raise ValueError("the tokenizer has no token for a line feed")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The unsigned 32-bit ids of each text."""
@@ -107,11 +111,38 @@ class Encoder:
             out[i] = ids
         odd = {i: _before_word.split(t) for i, t in enumerate(texts) if out[i] is None}
         every = list({x for pieces in odd.values() for x in pieces})
-        ids_of = dict(zip(every, self.other.of(every))).__getitem__
+        ids_of = dict(zip(every, self.pieces.of(every))).__getitem__
         for i, pieces in odd.items():
             out[i] = np.frombuffer(b"".join(map(ids_of, pieces)), "<u4")
         return out
 
+    def _words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of different words, each after ``before``: in one row, where each word's begin there, and how many they are."""
+        size, starts, ids = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), []
+        clear = pc.match_substring_regex(words, _clear_ends)
+        at = np.flatnonzero(clear.to_numpy(zero_copy_only=False))
+        if len(at):
+            own = words.filter(clear)
+            own = pc.binary_join_element_wise(pa.scalar(before, own.type), own, pa.scalar("", own.type)) if before else own
+            cuts = np.append(np.arange(0, len(at), LINE_WORDS), len(at))
+            lines = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), own), pa.scalar("\n", own.type)).to_pylist()
+            found = [np.array(array("I", e.ids), "<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+            joined = np.concatenate([x for f in found for x in (f, self.feed)])
+            ends = np.flatnonzero(joined == self.feed[0])
+            if len(ends) != len(at):
+                raise ValueError("the tokenizer joins a line feed with its neighbours")
+            starts[at] = np.concatenate([[0], ends[:-1] + 1])
+            size[at] = ends - starts[at]
+            ids.append(joined)
+        rest = np.flatnonzero(~clear.to_numpy(zero_copy_only=False))
+        if len(rest):
+            other = [np.frombuffer(x, "<u4") for x in self.pieces.of([before + w for w in words.take(pa.array(rest)).to_pylist()])]
+            size[rest] = [len(x) for x in other]
+            starts[rest] = sum(map(len, ids)) + np.cumsum(size[rest]) - size[rest]
+            ids += other
+        pool = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        return pool, starts, size
+
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Texts whose white space stands alone: split, numbered and put together by whole columns."""
         if not texts:
@@ -129,16 +160,16 @@ class Encoder:
         before = np.cumsum(feeds)
         pieces = np.full(len(code) + before[-1], 2 * n)
         pieces[np.arange(len(code)) + np.repeat(before, np.diff(word_at))] = code + n * first
-        ids, size = [], np.zeros(2 * n + 1, np.int64)
-        for table, at, which in ((self.later, 0, ~first), (self.first, n, first)):
+        pools, start, size = [self.feed], np.zeros(2 * n + 1, np.int64), np.zeros(2 * n + 1, np.int64)
+        size[-1] = len(self.feed)
+        for lead, at, which in ((" ", 0, ~first), ("", n, first)):
             seen = np.zeros(n, bool)
             seen[code[which]] = True
-            found = table.of(numbered.dictionary.filter(pa.array(seen)).to_pylist())
-            size[at + np.flatnonzero(seen)] = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            ids += found
-        size[-1] = len(self.line_feed) // 4
-        pool = np.frombuffer(b"".join([*ids, self.line_feed]), "<u4")
-        start = np.cumsum(size) - size
+            ids, starts, sizes = self._words(numbered.dictionary.filter(pa.array(seen)), lead)
+            start[at + np.flatnonzero(seen)] = sum(map(len, pools)) + starts
+            size[at + np.flatnonzero(seen)] = sizes
+            pools.append(ids)
+        pool = np.concatenate(pools)
         sizes = size[pieces]
         end = np.cumsum(sizes)
         every = pool[np.repeat(start[pieces] - end + sizes, sizes) + np.arange(end[-1])]
@@ -176,9 +207,24 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(np.stack(rows).T).reshape(-1).view("<u4")
 
 
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:
+    """The ids and texts of several batches: as few texts as reach ``BATCH_CHARS``, so that a word is looked up once for many texts."""
+    ids, texts, chars = [], [], 0
+    for pdf in batches:
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            ids.append(doc_id)
+            texts.append(text)
+            chars += len(text)
+            if chars >= BATCH_CHARS:
+                yield ids, texts
+                ids, texts, chars = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _blocks(batches: Iterator[pd.DataFrame], path: str, size: int, bits: bool) -> Iterator[pd.DataFrame]:
     """The blocks of one shard, from its documents in order. Holds one block
-    and the ids of one batch of texts."""
+    and the ids of the texts that are encoded at once."""
     shard, enc = TaskContext.get().partitionId(), encoder(path)
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     parts, held, index = [], 0, []  # of the open block: arrays, ids, [doc_seq, doc_id, n, piece_no]
@@ -191,22 +237,20 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, size: int, bits: bool) -
         block, first, parts, held, index = block + 1, first + len(ids), [], 0, []
         return pd.DataFrame([row], columns=names)
 
-    for pdf in batches:
-        for k in range(0, len(pdf), BATCH_TEXTS):
-            some = pdf.iloc[k:k + BATCH_TEXTS]
-            gc.disable()  # nothing cyclic is made while encoding; collecting would walk the whole cache
-            found = enc.encode(list(some["text"]))
-            gc.enable()
-            for doc_id, ids in zip(some["doc_id"], found):
-                ids, piece = np.append(ids, np.uint32(END_ID)).astype("<u4"), 0
-                while len(ids):
-                    now, ids = ids[:size - held], ids[size - held:]
-                    parts.append(now)
-                    index.append((seq, None if pd.isna(doc_id) else int(doc_id), len(now), piece))
-                    held, piece = held + len(now), piece + 1
-                    if held == size:
-                        yield closed()
-                seq += 1
+    for doc_ids, texts in _together(batches):
+        gc.disable()  # nothing cyclic is made while encoding; collecting would walk the whole cache
+        found = enc.encode(texts)
+        gc.enable()
+        for doc_id, ids in zip(doc_ids, found):
+            ids, piece = np.append(ids, np.uint32(END_ID)).astype("<u4"), 0
+            while len(ids):
+                now, ids = ids[:size - held], ids[size - held:]
+                parts.append(now)
+                index.append((seq, None if pd.isna(doc_id) else int(doc_id), len(now), piece))
+                held, piece = held + len(now), piece + 1
+                if held == size:
+                    yield closed()
+            seq += 1
     if held:
         yield closed()
 
@@ -263,9 +307,8 @@ def documents_of(row) -> Iterator[tuple]:
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = [x.split()[0] for x in PIECES.split(", ")]
     for pdf in batches:
-        for row in pdf.itertuples():
-            found = [(row.shard, seq, doc_id, no, at, len(ids), zlib.crc32(ids.tobytes())) for seq, doc_id, no, at, ids in documents_of(row)]
-            yield pd.DataFrame(found, columns=names).astype({"doc_id": "Int64"})
+        found = [(row.shard, seq, doc_id, no, at, len(ids), zlib.crc32(ids.tobytes())) for row in pdf.itertuples() for seq, doc_id, no, at, ids in documents_of(row)]
+        yield pd.DataFrame(found, columns=names).astype({"doc_id": "Int64"})
 
 
 def read_digest(blocks: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tarmac.llm import token_output as t
@@ -27,6 +28,15 @@ def test_encoder_equals_the_library():
     assert enc.encode([]) == []
 
 
+def test_words_as_lines_of_one_text(monkeypatch):
+    monkeypatch.setattr(t, "LINE_WORDS", 2)
+    ends = ["a", "'s", "don't", "9", "<|endoftext|>", "x<|endoftext|>", "e\u0301", "\u0301", "\u200b", "\ufeff", "\xa0", "\u3000x", "\x85", "\x1c", "\r", "x\r", "\tx",
+            "a\tb", "\U0001f600", "...", "§", "\u2028", "\x00", "", "\ud7ff\u0e33", "²"]
+    texts = [sep.join(ends[i:] + ends[:i]) for sep in (" ", "\n") for i in range(len(ends))] + ends
+    enc = t.Encoder(tokenizer_file())
+    assert [[*g.tolist(), t.END_ID] for g in enc.encode(texts)] == plain(texts)
+
+
 def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(t, "CACHE_PIECES", 6)
     enc = t.Encoder(tokenizer_file())
@@ -34,6 +44,20 @@ def test_a_full_cache_changes_nothing(monkeypatch):
         assert [*enc.encode([x or ""])[0].tolist(), t.END_ID] == plain([x])[0]
 
 
+def test_a_word_is_looked_up_once_for_many_batches(monkeypatch):
+    asked = []
+    words = t.Encoder._words
+    monkeypatch.setattr(t.Encoder, "_words", lambda self, own, before: asked.extend(own.to_pylist()) or words(self, own, before))
+    monkeypatch.setattr(t, "encoder", t.Encoder)
+    monkeypatch.setattr(t.TaskContext, "get", staticmethod(lambda: type("Context", (), {"partitionId": lambda self: 0})()))
+    batches = [pd.DataFrame({"doc_id": [i, None], "text": ["one word and one", ""]}) for i in range(9)]
+    blocks = list(t._blocks(iter(batches), tokenizer_file(), 1000, False))
+    assert [len(b["doc_ids"][0]) for b in blocks] == [18] and asked.count("word") == 1
+    monkeypatch.setattr(t, "BATCH_CHARS", 20)  # two texts reach it
+    assert [ids for ids, _ in t._together(iter([b.iloc[:1] for b in batches[:5]]))] == [[0, 1], [2, 3], [4]]
+    assert list(t._together(iter([]))) == []
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_planes_and_crc(bits):
     rnd = np.random.default_rng(1)
