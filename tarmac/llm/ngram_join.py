@@ -51,6 +51,8 @@ ELEMENT_BYTES = 8
 #: and the share of the lists' components that a round must join for another one.
 PIVOTS, LONG_SPLIT, PAIRS_EACH, WORTH = 16, 16, 16, 0.5
 SLIM_ROWS = 1_000_000
+#: Documents for which a staged table has one file: of small inputs in many partitions, few files.
+FILE_DOCS = 10_000
 ARROW_ROWS = 500
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
@@ -171,26 +173,30 @@ def _bit(elements: np.ndarray) -> np.ndarray:
     return (mix(elements) >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)
 
 
+def _in_sketch(sketch: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    at = _bit(elements)
+    return ((sketch[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
 def listed(elements: np.ndarray, frequent: np.ndarray | None, num: int, den: int) -> np.ndarray:
     """The elements whose lists a heavy set is in: the first in the common order."""
     count = len(elements) - need(len(elements), num, den) + 1
     if frequent is not None:
-        at = _bit(elements)
-        often = (frequent[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        elements = elements[np.argsort(often, kind="stable")]
+        elements = elements[np.argsort(_in_sketch(frequent, elements), kind="stable")]
     return elements[:count]
 
 
-def postings(sets: DataFrame, frequent: np.ndarray | None, light: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(key, sid, n): list entries of sets from need(light) elements on, subset keys of sets below ``light``; ``whole``: all elements."""
+def postings(sets: DataFrame, frequent: np.ndarray | None, light: int, num: int, den: int, whole: bool = False, only: np.ndarray | None = None) -> DataFrame:
+    """(key, sid): list entries of sets from need(light) elements on, subset keys of sets below ``light``; ``whole``: all elements.
+    ``only``: those whose key is in this sketch."""
     spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(frequent) if frequent is not None else None
+    shared = spark.sparkContext.broadcast((frequent, only))
     heavy_from = need(light, num, den)
 
     def run(batches):
-        often = shared.value if shared is not None else None
+        often, wanted = shared.value
         for pdf in batches:
-            keys, sids, ns = [], [], []
+            keys, sids = [], []
             for sid, n, data in zip(pdf["sid"], pdf["n"], pdf["elements"]):
                 e = unpack(data)
                 own = [e] if whole else []
@@ -201,11 +207,11 @@ def postings(sets: DataFrame, frequent: np.ndarray | None, light: int, num: int,
                 for k in own:
                     keys.append(k)
                     sids.append(np.full(len(k), sid, np.int64))
-                    ns.append(np.full(len(k), n, np.int32))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).astype("<u8").view("<i8"), "sid": np.concatenate(sids), "n": np.concatenate(ns)})
+                every = pd.DataFrame({"key": np.concatenate(keys).astype("<u8").view("<i8"), "sid": np.concatenate(sids)})
+                yield every if wanted is None else every.loc[_in_sketch(wanted, every["key"].to_numpy().view("<u8"))]
 
-    return sets.select("sid", "n", "elements").mapInPandas(run, "key bigint, sid bigint, n int")
+    return sets.select("sid", "n", "elements").mapInPandas(run, "key bigint, sid bigint")
 
 
 def frequent_sketch(keys: DataFrame) -> np.ndarray:
@@ -215,9 +221,9 @@ def frequent_sketch(keys: DataFrame) -> np.ndarray:
             at = _bit(pdf["key"].to_numpy().astype("<i8").view("<u8"))
             yield pd.DataFrame({"word": at >> 6, "bits": np.left_shift(np.uint64(1), (at & 63).astype(np.uint64)).view(np.int64)})
 
-    words = keys.select("key").mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = keys.select("key").mapInPandas(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     sketch = np.zeros(1 << (FREQUENT_BITS - 6), np.uint64)
-    sketch[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    sketch[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return sketch
 
 
@@ -246,8 +252,8 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return fits & (apart * (den + num) <= sizes * (den - num))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose full sets link.
+def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, den: int, files: int) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose full sets link, in at most ``files`` files.
 
     The wide sketches rule out most of the others first. Then the sets of a
     travel to b's partition, once a pair; b's sets once."""
@@ -259,8 +265,8 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, de
             ok = [apart(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(pdf["a_wide"], pdf["b_wide"], pdf["a_n"], pdf["b_n"])]
             yield pdf.loc[np.array(ok, bool), ["a", "b", "a_uid", "b_uid"]]
 
-    pairs = stage(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(near, names), "pairs")
-    seconds = stage(pairs.select("b", F.col("b_uid").alias("uid2")).distinct(), "pair-seconds")
+    pairs = stage(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(near, names).coalesce(files), "pairs")
+    seconds = stage(pairs.select("b", F.col("b_uid").alias("uid2")).distinct().coalesce(files), "pair-seconds")
     own = sets.select("uid", F.col("elements"))
     left = join_small(own, pairs, F.col("uid") == F.col("a_uid"), "inner", SLIM_ROWS).select("a", "b", F.col("elements").alias("x"))
     right = join_small(own, seconds, F.col("uid") == F.col("uid2"), "inner", SLIM_ROWS).select("b", F.col("elements").alias("y"))
@@ -274,7 +280,7 @@ def verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, num: int, de
                 ok.append(den * common >= num * (len(x) + len(y) - common))
             yield pdf.loc[np.array(ok, bool), ["a", "b"]]
 
-    found = stage(left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint"), "verified")
+    found = stage(left.join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint").coalesce(files), "verified")
     discard(pairs, seconds)
     return found
 
@@ -305,7 +311,7 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
     Texts without words are each their own component and all listed.
     """
     with arrow_rows(docs.sparkSession, ARROW_ROWS), scratch() as stay:
-        rows = stage(_similar_sets(docs, k, num, den).select("doc_id", "text_key", "n_shingles", "root"), "components")
+        rows = stage(_similar_sets(docs, k, num, den).select("doc_id", "text_key", "n_shingles", "root").coalesce(1 + docs.count() // FILE_DOCS), "components")
         stay.append(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("first")
     of_component = rows.where("n_shingles > 0").groupBy("root").agg(first).select("first.doc_id", "first.text_key")
@@ -315,35 +321,40 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int =
 def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_of()).alias("text_key"), "text")
     sketch = [f"s{i}" for i in range(_WORDS64)]
-    seed = 0
+    files, seed = 1 + docs.count() // FILE_DOCS, 0
+    few = lambda df, name, *how: stage(df.coalesce(files), name, *how)
     while True:
-        sets = stage(rows.mapInPandas(lambda b: _sets(b, k, seed), SETS), "sets", "zstd")
+        sets = few(rows.mapInPandas(lambda b: _sets(b, k, seed), SETS), "sets", "zstd")
         full = sets.where("n > 0")
-        classes = stage(full.groupBy("sid").agg(F.min("n").alias("n"), F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
+        classes = few(full.groupBy("sid").agg(F.min("n").alias("n"), F.min("uid").alias("uid"), F.min("doc_id").alias("least"), F.count("*").alias("class_size"),
                                                 (F.min("proof") == F.max("proof")).alias("proven"), *(F.min(s).alias(s) for s in sketch), F.min("wide").alias("wide")), "set-classes")
         if classes.where("NOT proven").isEmpty():
             break
         seed += 1  # two different sets under one name: once in a long time
 
     # The order of elements: frequent ones last. Copies count here, which moves elements back but loses nothing.
-    counts = stage(postings(full, None, 1, num, den).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
+    counts = few(postings(full, None, 1, num, den).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "list-lengths")
     frequent = frequent_sketch(counts.where(F.col("c") > LONG_LIST))
-    again = postings(full, frequent, 1, num, den).groupBy("key").agg(F.count("*").alias("c"), F.countDistinct("sid").alias("sids"))
-    still = stage(again.where(F.col("sids") > LONG_LIST).select("key"), "still-long")
+    # Rows are counted by key alone; only the entries of keys with many rows meet with their sets.
+    many = few(postings(full, frequent, 1, num, den).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > LONG_LIST), "many-rows")
+    again = postings(full, frequent, 1, num, den, only=frequent_sketch(many)).groupBy("key").agg(F.countDistinct("sid").alias("sids"))
+    still = few(again.where(F.col("sids") > LONG_LIST).select("key"), "still-long")
     if not still.isEmpty():  # groups of near copies: their members' other elements are frequent as well
         member = frequent_sketch(still)
         inside = _with_listed(full, frequent, member, num, den)
         more = postings(inside, None, 1, num, den, whole=True).groupBy("key").agg(F.countDistinct("sid").alias("c")).where(F.col("c") > LONG_LIST)
-        frequent = frequent | frequent_sketch(stage(more.select("key"), "group-elements"))
+        frequent = frequent | frequent_sketch(few(more.select("key"), "group-elements"))
 
-    discard(still)
+    discard(still, many)
     length = counts.agg((F.sum(F.col("c") * F.least("c", F.lit(LONG_LIST))) / F.sum("c")).alias("l")).first()["l"] or 1.0
     sizes = {r["n"]: r["c"] for r in classes.where(F.col("n") <= MAX_LIGHT + 1).groupBy("n").agg(F.count("*").alias("c")).collect()}
     light = boundary(sizes, float(length), num, den)
 
-    entries = stage(postings(full, frequent, light, num, den).distinct(), "entries")
+    # Most keys are in one row only. A sketch of the others keeps those out of the lists; what it lets through is counted again.
+    met = few(postings(full, frequent, light, num, den).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "met")
+    entries = few(postings(full, frequent, light, num, den, only=frequent_sketch(met)).distinct(), "entries")
     lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("sid").alias("first")).where("c > 1").select("key", "first")
-    shared = stage(entries.join(lists, "key"), "shared")
+    shared = few(entries.join(lists, "key"), "shared")
 
     sided = lambda side, name: side.join(classes.select(F.col("sid").alias(name), "n", *sketch), name)
     # Each set with the smallest member that it shares most lists with.
@@ -351,39 +362,39 @@ def _similar_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     stars = stars.groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", "best.b")
     x, y = classes.alias("x"), classes.alias("y")
     near = stars.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).where(may_link("x", "y", num, den)).select("a", "b")
-    links = verified(near, sets, classes, num, den)
+    links = verified(near, sets, classes, num, den, files)
     roots = components(links)
-    discard(counts, entries)
+    discard(counts, met, entries)
 
     # Lists whose members are in different components after that.
-    left = stage(_still_split(sided(shared.select("key", "sid"), "sid"), roots), "unlinked")
+    left = few(_still_split(sided(shared.select("key", "sid"), "sid"), roots), "unlinked")
     discard(shared)
     long = left.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") >= LONG_SPLIT)
     pairs = long.agg(F.coalesce(F.sum(F.col("c") * (F.col("c") - 1) / 2), F.lit(0))).first()[0]
     if pairs > PAIRS_EACH * left.count():  # else comparing pairs costs less than rounds
-        hard = stage(left.join(long.select("key"), "key"), "long-lists")
+        hard = few(left.join(long.select("key"), "key"), "long-lists")
         turn, before = 0, _list_components(hard)
         while before:
-            links = links.union(verified(_pivot_pairs(hard, sketch, turn, num, den), sets, classes, num, den))
+            links = links.union(verified(_pivot_pairs(hard, sketch, turn, num, den), sets, classes, num, den, files))
             roots = components(links)
-            last, hard = hard, stage(_still_split(hard.drop("root"), roots), "long-lists")
+            last, hard = hard, few(_still_split(hard.drop("root"), roots), "long-lists")
             discard(last)
             turn, now = turn + 1, _list_components(hard)
             if now > (1 - WORTH) * before:
                 break
             before = now
-        last, left = left, stage(_still_split(left.drop("root"), roots), "unlinked")
+        last, left = left, few(_still_split(left.drop("root"), roots), "unlinked")
         discard(last, hard)
 
     across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", num, den))
     cross = across.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    found = verified(cross, sets, classes, num, den)
+    found = verified(cross, sets, classes, num, den, files)
     roots = components(links.union(found))
     discard(left)
 
     known = classes.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "least", "class_size", F.coalesce("root", "sid").alias("root"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = stage(known.join(least, "root").select("sid", F.col("n").alias("class_n"), "component_id", "class_size", "root"), "set-components")
+    of_class = few(known.join(least, "root").select("sid", F.col("n").alias("class_n"), "component_id", "class_size", "root"), "set-components")
     out = sets.select("doc_id", "text_key", "n", "sid").join(of_class.withColumnRenamed("sid", "class"), (F.col("sid") == F.col("class")) & (F.col("n") == F.col("class_n")), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), "text_key", "root")
@@ -422,8 +433,7 @@ def _with_listed(sets: DataFrame, frequent: np.ndarray, member: np.ndarray, num:
         often, wanted = shared.value
         for pdf in batches:
             def has(data):
-                at = _bit(listed(unpack(data), often, num, den))
-                return bool(((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).any())
+                return bool(_in_sketch(wanted, listed(unpack(data), often, num, den)).any())
 
             keep = [has(d) for d in pdf["elements"]]
             yield pdf.loc[np.array(keep, bool)]

@@ -126,3 +126,19 @@ def test_rounds_of_pivots_give_the_same_components(spark, monkeypatch):
     monkeypatch.setattr(nj, "PAIRS_EACH", 0)
     assert got(spark, rows) == plainly == plain(rows)
     assert len(compared) > 2 and sum(compared[1:]) < max(by_pairs, 200)
+
+
+def test_words_of_one_text_stay_out_of_lists_and_small_tables_are_one_file(spark, monkeypatch):
+    rows, files, stage = {}, {}, nj.stage
+
+    def noted(df, name, *how):
+        table = stage(df, name, *how)
+        rows[name], files[name] = table.count(), len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(nj, "stage", noted)
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0] + " more", texts[0]])], "doc_id bigint, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in nj.similar_sets(docs).collect()}
+    assert found == {i: 0 if i > 39 else i for i in range(42)}
+    assert 0 < rows["entries"] <= 2 * 7 and max(files.values()) == 1
