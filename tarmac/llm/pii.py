@@ -40,6 +40,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 ORDER = {k: i for i, k in enumerate([*PATTERNS, "term"])}
 TERM = r"(?<!\S)\p{L}{4,}(?=[,.;:!?]*(?:\s|$))"
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Documents for which a staged table has one file: of small inputs in many partitions, few files.
+FILE_DOCS = 20_000
 HITS = "array<struct<kind string, i int, gap int, value string>>"
 
 
@@ -101,17 +103,21 @@ def _mentions(texts: DataFrame) -> DataFrame:
     return placed.select("text_key", F.lower("x.word").alias("term"), (F.col("end") - F.length("x.word")).alias("start"), "end")
 
 
+def _few(df: DataFrame, name: str, total: int) -> DataFrame:
+    return stage(df.coalesce(1 + total // FILE_DOCS), name)
+
+
 def _revealing(docs: DataFrame, spans: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     """(entity, term, share) of the terms that reach the lower threshold, and (text_key, term): who says a term that was in question."""
     # One row per text and entity, with the number of documents that have the text.
     texts = spans.select("text_key", "entity", "uid").distinct().groupBy("text_key", "entity").agg(F.count("*").alias("copies"))
     entities = texts.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity")).where(F.col("texts") >= SUPPORT)
-    protected = stage(texts.join(entities.drop("texts"), "entity"), "pii-entities")
+    protected = _few(texts.join(entities.drop("texts"), "entity"), "pii-entities", total)
     own = _said(_of_keys(docs, protected.select(F.col("text_key").alias("key")).distinct()))
     joint = protected.join(own, "text_key").groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("both"), F.max("with_entity").alias("with_entity"))
-    joint = stage(joint.where(F.col("texts") >= SUPPORT), "pii-joint")
-    asked = stage(joint.select(F.col("term").alias("asked")).distinct(), "pii-terms")
-    said = stage(join_small(_said(_texts(docs)), asked, F.col("term") == F.col("asked"), "left_semi"), "pii-said")
+    joint = _few(joint.where(F.col("texts") >= SUPPORT), "pii-joint", total)
+    asked = _few(joint.select(F.col("term").alias("asked")).distinct(), "pii-terms", total)
+    said = _few(join_small(_said(_texts(docs)), asked, F.col("term") == F.col("asked"), "left_semi"), "pii-said", total)
     terms = said.groupBy("term").agg(F.count("*").alias("with_term"))
     pmi = F.log2(F.col("both") * F.lit(float(total)) / (F.col("with_entity") * F.col("with_term")))
     share = F.try_divide(pmi, -F.log2(F.col("with_entity") / F.lit(float(total))))
@@ -120,22 +126,23 @@ def _revealing(docs: DataFrame, spans: DataFrame, total: int) -> tuple[DataFrame
 
 def find_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (uid, doc_id, text_key) and their spans (uid, kind, start, end, share; share is null for direct identifiers)."""
-    hits = stage(_hits(docs), "pii-hits")
+    total = docs.count()
+    hits = _few(_hits(docs), "pii-hits", total)
     rows = hits.select("uid", "doc_id", "text_key")
     each = hits.where(F.size("hits") > 0).select("uid", "text_key", F.explode("hits").alias("h")).select("uid", "text_key", "h.*")
     order = Window.partitionBy("uid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     each = each.withColumn("end", F.sum(F.col("gap") + F.length("value")).over(order)).withColumn("start", F.col("end") - F.length("value"))
     each = each.where(valid(F.col("kind"), F.col("value"))).withColumn("entity", F.concat_ws(":", "kind", F.lower("value")))
-    spans = stage(each.select("uid", "text_key", "kind", "start", "end", "entity"), "pii-spans")
-    share, said = _revealing(docs, spans, rows.count())
-    share = stage(share.groupBy(F.col("term").alias("reveals")).agg(F.max("share").alias("share")), "pii-shares")
+    spans = _few(each.select("uid", "text_key", "kind", "start", "end", "entity"), "pii-spans", total)
+    share, said = _revealing(docs, spans, total)
+    share = _few(share.groupBy(F.col("term").alias("reveals")).agg(F.max("share").alias("share")), "pii-shares", total)
     # Terms are letters only, so they stand for themselves in a pattern.
     own = join_small(said, share, F.col("term") == F.col("reveals"), "inner").groupBy(F.col("text_key").alias("key")).agg(F.array_join(F.sort_array(F.collect_set("term")), "|").alias("all"))
     any_of = F.concat(F.lit(r"(?iu)(?<!\S)(?:"), F.col("all"), F.lit(r")(?=[,.;:!?]*(?:\s|$))"))
-    keys = stage(own.select("key", any_of.alias("pattern")), "pii-keys")
+    keys = _few(own.select("key", any_of.alias("pattern")), "pii-keys", total)
     saying = join_small(_texts(docs), keys, F.col("text_key") == F.col("key"), "inner").dropDuplicates(["text_key"])
     found = join_small(_mentions(saying), share, F.col("term") == F.col("reveals"), "inner").select(F.col("text_key").alias("key"), "start", "end", "share")
-    terms = join_small(rows, stage(found, "pii-mentions"), F.col("text_key") == F.col("key"), "inner")
+    terms = join_small(rows, _few(found, "pii-mentions", total), F.col("text_key") == F.col("key"), "inner")
     direct = spans.select("uid", "kind", "start", "end", F.lit(None).cast("double").alias("share"))
     return rows, direct.unionByName(terms.select("uid", F.lit("term").alias("kind"), "start", "end", "share"))
 

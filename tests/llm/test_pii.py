@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import Row
 
+from tarmac.llm import pii
 from tarmac.llm.pii import pii_report, sanitise
 
 # The result's definition, searched as written.
@@ -129,3 +130,17 @@ def test_sanitised_text(linked):
     got = {r.doc_id: r.text for r in sanitise(linked).collect()}
     assert "zan@x.org" not in got[0] and "Zanthippe" not in got[0] and "[EMAIL]" in got[0] and "thing." in got[0]
     assert got[101] == "Another writes about things, number 1."
+
+
+def test_small_tables_are_one_file(spark, monkeypatch):
+    files, stage = {}, pii.stage
+
+    def noted(df, name):
+        table = stage(df, name)
+        files[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(pii, "stage", noted)
+    docs = spark.createDataFrame([(i, f"write to a@b.org about project zebra{i}") for i in range(20)], "doc_id bigint, text string").repartition(5)
+    assert pii.pii_report(docs).count() == 20
+    assert files["pii-hits"] == 1 and max(files.values()) == 1
